@@ -32,7 +32,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
     for _ in range(most_rounds):
-        edges = materialise(_star(_star(edges, large=True), large=False), "star")
+        edges = materialise(_star(_star(edges, large=True), large=False), "star")  # both stars in one job
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break

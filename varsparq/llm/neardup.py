@@ -4,10 +4,12 @@ One bijection spreads the shingles over 32-bit places, a second one, shifted cir
 every coordinate of the signature. Documents that agree in a whole band of coordinates are candidates. Similarity of
 candidates is confirmed on their full sets of 64-bit shingle hashes.
 
-Candidates are not expanded to all pairs of a bucket. Copies (equal sets) are one class. In the first bands each class
-is compared with one leader of its bucket; leaders differ by band. Classes that share a bucket of any band without being
-connected by then are compared pair by pair. So no link between different texts is lost that a band finds; a pair at a
-similarity of 0.8 agrees in no band with a probability of 5e-7.
+Candidates are not expanded to all pairs of a bucket. Copies (equal sets) are one class. Each class is first compared
+with the leader of each of its buckets: the one that meets most others over all bands, so the original of a crowd of
+copies. Classes that share a bucket without being connected by then are compared with each other inside blocks of
+bounded size, which give back links only. So no link between different components is lost that a band finds; a pair at
+a similarity of 0.8 agrees in no band with a probability of 5e-7, and differs in so many sketch bits that it is not
+compared with one of 1e-9.
 
 Defined cases: null texts and texts without words have an empty set and no link. A text of fewer words than a shingle is
 one shingle. Rows with the same id are one document (linked); rows with a null id have no links and a null component,
@@ -26,9 +28,11 @@ from varsparq.llm.shared import map_texts, materialise, text_batches
 from varsparq.llm.texts import mix, shingle_set
 
 BANDS, ROWS = 48, 6
-#: Bands whose buckets are first compared with a leader only.
-FIRST_BANDS = 6
-_BLOCK = 4096
+#: Bits of a sketch (the lowest of as many coordinates) and how many may differ between candidates: 12.8 are expected at 0.8.
+SKETCH, MOST_BITS = 128, 38
+#: Classes of one block of a bucket.
+BLOCK = 512
+_PART = 4096
 
 
 def _place(x: np.ndarray) -> np.ndarray:
@@ -46,8 +50,8 @@ def signature(shingles: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarr
     places = (mix(shingles + np.uint64(0x51ED2701)) >> np.uint64(32)).astype(np.uint32)  # the first bijection
     shift = np.arange(coordinates, dtype=np.uint32)[:, None]
     least = np.full(coordinates, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(places), _BLOCK):
-        np.minimum(least, _place(places[None, at : at + _BLOCK] - shift).min(1), out=least)
+    for at in range(0, len(places), _PART):
+        np.minimum(least, _place(places[None, at : at + _PART] - shift).min(1), out=least)
     return least
 
 
@@ -59,88 +63,147 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_1 and set_2 (a 128-bit print of the set, null when empty), bands (array of keys)."""
+    """id, n_shingles, set_1 and set_2 (a 128-bit print of the set, null when empty), bands (array of keys), bits_1 and bits_2 (the sketch)."""
+
+    def row(text: str | None) -> tuple:
+        s = shingle_set(text, words)
+        if not len(s):
+            return 0, None, None, None, None, None
+        sig = signature(s)
+        bits = np.packbits((sig[:SKETCH] & 1).astype(np.uint8)).view(np.int64)
+        prints = mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s * np.uint64(3) + np.uint64(len(s))))
+        return len(s), *(int(x.view(np.int64)) for x in prints), band_keys(sig), int(bits[0]), int(bits[1])
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    names = ["n_shingles", "set_1", "set_2", "bands", "bits_1", "bits_2"]
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, one, two, bands = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text, words)
-            n.append(len(s))
-            if len(s):
-                one.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                two.append(int(np.bitwise_xor.reduce(mix(s * np.uint64(3) + np.uint64(len(s)))).view(np.int64)))
-                bands.append(band_keys(signature(s)))
-            else:
-                one.append(None), two.append(None), bands.append(None)
-        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, [id_col, "n_shingles", "set_1", "set_2", "bands"])
+        found = zip(*(row(t) for t in batch.column(1).to_pylist()), strict=True)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(id_col, text_col), rows, f"{id_col} {kind}, n_shingles long, set_1 long, set_2 long, bands array<long>")
+    return map_texts(docs.select(id_col, text_col), rows, f"{id_col} {kind}, n_shingles long, set_1 long, set_2 long, bands array<long>, bits_1 long, bits_2 long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact: 100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the candidate ``pairs`` (u, v) those with 100 * intersection >= percent * union, on full sets made anew from the texts."""
+def _sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """id and shingles (sorted 64-bit hashes as binary) of the documents in ``ids``, made anew from their texts."""
     text_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def shingles(texts):  # noqa: ANN001, ANN202  pandas series
         return texts.map(lambda t: shingle_set(t, words).tobytes())
 
+    wanted = docs.join(ids.select("id").distinct(), "id", "left_semi")
+    return materialise(wanted.select("id", shingles("text").alias("shingles")), "sets")
+
+
+def _plausible(percent: int, a: str = "", b: str = "_b") -> F.Column:
+    """Sizes and sketches allow the similarity."""
+    n, m = F.col(f"n_shingles{a}"), F.col(f"n_shingles{b}")
+    differ = sum((F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in ("bits_1", "bits_2")), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= MOST_BITS)
+
+
+def led_links(buckets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between classes and the leaders of their buckets."""
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("met"))
+    mass = buckets.join(sizes, "key").groupBy("id").agg(F.sum("met").alias("mass"))
+    whole = buckets.join(mass, "id")
+    told = F.struct("mass", F.negative("id").alias("low_id"), "id", "n_shingles", "bits_1", "bits_2")
+    leader = whole.groupBy("key").agg(F.max(told).alias("b")).select("key", *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("id", "n_shingles", "bits_1", "bits_2")))
+    pairs = buckets.join(leader, "key").where((F.col("id") != F.col("id_b")) & _plausible(percent))
+    pairs = materialise(pairs.select(F.col("id").alias("u"), F.col("id_b").alias("v")).distinct(), "led")
+    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("id")), docs, words)
+
     @F.pandas_udf("boolean")
     def similar(a, b):  # noqa: ANN001, ANN202  pandas series
         import pandas as pd
 
-        def one(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                return False
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            return 100 * both >= percent * (len(x) + len(y) - both)
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = docs.join(wanted, "id", "left_semi").select("id", shingles("text").alias("shingles"))
-    sets = materialise(sets, "sets").where("shingles is not null")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     return both.where(similar("a", "b")).select("u", "v")
 
 
+def block_links(buckets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between classes of one bucket and different components; ``buckets`` has component, too.
+
+    Rows without a plausible partner go first (a semi-join). A bucket is cut into blocks of about BLOCK classes; every pair
+    of its blocks is one group, compared in place.
+    """
+    mixed = buckets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rows = materialise(buckets.join(mixed, "key"), "open")
+    other = rows.select(F.col("key").alias("key_b"), *(F.col(c).alias(f"{c}_b") for c in ("id", "n_shingles", "bits_1", "bits_2", "component")))
+    rows = materialise(rows.join(other, (F.col("key") == F.col("key_b")) & (F.col("component") != F.col("component_b")) & _plausible(percent), "left_semi"), "plausible")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.join(sizes, "key").withColumn("mine", mine).withColumn("its", pair)
+    rows = rows.select("key", "id", "component", "mine", F.least("mine", "its").alias("i"), F.greatest("mine", "its").alias("j"))
+    rows = rows.join(_sets(rows, docs, words), "id")
+
+    def compare(group):  # noqa: ANN001, ANN202  pandas frame
+        import pandas as pd
+
+        group = group.sort_values("id")
+        ids, component, mine = (group[c].to_numpy() for c in ("id", "component", "mine"))
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        size = np.array([len(x) for x in sets])
+        crossing = group["i"].iloc[0] != group["j"].iloc[0]
+        root = {c: c for c in component.tolist()}  # components that this group has joined already
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        u, v = [], []
+        for k in range(1, len(ids)):
+            fit = (component[:k] != component[k]) & (100 * np.minimum(size[:k], size[k]) >= percent * np.maximum(size[:k], size[k]))
+            if crossing:
+                fit &= mine[:k] != mine[k]
+            for x in np.flatnonzero(fit):
+                a, b = find(component[k]), find(component[x])
+                if a != b and _similar(sets[k], sets[x], percent):
+                    root[max(a, b)] = min(a, b)
+                    u.append(ids[k]), v.append(ids[x])
+        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (least id reachable over links), kept (id = component_id) of each row of ``docs``.
 
-    words: of a shingle; percent: least similarity of a link.
+    words: of a shingle; percent: least similarity of a link. Ids are whole numbers.
     """
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = materialise(signatures(plain, words, "id"), "signatures")
     linked = table.where("id is not null and set_1 is not null")
     classes = linked.groupBy("set_1", "set_2").agg(F.min("id").alias("rep"))
-    copies = linked.select("id", "set_1", "set_2").join(classes, ["set_1", "set_2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    keys = linked.select("id", "set_1", "set_2", "n_shingles", "bands").join(classes, ["set_1", "set_2"]).where("id = rep")
-    keys = keys.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    keys = materialise(keys, "keys")
-
-    # The texts of representatives only: those are all that candidates need.
-    first = keys.where(F.col("band") < FIRST_BANDS)
-    leader = first.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("id", "band"), "id")).getField("id").alias("u"), F.count("*").alias("n")).where("n > 1")
-    led = first.join(leader, ["band", "key"]).where("id <> u").select(F.greatest("id", "u").alias("u"), F.least("id", "u").alias("v")).distinct()
-    links = materialise(confirmed(materialise(led, "led"), plain, words, percent), "links")
-    near = materialise(components(links), "components")
-
-    # Buckets that still hold several components: every pair across them.
-    tagged = keys.join(near, F.col("id") == F.col("node"), "left").select("band", "key", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    mixed = tagged.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    open_ = materialise(tagged.join(mixed, ["band", "key"]), "open")
-    a, b = (open_.select("band", "key", *(F.col(c).alias(c + x) for c in ("id", "n_shingles", "component"))) for x in ("_a", "_b"))
-    size = (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")) & (F.col("id_a") > F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    rest = a.join(b, (a.band == b.band) & (a.key == b.key) & size).select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct()
-    late = confirmed(materialise(rest, "rest"), plain, words, percent)
+    members = linked.select("id", "set_1", "set_2").join(classes, ["set_1", "set_2"]).where("id <> rep")
+    copies = materialise(members.select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
+    single = linked.join(classes.select(F.col("rep").alias("id"), "set_1", "set_2"), ["id", "set_1", "set_2"], "left_semi")
+    keys = single.select("id", "n_shingles", "bits_1", "bits_2", F.explode("bands").alias("key"))
+    several = single.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key")
+    buckets = materialise(keys.join(several, "key"), "buckets")
+
+    led = materialise(led_links(buckets, plain, words, percent), "links")
+    near = materialise(components(led), "components")
+    tagged = buckets.join(near, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    late = materialise(block_links(tagged, plain, words, percent), "late")
 
     every = near.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    every = every.unionByName(late).unionByName(copies)
-    final = materialise(components(every), "final")
+    final = components(every.unionByName(late).unionByName(copies))
     out = table.join(final, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
