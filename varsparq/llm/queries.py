@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varsparq.llm import neardup, quality
+from varsparq.llm import ann, maintext, mixing, neardup, packing, quality, secretscan, tokenfiles, toxicity, urlfilter
+from varsparq.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "MIX"]
+
+#: Target shares of tokens by domain.
+MIX = {"low": 0.02, "ordinary": 0.96, "toxic": 0.02}
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +31,39 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup)}
+def op3_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), MIX)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), size=2048, end_id=0)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secret_scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(_table(spark, sf_dir, "pages"))
+
 
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_mixing_rates, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_toxicity, op8_nearest_neighbours, op9_token_files, op10_main_text)
+}
