@@ -160,8 +160,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD)
     asked = rows.where(F.col("vec_id") % every == 0).withColumn("dim", F.size("embedding"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = asked.join(index.select("dim", "shard"), "dim")  # every query to every shard of its length
-    where = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    parts = index.select(F.col("dim").alias("_dim"), F.col("shard").alias("_shard"))
+    asked = asked.join(parts, F.col("dim") == F.col("_dim")).select("vec_id", "embedding", "dim", "_shard", "block")  # every query to every shard of its length
+    where = index.select("dim", "shard", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def search(key, queries, shard_rows):  # noqa: ANN001, ANN202  pandas frames
         import pandas as pd
@@ -187,7 +188,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD)
                     out["score"] += score[best].tolist()
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    grouped = asked.groupBy("dim", "shard", "block").cogroup(where.groupBy("dim", "shard", "block"))
+    grouped = asked.groupBy("dim", "_shard", F.col("block").cast("long")).cogroup(where.groupBy("dim", "shard", "block"))
     hits = grouped.applyInPandas(search, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -5,21 +5,27 @@ from __future__ import annotations
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 
+#: Candidates share one of their rarest shingles: of n, a similar set of 80 % holds one of any n - ceil(0.8 n) + 1.
 _NEAR = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-shingles AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])
-                                      WHEN len(w) = 1 THEN [w[1]] ELSE []::VARCHAR[] END) AS s FROM words),
-sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-both AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS (
-  SELECT u, v FROM both JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                                    WHEN len(w) = 1 THEN [w[1]] ELSE []::VARCHAR[] END) AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+ranked AS (
+  SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY df, x) AS r, n
+  FROM (SELECT *, count(*) OVER (PARTITION BY x) AS df FROM shingles)),
+rare AS (SELECT doc_id, x FROM ranked WHERE r <= n - ceil(0.8 * n) + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS u, b.doc_id AS v FROM rare a JOIN rare b ON a.x = b.x AND a.doc_id < b.doc_id),
+near AS (
+  SELECT u, v FROM (
+    SELECT u, v, len(list_intersect(p.s, q.s)) AS k, len(p.s) AS m, len(q.s) AS n
+    FROM pairs JOIN sets p ON p.doc_id = u JOIN sets q ON q.doc_id = v) WHERE 100 * k >= 80 * (m + n - k)),
+links AS (SELECT u, v FROM near UNION ALL SELECT v, u FROM near),
 reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT reach.node, links.v FROM reach JOIN links ON links.u = reach.seen),
 least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
-FROM documents d LEFT JOIN sizes USING (doc_id) JOIN least ON node = d.doc_id
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON node = doc_id
 """
 
 

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (words) and patterns (first letters of words), proposed from labelled training rows; each votes
-toxic where it occurs and abstains elsewhere, and a few voters of absence vote harmless. A generative model of the votes,
+toxic where it occurs and abstains elsewhere; one more voter votes harmless where none of them occurs. A generative model of the votes,
 fitted without labels by expectation maximisation, estimates the accuracy of each voter; voters that vote together far
 more often than the model allows for are correlated and share one vote. A linear classifier on hashed words and first
 letters is trained on the posteriors and scores every text.
@@ -24,8 +24,13 @@ from varsparq.llm.shared import map_texts
 
 #: Bits of a hashed feature; letters of a pattern, in bytes.
 BITS, PREFIXES = 20, (4, 5, 6)
-MOST_VOTERS, LEAST_SEEN, LEAST_RATIO = 400, 6, 12.0
+#: A voter occurs in so many toxic training rows, in this share of them, and so much more often than in others.
+MOST_VOTERS, LEAST_SEEN, LEAST_SHARE, LEAST_RATIO = 400, 5, 0.03, 12.0
 THRESHOLD = 0.3
+#: Posterior of toxic where only the voter of absence votes.
+HARMLESS = 0.02
+#: The classifier uses features whose rows have so many times the mean posterior, and hold this share of all posterior.
+LIFT, MASS = 4.0, 0.005
 
 
 def features(text: str | None) -> np.ndarray:
@@ -66,7 +71,7 @@ def voters(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
         seen[int(t), x] += 1
     n = np.bincount(toxic.astype(int), minlength=2)
     ratio = ((seen[1] + 0.5) / (n[1] + 1)) / ((seen[0] + 0.5) / (n[0] + 1))
-    good = np.flatnonzero((seen[1] >= LEAST_SEEN) & (ratio >= LEAST_RATIO))
+    good = np.flatnonzero((seen[1] >= max(LEAST_SEEN, LEAST_SHARE * n[1])) & (ratio >= LEAST_RATIO))
     return good[np.argsort(-seen[1, good], kind="stable")[:MOST_VOTERS]]
 
 
@@ -76,8 +81,9 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
     A latent class with conditional rates of voting in either class; voters whose votes agree beyond that (by the residual
     correlation within the likelier class) share their weight.
     """
+    p = np.where(votes.any(1), 0.9, HARMLESS)
+    votes = np.column_stack([votes, ~votes.any(1)]).astype(float)
     n, m = votes.shape
-    p = np.clip(votes.sum(1) / 3, 0.02, 0.98)
     weight = np.ones(m)
     for step in range(rounds):
         prior = np.clip(p.mean(), 1e-3, 0.5)
@@ -88,9 +94,8 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
             spread = np.sqrt((left**2).mean(0)) + 1e-9
             link = np.abs(left.T @ left / n) / np.outer(spread, spread)
             weight = 1 / np.maximum(1, (link > 0.5).sum(1))
-        on, off = np.log(rate_1 / rate_0), np.log((1 - rate_1) / (1 - rate_0))
-        odds = np.log(prior / (1 - prior)) + votes @ ((on - off) * weight) + (off * weight).sum()
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        odds = np.log(prior / (1 - prior)) + votes @ (np.log(rate_1 / rate_0) * weight)  # abstaining says nothing
+        new = np.where(votes[:, -1] > 0, HARMLESS, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
         if np.abs(new - p).max() < 1e-4 and step > 6:
             return new
         p = new
@@ -98,16 +103,21 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
 
 
 def train_linear(rows: list[np.ndarray], target: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary features with soft targets, by gradient steps scaled for each feature."""
-    weights, scale, bias = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6), -2.0
+    """Logistic regression on binary features that the targets favour, with soft targets, by gradient steps scaled for each feature."""
+    count, mass = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for x, t in zip(rows, target, strict=True):
+        count[x] += 1
+        mass[x] += t
+    use = (mass >= max(2.0, MASS * target.sum())) & (mass >= LIFT * target.mean() * count)
+    rows = [x[use[x]] for x in rows]
+    weights, scale, bias = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6), -3.0
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
             x = rows[i]
-            p = 1 / (1 + np.exp(-np.clip(weights[x].sum() + bias, -30, 30)))
-            g = p - target[i]
+            g = 1 / (1 + np.exp(-np.clip(weights[x].sum() + bias, -30, 30))) - target[i]
             scale[x] += g * g
-            weights[x] -= 0.1 * g / np.sqrt(scale[x] + 0.1)
+            weights[x] -= 0.3 * (g + 1e-4 * weights[x]) / np.sqrt(scale[x] + 0.1)
             bias -= 0.02 * g
     return weights, bias
 
@@ -122,7 +132,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights[x].sum(dtype=np.float64) + self.bias, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000) -> Model | None:
     """Train on at most ``fit_rows`` labelled rows of the training folds (those of the smallest hashes of ids)."""
     train = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = train.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -137,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000) -> Model | No
     toxic = sample["toxic"].to_numpy() > 0
     if not toxic.any() or toxic.all():
         return None
+    sample = sample[~sample["x"].map(lambda v: np.asarray(v, np.int32).tobytes()).duplicated()]  # copies would make chance words look like evidence
+    toxic = sample["toxic"].to_numpy() > 0
     x = [np.asarray(v, np.int64) for v in sample["x"]]
     chosen = voters(x, toxic)
     place = np.full(1 << BITS, -1)
