@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once for each row, not once for each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log2_ratio(ref: Column, alt: Column, eps: float = EPS) -> Column:
     """log2((alt + eps) / (ref + eps)); null where a side is not positive (F-18, F-22)."""
     return F.when((ref + eps > 0) & (alt + eps > 0), F.log2((alt + eps) / (ref + eps)))
@@ -23,8 +30,13 @@ def sigmoid(x: Column) -> Column:
 
 def softmax(a: Column) -> Column:
     """Softmax of an array, shifted by its maximum (F-24)."""
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / _sum(e))
+    powers = _let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return _scaled(powers)
+
+
+def _scaled(a: Column) -> Column:
+    """An array scaled to sum 1."""
+    return _let(a, lambda e: _let(_sum(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,20 +49,18 @@ def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
 
 def kl_divergence(p: Column, q: Column, low: float = 1e-10) -> Column:
     """Of two arrays, clipped at ``low`` and scaled to sum 1 (F-29)."""
-    p, q = (F.transform(x, lambda v: F.greatest(v, F.lit(low))) for x in (p, q))
-    sp, sq = _sum(p), _sum(q)
-    return _sum(F.zip_with(p, q, lambda x, y: (x / sp) * F.ln((x / sp) / (y / sq))))
+    p, q = (_scaled(F.transform(x, lambda v: F.greatest(v, F.lit(low)))) for x in (p, q))
+    return _sum(F.zip_with(p, q, lambda x, y: x * F.ln(x / y)))
 
 
 def js_divergence(p: Column, q: Column) -> Column:
-    m = F.zip_with(p, q, lambda x, y: (x + y) / 2)
-    return (kl_divergence(p, m) + kl_divergence(q, m)) / 2  # F-27, textbook form
+    middle_of = _let(F.struct(p.alias("p"), q.alias("q")), lambda s: F.zip_with(s["p"], s["q"], lambda x, y: (x + y) / 2))
+    return _let(middle_of, lambda m: (kl_divergence(p, m) + kl_divergence(q, m)) / 2)  # F-27, textbook form
 
 
 def entropy(a: Column, eps: float = 1e-8) -> Column:
     """Of an array scaled to sum 1 (F-32)."""
-    s = _sum(a)
-    return -_sum(F.transform(a, lambda x: (x / s) * F.ln(x / s + eps)))
+    return -_sum(F.transform(_scaled(a), lambda x: x * F.ln(x + eps)))
 
 
 def delta_metrics(ref: Column, alt: Column) -> dict[str, Column]:
