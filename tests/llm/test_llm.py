@@ -1,0 +1,151 @@
+"""Operators of the llm package against brute force, round trips and edge cases."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from varsparq.llm import ann, maintext, mixing, neardup, packing, quality, secretscan, tokenfiles, toxicity, urlfilter
+from varsparq.llm.texts import shingle_set
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+EDGE = [(None, "some text of a row without an id"), (1, None), (2, ""), (3, "one"), (4, "two words"), (4, "two words"), (5, "x" * 5000 + " y" * 3000)]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "clash") for i, t in EDGE], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    labels = spark.createDataFrame([(None, 1, 0), (1, None, None), (3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_edges(spark, edge):
+    docs, labels = edge
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    for d in (docs, docs.where("false")):
+        n = d.count()
+        assert quality.quality_rules(d, labels).count() == n
+        assert neardup.near_duplicates(d, 2).count() == n
+        assert mixing.mixing_rates(d, labels, {"low": 0.1, "ordinary": 0.9}).count() == n
+        assert secretscan.secret_scan(d, labels).count() == n
+        assert toxicity.toxicity(d, labels).count() == n
+        assert tokenfiles.token_files(d, vocabulary).count() == n
+        assert packing.pack_documents(d, vocabulary).agg({"length": "max"}).first()[0] in (None, 2048)
+        for kept in (quality.keep_good(d, labels), neardup.one_of_each(d), secretscan.redacted(d, labels), mixing.mixed(d, labels, {"ordinary": 1.0})):
+            assert kept.columns == docs.columns
+            kept.collect()
+
+
+def test_repeated_words():
+    assert quality.repeated_words(b"a b c x a b c".split()) == 6
+    assert quality.repeated_words(b"a a a a".split()) == 4
+    assert quality.rule_statistics("a b\na b\n\n x# \n") == (5, 6, 1, 1, 0, 3)
+
+
+def test_near_duplicates_are_brute_force(spark):
+    draw = random.Random(1)
+    base = [[f"w{draw.randint(0, 400)}" for _ in range(draw.randint(5, 120))] for _ in range(40)]
+    docs = []
+    for words in base:
+        for _ in range(draw.randint(1, 8)):
+            new = list(words)
+            for _ in range(draw.randint(0, 6)):
+                new[draw.randrange(len(new))] = f"n{draw.randint(0, 10**6)}"
+            docs.append((len(docs), " ".join(new)))
+    sets = {i: set(shingle_set(t, 2).tolist()) for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
+def test_codec_round_trip():
+    r = np.random.default_rng(1)
+    for k in range(200):
+        x = r.integers(0, 2**63, r.integers(1, 600), dtype=np.uint64) >> np.uint64(k % 64)
+        assert (tokenfiles.decode_block(tokenfiles.encode_block(x)) == x).all()
+    docs = [np.arange(n, dtype="<u4").tobytes() for n in (0, 3, 5000)]
+    sizes, ids = tokenfiles.decode_chunk(tokenfiles.encode_chunk(docs))
+    assert sizes.tolist() == [0, 3, 5000] and ids.astype("<u4").tobytes() == b"".join(docs)
+    with pytest.raises(ValueError):
+        tokenfiles.decode_chunk(tokenfiles.encode_chunk(docs)[:-9] + b"123456789")
+
+
+def test_token_files(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a  b", " x y ", "I'll do\n foo bar\t baz", "É İstanbul x", "", "plain words again and again"]
+    plain = Tokenizer.from_file(path)
+    at = 0
+    got = {r.doc_id: r for r in tokenfiles.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    for i, t in enumerate(texts):
+        raw = np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(raw) // 4, zlib.crc32(raw))
+        at += len(raw) // 4
+
+
+def test_packing_is_whole():
+    r = np.random.default_rng(2)
+    lengths = r.integers(1, 2049, 800)
+    first = packing.best_fit(lengths, 2048)
+    bins = packing.local_search(lengths, [list(b) for b in first], 2048)
+    assert sorted(i for b in bins for i in b) == list(range(800)) and max(lengths[b].sum() for b in bins) <= 2048 and len(bins) <= len(first)
+
+
+def test_url_filter(spark):
+    link = '<a href="https://bad.net/x">x</a>'
+    rows = [(1, "http://bad.NET/a", ""), (2, "http://ok.example.net/en/1", ""), (3, "http://fan.example.org/de/", link), (4, "http://fine.example.org/de/", ""), (5, None, None), (6, "no scheme", link), (7, "http://a.org/fr/?q", link)]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ("bad.net", "/a", "net/", "block") and got[2][2:] == ("example.net/en/", "allow")
+    assert got[3][2:] == (None, "block") and got[4][2:] == (None, "allow") and got[5] == ("", "", None, "allow") and got[6][3] == "allow" and got[7][2:] == ("org/fr/", "allow")
+
+
+def test_secret_patterns():
+    t = "x password=abcdefgh1 AKIA0123456789AB " + "0a" * 16 + " token: 'short'"
+    assert secretscan.digest(secretscan.base_spans(t)) == f"assign:2:20,access:21:37,hex:38:70"
+
+
+def test_nearest(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(600, 16))
+    v[100:140] = v[0]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] * 16)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50, 5, shard=200).toPandas()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 600, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.lexsort((np.arange(600), -s.round(12)))[:5].tolist()))
+    assert hits >= 0.9 * 60 and set(got.query_id) == set(range(0, 600, 50))
+    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [100, 101, 102, 103, 104]
+
+
+def test_main_text():
+    page = "<html><body><nav><p>menu, menu, menu</p></nav><div class='wrap has-ad'></div><div id=content><h2>Head</h2><p>One, two &amp; three. " + "word, " * 40 + "<p>Next&nbsp;<b>bo</b>ld</div><div class='comments'><p>I, too, agree, yes, really, much text here</p></div><script>'</p>'</script></body></html>"
+    text = maintext.main_text(page)
+    assert text.startswith("Head One, two & three.") and text.endswith("Next bold")
+    assert maintext.main_text("") == maintext.main_text(None) == ""
+
+
+def test_rates_meet_targets(spark):
+    scored = spark.createDataFrame([(100, 100, 0, 0), (300, 0, 100, 0), (50, 10, 60, 30), (80, 0, 0, 100)], "_tokens long, _low int, _ordinary int, _toxic int")
+    rate = mixing.fit_rates(scored, {"low": 0.1, "ordinary": 0.8, "toxic": 0.1}, 400.0)
+    rows = scored.withColumn("r", rate).collect()
+    for domain, want in (("_low", 40), ("_ordinary", 320), ("_toxic", 40)):
+        assert abs(sum(r._tokens * r.r * r[domain] / 100 for r in rows) - want) < 0.5
+    assert min(r.r for r in rows) >= 0
