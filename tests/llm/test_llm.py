@@ -84,6 +84,16 @@ def test_codec_round_trip():
         tokenfiles.decode_chunk(tokenfiles.encode_chunk(docs)[:-9] + b"123456789")
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_library(name):
+    from varsparq.llm.tokens import Encoder
+
+    draw, e = random.Random(3), Encoder(public_tokenizers.path(name))
+    for _ in range(3000):
+        text = "".join(draw.choice(["a", "b ", "  ", " ", "\n", "\t", " \n", "\u00e9", "1", ".", ",", "'s", "\u65e5\u672c", "<|endoftext|>", "\x1c"]) for _ in range(draw.randint(0, 12)))
+        assert e.encode(text) == e.whole(text), repr(text)
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 

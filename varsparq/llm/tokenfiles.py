@@ -29,6 +29,8 @@ from varsparq.llm.tokens import encoder
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30)]
 #: Widths that ids are rounded up to; the last stands for all that need an escape.
 WIDTHS = [*sorted({b for _, b in SELECTORS}), 64]
+#: Width of an id by its number of bits. (A double rounds only ids of over 53 bits, and those need an escape anyway.)
+ROUNDED = np.array([next(w for w in WIDTHS if w >= min(n, 64)) for n in range(66)], np.uint8)
 ESCAPE, MAGIC, BLOCK = 15, b"VSQ8", 4096
 #: Documents and ids of a chunk, at most (a longer document is a chunk of its own).
 CHUNK_DOCS, CHUNK_IDS = 2000, 2_000_000
@@ -38,16 +40,17 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     """64-bit words of one block of ids."""
     ids = ids.astype(np.uint64)
     n = len(ids)
-    bits = np.zeros(n, np.uint8)
-    for width, after in zip(WIDTHS[1:], WIDTHS[:-1], strict=True):
-        bits[ids >> np.uint64(after) > 0] = width
+    bits = ROUNDED[np.frexp(ids.astype(np.float64))[1]]
     choice = np.full(n, ESCAPE, np.uint8)
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[s]
         if count > n:
             continue
-        bad = np.concatenate([[0], np.cumsum(bits > width)])
-        choice[: n - count + 1][bad[count:] == bad[: n - count + 1]] = s
+        bad = np.concatenate([[0], np.cumsum(bits > width, dtype=np.int32)])
+        fits = bad[count:] == bad[: n - count + 1]
+        if not fits.any():  # then no longer run of narrower ids fits either
+            break
+        choice[: n - count + 1][fits] = s
     step = np.array([c for c, _ in SELECTORS] + [1])[choice].tolist()
     starts, at = [], 0
     while at < n:

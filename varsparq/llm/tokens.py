@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from array import array
 from dataclasses import dataclass, field
 
 
 #: Entries of each of the two caches of a Python worker, about 200 bytes each.
 CACHE = 800_000
-#: A blank beside other white space: such texts are encoded as a whole.
-_ODD = re.compile(r"\s | \s|^ | $")
-
-
 #: When a cache is full, entries of at most so many characters stay if they are less than half of it: short parts recur most.
 SHORT = 7
 
@@ -45,7 +40,7 @@ class Encoder:
     A blank between two other characters always starts a new piece of the pre-tokenizers used here, so the ids of a text
     are those of its parts. The library gives the ids of each part. A part of letters, with at most a full stop or comma
     behind, is one piece or two by the rules of either pre-tokenizer and goes to the model at once; others go through the
-    pre-tokenizer. Parts behind a blank are kept without it.
+    pre-tokenizer. Parts behind a blank are kept without it. Texts with a blank beside other white space are encoded whole.
     """
 
     path: str
@@ -86,15 +81,18 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
-            return self.whole(text)
         first, *rest = text.split(" ")
+        if rest and (not first or first[-1].isspace()):
+            return self.whole(text)
         known = self.parts
         try:
             ids = b"".join(map(known.__getitem__, rest))
         except KeyError:
+            new = {x for x in rest if x not in known}
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in new):  # so that no such part is ever known
+                return self.whole(text)
             _room(known)
-            for x in set(rest):
+            for x in set(rest):  # all, as making room may have taken known ones
                 if x not in known:
                     known[x] = self.part(x, True)
             ids = b"".join(map(known.__getitem__, rest))
