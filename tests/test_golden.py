@@ -6,10 +6,11 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from varsparq.functions import metrics, text
-from varsparq.operators import attribution, haplotypes, intervals, scoring
+from varsparq.operators import attribution, haplotypes, intervals, scoring, summaries
 from varsparq.sources import variants
 
 
@@ -79,3 +80,30 @@ def test_vcf(spark, tmp_path):
     (tmp_path / "x.vcf").write_text("##x\n#CHROM\tPOS\n1\t100\trs1\tA\tG,T\t.\t.\tMC=SO:1|miss;CLNDISDB=MONDO:1,OMIM:2\n")
     r = variants.read_vcf(spark, str(tmp_path / "x.vcf"), ["MC", "CLNDISDB"]).first()
     assert (r.chrom, r.pos, r.alt, r.MC_id, r.MC_term, r.MONDO, r.OMIM_n, r.MeSH) == ("1", 100, ["G", "T"], "SO:1", "miss", ["MONDO:1"], 1, [])
+
+
+def test_wasserstein_is_brute_force(spark):
+    draw = random.Random(5)
+    rows = [("k", draw.choice([None, *range(6)]), draw.random() < 0.4) for _ in range(200)]
+    frame = spark.createDataFrame([(k, None if v is None else float(v), a) for k, v, a in rows] + [("one side", 1.0, True)], "k string, v double, a boolean")
+    got = {r.k: r for r in summaries.wasserstein(frame, ["k"], "v", F.col("a")).collect()}
+    a, b = ([v for _, v, x in rows if v is not None and x == side] for side in (True, False))
+    want = sum(abs(np.mean(np.array(a) <= t) - np.mean(np.array(b) <= t)) for t in range(5))
+    assert set(got) == {"k"} and abs(got["k"].distance - want) < 1e-12
+    assert (got["k"].n_a, got["k"].n_b) == (len(a), len(b))
+
+
+def test_ancestors(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("a", "b"), ("d", "b"), (None, "c"), ("e", None)], "child string, parent string")
+    got = summaries.ancestors(edges)
+    assert {(r.child, r.ancestor): r.level for r in got.collect()} == {("a", "b"): 1, ("a", "c"): 2, ("b", "c"): 1, ("b", "b"): 2, ("c", "b"): 1, ("c", "c"): 2, ("d", "b"): 1, ("d", "c"): 2}
+    pairs = spark.createDataFrame([("a", "d"), ("a", "x")], "id1 string, id2 string")
+    assert [tuple(r) for r in summaries.common_ancestor(got, pairs).collect()] == [("a", "d", "b", 2)]
+    assert summaries.ancestors(edges.where("false")).count() == 0
+    with pytest.raises(ValueError, match="deeper"):
+        summaries.ancestors(spark.createDataFrame([(i, i + 1) for i in range(5)], "child int, parent int"), rounds=3)
+
+
+def test_middle_and_order(spark):
+    row = spark.createDataFrame([([1, 2, 3, 4, 5], [1], "x")], "long array<int>, short array<int>, c string")
+    assert tuple(row.select(summaries.middle(F.col("long"), 3), summaries.middle(F.col("short"), 3), summaries.by_custom_order(F.col("c"), ["y"])).first()) == ([2, 3, 4], [1], 2)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from varsparq.functions import metrics as M
 from varsparq.functions import text as T
-from varsparq.operators import attribution, haplotypes, intervals, matrix, relational
+from varsparq.operators import attribution, haplotypes, intervals, matrix, relational, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -55,7 +55,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     def keep(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         _QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
-            _ORACLES[name] = "WITH " + VIEWS + sql.strip() if sql.lstrip().startswith("x AS") else "WITH " + VIEWS.rstrip().rstrip(",") + "\n" + sql.strip()
+            _ORACLES[name] = "WITH " + sql if sql.startswith("RECURSIVE") else "WITH " + VIEWS + sql.strip() if sql.lstrip().startswith("x AS") else "WITH " + VIEWS.rstrip().rstrip(",") + "\n" + sql.strip()
         return f
 
     return keep
@@ -246,6 +246,48 @@ UNION ALL SELECT name, 'exon_core', s + 3, e - 3 FROM x""")(
 )
 
 
+query("t02_wasserstein", """x AS (SELECT gene, price AS v, count(*) FILTER (size > 25) AS a, count(*) FILTER (size <= 25) AS b FROM sites GROUP BY ALL),
+y AS (SELECT gene, lead(v) OVER w - v AS step, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY gene) - sum(b) OVER w / sum(b) OVER (PARTITION BY gene)) AS gap FROM x WINDOW w AS (PARTITION BY gene ORDER BY v))
+SELECT gene, round(sum(gap * step), 4) AS distance FROM y GROUP BY gene""")(
+    lambda t: summaries.wasserstein(t.sites, ["gene"], "price", F.col("size") > 25).select("gene", F.round("distance", 4).alias("distance"))
+)
+query("t05_paired_effect", "x AS (SELECT slot, alt - ref AS d FROM scores) SELECT slot, count(*) AS n, round(avg(d), 6) AS mean_diff, round(avg(d) / stddev_samp(d), 6) AS dz, round(avg(d) / stddev_samp(d) * sqrt(count(*)), 4) AS t FROM x GROUP BY slot")(
+    lambda t: summaries.paired_effect(t.scores, ["slot"], "alt", "ref").select("slot", "n", r6("mean_diff").alias("mean_diff"), r6("dz").alias("dz"), F.round("t", 4).alias("t"))
+)
+query("a06_group_spread", "x AS (SELECT gene, clinsig, var_samp(ln(price)) AS v, count(DISTINCT site) AS n FROM sites GROUP BY ALL) SELECT clinsig, round(avg(v), 6) AS mean_var, sum(n)::BIGINT AS n_sites, count(DISTINCT gene) AS n_genes, min(gene) AS first FROM x GROUP BY clinsig")(
+    lambda t: t.sites.groupBy("gene", "clinsig").agg(F.var_samp(F.ln("price")).alias("v"), F.count_distinct("site").alias("n")).groupBy("clinsig").agg(r6(F.avg("v")).alias("mean_var"), F.sum("n").alias("n_sites"), F.count_distinct("gene").alias("n_genes"), F.min("gene").alias("first"))
+)
+query("a12_site_summary", "SELECT site, round(avg(ref), 6) AS ref_mean, round(stddev_samp(ref), 6) AS ref_sd, min(alt) AS alt_min, max(alt) AS alt_max FROM scores GROUP BY site")(
+    lambda t: t.scores.groupBy("site").agg(r6(F.avg("ref")).alias("ref_mean"), r6(F.stddev_samp("ref")).alias("ref_sd"), F.min("alt").alias("alt_min"), F.max("alt").alias("alt_max"))
+)
+query("a14_centroids", "SELECT superpopulation, site, round(avg(value), 6) AS v FROM scores JOIN meta USING (sample) GROUP BY ALL")(lambda t: t.scores.join(t.meta, "sample").groupBy("superpopulation", "site").agg(r6(F.avg("value")).alias("v")))
+query("a24_enrichment_means", "SELECT gene, round(avg(price), 6) AS mean FROM sites WHERE size <= 20 GROUP BY gene")(lambda t: t.sites.where("size <= 20").groupBy("gene").agg(r6(F.avg("price")).alias("mean")))
+query("a35_power_mean", "SELECT slot, round(avg(value ** 4), 4) AS loading FROM scores GROUP BY slot")(lambda t: summaries.power_mean(t.scores, ["slot"], "value", 4).select("slot", F.round("loading", 4).alias("loading")))
+query("j12_semi_join", "SELECT site, gene FROM sites WHERE site IN (SELECT site FROM scores WHERE slot = 'R' AND value > 7)")(lambda t: t.sites.join(t.scores.where("slot = 'R' and value > 7").select("site"), "site", "left_semi").select("site", "gene"))
+query("s02_custom_order", "SELECT site, CASE clinsig WHEN 'SMALL' THEN 1 WHEN 'LARGE' THEN 2 ELSE 3 END::BIGINT AS place FROM sites")(lambda t: t.sites.select("site", summaries.by_custom_order(F.col("clinsig"), ["SMALL", "LARGE"]).cast("long").alias("place")))
+query("s07_middle", "SELECT vec_id, round(list_sum(list_transform(embedding[28:37], lambda v: v::DOUBLE)), 6) AS s FROM embeddings")(
+    lambda t: t.embeddings.select("vec_id", r6(F.aggregate(summaries.middle(F.col("embedding").cast("array<double>"), 10), F.lit(0.0), lambda a, v: a + v)).alias("s"))
+)
+query("u06_in_both_classes", "SELECT gene FROM sites WHERE clinsig IN ('SMALL', 'LARGE') GROUP BY gene HAVING count(DISTINCT clinsig) = 2")(
+    lambda t: t.sites.where("clinsig in ('SMALL', 'LARGE')").groupBy("gene").agg(F.count_distinct("clinsig").alias("n")).where("n = 2").select("gene")
+)
+query("w07_argmax", "SELECT site, arg_max(l_orderkey, (value, -l_orderkey)) AS at, round(max(value), 6) AS top FROM scores GROUP BY site")(
+    lambda t: t.scores.groupBy("site").agg(F.max_by("l_orderkey", F.struct(F.col("value"), -F.col("l_orderkey"))).alias("at"), r6(F.max("value")).alias("top"))
+)
+
+
+def _edges(t: Tables) -> DataFrame:
+    return t.part.where("p_partkey > 1").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 4).alias("parent")).where("parent > 0")
+
+
+_CLOSURE = "RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 4 AS parent FROM part WHERE p_partkey // 4 > 0), c AS (SELECT child, parent AS ancestor, 1 AS level FROM e UNION ALL SELECT c.child, e.parent, level + 1 FROM c JOIN e ON e.child = c.ancestor)"
+query("h24_ancestors", _CLOSURE + " SELECT child, ancestor, level FROM c")(lambda t: summaries.ancestors(_edges(t)))
+query("h25_common_ancestor", _CLOSURE + """, d AS (SELECT child AS a, count(*) AS depth FROM c GROUP BY child), r AS (SELECT x.child AS id1, y.child AS id2, x.ancestor AS mrca, coalesce(depth, 0) AS depth, row_number() OVER (PARTITION BY x.child ORDER BY coalesce(depth, 0) DESC, x.ancestor) AS r
+FROM c x JOIN c y ON y.child = x.child + 7 AND y.ancestor = x.ancestor LEFT JOIN d ON d.a = x.ancestor) SELECT id1, id2, mrca, depth FROM r WHERE r = 1""")(
+    lambda t: summaries.common_ancestor(summaries.ancestors(_edges(t)), t.part.select(F.col("p_partkey").alias("id1"), (F.col("p_partkey") + 7).alias("id2")))
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
