@@ -4,7 +4,8 @@ A naive Bayes classifier, trained on the labelled table, gives each document pos
 toxic and ordinary. Projected-gradient least squares then fits a nonnegative rate for each document so that the expected
 tokens of each domain, sum of rate * tokens * posterior, match the targets. Posteriors are rounded to hundredths;
 documents with equal posteriors keep equal rates, so the gradient steps run over one row for each distinct posterior.
-A step takes from a rate the posterior-weighted, scaled errors of the domains and clips at 0; starting rates are 1.
+A step takes from a rate the posterior-weighted errors of the domains, scaled by the curvature of the rates above 0, and
+clips at 0; starting rates are 1. A step after which the errors are not smaller is taken back for a short plain one.
 
 Defined cases: null and empty texts have no tokens, posteriors by their (empty) features, and a rate like any other;
 rows with a null id have no label. Repeated rows get equal rates. Extra columns are kept. Domains without a labelled row
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varsparq.llm.shared import materialise
@@ -29,7 +30,7 @@ _WHITE = r"[\x20\x09-\x0D]+"
 
 def _prefixes(text: Column) -> Column:
     """Distinct first letters (at most PREFIX) of the words of a text."""
-    return F.array_distinct(F.transform(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.substring(w, 1, PREFIX)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}{{1,{PREFIX}}})\p{{L}}*"), F.lit(1)))
 
 
 def _bin(value: Column, ends: list[float]) -> Column:
@@ -45,20 +46,27 @@ def lexicons(sample: DataFrame, size: int) -> dict[str, list[str]]:
     total = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     seen = sample.select("domain", F.explode(_prefixes(F.col("text"))).alias("prefix")).where("prefix <> ''")
     counts = seen.groupBy("prefix").agg(*(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS))
-    out = {}
-    for domain in (d for d in DOMAINS if d != "ordinary" and total.get(d)):
+    found = {d: [] for d in DOMAINS if d != "ordinary" and total.get(d)}
+    if not found:
+        return found
+    told = []
+    for domain in found:
         rest = sum(n for d, n in total.items() if d != domain)
         others = sum((F.col(d) for d in DOMAINS if d != domain), F.lit(0))
         ratio = ((F.col(domain) + 0.5) / (total[domain] + 1)) / ((others + 0.5) / (rest + 1))
-        best = counts.where((F.col(domain) >= LEAST_SEEN) & (ratio >= LEAST_RATIO)).orderBy(F.desc(domain), "prefix").limit(size)
-        out[domain] = sorted(r.prefix for r in best.select("prefix").collect())
-    return out
+        good = (F.col(domain) >= LEAST_SEEN) & (ratio >= LEAST_RATIO)
+        told.append(F.struct(F.lit(domain).alias("domain"), F.when(good, F.col(domain)).alias("n")))
+    both = counts.select("prefix", F.explode(F.array(*told)).alias("c")).select("prefix", "c.*").where("n is not null")
+    best = both.withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "prefix"))).where(F.col("place") <= size)
+    for r in best.orderBy("prefix").collect():  # at most ``size`` rows a domain
+        found[r.domain].append(r.prefix)
+    return found
 
 
 def _features(words: dict[str, list[str]]) -> dict[str, tuple[Column, int]]:
     """Name -> (bin of the document, number of bins)."""
     n = F.greatest(F.col("n_tokens"), F.lit(1))
-    symbols = F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))
+    symbols = F.regexp_count("_text", F.lit(r"[#*$%&|<>]"))
     found = {"symbols": (_bin(symbols / n, SYMBOL_ENDS), len(SYMBOL_ENDS) + 1), "distinct": (_bin(F.size(F.array_distinct("_words")) / n, DISTINCT_ENDS), len(DISTINCT_ENDS) + 1)}
     for domain, lexicon in words.items():
         hits = F.size(F.array_intersect("_prefixes", F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
@@ -116,13 +124,25 @@ def _rate(steps: list[list[float]], domains: list[str]) -> Column:
     return F.aggregate(told, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((_posterior(d) * g[k] for k, d in enumerate(domains)), F.lit(0.0))))
 
 
+def _solve(matrix: list[list[float]], values: list[float]) -> list[float]:
+    """Solution of a small symmetric system, a trace of it added to the diagonal so that there is one."""
+    n, ridge = len(values), 1e-9 * sum(row[i] for i, row in enumerate(matrix)) + 1e-12
+    rows = [[*(x + ridge * (i == k) for k, x in enumerate(row)), values[i]] for i, row in enumerate(matrix)]
+    for i in range(n):
+        for k in range(n):
+            if k != i:
+                part = rows[k][i] / rows[i][i]
+                rows[k] = [x - part * y for x, y in zip(rows[k], rows[i], strict=True)]
+    return [row[-1] / row[i] for i, row in enumerate(rows)]
+
+
 def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float | None = None, iterations: int = 80, tolerance: float = 1e-4) -> Column:
     """The rate of a row of ``scored`` (a result of classify), as a column.
 
     weights: target share of each domain. total_tokens: the sum of targets; unset, so many that the ordinary domain stays as large as it is.
     """
     groups = scored.groupBy(*(f"_{d}" for d in DOMAINS)).agg(F.sum("_tokens").cast("double").alias("_mass"))
-    groups = materialise(groups, "mix-groups")
+    groups = materialise(groups.coalesce(4), "mix-groups")  # some 5,200 rows at most: shares in hundredths
     pairs = [(a, b) for a in DOMAINS for b in DOMAINS if a <= b]
     first = groups.agg(*(F.sum(F.col("_mass") * _posterior(d)).alias(d) for d in DOMAINS), *(F.sum(F.col("_mass") * _posterior(a) * _posterior(b)).alias(f"{a}-{b}") for a, b in pairs)).first()
     domains = [d for d in DOMAINS if first[d] and weights.get(d, 0) > 0]
@@ -136,13 +156,23 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float
     curve = [[first["-".join(sorted((a, b)))] / math.sqrt(own[i] * own[k]) for k, b in enumerate(domains)] for i, a in enumerate(domains)]
     steepest = max(sum(row) for row in curve)  # bounds the largest eigenvalue of the scaled problem
     steps: list[list[float]] = []
+    least, plain = math.inf, None
     for _ in range(iterations):
         rate = _rate(steps, domains)
-        sums = groups.agg(*(F.sum(F.col("_mass") * rate * _posterior(d)) for d in domains)).first()
-        errors = [s - t for s, t in zip(sums, target, strict=True)]
+        moving = F.col("_mass") * (F.col("_r") > 0).cast("double")
+        held = groups.withColumn("_r", rate)
+        sums = held.agg(*(F.sum(F.col("_mass") * F.col("_r") * _posterior(d)) for d in domains), *(F.sum(moving * _posterior(a) * _posterior(b)) for a in domains for b in domains)).first()
+        n = len(domains)
+        errors = [x - t for x, t in zip(sums[:n], target, strict=True)]
         if all(abs(e) <= tolerance * t for e, t in zip(errors, target, strict=True)):
             break
-        steps.append([e / o / steepest for e, o in zip(errors, own, strict=True)])
+        size = sum((e / t) ** 2 for e, t in zip(errors, target, strict=True))
+        if plain and size >= least:
+            steps[-1], plain = plain, None
+            continue
+        least = min(least, size)
+        plain = [e / o / steepest for e, o in zip(errors, own, strict=True)]
+        steps.append(_solve([list(sums[n * (i + 1) : n * (i + 2)]) for i in range(n)], errors))
     return _rate(steps, domains)
 
 
