@@ -149,14 +149,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000) -> Model | N
         return None
     sample = sample[~sample["x"].map(lambda v: np.asarray(v, np.int32).tobytes()).duplicated()]  # copies would make chance words look like evidence
     toxic = sample["toxic"].to_numpy() > 0
-    x = [np.asarray(v, np.int64) for v in sample["x"]]
+    x = [np.asarray(v, np.int32) for v in sample["x"]]
+    del sample
     chosen = voters(x, toxic)
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
-    votes = np.zeros((len(x), max(len(chosen), 1)))
+    votes = np.zeros((len(x), max(len(chosen), 1)), bool)
     for i, v in enumerate(x):
         at = place[v]
-        votes[i, at[at >= 0]] = 1
+        votes[i, at[at >= 0]] = True
     posterior = label_model(votes, toxic.mean())
     return Model(*train_linear(x, posterior))
 
