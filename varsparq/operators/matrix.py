@@ -11,10 +11,10 @@ def normalize_rows(m: DataFrame) -> DataFrame:
     return m.withColumn("v", F.try_divide(F.col("v"), F.sum("v").over(Window.partitionBy("i"))))
 
 
-def bin_matrix(m: DataFrame, size: int, n: int, how: str = "avg") -> DataFrame:
-    """Both axes of the leading square of n cells binned, remainder dropped (X-05)."""
-    whole = n // size * size
-    inside = m.where((F.col("i") < whole) & (F.col("j") < whole))
+def bin_matrix(m: DataFrame, size: int, n: int | None, how: str = "avg") -> DataFrame:
+    """Both axes of the leading square of n cells binned, remainder dropped (X-05); without n all cells, in a smaller bin at the end of an axis."""
+    whole = n and n // size * size
+    inside = m if n is None else m.where((F.col("i") < whole) & (F.col("j") < whole))
     return inside.groupBy(F.floor(F.col("i") / size).alias("i"), F.floor(F.col("j") / size).alias("j")).agg(getattr(F, how)("v").alias("v"))
 
 

@@ -149,6 +149,10 @@ query("j06_interval_join", "x AS (SELECT p_partkey AS a, p_size AS s, p_size + 3
 query("j07_interval_semi_join", "x AS (SELECT p_partkey AS a, p_brand AS g, p_size AS s, p_size + 3 AS e FROM part) SELECT a, g FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.a % 7 = 0 AND y.g = x.g AND x.s < y.e AND y.s < x.e)")(
     lambda t: intervals.interval_join(t.part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("g"), F.col("p_size").alias("l_start"), (F.col("p_size") + 3).alias("l_end")), t.part.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("g"), F.col("p_size").alias("r_start"), (F.col("p_size") + 3).alias("r_end")), ["g"], 8, how="left_semi").select("a", "g")
 )
+#: The query above takes one part in seven as regions, as its SQL does; here every supplier is a region, on the chromosome of its nation.
+query("j07_interval_semi_join_whole", "x AS (SELECT p_partkey AS a, p_partkey % 25 AS g, p_size AS s, p_size + 3 AS e FROM part), y AS (SELECT s_nationkey AS g, s_suppkey % 60 AS s, s_suppkey % 60 + 2 AS e FROM supplier) SELECT a, g FROM x WHERE EXISTS (SELECT 1 FROM y WHERE y.g = x.g AND x.s < y.e AND y.s < x.e)")(
+    lambda t: intervals.interval_join(t.part.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") % 25).alias("g"), F.col("p_size").alias("l_start"), (F.col("p_size") + 3).alias("l_end")), t.supplier.select(F.col("s_nationkey").cast("long").alias("g"), (F.col("s_suppkey") % 60).alias("r_start"), (F.col("s_suppkey") % 60 + 2).alias("r_end")), ["g"], 8, how="left_semi").select("a", "g")
+)
 query("j09_distance_join", "x AS (SELECT p_partkey AS a, p_brand AS g, p_size AS p FROM part) SELECT x.a, y.a AS b FROM x JOIN x y ON x.g = y.g AND abs(x.p - y.p) <= 2 AND x.a < y.a")(
     lambda t: intervals.distance_join(t.part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("g"), F.col("p_size").alias("l_pos")), t.part.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("g"), F.col("p_size").alias("r_pos")), ["g"], 4).where("a < b").select("a", "b")
 )
@@ -214,6 +218,22 @@ query("x08_fill_missing", _CELLS + ", g AS (SELECT i, j FROM (SELECT DISTINCT i
 query("x10_distances", _CELLS + "SELECT p.i, q.i AS k, round(sqrt(sum((p.v - q.v) ** 2)), 6) AS distance FROM x p JOIN x q ON p.j = q.j AND p.i < q.i GROUP BY ALL")(lambda t: matrix.distances(_cells(t)).withColumn("distance", r6("distance")))
 query("x11_correlations", _CELLS + "SELECT p.j, q.j AS k, count(*) AS n, round(corr(p.v, q.v), 6) AS r FROM x p JOIN x q ON p.i = q.i AND p.j < q.j GROUP BY ALL")(lambda t: matrix.correlations(_cells(t)).withColumn("r", r6("r")))
 
+
+def _all_cells(t: Tables) -> DataFrame:
+    return t.scores.groupBy(F.col("site").alias("i"), F.col("sample").alias("j")).agg(F.avg("value").alias("v"))
+
+
+#: The queries above read 60 sites with samples folded into 20 columns, as their SQL does; these read every site and every sample.
+_ALL_CELLS = "x AS (SELECT site AS i, sample AS j, avg(value) AS v FROM scores GROUP BY ALL) "
+query("x01_normalize_rows_whole", _ALL_CELLS + "SELECT i, j, round(v / nullif(sum(v) OVER (PARTITION BY i), 0), 6) AS v FROM x")(lambda t: matrix.normalize_rows(_all_cells(t)).withColumn("v", r6("v")))
+query("x05_bin_matrix_whole", _ALL_CELLS + "SELECT i // 6 AS i, j // 6 AS j, round(avg(v), 6) AS v FROM x GROUP BY 1, 2")(lambda t: matrix.bin_matrix(_all_cells(t), 6, None).withColumn("v", r6("v")))
+query("x07_minmax_whole", _ALL_CELLS + "SELECT i, j, round((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 6) AS v FROM x WINDOW w AS (PARTITION BY j)")(lambda t: matrix.minmax(_all_cells(t), "j").withColumn("v", r6("v")))
+query("x08_fill_missing_whole", _ALL_CELLS + ", g AS (SELECT i, j FROM (SELECT DISTINCT i FROM x), (SELECT DISTINCT j FROM x)) SELECT i, j, round(coalesce(v, avg(v) OVER (PARTITION BY j)), 6) AS v FROM g LEFT JOIN x USING (i, j)")(
+    lambda t: matrix.fill_rows(_all_cells(t), _all_cells(t).select("i").distinct(), _all_cells(t).select("j").distinct()).select("i", "j", r6("v").alias("v"))
+)
+query("x10_distances_whole")(lambda t: matrix.distances(_all_cells(t)).withColumn("distance", r6("distance")))  # its pairs are too many for the SQL; see tests
+query("x11_correlations_whole", _ALL_CELLS + "SELECT p.j, q.j AS k, count(*) AS n, round(corr(p.v, q.v), 6) AS r FROM x p JOIN x q ON p.i = q.i AND p.j < q.j GROUP BY ALL")(lambda t: matrix.correlations(_all_cells(t)).withColumn("r", r6("r")))
+
 _FIT = """x AS (SELECT site % 50 AS k, slot, (ploid = 1)::INT AS w, value AS y FROM scores), s AS (SELECT k, slot, count(*) AS n, sum(w * w) - sum(w) * sum(w) / count(*) AS sxx, sum(w * y) - sum(w) * sum(y) / count(*) AS sxy, sum(y * y) - sum(y) * sum(y) / count(*) AS syy FROM x GROUP BY ALL),
 b AS (SELECT *, sxy / (sxx + 1) AS ba, sxy / (sxx + 1 / (1 + (k / 10) * (k / 10))) AS bi FROM s WHERE n >= 10 AND sxx / n >= 1e-20)
 SELECT k, slot, n, round(ba, 6) AS beta_add, round(bi, 6) AS beta_int FROM b"""
