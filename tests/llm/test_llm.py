@@ -159,3 +159,15 @@ def test_rates_meet_targets(spark):
     for domain, want in (("_low", 40), ("_ordinary", 320), ("_toxic", 40)):
         assert abs(sum(r._tokens * r.r * r[domain] / 100 for r in rows) - want) < 0.5
     assert min(r.r for r in rows) >= 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_finds_added_tokens(name):
+    from tokenizers import Tokenizer
+
+    from varsparq.llm.tokens import Encoder
+
+    path = public_tokenizers.path(name)
+    draw, e, plain = random.Random(4), Encoder(path), Tokenizer.from_file(str(path))
+    for text in ["a <|endoftext|> b", "<|startoftext|>x", *("".join(draw.choice(["a", "b ", " ", "\n", "é", ".", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]) for _ in range(draw.randint(0, 9))) for _ in range(1000))]:
+        assert e.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)

@@ -40,7 +40,8 @@ class Encoder:
     A blank between two other characters always starts a new piece of the pre-tokenizers used here, so the ids of a text
     are those of its parts. The library gives the ids of each part. A part of letters, with at most a full stop or comma
     behind, is one piece or two by the rules of either pre-tokenizer and goes to the model at once; others go through the
-    pre-tokenizer. Parts behind a blank are kept without it. Texts with a blank beside other white space are encoded whole.
+    pre-tokenizer. Parts behind a blank are kept without it. Texts with a blank beside other white space, or with an added
+    token of the vocabulary in them, are encoded whole.
     """
 
     path: str
@@ -51,7 +52,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(self.path)
-        t.encode_special_tokens = True
+        added = t.get_added_tokens_decoder().values()
+        self.added = [x.content for x in added]
+        self.normalized = any(x.normalized for x in added)  # these are sought in normalized texts
         self.model, self.pre_tokenizer, self.normalizer = t.model, t.pre_tokenizer, t.normalizer
         self.blank = " " if "ByteLevel" in str(t.pre_tokenizer)[:10] else ""
         self.letters = _Letters(t.pre_tokenizer)
@@ -81,6 +84,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.normalized or any(x in text for x in self.added):
+            return self.whole(text)
         first, *rest = text.split(" ")
         if rest and (not first or first[-1].isspace()):
             return self.whole(text)
