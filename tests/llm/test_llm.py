@@ -171,3 +171,9 @@ def test_encoder_finds_added_tokens(name):
     draw, e, plain = random.Random(4), Encoder(path), Tokenizer.from_file(str(path))
     for text in ["a <|endoftext|> b", "<|startoftext|>x", *("".join(draw.choice(["a", "b ", " ", "\n", "é", ".", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"]) for _ in range(draw.randint(0, 9))) for _ in range(1000))]:
         assert e.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_distrust_reaches_far_hosts(spark):
+    rows = [(0, "http://bad.net/a", "")] + [(k, f"http://h{k}.info/", f'<a href="//{"bad.net" if k == 1 else f"h{k - 1}.info"}/x">x</a>') for k in range(1, 19)]
+    got = {r.page_id: r.verdict for r in urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got) == set(range(19)) and set(got.values()) == {"block"}

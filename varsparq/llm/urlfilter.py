@@ -2,7 +2,8 @@
 
 Personalised PageRank starts from hosts in proportion to the share of their pages that a rule allows, and follows links;
 distrust starts from hosts with blocked pages and follows links backwards, to those that link to them. A host without a
-rule for a page is blocked when the distrust that reaches it over links is above its trust and above a threshold.
+rule for a page is blocked when the distrust that reaches it over links is above its trust and above a threshold. Both are
+carried on until they no longer change; the SQL of the query stops after ROUNDS rounds, so it can differ for hosts farther off.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and is allowed. A null html has no
 links. Repeated rows are judged alike; each counts as a page of its host. An empty table gives an empty result. Links of
@@ -19,6 +20,8 @@ from varsparq.llm.shared import materialise
 #: The rules of the query.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 DAMPING, ROUNDS, LEAST_DISTRUST = 0.85, 15, 1e-6
+#: Rounds end when no host's rank can change any more by this part of LEAST_DISTRUST; more rounds than the bound are an error.
+CLOSE, MOST_ROUNDS = 0.01, 400
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -47,16 +50,29 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return out
 
 
-def _ranks(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """host, got: what reaches each host over weighted links (src, dst, share) from seeds (host, seed) in the last round."""
+def _ranks(links: DataFrame, seeds: DataFrame, rounds: int, close: float) -> DataFrame:
+    """host, got: what reaches each host over weighted links (src, dst, share) from seeds (host, seed).
+
+    At least ``rounds`` rounds, and then until no host can change by ``close`` in all that would follow: the change of any
+    host over all later rounds is at most the sum of the changes of the last one by DAMPING / (1 - DAMPING).
+    """
     rank = seeds.select("host", F.col("seed").alias("rank"))
     got = None
-    for _ in range(rounds):
-        got = rank.join(links, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("rank") * F.col("share"))).alias("got"))
-        got = materialise(got, "ranks")
+    for k in range(max(rounds, MOST_ROUNDS)):
+        new = rank.join(links, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("rank") * F.col("share"))).alias("got"))
+        new = materialise(new, "ranks")
+        if k + 1 >= rounds:
+            if got is None:
+                got = new.where("false")
+            last = got.select("host", F.col("got").alias("last"))
+            gap = F.abs(F.coalesce("got", F.lit(0.0)) - F.coalesce("last", F.lit(0.0)))
+            change = new.join(last, "host", "full").agg(F.sum(gap)).first()[0] or 0.0
+            if change * DAMPING / (1 - DAMPING) < close:
+                return new
+        got = new
         own = seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("rank"))
         rank = own.unionByName(got.select("host", F.col("got").alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-    return got
+    raise ValueError(f"ranks of hosts still change after {max(rounds, MOST_ROUNDS)} rounds")
 
 
 def blocked_hosts(pages: DataFrame, rounds: int = ROUNDS, least: float = LEAST_DISTRUST) -> DataFrame:
@@ -64,21 +80,21 @@ def blocked_hosts(pages: DataFrame, rounds: int = ROUNDS, least: float = LEAST_D
     hosts = pages.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked"))
     hosts = materialise(hosts, "hosts")
     to = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))))
-    found = pages.where("html like '%://%'").select(F.col("host").alias("src"), to.alias("url"))
+    found = pages.where("html like '%//%'").select(F.col("host").alias("src"), to.alias("url"))
     edges = found.select("src", url_host(F.regexp_replace("url", "^//", "http://")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     edges = materialise(edges.groupBy("src", "dst").agg(F.count("*").alias("n")), "edges")
 
     def shares(a: str, b: str) -> DataFrame:
         sums = edges.groupBy(a).agg(F.sum("n").alias("all"))
-        return edges.join(sums, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("all")).alias("share"))
+        return materialise(edges.join(sums, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("all")).alias("share")), "shares")
 
     def seeds(part: str) -> DataFrame:
         return hosts.where(f"{part} > 0 and host <> ''").select("host", (F.col(part) / F.col("n")).alias("seed"))
 
     if edges.isEmpty():  # nothing to follow
         return hosts.where("false").select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
-    trust = _ranks(shares("src", "dst"), seeds("allowed"), rounds).select("host", F.col("got").alias("trust"))
-    distrust = _ranks(shares("dst", "src"), seeds("blocked"), rounds).select("host", F.col("got").alias("distrust"))
+    trust = _ranks(shares("src", "dst"), seeds("allowed"), rounds, CLOSE * least).select("host", F.col("got").alias("trust"))
+    distrust = _ranks(shares("dst", "src"), seeds("blocked"), rounds, CLOSE * least).select("host", F.col("got").alias("distrust"))
     both = distrust.join(trust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), "distrust")
     return both.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > least))
 
