@@ -197,3 +197,18 @@ def test_markov_counts_all_words():
     words = secretscan._words(text, secretscan.base_spans(text))
     assert len(words) == 26 * 26 + 1 and not any("AKIA" in w for w in words)
     assert secretscan._transitions(["abc", "ab"]).sum() == 3
+
+
+@pytest.mark.parametrize("inner", ["{}", "<div>{}</div>"])
+def test_main_text_keeps_sections(inner):
+    section = lambda text: "<section>" + inner.format(text) + "</section>"
+    long = "<p>" + "word, " * 60 + "end.</p>"
+    page = "<html><body><nav>menu</nav><div><a href=/a>Home</a> <a href=/b>News</a><h1>Top</h1>" + section(long * 3) + "<h2>Second</h2>" + section("<p>" + "a, b, c, " + "text " * 60 + "last.</p>") + "bare <a href=/c>linked</a> text of some length<ul><li>one item</li></ul><p>Short.</p><ul><li><a href=/d>More of this</a></li></ul></div></body></html>"
+    text = maintext.main_text(page)
+    assert text.startswith("Top word,") and text.endswith("last. bare linked text of some length one item Short.") and " Second a, b, c, " in text
+    assert "Home" not in text and "More of this" not in text and "menu" not in text
+
+
+def test_main_text_keeps_parts_of_an_article():
+    page = "<body><div>" + "".join(f"<article><p>Part {k}, " + "words " * 40 + "</p></article>" for k in range(4)) + "</div></body>"
+    assert [w for w in maintext.main_text(page).split() if w[0].isdigit()] == ["0,", "1,", "2,", "3,"]

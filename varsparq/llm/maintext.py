@@ -1,8 +1,9 @@
 """Main text of HTML pages by tree scoring.
 
 Paragraphs pass points, for their length and commas, to their ancestors, fewer the farther; a container's points are
-discounted by the share of its text that is links. The best container is kept with those of its siblings that score
-like it; an article or main element around it is taken whole. Elements that are never content (menus, forms, scripts,
+discounted by the share of its text that is links. The best container is kept with all beside it but boilerplate and
+blocks of links, on its own level and on those above it up to the last that holds further paragraphs; an article or main
+element around it is taken whole. Elements that are never content (menus, forms, scripts,
 and those named as such by class, id or role) are dropped beforehand.
 
 Defined cases: a null or empty page has an empty text. Unclosed and stray tags, comments and scripts are read as browsers
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -143,6 +145,40 @@ def _text(node: Node) -> str:
     return "".join(out)
 
 
+def _runs(parent: Node, node: Node) -> list[list[Node | str]]:
+    """The children of ``parent`` without boilerplate: blocks and ``node`` alone, what stands between them together."""
+    out: list[list[Node | str]] = [[]]
+    for c in parent.children:
+        if isinstance(c, Node) and (c is node or c.tag in BLOCKS):
+            out += [[] if c.drop else [c], []]
+        elif isinstance(c, str) or not c.drop:
+            out[-1].append(c)
+    return [r for r in out if r]
+
+
+def _beside(best: Node, keep: Callable[[int, int, float], bool]) -> str:
+    """The text of ``best`` and of what ``keep`` takes (by size, size of links and worth) beside it and beside what holds it."""
+    node, found, text = best, _text(best), None
+    while node.parent is not None and node.tag != "body":
+        sides, more = [[], []], text is None
+        side = sides[0]
+        for run in _runs(node.parent, node):
+            if run[0] is node:
+                side = sides[1]
+                continue
+            size = sum(len(c.strip()) if isinstance(c, str) else c.size for c in run)
+            links = sum(c.links for c in run if isinstance(c, Node))
+            score = sum(c.score for c in run if isinstance(c, Node))
+            if size and keep(size, links, score * (1 - links / size)):
+                side.append("".join(map(_text, run)))
+                more = more or score > 0 or any(c.tag in PARAGRAPHS for c in run if isinstance(c, Node))
+        found = " ".join([*sides[0], found, *sides[1]])
+        if more:
+            text = found
+        node = node.parent
+    return found if text is None else text
+
+
 def main_text(page: str | None) -> str:
     """The main text of one whole page."""
     if not page:
@@ -174,17 +210,9 @@ def main_text(page: str | None) -> str:
         whole = whole.parent
     if whole is not None:
         articles = [n for n in whole.parent.children if isinstance(n, Node) and n.tag == "article"] if whole.parent is not None and whole.tag == "article" else [whole]
-        kept = [n for n in articles if n is whole or worth(n) >= max(10, 0.2 * worth(best))]
-    elif best.parent is None or best.tag == "body":
-        kept = [best]
-    else:
-        kept = []
-        for n in best.parent.children:
-            if isinstance(n, Node) and not n.drop:
-                prose = n.tag in PARAGRAPHS and n.size > 80 and n.links < 0.25 * n.size
-                if n is best or prose or worth(n) >= max(10, 0.2 * worth(best)):
-                    kept.append(n)
-    return " ".join(" ".join(map(_text, kept)).split())
+        kept = [n for n in articles if n is whole or worth(n) >= 0.2 * worth(whole)]
+        return " ".join(" ".join(map(_text, kept)).split())
+    return " ".join(_beside(best, lambda size, links, value: links < 0.25 * size or value >= 0.2 * worth(best)).split())
 
 
 def extract(pages: DataFrame) -> DataFrame:
