@@ -212,3 +212,10 @@ def test_main_text_keeps_sections(inner):
 def test_main_text_keeps_parts_of_an_article():
     page = "<body><div>" + "".join(f"<article><p>Part {k}, " + "words " * 40 + "</p></article>" for k in range(4)) + "</div></body>"
     assert [w for w in maintext.main_text(page).split() if w[0].isdigit()] == ["0,", "1,", "2,", "3,"]
+
+
+def test_small_posteriors_count(spark):
+    docs = spark.createDataFrame([(k, f"plain words of document {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    row = mixing.classify(docs, labels).first()
+    assert 0 < row._toxic < 0.005 and abs(row._toxic + row._ordinary + row._low - 1) < 1e-12

@@ -2,7 +2,7 @@
 
 A naive Bayes classifier, trained on the labelled table, gives each document posteriors over domains: low (quality 0),
 toxic and ordinary. Projected-gradient least squares then fits a nonnegative rate for each document so that the expected
-tokens of each domain, sum of rate * tokens * posterior, match the targets. Posteriors are rounded to hundredths;
+tokens of each domain, sum of rate * tokens * posterior, match the targets. Posteriors aren't rounded;
 documents with equal posteriors keep equal rates, so the gradient steps run over one row for each distinct posterior.
 A step takes from a rate the posterior-weighted errors of the domains, scaled by the curvature of the rates above 0, and
 clips at 0; starting rates are 1. A step after which the errors are not smaller is taken back for a short plain one.
@@ -75,7 +75,7 @@ def _features(words: dict[str, list[str]]) -> dict[str, tuple[Column, int]]:
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon: int = 256) -> DataFrame:
-    """``docs`` with _tokens (words of the text) and _low, _ordinary, _toxic: posteriors in hundredths.
+    """``docs`` with _tokens (words of the text) and _low, _ordinary, _toxic: posteriors, equal for equal bins of the features.
 
     Lexicons come from at most ``fit_rows`` labelled documents (of the smallest hashes of ids), the tables of the naive Bayes classifier too.
     """
@@ -109,7 +109,7 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon
     top = F.greatest(*(F.col(f"_l_{d}") for d in known), *([F.lit(-1e300)] if len(known) == 1 else []))
     weights = {d: F.exp(F.col(f"_l_{d}") - top) for d in known}
     share = sum(weights.values(), F.lit(0.0))
-    return scored.select("_row.*", "_tokens", *((F.round(100 * weights[d] / share) if d in known else F.lit(0)).cast("int").alias(f"_{d}") for d in DOMAINS))
+    return scored.select("_row.*", "_tokens", *((weights[d] / share if d in known else F.lit(0.0)).alias(f"_{d}") for d in DOMAINS))
 
 
 def _posterior(domain: str) -> Column:
@@ -142,7 +142,7 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float
     weights: target share of each domain. total_tokens: the sum of targets; unset, so many that the ordinary domain stays as large as it is.
     """
     groups = scored.groupBy(*(f"_{d}" for d in DOMAINS)).agg(F.sum("_tokens").cast("double").alias("_mass"))
-    groups = materialise(groups.coalesce(4), "mix-groups")  # some 5,200 rows at most: shares in hundredths
+    groups = materialise(groups.coalesce(4), "mix-groups")  # a row for each combination of bins, some 400 at most
     pairs = [(a, b) for a in DOMAINS for b in DOMAINS if a <= b]
     first = groups.agg(*(F.sum(F.col("_mass") * _posterior(d)).alias(d) for d in DOMAINS), *(F.sum(F.col("_mass") * _posterior(a) * _posterior(b)).alias(f"{a}-{b}") for a, b in pairs)).first()
     domains = [d for d in DOMAINS if first[d] and weights.get(d, 0) > 0]
