@@ -154,8 +154,9 @@ def test_main_text():
 
 def test_rates_meet_targets(spark):
     scored = spark.createDataFrame([(100, 100, 0, 0), (300, 0, 100, 0), (50, 10, 60, 30), (80, 0, 0, 100)], "_tokens long, _low int, _ordinary int, _toxic int")
-    rate = mixing.fit_rates(scored, {"low": 0.1, "ordinary": 0.8, "toxic": 0.1}, 400.0)
-    rows = scored.withColumn("r", rate).collect()
+    fit = mixing.fit_rates(scored, {"low": 0.1, "ordinary": 0.8, "toxic": 0.1}, 400.0)
+    rows = scored.join(fit.rates.withColumnRenamed("rate", "r"), ["_low", "_ordinary", "_toxic"]).collect()
+    assert len(rows) == 4
     for domain, want in (("_low", 40), ("_ordinary", 320), ("_toxic", 40)):
         assert abs(sum(r._tokens * r.r * r[domain] / 100 for r in rows) - want) < 0.5
     assert min(r.r for r in rows) >= 0
@@ -219,3 +220,40 @@ def test_small_posteriors_count(spark):
     labels = spark.createDataFrame([(k, 1, int(k == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
     row = mixing.classify(docs, labels).first()
     assert 0 < row._toxic < 0.005 and abs(row._toxic + row._ordinary + row._low - 1) < 1e-12
+
+
+def test_unreachable_targets_are_reported(spark):
+    scored = spark.createDataFrame([(100, 0.5, 0.5, 0.0), (100, 0.4, 0.6, 0.0)], "_tokens long, _low double, _ordinary double, _toxic double")
+    with pytest.warns(UserWarning, match="low"):
+        fit = mixing.fit_rates(scored, {"low": 0.01, "ordinary": 0.99})
+    assert fit.errors["low"] > 1 and min(r.rate for r in fit.rates.collect()) >= 0
+    # least error: only the second group is left, at the rate where the scaled errors balance
+    mass, target = {"low": 40.0, "ordinary": 60.0}, {"low": 110 * 0.01 / 0.99, "ordinary": 110.0}
+    own = {"low": 100 * 0.25 + 100 * 0.16, "ordinary": 100 * 0.25 + 100 * 0.36}
+    want = sum(mass[d] * target[d] / own[d] for d in mass) / sum(mass[d] ** 2 / own[d] for d in mass)
+    got = {r._low: r.rate for r in fit.rates.collect()}
+    assert got[0.5] == pytest.approx(0, abs=1e-3) and got[0.4] == pytest.approx(want, rel=1e-2)
+
+
+def test_mixed_is_copies_of_rows(spark):
+    draw = random.Random(8)
+    words = [f"word{k}" for k in range(300)]
+    text = lambda k: " ".join(draw.choices(words, k=40)) + (" nastyword" if k % 10 == 3 else "") + (" #$%" * 30 if k % 10 == 4 else "")
+    rows = [(k if k % 7 else None, text(k), k, k, k, k, k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _tokens int, _low int, rate int, _row int, copies int")
+    labels = spark.createDataFrame([(k, int(k % 10 != 4), int(k % 10 == 3)) for k in range(300)], "doc_id long, quality int, toxic int")
+    weights = {"low": 0.03, "ordinary": 0.9, "toxic": 0.07}
+    rates = mixing.mixing_rates(docs, labels, weights).collect()
+    want = {}
+    for r in rates:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    got = {}
+    mixed = mixing.mixed(docs, labels, weights)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        assert (r.text, r._tokens, r._row) == (rows[r.rate][1], r.rate, r.rate)
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    total = sum(r.n_tokens * r.rate for r in rates)
+    for d, w in weights.items():
+        assert sum(r.n_tokens * r.rate * r[f"p_{d}"] for r in rates) / total == pytest.approx(w, rel=2e-3)

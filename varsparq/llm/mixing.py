@@ -2,19 +2,24 @@
 
 A naive Bayes classifier, trained on the labelled table, gives each document posteriors over domains: low (quality 0),
 toxic and ordinary. Projected-gradient least squares then fits a nonnegative rate for each document so that the expected
-tokens of each domain, sum of rate * tokens * posterior, match the targets. Posteriors aren't rounded;
-documents with equal posteriors keep equal rates, so the gradient steps run over one row for each distinct posterior.
-A step takes from a rate the posterior-weighted errors of the domains, scaled by the curvature of the rates above 0, and
-clips at 0; starting rates are 1. A step after which the errors are not smaller is taken back for a short plain one.
+tokens of each domain, sum of rate * tokens * posterior, match the targets. Documents with equal posteriors keep equal
+rates, so the steps run over one row for each distinct posterior: the product of the numbers of bins at most (400).
+A step takes from a rate the posterior-weighted errors of the domains, each error in proportion to the curvature of its
+domain, and clips at 0; starting rates are 1. The length of a step is the spectral one (of the last change of rates and
+gradients), or a safe one where that would not bring the errors down. Rates are a column of the small table, written once
+a step. Where targets are out of reach, the rates are those of least error, and a warning tells what is left.
 
 Defined cases: null and empty texts have no tokens, posteriors by their (empty) features, and a rate like any other;
-rows with a null id have no label. Repeated rows get equal rates. Extra columns are kept. Domains without a labelled row
-or without tokens get no target; the other weights are scaled up. Without any label all documents are ordinary.
+rows with a null id have no label. Very long texts are read whole. Repeated rows get equal rates. Extra columns are kept,
+whatever their names. Domains without a labelled row or without tokens get no target; the other weights are scaled up.
+Without any label all documents are ordinary. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,7 +80,7 @@ def _features(words: dict[str, list[str]]) -> dict[str, tuple[Column, int]]:
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon: int = 256) -> DataFrame:
-    """``docs`` with _tokens (words of the text) and _low, _ordinary, _toxic: posteriors, equal for equal bins of the features.
+    """_row (a row of ``docs``), _tokens (words of its text) and _low, _ordinary, _toxic: posteriors, equal for equal bins of the features.
 
     Lexicons come from at most ``fit_rows`` labelled documents (of the smallest hashes of ids), the tables of the naive Bayes classifier too.
     """
@@ -104,76 +109,79 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon
             out = out + F.element_at(F.array(*map(F.lit, table)), F.col(f) + 1)
         return out
 
-    renamed = docs.select(F.struct("*").alias("_row"), "text")
+    renamed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
     scored = with_features(renamed).select("_row", F.col("n_tokens").alias("_tokens"), *(log_odds(d).alias(f"_l_{d}") for d in known))
     top = F.greatest(*(F.col(f"_l_{d}") for d in known), *([F.lit(-1e300)] if len(known) == 1 else []))
     weights = {d: F.exp(F.col(f"_l_{d}") - top) for d in known}
     share = sum(weights.values(), F.lit(0.0))
-    return scored.select("_row.*", "_tokens", *((weights[d] / share if d in known else F.lit(0.0)).alias(f"_{d}") for d in DOMAINS))
+    return scored.select("_row", "_tokens", *((weights[d] / share if d in known else F.lit(0.0)).alias(f"_{d}") for d in DOMAINS))
 
 
 def _posterior(domain: str) -> Column:
     return F.col(f"_{domain}") / sum((F.col(f"_{d}") for d in DOMAINS), F.lit(0))
 
 
-def _rate(steps: list[list[float]], domains: list[str]) -> Column:
-    """The rate after these gradient steps (a number for each domain and step), clipped at 0 after each."""
-    if not steps:
-        return F.lit(1.0)
-    told = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    return F.aggregate(told, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((_posterior(d) * g[k] for k, d in enumerate(domains)), F.lit(0.0))))
+@dataclass
+class Fit:
+    """rates: DOMAINS (posteriors) and rate of each group. errors: what is left of each target, in proportion to it."""
 
+    rates: DataFrame
+    errors: dict[str, float]
+    steps: int
 
-def _solve(matrix: list[list[float]], values: list[float]) -> list[float]:
-    """Solution of a small symmetric system, a trace of it added to the diagonal so that there is one."""
-    n, ridge = len(values), 1e-9 * sum(row[i] for i, row in enumerate(matrix)) + 1e-12
-    rows = [[*(x + ridge * (i == k) for k, x in enumerate(row)), values[i]] for i, row in enumerate(matrix)]
-    for i in range(n):
-        for k in range(n):
-            if k != i:
-                part = rows[k][i] / rows[i][i]
-                rows[k] = [x - part * y for x, y in zip(rows[k], rows[i], strict=True)]
-    return [row[-1] / row[i] for i, row in enumerate(rows)]
 
-
-def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float | None = None, iterations: int = 80, tolerance: float = 1e-4) -> Column:
-    """The rate of a row of ``scored`` (a result of classify), as a column.
+def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float | None = None, iterations: int = 200, tolerance: float = 1e-4) -> Fit:
+    """Rates by posteriors (_low, _ordinary, _toxic) of ``scored``, a result of classify.
 
     weights: target share of each domain. total_tokens: the sum of targets; unset, so many that the ordinary domain stays as large as it is.
     """
-    groups = scored.groupBy(*(f"_{d}" for d in DOMAINS)).agg(F.sum("_tokens").cast("double").alias("_mass"))
-    groups = materialise(groups.coalesce(4), "mix-groups")  # a row for each combination of bins, some 400 at most
-    pairs = [(a, b) for a in DOMAINS for b in DOMAINS if a <= b]
-    first = groups.agg(*(F.sum(F.col("_mass") * _posterior(d)).alias(d) for d in DOMAINS), *(F.sum(F.col("_mass") * _posterior(a) * _posterior(b)).alias(f"{a}-{b}") for a, b in pairs)).first()
+    keys = [f"_{d}" for d in DOMAINS]
+    groups = scored.groupBy(*keys).agg(F.coalesce(F.sum("_tokens"), F.lit(0)).cast("double").alias("_mass"))
+    groups = groups.withColumns({"_p": F.struct(*(_posterior(d).alias(d) for d in DOMAINS)), "_moved": F.lit(0.0), "rate": F.lit(1.0)})
+    held = materialise(groups.coalesce(1), "mix-groups")  # a row for each combination of bins, some 400 at most
+    part = {d: F.col(f"_p.{d}") for d in DOMAINS}
+    mass = F.col("_mass")
+    first = held.agg(*(F.sum(mass * part[d]).alias(d) for d in DOMAINS), *(F.sum(mass * part[d] * part[d]).alias(f"{d}-own") for d in DOMAINS)).first()
     domains = [d for d in DOMAINS if first[d] and weights.get(d, 0) > 0]
     if not domains:
-        return F.lit(1.0)
+        return Fit(held.select(*keys, "rate"), {}, 0)
     share = {d: weights[d] / sum(weights[x] for x in domains) for d in domains}
     lead = "ordinary" if "ordinary" in domains else max(domains, key=lambda d: first[d])
     total = total_tokens or first[lead] / share[lead]
-    target = [total * share[d] for d in domains]
-    own = [max(first[f"{d}-{d}"], 1e-12) for d in domains]
-    curve = [[first["-".join(sorted((a, b)))] / math.sqrt(own[i] * own[k]) for k, b in enumerate(domains)] for i, a in enumerate(domains)]
-    steepest = max(sum(row) for row in curve)  # bounds the largest eigenvalue of the scaled problem
-    steps: list[list[float]] = []
-    least, plain = math.inf, None
-    for _ in range(iterations):
-        rate = _rate(steps, domains)
-        moving = F.col("_mass") * (F.col("_r") > 0).cast("double")
-        held = groups.withColumn("_r", rate)
-        sums = held.agg(*(F.sum(F.col("_mass") * F.col("_r") * _posterior(d)) for d in domains), *(F.sum(moving * _posterior(a) * _posterior(b)) for a in domains for b in domains)).first()
-        n = len(domains)
-        errors = [x - t for x, t in zip(sums[:n], target, strict=True)]
-        if all(abs(e) <= tolerance * t for e, t in zip(errors, target, strict=True)):
+    target = {d: total * share[d] for d in domains}
+    own = {d: max(first[f"{d}-own"], 1e-12) for d in domains}
+    safe = 1 / len(domains)  # the curvature of the scaled problem is at most the number of domains
+    best, old, length, stale = (math.inf, {}, held), None, safe, 0
+    for step in range(iterations + 1):
+        sums = held.agg(*(F.sum(mass * F.col("rate") * part[d]).alias(d) for d in domains), F.sum(mass * F.col("_moved") * F.col("_moved")).alias("moved")).first()
+        error = {d: sums[d] - target[d] for d in domains}
+        size = sum(error[d] ** 2 / own[d] for d in domains)
+        left = {d: error[d] / target[d] for d in domains}
+        stale = 0 if size < best[0] * (1 - 1e-6) else stale + 1
+        if size < best[0]:
+            best = size, left, held
+        if all(abs(e) <= tolerance for e in left.values()) or stale > 12 or step == iterations:
             break
-        size = sum((e / t) ** 2 for e, t in zip(errors, target, strict=True))
-        if plain and size >= least:
-            steps[-1], plain = plain, None
-            continue
-        least = min(least, size)
-        plain = [e / o / steepest for e, o in zip(errors, own, strict=True)]
-        steps.append(_solve([list(sums[n * (i + 1) : n * (i + 2)]) for i in range(n)], errors))
-    return _rate(steps, domains)
+        if old:
+            change = sum((error[d] - old[d]) ** 2 / own[d] for d in domains)
+            length = sums["moved"] / change if change > 0 and stale < 6 else safe
+        old = error
+        gradient = sum((part[d] * (error[d] / own[d]) for d in domains), F.lit(0.0))
+        new = F.greatest(F.lit(0.0), F.col("rate") - length * gradient)
+        held = materialise(held.select(*keys, "_mass", "_p", (new - F.col("rate")).alias("_moved"), new.alias("rate")).coalesce(1), "mix-groups")
+    _, left, held = best
+    if any(abs(e) > tolerance for e in left.values()):
+        warnings.warn(f"rates miss their targets by these shares after {step} steps: " + ", ".join(f"{d} {e:+.2%}" for d, e in left.items()), stacklevel=2)
+    return Fit(held.select(*keys, "rate"), left, step)
+
+
+def _rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tokens: float | None, fit: dict) -> DataFrame:
+    """_row, _tokens, DOMAINS, rate and copies of each row of ``docs``: classified once, joined to the small table of rates."""
+    scored = materialise(classify(docs, labels, **fit), "mix-scored")
+    rates = fit_rates(scored, weights, total_tokens).rates.select(*(F.col(f"_{d}").alias(f"_r_{d}") for d in DOMAINS), F.round("rate", 6).alias("rate"))
+    same = [F.col(f"_{d}") == F.col(f"_r_{d}") for d in DOMAINS]
+    found = scored.join(F.broadcast(rates), same)  # one row for each combination of bins, 400 at most
+    return found.withColumn("copies", _copies(F.col("rate"), F.col("_row.doc_id")))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tokens: float | None = None, **fit: int) -> DataFrame:
@@ -181,20 +189,16 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
 
     copies: the rate rounded down or up by the hash of the id, so that its expectation is the rate.
     """
-    scored = materialise(classify(docs.select("doc_id", "text"), labels, **fit).drop("text"), "mix-scored")
-    rate = F.round(fit_rates(scored, weights, total_tokens), 6)
-    out = scored.select("doc_id", F.col("_tokens").alias("n_tokens"), *(F.round(_posterior(d), 6).alias(f"p_{d}") for d in DOMAINS), rate.alias("rate"))
-    return out.withColumn("copies", _copies(F.col("rate")))
+    read = docs.select("doc_id", "text")
+    found = _rated(read, labels, weights, total_tokens, fit)
+    return found.select("_row.doc_id", F.col("_tokens").alias("n_tokens"), *(F.round(_posterior(d), 6).alias(f"p_{d}") for d in DOMAINS), "rate", "copies")
 
 
-def _copies(rate: Column) -> Column:
-    return F.floor(rate + F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000).cast("int")
+def _copies(rate: Column, doc_id: Column) -> Column:
+    return F.floor(rate + F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) / 1_000_000).cast("int")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **fit: int) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with all their columns."""
-    columns = docs.columns
-    scored = classify(docs, labels, **fit)
-    small = materialise(scored.select("_tokens", *(f"_{d}" for d in DOMAINS)), "mix-scored")
-    rate = F.round(fit_rates(small, weights), 6)
-    return scored.withColumn("_n", _copies(rate)).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns)
+    found = _rated(docs, labels, weights, None, fit).where("copies > 0")
+    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
