@@ -257,3 +257,47 @@ def test_mixed_is_copies_of_rows(spark):
     total = sum(r.n_tokens * r.rate for r in rates)
     for d, w in weights.items():
         assert sum(r.n_tokens * r.rate * r[f"p_{d}"] for r in rates) / total == pytest.approx(w, rel=2e-3)
+
+
+def test_chained_crowd_is_one_component(spark):
+    draw = random.Random(9)
+    common, chain = [f"c{k}" for k in range(120)], [f"k{draw.randint(0, 10**9)}" for _ in range(3 * 2000 + 40)]
+    docs = [(k, " ".join([*common, *chain[3 * k : 3 * k + 40]])) for k in range(2000)]
+    sets = [set(shingle_set(t, 2).tolist()) for _, t in docs]
+    far = [len(sets[0] & sets[k]) / len(sets[0] | sets[k]) for k in (1, 6, 20, 1999)]
+    assert far[0] > 0.9 and max(far[1:]) < 0.8 and far[3] > 0.55
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+    assert {(r.component_id, r.kept) for r in got.where("doc_id > 0").collect()} == {(0, False)} and got.count() == 2000
+
+
+def test_one_of_each_keeps_the_first_text(spark):
+    rows = [(1, "b b", 1, 0), (1, "a c", 2, 0), (1, None, 3, 0), (2, "other words here", 4, 0), (None, "x", 5, 0), (None, "x", 6, 0), (3, "", 7, 0), (4, None, 8, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, _kept_id int")
+    assert sorted(r.row for r in neardup.one_of_each(docs).collect()) == [2, 4, 5, 6, 7, 8]
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    draw = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in draw.sample(range(150), 12):
+            words[at] = f"n{draw.randint(0, 10**6)}"
+        rows.append((draw.randint(0, 200), " ".join(words)))
+    rows += [(7, ""), (8, None), (9, "one"), (10, " ".join(base))]
+    sets = [(i, set(shingle_set(t, 2).tolist())) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: find(i) for i, _ in rows}
