@@ -77,6 +77,10 @@ def test_codec_round_trip():
     for k in range(200):
         x = r.integers(0, 2**63, r.integers(1, 600), dtype=np.uint64) >> np.uint64(k % 64)
         assert (tokenfiles.decode_block(tokenfiles.encode_block(x)) == x).all()
+        words, offsets = tokenfiles.encode_ids(x, 64)
+        assert (tokenfiles.decode_block(words) == x).all() and len(offsets) == -(-len(x) // 64) + 1
+        for b in range(len(offsets) - 1):
+            assert (tokenfiles.decode_block(words[offsets[b] : offsets[b + 1]]) == x[64 * b : 64 * b + 64]).all()
     docs = [np.arange(n, dtype="<u4").tobytes() for n in (0, 3, 5000)]
     sizes, ids = tokenfiles.decode_chunk(tokenfiles.encode_chunk(docs))
     assert sizes.tolist() == [0, 3, 5000] and ids.astype("<u4").tobytes() == b"".join(docs)
@@ -90,7 +94,7 @@ def test_encoder_is_the_library(name):
 
     draw, e = random.Random(3), Encoder(public_tokenizers.path(name))
     for _ in range(3000):
-        text = "".join(draw.choice(["a", "b ", "  ", " ", "\n", "\t", " \n", "\u00e9", "1", ".", ",", "'s", "\u65e5\u672c", "<|endoftext|>", "\x1c"]) for _ in range(draw.randint(0, 12)))
+        text = "".join(draw.choice(["a", "b ", "  ", " ", "\n", "\t", " \n", "\u00e9", "1", ".", ",", "'s", "\u65e5\u672c", "<|endoftext|>", "\x1c", "$$$", "_", "\u00b2", "-\n", "'"]) for _ in range(draw.randint(0, 12)))
         assert e.encode(text) == e.whole(text), repr(text)
 
 

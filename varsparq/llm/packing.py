@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varsparq.llm.shared import map_texts, materialise
-from varsparq.llm.tokens import encoder
+from varsparq.llm.tokens import collector_off, encoder
 
 #: Pieces of a shard, about. A shard ends with one sequence that is not full.
 SHARD = 20_000
@@ -32,7 +32,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFram
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode, end, out = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes(), []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encode(text) + end
+            with collector_off():
+                ids = encode(text) + end
             for k, at in enumerate(range(0, len(ids), 4 * size)):
                 part = ids[at : at + 4 * size]
                 out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -23,56 +23,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varsparq.llm.shared import materialise, table_path, text_batches
-from varsparq.llm.tokens import encoder
+from varsparq.llm.tokens import collector_off, encoder
 
 #: Fixed values of the format: (ids of a word, bits of an id) by selector.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30)]
-#: Widths that ids are rounded up to; the last stands for all that need an escape.
-WIDTHS = [*sorted({b for _, b in SELECTORS}), 64]
-#: Width of an id by its number of bits. (A double rounds only ids of over 53 bits, and those need an escape anyway.)
-ROUNDED = np.array([next(w for w in WIDTHS if w >= min(n, 64)) for n in range(66)], np.uint8)
 ESCAPE, MAGIC, BLOCK = 15, b"VSQ8", 4096
 #: Documents and ids of a chunk, at most (a longer document is a chunk of its own).
 CHUNK_DOCS, CHUNK_IDS = 2000, 2_000_000
 
 
-def encode_block(ids: np.ndarray) -> np.ndarray:
-    """64-bit words of one block of ids."""
-    ids = ids.astype(np.uint64)
+def _all_ahead(good: np.ndarray, count: int) -> np.ndarray:
+    """Whether ``count`` values from each place on are good; shorter by count - 1."""
+    done, width = good, 1
+    while width < count:
+        more = min(width, count - width)
+        done, width = done[: len(done) - more] & done[more:], width + more
+    return done
+
+
+def encode_ids(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words, offset of each block in words and their end); no word holds ids of two blocks."""
     n = len(ids)
-    bits = ROUNDED[np.frexp(ids.astype(np.float64))[1]]
+    left = block - np.arange(n, dtype=np.int32) % block  # ids to the end of the block
     choice = np.full(n, ESCAPE, np.uint8)
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[s]
         if count > n:
             continue
-        bad = np.concatenate([[0], np.cumsum(bits > width, dtype=np.int32)])
-        fits = bad[count:] == bad[: n - count + 1]
+        fits = _all_ahead(ids < (1 << width), count)
         if not fits.any():  # then no longer run of narrower ids fits either
             break
-        choice[: n - count + 1][fits] = s
-    step = np.array([c for c, _ in SELECTORS] + [1])[choice].tolist()
+        choice[: len(fits)][fits & (left[: len(fits)] >= count)] = s
+    step = np.array([c for c, _ in SELECTORS] + [1], np.uint8)[choice].tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
         at += step[at]
     starts = np.array(starts, np.int64)
     chosen = choice[starts]
-    place = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(chosen == ESCAPE)[:-1]])
-    words = np.zeros(len(starts) + int((chosen == ESCAPE).sum()), np.uint64)
+    escaped = chosen == ESCAPE
+    place = np.arange(len(starts)) + np.cumsum(escaped) - escaped
+    words = np.zeros(len(starts) + int(escaped.sum()), np.uint64)
     words[place] = chosen
     for s, (count, width) in enumerate(SELECTORS):
-        own = chosen == s
-        if width and own.any():
-            part = ids[starts[own][:, None] + np.arange(count)]
-            words[place[own]] |= np.bitwise_or.reduce(part << (np.uint64(4) + np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1)
-    own = chosen == ESCAPE
-    words[place[own] + 1] = ids[starts[own]]
-    return words
+        own = np.flatnonzero(chosen == s) if width else ()
+        if len(own):
+            at, word = starts[own], words[place[own]]
+            for k in range(count):
+                word |= ids[at + k].astype(np.uint64) << np.uint64(4 + k * width)
+            words[place[own]] = word
+    words[place[escaped] + 1] = ids[starts[escaped]]
+    firsts = place[np.searchsorted(starts, np.arange(0, n, block))]
+    return words, np.append(firsts, len(words))
+
+
+def encode_block(ids: np.ndarray) -> np.ndarray:
+    """64-bit words of one block of ids."""
+    return encode_ids(ids, max(len(ids), 1))[0]
 
 
 def decode_block(words: np.ndarray) -> np.ndarray:
-    """Ids of the words of one block."""
+    """Ids of the words of one block, or of several in a row."""
     selector = (words & np.uint64(15)).astype(np.int64)
     raw = np.zeros(len(words), bool)  # words that follow an escape
     at = 0
@@ -88,8 +99,9 @@ def decode_block(words: np.ndarray) -> np.ndarray:
     for s, (n, width) in enumerate(SELECTORS):
         own = head & (selector == s)
         if width and own.any():
-            shift = np.uint64(4) + np.arange(n, dtype=np.uint64) * np.uint64(width)
-            ids[start[own][:, None] + np.arange(n)] = (words[own][:, None] >> shift) & np.uint64((1 << width) - 1)
+            at, word, mask = start[own], words[own], np.uint64((1 << width) - 1)
+            for k in range(n):
+                ids[at + k] = (word >> np.uint64(4 + k * width)) & mask
     own = np.flatnonzero(head & (selector == ESCAPE))
     ids[start[own]] = words[own + 1]
     return ids
@@ -97,11 +109,9 @@ def decode_block(words: np.ndarray) -> np.ndarray:
 
 def encode_chunk(docs: list[bytes]) -> bytes:
     """A chunk: MAGIC, documents, blocks, ids of each document, offsets of blocks (words), words, crc32 of all before."""
-    ids = np.frombuffer(b"".join(docs), "<u4")
-    blocks = [encode_block(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
-    offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
+    words, offsets = encode_ids(np.frombuffer(b"".join(docs), "<u4"))
     sizes = np.array([len(d) // 4 for d in docs], "<u8")
-    body = b"".join([MAGIC, struct.pack("<IQ", len(docs), len(blocks)), sizes.tobytes(), offsets.tobytes(), *(b.astype("<u8").tobytes() for b in blocks)])
+    body = b"".join([MAGIC, struct.pack("<IQ", len(docs), len(offsets) - 1), sizes.tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -113,8 +123,7 @@ def decode_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.frombuffer(data, "<u8", n, 16)
     offsets = np.frombuffer(data, "<u8", blocks + 1, 16 + 8 * n).astype(np.int64)
     words = np.frombuffer(data, "<u8", int(offsets[-1]), 16 + 8 * (n + blocks + 1))
-    parts = [decode_block(words[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return sizes.astype(np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return sizes.astype(np.int64), decode_block(words)  # blocks follow each other without a gap
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, partitions: int | None = None) -> None:
@@ -136,7 +145,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         for batch in it:
             kind = batch.schema.field(0).type
             for doc, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = encode(text) + end
+                with collector_off():
+                    ids = encode(text) + end
                 if chunk and (len(chunk) >= CHUNK_DOCS or held + len(ids) // 4 > CHUNK_IDS):
                     yield out()
                     number, total, chunk, held, doc_ids = number + 1, total + held, [], 0, []
@@ -147,7 +157,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
             yield out()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(chunks, f"part int, chunk long, start long, doc_ids array<{kind}>, data binary").write.option("compression", "none").parquet(path)
 

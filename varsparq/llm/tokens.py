@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 
@@ -10,6 +14,11 @@ from dataclasses import dataclass, field
 CACHE = 800_000
 #: When a cache is full, entries of at most so many characters stay if they are less than half of it: short parts recur most.
 SHORT = 7
+#: Letters and signs behind them, once or on two lines. (Letters are tested again, as \w holds some numbers that are none.)
+_SIGNS = r"([!-&(-/:-@\[-`{-~]*)"
+_PLAIN = re.compile(rf"([^\W\d_]+){_SIGNS}(?:\n([^\W\d_]+){_SIGNS})?")
+#: A blank beside other white space.
+_ODD = re.compile(r" \s|\s ")
 
 
 class _Letters(dict):
@@ -26,11 +35,10 @@ class _Letters(dict):
 
 def _room(cache: dict[str, bytes]) -> None:
     """Make room in a full cache."""
-    if len(cache) >= CACHE:
-        short = {k: v for k, v in cache.items() if len(k) <= SHORT}
-        cache.clear()
-        if len(short) < CACHE // 2:
-            cache.update(short)
+    short = {k: v for k, v in cache.items() if len(k) <= SHORT}
+    cache.clear()
+    if len(short) < CACHE // 2:
+        cache.update(short)
 
 
 @dataclass
@@ -38,9 +46,9 @@ class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes.
 
     A blank between two other characters always starts a new piece of the pre-tokenizers used here, so the ids of a text
-    are those of its parts. The library gives the ids of each part. A part of letters, with at most a full stop or comma
-    behind, is one piece or two by the rules of either pre-tokenizer and goes to the model at once; others go through the
-    pre-tokenizer. Parts behind a blank are kept without it. Texts with a blank beside other white space, or with an added
+    are those of its parts. The library gives the ids of each part. Letters and signs behind them (but for apostrophes) are
+    a piece each by the rules of either pre-tokenizer, and a line break between such, and go to the model at once; other
+    parts go through the pre-tokenizer. Parts behind a blank are kept without it. Texts with a blank beside other white space, or with an added
     token of the vocabulary in them, are encoded whole.
     """
 
@@ -58,6 +66,8 @@ class Encoder:
         self.model, self.pre_tokenizer, self.normalizer = t.model, t.pre_tokenizer, t.normalizer
         self.blank = " " if "ByteLevel" in str(t.pre_tokenizer)[:10] else ""
         self.letters = _Letters(t.pre_tokenizer)
+        between = "".join(p for p, _ in t.pre_tokenizer.pre_tokenize_str("a\na"))[1:-1]  # how a line break is written, if at all
+        self.line = array("I", [x.id for x in self.model.tokenize(between)]).tobytes() if between.strip() else b""
         self.lead = "".join(p for p, _ in t.pre_tokenizer.pre_tokenize_str(" a"))[:-1]  # how a blank before a letter is written
 
     def whole(self, text: str) -> bytes:
@@ -66,19 +76,36 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            _room(self.pieces)
+            if len(self.pieces) >= CACHE:
+                _room(self.pieces)
             self.pieces[piece] = ids = array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
         return ids
 
+    def letters_of(self, word: str, blank: bool) -> bytes:
+        """Ids of a run of letters, behind a blank or not."""
+        raw = word if word.isascii() else word.translate(self.letters)
+        if blank:
+            raw = self.lead + raw
+        return self.pieces.get(raw) or self.piece(raw)
+
     def part(self, text: str, blank: bool) -> bytes:
         """Ids of a part without a blank in it, behind a blank or not."""
         if self.normalizer is not None:
             text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
-        word, end = (text[:-1], text[-1]) if text[-1:] in (".", ",") else (text, "")
-        if word.isalpha():
-            raw = word if word.isascii() else word.translate(self.letters)
-            ids = self.piece(self.lead + raw if blank else raw)
-            return ids + self.piece(end) if end else ids
+        if text.isalpha():
+            return self.letters_of(text, blank)
+        m = _PLAIN.fullmatch(text)
+        if m:
+            word, signs, below, last = m.groups()
+            if word.isalpha() and (below is None or below.isalpha()):
+                ids = self.letters_of(word, blank)
+                if signs:
+                    ids += self.pieces.get(signs) or self.piece(signs)
+                if below:
+                    ids += self.line + self.letters_of(below, False)
+                    if last:
+                        ids += self.pieces.get(last) or self.piece(last)
+                return ids
         return b"".join(self.piece(p) for p, _ in self.pre_tokenizer.pre_tokenize_str(self.blank + text if blank else text))
 
     def encode(self, text: str | None) -> bytes:
@@ -93,17 +120,30 @@ class Encoder:
         try:
             ids = b"".join(map(known.__getitem__, rest))
         except KeyError:
-            new = {x for x in rest if x not in known}
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in new):  # so that no such part is ever known
+            if text[-1] == " " or _ODD.search(text):  # so that no such part is ever known
                 return self.whole(text)
-            _room(known)
-            for x in set(rest):  # all, as making room may have taken known ones
-                if x not in known:
-                    known[x] = self.part(x, True)
+            new = set(rest).difference(known)
+            if len(known) + len(new) > CACHE:
+                _room(known)
+                new = set(rest).difference(known)
+            for x in new:
+                known[x] = self.part(x, True)
             ids = b"".join(map(known.__getitem__, rest))
         return self.part(first, False) + ids
 
 
+@contextmanager
+def collector_off() -> Iterator[None]:
+    """Without the search for cycles, of which encoding makes none; it would walk over the caches time and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
