@@ -305,3 +305,127 @@ def test_near_duplicates_with_repeated_ids(spark):
                 parent[max(a, b)] = min(a, b)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got == {i: find(i) for i, _ in rows}
+
+
+def test_main_text_of_broken_pages_takes_linear_time():
+    import time
+
+    pages = ['<p>text, text</p><a href="x>' * 40001, "<div>" * 100000 + "text", "<div></b>" * 80000, "<" * 1000000, "<td>" * 100000 + "a", "<li><div>" * 60000 + "x", "<blockquote><p>a, b" * 30000]
+    for page in pages:
+        began = time.process_time()
+        maintext.main_text(page)
+        assert time.process_time() - began < 10  # some minutes if each tag climbed or looked ahead through the page
+
+
+def test_quotes_in_tags():
+    assert maintext.main_text("<body><p title='a > b' data-x=\"</p>\">One, two</p><p a='>three</p></body>") == "One, two three"
+    assert maintext.main_text("<p>1 < 2 and 3 > 2</p><!-- <p>no</p> --><?php no ?><p>x &lt;b&gt;</p>") == "1 < 2 and 3 > 2 x <b>"
+
+
+def test_cosines_of_large_and_small_values(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1.0, 2.0]), (2, [1e-200, -1e-200]), (3, [1e200, 2e200])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50, 5).collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 3), (3, 2)]
+    assert got[0].score == pytest.approx(3 / 10**0.5, abs=1e-15) and got[1].score == got[0].score and abs(got[2].score) < 1e-15
+
+
+def test_packing_digests_are_the_pieces(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(str(path))
+    rows = [(k, t) for k, t in enumerate(["one two three", None, "", "word " * 5000, "a, b. c!", "x" * 3000, "same", "same"])] + [(None, "no id"), (7, "same")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    want = []
+    for i, t in rows:
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[at : at + 2048], "<u4")
+            want.append((i, k, at, len(part), zlib.crc32(part.tobytes())))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:5]) for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by) == -(-sum(r.length for r in got) // 2048)
+
+
+def test_local_search_empties_bins():
+    cases = [
+        ([8, 3, 9], [[0], [1], [2]], 2),  # a move: 3 beside 9
+        ([7, 4, 6, 5], [[0, 1], [2], [3]], 2),  # one for one: 5 for 4, then 4 beside 6
+        ([7, 3, 1, 5, 9, 11], [[0, 1, 2], [3], [4], [5]], 3),  # two for one: 5 for 3 and 1, then each fills a bin
+    ]
+    for lengths, start, want in cases:
+        bins = packing.local_search(np.array(lengths), [list(b) for b in start], 12)
+        assert len(bins) == want and sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert max(sum(lengths[i] for i in b) for b in bins) <= 12
+
+
+def test_quality_statistics_are_brute_force():
+    draw = random.Random(2)
+    for _ in range(300):
+        text = "".join(draw.choice(["a", "b", "a b c", " ", "\n", "\t", "#", "é", " ", "x y\n", "\x0b"]) for _ in range(draw.randint(0, 40)))
+        words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        repeated = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        lines, seen, dup = text.split("\n"), set(), 0
+        for line in lines:
+            if any(c not in " \t\x0b\x0c\r" for c in line):
+                dup += line in seen
+                seen.add(line)
+        assert quality.rule_statistics(text)[:5] == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(repeated)), repr(text)
+
+
+def test_forest_finds_outliers():
+    r = np.random.default_rng(4)
+    x = np.vstack([r.normal(0, 1, (400, 4)), r.normal(8, 1, (8, 4))])
+    forest = quality.fit_forest(x, [0, 1, 2, 3])
+    score = forest.score(x)
+    assert set(np.argsort(-score)[:8]) == set(range(400, 408))
+    # a tree by hand: one split at 0.5 on feature 1, leaves of depth 1
+    tree = quality.Forest([0, 1], np.array([[1, -1, -1]]), np.array([[0.5, 0, 0]]), np.array([[0, 1.0, 3.0]]), 2.0)
+    assert tree.score(np.array([[9, 0.4], [0, 0.5]])).tolist() == pytest.approx([2**-0.5, 2**-1.5])
+
+
+def test_quality_rejects_labelled_kinds_of_junk(spark):
+    draw = random.Random(3)
+    plain = lambda: " ".join(f"w{draw.randint(0, 5000)}" for _ in range(120))
+    junk = lambda: " ".join(f"w{draw.randint(0, 5000)}" + "#$%" * 3 for _ in range(120))
+    rows = [(k, junk() if k % 10 == 0 else plain(), k) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    labels = spark.createDataFrame([(k, int(k % 10 != 0), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.quality_rules(docs, labels).collect()}
+    assert got == {k: k % 10 != 0 for k in range(600)}
+    assert sorted(r.kept for r in quality.keep_good(docs, labels).collect()) == [k for k in range(600) if k % 10]
+
+
+def test_markov_scores_are_log_ratios():
+    counts = np.zeros((secretscan.SIZE, secretscan.SIZE))
+    other = counts.copy()
+    a, b = secretscan.ALPHABET.index("a"), secretscan.ALPHABET.index("b")
+    counts[a, b], other[a, b] = 3, 1
+    n = secretscan.SIZE
+    want = np.log((3.5 / (3 + 0.5 * n)) / (1.5 / (1 + 0.5 * n)))
+    back = np.log((0.5 / (0.5 * n)) / (0.5 / (0.5 * n)))
+    assert secretscan.MarkovPair(counts, other).score("aba") == pytest.approx((want + back) / 2)
+
+
+def test_toxicity_learns_from_training_folds(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=7)) for _ in range(400)]  # digits are no features
+    bad = ["vileword", "nastyword", "meanword"]
+    rows = [(k, " ".join(draw.choices(words, k=60) + (draw.sample(bad, 2) if k % 8 == 1 else []))) for k in range(1200)]
+    rows += [(5000, None), (5001, ""), (None, "vileword nastyword")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 8 == 1)) for k in range(1200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = [k for k in range(1200) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert all(got[k].held_out == (k in set(held)) for k in range(1200))
+    assert all(got[k].predicted == int(k % 8 == 1) for k in held)
+    assert got[5000].score == got[5001].score < 0.3 and got[None].predicted == 1 and not got[None].held_out

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from varsparq.llm.shared import materialise
 
 #: Nodes of a shard and queries of a block, about; edges of a node; beam of a building and of a querying search; factor of pruning.
-SHARD, QUERY_BLOCK, EDGES, BEAM, QUERY_BEAM, ALPHA = 12_000, 2_000, 24, 48, 96, 1.2
+SHARD, QUERY_BLOCK, EDGES, BEAM, QUERY_BEAM, ALPHA = 12_000, 24_000, 24, 48, 96, 1.2
 BATCH = 256
 
 
@@ -123,10 +123,17 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    vectors = vectors / np.abs(vectors).max(1, keepdims=True)
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
+def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of each row and q in double precision; all are first scaled by a power of two, exactly, so that no square overflows."""
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True))[1])
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
+    return rows @ q / (np.sqrt((rows**2).sum(1)) * np.sqrt((q**2).sum()))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (doubles) of the rows that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
@@ -178,7 +185,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD)
                 found, _ = beam_search(unit, graph, int(start), _unit(q), min(QUERY_BEAM, max(len(own), 2)))
                 for i, (query, nodes_) in enumerate(zip(asked_by[at : at + BATCH], found, strict=True)):
                     nodes_ = nodes_[nodes_ >= 0]
-                    near = own[nodes_] @ q[i] / (np.sqrt((own[nodes_] ** 2).sum(1)) * np.sqrt((q[i] ** 2).sum()))
+                    near = cosines(own[nodes_], q[i])
                     names = ids[nodes_]
                     score = np.broadcast_to(near[:, None], names.shape)[(names >= 0) & (names != query)]
                     names = names[(names >= 0) & (names != query)]

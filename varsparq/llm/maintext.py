@@ -8,6 +8,7 @@ and those named as such by class, id or role) are dropped beforehand.
 
 Defined cases: a null or empty page has an empty text. Unclosed and stray tags, comments and scripts are read as browsers
 do for the common cases (a paragraph ends where a block begins). A page without paragraphs gives the text of its body.
+Very long and very deep pages are read whole, in time that grows with their length.
 Repeated rows and rows with null ids are read one by one. An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -34,19 +35,33 @@ NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification "
     "outbrain pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe taboola toolbar widget alert complementary".split()
 )
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+_NAME, _STOP = re.compile(r"/?[a-zA-Z][^\s/>]*"), re.compile(r"[>\"']")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements that a tag closes, and those that keep it from closing what is outside of them.
+_CLOSED = [
+    ({"p"}, {"table", "button", "td", "th", "caption"}, CLOSES_P),
+    ({"li"}, {"ul", "ol", "menu"}, {"li"}),
+    ({"dt", "dd"}, {"dl"}, {"dt", "dd"}),
+    ({"tr", "td", "th"}, {"table"}, {"tr"}),
+    ({"td", "th"}, {"tr", "table"}, {"td", "th"}),
+    ({"option"}, {"select"}, {"option"}),
+]
+#: A bit for each line above. By tag: bits that it opens, bits that it hides, lines that it closes.
+_OPENS = {t: sum(1 << k for k, (closed, _, _) in enumerate(_CLOSED) if t in closed) for closed, _, _ in _CLOSED for t in closed}
+_HIDES = {t: sum(1 << k for k, (_, scope, _) in enumerate(_CLOSED) if t in scope) for _, scope, _ in _CLOSED for t in scope}
+_BY_TAG = {t: [k for k, (_, _, by) in enumerate(_CLOSED) if t in by] for _, _, by in _CLOSED for t in by}
 
 
 class Node:
-    __slots__ = ("children", "drop", "links", "parent", "score", "size", "tag")
+    __slots__ = ("children", "commas", "drop", "holds", "links", "open", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []  # children: nodes and texts
-        self.drop, self.score, self.size, self.links = False, 0.0, 0, 0
+        self.drop, self.score, self.size, self.links, self.commas = False, 0.0, 0, 0, 0
+        self.holds = tag in ("article", "main")  # itself or below
+        self.open = (parent.open if parent is not None else 0) & ~_HIDES.get(tag, 0) | _OPENS.get(tag, 0)  # lines of _CLOSED open in scope
 
 
 def _boilerplate(tag: str, attributes: str) -> bool:
@@ -59,74 +74,102 @@ def _boilerplate(tag: str, attributes: str) -> bool:
     return any(w in NAMED for m in _NAMES.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
 
 
+class _Tags:
+    """The tags of a page in order. Every character is looked at a bounded number of times, however broken the page is."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}  # nothing to look for behind these
+
+    def find(self, c: str, at: int) -> int:
+        return self.page.find(c, at) if at <= self.last[c] else -1
+
+    def end(self, at: int) -> int:
+        """The > that ends a tag, past quoted values; a quote that is never closed is a plain character. -1 without one."""
+        while at <= self.last[">"]:
+            m = _STOP.search(self.page, at)
+            if m[0] == ">":
+                return m.start()
+            close = self.find(m[0], m.end())
+            at = (close if close >= 0 else m.start()) + 1
+        return -1
+
+    def next(self, at: int) -> tuple[int, str, str, int] | None:
+        """(start, name with / before it when closing, attributes, end) of the next tag, the name empty for comments and the like."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                return start, "", "", close + 3 if close >= 0 else len(page)
+            if page[start + 1 : start + 2] in ("!", "?"):
+                close = self.find(">", start)
+                if close >= 0:
+                    return start, "", "", close + 1
+            elif (m := _NAME.match(page, start + 1)) and (close := self.end(m.end())) >= 0:
+                return start, m[0].lower(), page[m.end() : close], close + 1
+            at = start + 1
+        return None
+
+
 def parse(page: str) -> Node:
     """The tree of a page, with boilerplate elements marked."""
     root = node = Node("html", None)
-    at, end = 0, len(page)
+    tags, at, end = _Tags(page), 0, len(page)
+    open_: dict[str, int] = {}  # elements open around the place by name
+
+    def leave(node: Node, names: frozenset[str] | set[str]) -> Node:
+        """The parent of the nearest element of these names; one of them is open."""
+        while True:
+            open_[node.tag] -= 1
+            if node.tag in names:
+                return node.parent
+            node = node.parent
+
     while at < end:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else end]
+        found = tags.next(at)
+        text = page[at : found[0] if found else end]
         if text:
             node.children.append(entities.unescape(text))
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            k = node
-            while k is not None and k.tag != tag:
-                k = k.parent
-            if k is not None and k.parent is not None:
-                node = k.parent
-            continue
-        closed, scope = ({"p"}, {"table", "button", "td", "th", "caption"}) if tag in CLOSES_P else _IMPLIED.get(tag, (None, None))
-        if closed:
-            k = node
-            while k is not None and k.tag not in closed and k.tag not in scope:
-                k = k.parent
-            if k is not None and k.parent is not None and k.tag in closed:
-                node = k.parent
-            if tag in _IMPLIED and tag in CLOSES_P:
-                closed, scope = _IMPLIED[tag]
-                k = node
-                while k is not None and k.tag not in closed and k.tag not in scope:
-                    k = k.parent
-                if k is not None and k.parent is not None and k.tag in closed:
-                    node = k.parent
-        child = Node(tag, node)
-        child.drop = _boilerplate(tag, m[3])
-        node.children.append(child)
-        if tag in RAW:
-            close = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            node = child
+        _, tag, attributes, at = found
+        if tag[:1] == "/":
+            if open_.get(tag[1:]):
+                node = leave(node, {tag[1:]})
+        elif tag:
+            for k in _BY_TAG.get(tag, ()):
+                if node.open >> k & 1:
+                    node = leave(node, _CLOSED[k][0])
+            child = Node(tag, node)
+            child.drop = _boilerplate(tag, attributes)
+            node.children.append(child)
+            if tag in RAW:
+                close = re.compile(f"</{tag}", re.I).search(page, at)
+                close = tags.find(">", close.end()) if close else -1
+                at = close + 1 if close >= 0 else end
+            elif tag not in VOID and not attributes.rstrip().endswith("/"):
+                open_[tag] = open_.get(tag, 0) + 1
+                node = child
     return root
 
 
 def _measure(root: Node) -> list[Node]:
-    """Nodes in page order, with sizes of texts and links below them; what holds an article isn't dropped."""
+    """Nodes in page order, with sizes of texts and links and commas below them; what holds an article isn't dropped."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    for node in order:
-        if node.tag in ("article", "main"):
-            k = node.parent
-            while k is not None:
-                if k.tag not in DROPPED:
-                    k.drop = False
-                k = k.parent
     for node in reversed(order):
-        if node.drop:
-            continue
-        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        below = [c for c in node.children if isinstance(c, Node) and not c.drop]
-        node.size = own + sum(c.size for c in below)
-        node.links = node.size if node.tag == "a" else sum(c.links for c in below)
+        below = [c for c in node.children if isinstance(c, Node)]
+        if any(c.holds for c in below):
+            node.holds = True
+            node.drop = node.drop and node.tag in DROPPED
+        if not node.drop:
+            own, below = [c for c in node.children if isinstance(c, str)], [c for c in below if not c.drop]
+            node.size = sum(len(c.strip()) for c in own) + sum(c.size for c in below)
+            node.commas = sum(c.count(",") for c in own) + sum(c.commas for c in below)
+            node.links = node.size if node.tag == "a" else sum(c.links for c in below)
     return order
 
 
@@ -158,10 +201,12 @@ def _runs(parent: Node, node: Node) -> list[list[Node | str]]:
 
 def _beside(best: Node, keep: Callable[[int, int, float], bool]) -> str:
     """The text of ``best`` and of what ``keep`` takes (by size, size of links and worth) beside it and beside what holds it."""
-    node, found, text = best, _text(best), None
+    node, before, behind, take = best, [], [], (0, 0)  # parts before (the nearest first) and behind; how many of them count
+    more = False
     while node.parent is not None and node.tag != "body":
-        sides, more = [[], []], text is None
+        sides = [[], []]
         side = sides[0]
+        useful = not more
         for run in _runs(node.parent, node):
             if run[0] is node:
                 side = sides[1]
@@ -171,12 +216,13 @@ def _beside(best: Node, keep: Callable[[int, int, float], bool]) -> str:
             score = sum(c.score for c in run if isinstance(c, Node))
             if size and keep(size, links, score * (1 - links / size)):
                 side.append("".join(map(_text, run)))
-                more = more or score > 0 or any(c.tag in PARAGRAPHS for c in run if isinstance(c, Node))
-        found = " ".join([*sides[0], found, *sides[1]])
-        if more:
-            text = found
+                useful = useful or score > 0 or any(c.tag in PARAGRAPHS for c in run if isinstance(c, Node))
+        before += reversed(sides[0])
+        behind += sides[1]
+        if useful:
+            take, more = (len(before), len(behind)), True
         node = node.parent
-    return found if text is None else text
+    return " ".join([*reversed(before[: take[0]]), _text(best), *behind[: take[1]]])
 
 
 def main_text(page: str | None) -> str:
@@ -194,7 +240,7 @@ def main_text(page: str | None) -> str:
         blocks = any(isinstance(c, Node) and c.tag in BLOCKS and c.tag != "br" for c in node.children)
         if not node.size or not (node.tag in PARAGRAPHS or (node.tag in ("div", "section", "article") and not blocks)):
             continue
-        points = 1 + min(node.size / 100, 3) + _text(node).count(",")
+        points = 1 + min(node.size / 100, 3) + node.commas
         target, part = (node if node.tag not in PARAGRAPHS else node.parent), 1.0
         while target is not None and part > 0.1:
             if not target.score:
