@@ -78,11 +78,60 @@ def file_chromosome(name: Column) -> Column:
 
 
 def significance_class(text: Column) -> Column:
-    """pathogenic, benign or other by what a text says (P-13)."""
+    """benign, pathogenic (also when a text says both) or other; null texts are other (P-13)."""
     low = F.lower(text)
     return F.when(low.contains("pathogenic"), "pathogenic").when(low.contains("benign"), "benign").otherwise("other")
 
 
+def contains_any_case(text: Column, word: str) -> Column:
+    """Whether a text contains a word in any case; false for null texts (P-12)."""
+    return F.coalesce(F.lower(text).contains(word.lower()), F.lit(False))
+
+
+def first_filled(columns: list[Column], separator: str = ",") -> Column:
+    """The first column that isn't null, up to the first separator (P-22)."""
+    return F.substring_index(F.coalesce(*columns), separator, 1)
+
+
+def bare_chromosome(chrom: Column) -> Column:
+    return F.regexp_replace(chrom, "^chr", "")  # J-19
+
+
+def site_coords(chrom: Column, start: Column, end: Column, ref: Column, alt: Column) -> dict[str, Column]:
+    """chrom (with chr), start, end and the name of a site (F-08)."""
+    named = F.concat(F.lit("chr"), bare_chromosome(chrom))
+    label = F.concat_ws("_", F.concat(named, F.lit(":"), start, F.lit("-"), end), ref, alt)
+    return {"chrom": named, "start": start, "end": end, "site_name": label}
+
+
+def hgvs_label(key: Column) -> Column:
+    """g.{start}{REF}>{ALT} of a variant key (F-09)."""
+    part = F.split(key, ":|-|_")
+    return F.concat(F.lit("g."), part[1], part[3], F.lit(">"), part[4])
+
+
+def to_bytes(text: Column) -> Column:
+    """Codes of the characters of an ASCII text (F-11)."""
+    return F.transform(F.split(text, ""), F.ascii)
+
+
+def from_bytes(codes: Column) -> Column:
+    return F.array_join(F.transform(codes, lambda c: F.char(c)), "")
+
+
+def one_hot_channels(dna: Column) -> Column:
+    """Four arrays (A, C, G, T) of 0 and 1 over the bases: channels first (F-13)."""
+    is_base = lambda b: F.transform(F.split(dna, ""), lambda c: (c == b).cast("float"))
+    return F.array(*map(is_base, "ACGT"))
+
+
+def score_type(index: Column) -> dict[str, Column]:
+    """Type and strand of one of eight splice scores by its place, from 0 (F-40)."""
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+    kinds = ["acceptor_gain", "acceptor_loss", "donor_gain", "donor_loss"]
+    return {"kind": at(kinds * 2), "strand": at(["pos"] * 4 + ["neg"] * 4)}
+
+
 def recode(value: Column, table: dict[str, str], default: str = "other") -> Column:
     """Value by a fixed table, with a default for the rest (P-07)."""
     return reduce(lambda out, kv: F.when(value == kv[0], kv[1]).otherwise(out), reversed(list(table.items())), F.lit(default))

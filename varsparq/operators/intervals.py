@@ -21,6 +21,18 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: in
     return pairs.select(*left.columns).distinct() if how == "left_semi" else pairs
 
 
+def in_region_sets(left: DataFrame, regions: DataFrame, on: list[str], names: list[str], bin_size: int) -> DataFrame:
+    """``left`` with a boolean for each region set: whether the row overlaps any of its regions (J-07). regions: region_set, on, r_start, r_end.
+
+    The overlaps are aggregated by row before they meet ``left``; rows that are equal in all columns get equal flags.
+    """
+    hits = interval_join(left, regions, on, bin_size)
+    mine = [F.col(c).alias(f"_{c}") for c in left.columns]
+    flags = hits.groupBy(*mine).agg(*(F.max(F.col("region_set") == n).alias(n) for n in names))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in left.columns]
+    return left.join(flags, same, "left").select(*left.columns, *(F.coalesce(n, F.lit(False)).alias(n) for n in names))
+
+
 def distance_join(left: DataFrame, right: DataFrame, on: list[str], window: int) -> DataFrame:
     """Pairs with abs(l_pos - r_pos) <= window / 2 (J-09)."""
     half = window / 2
@@ -29,6 +41,40 @@ def distance_join(left: DataFrame, right: DataFrame, on: list[str], window: int)
     return a.join(b, [*on, "_bin"]).where(F.abs(F.col("l_pos") - F.col("r_pos")) <= half).drop("_bin")
 
 
+def lookup(left: DataFrame, regions: DataFrame, on: list[str], key: str, names: list[str], bin_size: int) -> DataFrame:
+    """``left`` with the distinct ``names`` of the regions that each row overlaps, null where none does (J-08)."""
+    found = interval_join(left, regions, on, bin_size).select(key, *names).distinct()
+    return left.join(found, key, "left")
+
+
+def anchor_pairs(points: DataFrame, contacts: DataFrame, on: list[str], bin_size: int) -> DataFrame:
+    """u < w, contact: pairs of points of which one lies in the first and one in the second anchor of a contact (J-10).
+
+    points: on, id, pos. contacts: on, contact, a1_start, a1_end, a2_start, a2_end, half-open.
+    """
+    left = points.withColumns({"l_start": F.col("pos"), "l_end": F.col("pos") + 1}).drop("pos")
+
+    def within(anchor: str, name: str) -> DataFrame:
+        right = contacts.select(*on, "contact", F.col(f"{anchor}_start").alias("r_start"), F.col(f"{anchor}_end").alias("r_end"))
+        return interval_join(left, right, on, bin_size).select(F.col("id").alias(name), "contact")
+
+    both = within("a1", "one").join(within("a2", "two"), "contact").where("one <> two")
+    return both.select(F.least("one", "two").alias("u"), F.greatest("one", "two").alias("w"), "contact").distinct()
+
+
+def liftover(rows: DataFrame, chain: DataFrame, pos: str, name: str, bin_size: int) -> DataFrame:
+    """Adds the position in another build, or the old one where no chain block holds it, and whether it was lifted (F-41).
+
+    chain: chrom, c_start, c_end (half-open, without overlap), shift. Blocks are met by bins.
+    """
+    blocks = chain.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("c_start") / bin_size), F.floor((F.col("c_end") - 1) / bin_size))))
+    blocks = blocks.select(F.col("chrom").alias("_chrom"), "_bin", "c_start", "c_end", "shift")
+    at = rows.withColumn("_at", F.floor(F.col(pos) / bin_size))
+    inside = (F.col("chrom") == F.col("_chrom")) & (F.col("_at") == F.col("_bin")) & (F.col(pos) >= F.col("c_start")) & (F.col(pos) < F.col("c_end"))
+    found = at.join(blocks, inside, "left")
+    return found.select(*rows.columns, F.coalesce(F.col(pos) + F.col("shift"), F.col(pos)).alias(name), F.col("shift").isNotNull().alias("lifted"))
+
+
 def splice_regions(exons: DataFrame) -> DataFrame:
     """Eight regions of each exon (chrom, start, end, name, strand), mirrored on the - strand (H-17)."""
     s, e, plus = F.col("start"), F.col("end"), F.col("strand") == "+"

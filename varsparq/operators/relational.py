@@ -69,3 +69,111 @@ def chromosome_order(chrom: Column) -> list[Column]:
     number = bare.try_cast("int")
     rank = F.when(number.isNotNull(), 0).when(bare == "X", 1).when(bare == "Y", 2).when(bare.isin("M", "MT"), 3).otherwise(4)
     return [rank, number, bare]
+
+
+def row_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
+    """Adds the place of each row in an order of columns that tells rows apart, from 0, without one task that sees all rows (W-04).
+
+    Rows are range partitioned; a place is the number of rows in partitions before plus the place in the partition.
+    """
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    placed = parts.withColumn("_k", local).join(F.broadcast(before), "_part")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_k") - 1).alias(name))
+
+
+def filter_sites(rows: DataFrame, filters: dict[str, object]) -> DataFrame:
+    """Rows of regions that are their site's own, filtered: a list means one of, a whole number at least, a text a match (P-06)."""
+    kept = rows.where("region_idx = site_idx")
+    for name, value in filters.items():
+        c = F.col(name)
+        if isinstance(value, list | tuple):
+            kept = kept.where(c.isin(*value))
+        elif isinstance(value, int):
+            kept = kept.where(c >= value)
+        elif isinstance(value, str):
+            kept = kept.where(c.rlike(value))
+        else:
+            raise TypeError(f"no filter by {type(value).__name__} for {name}")
+    return kept
+
+
+def top_of_terms(scores: DataFrame, sites: DataFrame, key: str, terms: list[str], search: str, group: str, order: list[Column], n: int) -> DataFrame:
+    """Scores of the first n sites of each group whose ``search`` column matches a term (P-14)."""
+    found = best_rows(sites.where(F.col(search).rlike("|".join(terms))), [group], order, n)
+    return scores.join(found.select(key), key, "left_semi")
+
+
+def json_members(df: DataFrame, column: str, field: str, values: list[str], key: str) -> DataFrame:
+    """Distinct keys of rows whose JSON field is one of some values (P-16)."""
+    return df.where(F.get_json_object(column, f"$.{field}").isin(*values)).select(key).distinct()
+
+
+def binarised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """1 where a count is above 0, else 0 (P-19)."""
+    return df.withColumns({c: (F.col(c) > 0).cast("int") for c in columns})
+
+
+def frequent(calls: DataFrame, variant: str, genotype: str, least: float) -> DataFrame:
+    """Variants with a mean genotype of ``least`` or more; -1 is missing (P-20)."""
+    return calls.groupBy(variant).agg(F.avg(F.nullif(genotype, F.lit(-1))).alias("af")).where(F.col("af") >= least)
+
+
+def limited(df: DataFrame, group: str, groups: int, order: list[Column], rows: int) -> DataFrame:
+    """The first ``rows`` rows of each of the first ``groups`` groups by name (P-21, S-06)."""
+    first = df.select(group).distinct().orderBy(group).limit(groups)
+    return best_rows(df.join(F.broadcast(first), group, "left_semi"), [group], order, rows)
+
+
+def merge_report(joined: DataFrame, keys: list[str], found: str) -> DataFrame:
+    """Rows, rows that found a partner, and their share, after a left join (J-02)."""
+    g = joined.groupBy(*keys).agg(F.count("*").alias("n"), F.count(found).alias("merged"))
+    return g.withColumn("rate", F.col("merged") / F.col("n"))
+
+
+def in_all_classes(df: DataFrame, key: str, label: str, supported: Column, classes: int) -> DataFrame:
+    """Rows of keys that have supported rows of each class (J-18, U-06)."""
+    good = df.where(supported).groupBy(key).agg(F.count_distinct(label).alias("_n")).where(F.col("_n") == classes)
+    return df.join(good.select(key), key, "left_semi")
+
+
+def unordered_pairs(df: DataFrame, on: list[str], key: str) -> DataFrame:
+    """Pairs i < j of keys of one group (J-20). Their number is the square of a group, so groups are small by their nature."""
+    one, two = df.select(*on, F.col(key).alias("i")), df.select(*on, F.col(key).alias("j"))
+    return one.join(two, on).where("i < j")
+
+
+def sequence_pairs(df: DataFrame, on: list[str]) -> DataFrame:
+    """Ordered pairs i, j of sequences (id, phase, seq) of one group, whether their phase agrees, and the share of equal places (J-21)."""
+    side = lambda n: df.select(*on, *(F.col(c).alias(f"{c}_{n}") for c in ("id", "phase", "seq")))
+    both = side("i").join(side("j"), on).where("id_i <> id_j")
+    same = F.zip_with(F.split("seq_i", ""), F.split("seq_j", ""), lambda a, b: (a == b).cast("int"))
+    share = F.aggregate(same, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))) / F.greatest(F.length("seq_i"), F.length("seq_j"))
+    return both.select(F.col("id_i").alias("i"), F.col("id_j").alias("j"), (F.col("phase_i") == F.col("phase_j")).alias("same_phase"), share.alias("similarity"))
+
+
+def map_distinct(df: DataFrame, column: str, name: str, value: Column) -> DataFrame:
+    """Adds an expression over one column, computed once for each distinct value and joined back (F-02)."""
+    known = df.select(column).distinct().withColumn(name, value).withColumnRenamed(column, "_key")
+    return df.join(known, F.col(column).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
+def batches(df: DataFrame, order: list[str], most: int, ploid: int, mutants: int | None = None) -> DataFrame:
+    """Adds the batch of each sample: ``most`` sequences a batch, ploid times (mutants + 1) of each sample (F-16)."""
+    size = most // ploid
+    if mutants is not None:
+        size //= mutants + 1
+    return row_index(df, order, "_k").withColumn("batch", F.floor(F.col("_k") / size)).drop("_k")
+
+
+def by_cohort(frames: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several frames with the name of each as cohort; missing columns are null (U-04)."""
+    named = [df.withColumn("cohort", F.lit(name)) for name, df in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def merge_collections(frames: dict[str, DataFrame], node: str) -> DataFrame:
+    """Rows of several collections, node ids told apart by the name of their collection (U-08)."""
+    return reduce(DataFrame.unionByName, [df.withColumn(node, F.concat_ws(":", F.lit(name), node)) for name, df in frames.items()])

@@ -76,3 +76,98 @@ def common_ancestor(closure: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(one, "id1").join(two, ["id2", "mrca"]).join(depth, "mrca", "left").na.fill(0, ["depth"])
     best = F.row_number().over(Window.partitionBy("id1", "id2").orderBy(F.desc("depth"), "mrca"))
     return both.withColumn("_r", best).where("_r = 1").select("id1", "id2", "mrca", "depth")
+
+
+def class_summary(df: DataFrame, ids: list[str], label: str) -> DataFrame:
+    """One text: the number of distinct ids of each class, by name (A-07). One row for each class is gathered."""
+    n = df.groupBy(label).agg(F.count_distinct(*ids).alias("n"))
+    told = F.array_sort(F.collect_list(F.concat(label, F.lit(": "), "n")))
+    return n.agg(F.array_join(told, ", ").alias("summary"))
+
+
+def title(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The single value of each column, or its name and the number of its values (A-08)."""
+    one = lambda c: F.when(F.count_distinct(c) == 1, F.min(c)).otherwise(F.concat(F.lit(f"{c}: "), F.count_distinct(c)))
+    return df.agg(*(one(c).alias(c) for c in columns))
+
+
+def runtime_estimate(df: DataFrame, site: str, seconds: str, sites: int, gpus: int) -> DataFrame:
+    """Seconds of a site on average, and days for ``sites`` of them (A-09)."""
+    g = df.groupBy(site).agg(F.sum(seconds).alias("_s")).agg(F.count("*").alias("n_sites"), F.avg("_s").alias("seconds_per_site"))
+    return g.withColumn("days", F.col("seconds_per_site") * sites / gpus / 86400)
+
+
+def filled_matrix(cells: DataFrame, row: str, column: str, how: str) -> DataFrame:
+    """Every row and column with its value v, missing ones filled by the mean, median or mode (ties to the smaller) of all values (A-13)."""
+    if how == "mode":
+        fill = cells.groupBy("v").agg(F.count("*").alias("_n")).agg(F.min_by("v", F.struct(-F.col("_n"), F.col("v"))).alias("_fill"))
+    else:
+        fill = cells.agg((F.avg("v") if how == "mean" else F.median("v")).alias("_fill"))
+    value = fill.first()[0]  # one number
+    names = F.broadcast(cells.agg(F.collect_set(column).alias("_all")))  # the columns of the matrix, which its rows hold anyway
+    grid = cells.select(row).distinct().join(names).select(row, F.explode("_all").alias(column))
+    return grid.join(cells, [row, column], "left").withColumn("v", F.coalesce("v", F.lit(value)))
+
+
+def with_reference_twice(scores: DataFrame, is_reference: Column, ploid: str) -> DataFrame:
+    """Rows of reference samples stand for both haplotypes (A-13, duplicate_ref_hap)."""
+    both = F.array(F.lit(0), F.lit(1))
+    return scores.withColumn(ploid, F.explode(F.when(is_reference, both).otherwise(F.array(F.col(ploid).cast("int")))))
+
+
+def region_matrices(df: DataFrame, wt: dict[str, str], clinical: dict[str, str], wt_exon: str, clinical_exon: str, value: str) -> DataFrame:
+    """Mean value for each pair of regions that hold a row's two variants, over all rows, exons that match or not, and exon distances (A-21)."""
+    inside = lambda sets: F.filter(F.array(*(F.when(F.col(c), F.lit(n)) for n, c in sets.items())), lambda x: x.isNotNull())
+    apart = F.abs(F.col(wt_exon) - F.col(clinical_exon))
+    kinds = F.when(apart == 0, F.array(F.lit("all"), F.lit("match"))).otherwise(F.array(F.lit("all"), F.lit("mismatch"), F.concat(F.lit("distance "), apart)))
+    rows = df.select(F.col(value).alias("_v"), inside(clinical).alias("_c"), kinds.alias("_k"), F.explode(inside(wt)).alias("wt"))
+    rows = rows.select("_v", "_k", "wt", F.explode("_c").alias("clin")).select("_v", "wt", "clin", F.explode("_k").alias("kind"))
+    return rows.groupBy("kind", "wt", "clin").agg(F.avg("_v").alias("v"), F.count("*").alias("n"))
+
+
+def group_lists(df: DataFrame, key: str, value: str, more_than: int, most: int) -> DataFrame:
+    """The first ``most`` distinct values of keys with more than ``more_than`` of them (A-23)."""
+    w = Window.partitionBy(key)
+    rows = df.select(key, value).distinct().withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
+    kept = rows.where((F.col("_n") > more_than) & (F.col("_r") <= most))
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("members"))
+
+
+def role_strength(df: DataFrame, roles: dict[str, str], value: str) -> DataFrame:
+    """Mean value of each position in each role (A-34)."""
+    told = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).alias("pos")) for r, c in roles.items())))
+    return df.select(told.alias("_p"), F.col(value).alias("_v")).groupBy("_p.role", "_p.pos").agg(F.avg("_v").alias("strength"))
+
+
+def relabelled_sum(df: DataFrame, column: str, labels: dict[str, str], default: str, keys: list[str], value: str) -> DataFrame:
+    """Sums by label and keys (A-36)."""
+    table = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
+    return df.groupBy(F.coalesce(table[F.col(column)], F.lit(default)).alias("label"), *keys).agg(F.sum(value).alias("n"))
+
+
+def histogram(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
+    """n, density and share of values in equal bins of [low, high], the last one closed (A-38)."""
+    v, width = F.col(value), (high - low) / bins
+    inside = df.where((v >= low) & (v <= high))
+    at = F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1)).cast("long")
+    counts = inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # at most ``bins`` rows
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())
+    return counts.withColumns({"share": share, "density": share / width})
+
+
+def largest_columns(df: DataFrame, row: str, column: str, n: int) -> DataFrame:
+    """Counts of rows by the n most frequent columns, 0 where there are none (A-41). n columns are broadcast."""
+    top = df.groupBy(column).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), column).limit(n).select(column)
+    counts = df.join(F.broadcast(top), column, "left_semi").groupBy(row, column).agg(F.count("*").alias("n"))
+    names = F.broadcast(top.agg(F.collect_list(column).alias("_all")))
+    grid = df.select(row).distinct().join(names).select(row, F.explode("_all").alias(column))
+    return grid.join(counts, [row, column], "left").na.fill(0, ["n"])
+
+
+def class_sources(frames: dict[str, DataFrame], label: str, columns: list[str], dropped: str = "vus") -> DataFrame:
+    """Rows of each class by source, classes in title case, one of them dropped (A-42)."""
+    rows = None
+    for name, df in frames.items():
+        part = df.select(F.lower(label).alias("class"), F.lit(name).alias("source"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.where(F.col("class") != dropped).groupBy(F.initcap("class").alias("class")).agg(*(F.count_if(F.col("source") == c).alias(c) for c in columns))

@@ -6,64 +6,15 @@ supplier, nation and region sample metadata, part site annotation, orders and cu
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varsparq.functions import metrics as M
 from varsparq.functions import text as T
 from varsparq.operators import attribution, haplotypes, intervals, matrix, relational, summaries
+from varsparq.plans.registry import Tables, oracles, queries, query, r6
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-#: The views of the SQL, the same as the frames below.
-VIEWS = """scores AS (SELECT l_partkey AS site, l_suppkey AS sample, l_linenumber % 2 AS ploid, l_returnflag AS slot, ln(l_extendedprice / l_quantity) AS value,
-  l_extendedprice / 1000 AS ref, l_extendedprice * (1 - l_discount) / 1000 AS alt, l_orderkey FROM lineitem),
-meta AS (SELECT s_suppkey AS sample, n_name AS population, r_name AS superpopulation FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-sites AS (SELECT p_partkey AS site, p_brand AS gene, split_part(p_type, ' ', 1) AS clinsig, p_size AS size, p_retailprice AS price FROM part),
-"""
-
-
-class Tables:
-    """Frames by role, for one folder."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-    @property
-    def scores(self) -> DataFrame:
-        p, d = F.col("l_extendedprice"), F.col("l_discount")
-        return self.lineitem.select(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("sample"), (F.col("l_linenumber") % 2).alias("ploid"), F.col("l_returnflag").alias("slot"), F.ln(p / F.col("l_quantity")).alias("value"), (p / 1000).alias("ref"), (p * (1 - d) / 1000).alias("alt"), "l_orderkey")
-
-    @property
-    def meta(self) -> DataFrame:
-        n = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
-        return self.supplier.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("sample"), F.col("n_name").alias("population"), F.col("r_name").alias("superpopulation"))
-
-    @property
-    def sites(self) -> DataFrame:
-        return self.part.select(F.col("p_partkey").alias("site"), F.col("p_brand").alias("gene"), F.substring_index("p_type", " ", 1).alias("clinsig"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
-    def keep(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        _QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            _ORACLES[name] = "WITH " + sql if sql.startswith("RECURSIVE") else "WITH " + VIEWS + sql.strip() if sql.lstrip().startswith("x AS") else "WITH " + VIEWS.rstrip().rstrip(",") + "\n" + sql.strip()
-        return f
-
-    return keep
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
+__all__ = ["oracles", "queries"]
 
 CLASSES = {"STANDARD": "path", "LARGE": "likely_path", "SMALL": "benign", "MEDIUM": "likely_benign"}
 _CASE = "CASE clinsig " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLASSES.items()) + " ELSE 'other' END"
@@ -136,8 +87,12 @@ query("p01_variant_key", "SELECT p_partkey AS site, 'chr' || (p_partkey % 22 + 1
 query("p09_complete_sites", "x AS (SELECT DISTINCT site, slot FROM scores) SELECT site, count(*) = 3 AS every, count(*) / 3 >= 0.6 AS most FROM x GROUP BY site")(
     lambda t: t.scores.select("site", "slot").distinct().groupBy("site").agg((F.count("*") == 3).alias("every"), (F.count("*") / 3 >= 0.6).alias("most"))
 )
-query("p10_work_list", "x AS (SELECT p_partkey AS site, slot FROM part, (SELECT unnest(['A', 'N', 'R']) AS slot)) SELECT site, slot FROM x WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.site = x.site AND s.slot = x.slot)")(
-    lambda t: relational.missing_cells(t.sites.select("site", F.explode(F.array(*map(F.lit, "ANR"))).alias("slot")), t.scores, ["site", "slot"])
+query("p10_work_list", "x AS (SELECT p_partkey AS site, slot FROM part, (SELECT unnest(range(1, 8)) AS slot)) SELECT site, slot FROM x WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = site AND l_linenumber = slot)")(
+    lambda t: relational.missing_cells(
+        t.sites.select("site", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("slot")),
+        t.lineitem.select(F.col("l_partkey").alias("site"), F.col("l_linenumber").cast("long").alias("slot"), F.col("l_extendedprice").alias("value")),
+        ["site", "slot"],
+    )
 )
 query("p15_json_filter", "SELECT event_id, user_id FROM events WHERE (props->>'$.k')::INT IN (1, 2, 3)")(lambda t: t.events.where(F.get_json_object("props", "$.k").try_cast("int").isin(1, 2, 3)).select("event_id", "user_id"))
 query("j03_metadata_left_join", "SELECT site, sample, CASE WHEN sample % 10 = 0 THEN 'REF' ELSE population END AS population, count(*) AS n FROM scores LEFT JOIN meta USING (sample) GROUP BY ALL")(
@@ -146,10 +101,17 @@ query("j03_metadata_left_join", "SELECT site, sample, CASE WHEN sample % 10 = 0
 query("j06_interval_join", "x AS (SELECT p_partkey AS a, p_size AS s, p_size + 3 AS e, p_brand AS g FROM part), y AS (SELECT s_suppkey AS b, (s_suppkey % 60)::INT AS s2, (s_suppkey % 60 + 2)::INT AS e2 FROM supplier) SELECT a, b FROM x JOIN y ON s <= e2 AND s2 <= e")(
     lambda t: intervals.interval_join(t.part.select(F.col("p_partkey").alias("a"), F.col("p_size").alias("l_start"), (F.col("p_size") + 3).alias("l_end")), t.supplier.select(F.col("s_suppkey").alias("b"), (F.col("s_suppkey") % 60).alias("r_start"), (F.col("s_suppkey") % 60 + 2).alias("r_end")), [], 8, closed=True).select("a", "b")
 )
-query("j07_interval_semi_join", "x AS (SELECT p_partkey AS a, p_brand AS g, p_size AS s, p_size + 3 AS e FROM part) SELECT a, g FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.a % 7 = 0 AND y.g = x.g AND x.s < y.e AND y.s < x.e)")(
-    lambda t: intervals.interval_join(t.part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("g"), F.col("p_size").alias("l_start"), (F.col("p_size") + 3).alias("l_end")), t.part.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("g"), F.col("p_size").alias("r_start"), (F.col("p_size") + 3).alias("r_end")), ["g"], 8, how="left_semi").select("a", "g")
-)
-#: The query above takes one part in seven as regions, as its SQL does; here every supplier is a region, on the chromosome of its nation.
+query("j07_interval_semi_join", """x AS (SELECT p_partkey AS a, p_partkey % 25 AS g, p_size AS s, p_size + 3 AS e FROM part),
+y AS (SELECT s_nationkey AS g, s_suppkey % 60 AS s, s_suppkey % 60 + 2 AS e, s_acctbal > 5000 AS rich FROM supplier)
+SELECT a, g, EXISTS (SELECT 1 FROM y WHERE y.g = x.g AND rich AND x.s < y.e AND y.s < x.e) AS in_rich,
+  EXISTS (SELECT 1 FROM y WHERE y.g = x.g AND NOT rich AND x.s < y.e AND y.s < x.e) AS in_poor FROM x""")(
+    lambda t: intervals.in_region_sets(
+        t.part.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") % 25).alias("g"), F.col("p_size").alias("l_start"), (F.col("p_size") + 3).alias("l_end")),
+        t.supplier.select(F.when(F.col("s_acctbal") > 5000, "in_rich").otherwise("in_poor").alias("region_set"), F.col("s_nationkey").cast("long").alias("g"), (F.col("s_suppkey") % 60).alias("r_start"), (F.col("s_suppkey") % 60 + 2).alias("r_end")),
+        ["g"], ["in_rich", "in_poor"], 8,
+    ).select("a", "g", "in_rich", "in_poor")
+)
+#: Every supplier is a region, on the chromosome of its nation.
 query("j07_interval_semi_join_whole", "x AS (SELECT p_partkey AS a, p_partkey % 25 AS g, p_size AS s, p_size + 3 AS e FROM part), y AS (SELECT s_nationkey AS g, s_suppkey % 60 AS s, s_suppkey % 60 + 2 AS e FROM supplier) SELECT a, g FROM x WHERE EXISTS (SELECT 1 FROM y WHERE y.g = x.g AND x.s < y.e AND y.s < x.e)")(
     lambda t: intervals.interval_join(t.part.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") % 25).alias("g"), F.col("p_size").alias("l_start"), (F.col("p_size") + 3).alias("l_end")), t.supplier.select(F.col("s_nationkey").cast("long").alias("g"), (F.col("s_suppkey") % 60).alias("r_start"), (F.col("s_suppkey") % 60 + 2).alias("r_end")), ["g"], 8, how="left_semi").select("a", "g")
 )
@@ -175,7 +137,9 @@ query("s03_chromosome_order", "SELECT p_partkey AS site, CASE p_partkey % 25 WHE
     lambda t: t.part.withColumn("c", F.concat(F.lit("chr"), F.element_at(F.array(*map(F.lit, [*map(str, range(1, 23)), "X", "Y", "M"])), (F.col("p_partkey") % 25 + 1).cast("int")))).select(F.col("p_partkey").alias("site"), relational.chromosome_order(F.col("c"))[0].alias("rank"))
 )
 query("u02_in_both", "SELECT site FROM scores WHERE slot = 'A' INTERSECT SELECT site FROM scores WHERE slot = 'R'")(lambda t: t.scores.where("slot = 'A'").select("site").intersect(t.scores.where("slot = 'R'").select("site")))
-query("u05_difference", "SELECT site FROM sites EXCEPT SELECT site FROM scores WHERE slot = 'A'")(lambda t: t.sites.select("site").exceptAll(t.scores.where("slot = 'A'").select("site").distinct()).distinct())
+query("u05_difference", "SELECT site FROM sites EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber = 7")(
+    lambda t: t.sites.select("site").exceptAll(t.lineitem.where("l_linenumber = 7").select("l_partkey").distinct()).distinct()
+)
 query("f10_transcribe", "SELECT n_nationkey, lower(translate(n_name, 'Tt', 'Uu')) AS rna FROM nation")(lambda t: t.nation.select("n_nationkey", T.transcribe(F.col("n_name")).alias("rna")))
 query("f14_reverse_complement", "SELECT doc_id, reverse(translate(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 'ACGT', 'TGCA')) AS rc FROM documents")(
     lambda t: t.documents.select("doc_id", T.reverse_complement(F.regexp_replace(F.upper("text"), "[^ACGT]", "")).alias("rc"))
@@ -205,10 +169,11 @@ query("f19_delta_metrics", _PAIR + ", z AS (SELECT a, unnest(list_transform(u, l
 
 
 def _cells(t: Tables) -> DataFrame:
-    return t.scores.where("site <= 60").groupBy(F.col("site").alias("i"), (F.col("sample") % 20).alias("j")).agg(F.avg("value").alias("v"))
+    """All scores, sites and samples folded into 20 rows and columns."""
+    return t.scores.groupBy((F.col("site") % 20).alias("i"), (F.col("sample") % 20).alias("j")).agg(F.avg("value").alias("v"))
 
 
-_CELLS = "x AS (SELECT site AS i, sample % 20 AS j, avg(value) AS v FROM scores WHERE site <= 60 GROUP BY ALL) "
+_CELLS = "x AS (SELECT site % 20 AS i, sample % 20 AS j, avg(value) AS v FROM scores GROUP BY ALL) "
 query("x01_normalize_rows", _CELLS + "SELECT i, j, round(v / nullif(sum(v) OVER (PARTITION BY i), 0), 6) AS v FROM x")(lambda t: matrix.normalize_rows(_cells(t)).withColumn("v", r6("v")))
 query("x05_bin_matrix", _CELLS + "SELECT i // 6 AS i, j // 6 AS j, round(avg(v), 6) AS v FROM x WHERE i < 18 AND j < 18 GROUP BY 1, 2")(lambda t: matrix.bin_matrix(_cells(t), 6, 20).withColumn("v", r6("v")))
 query("x07_minmax", _CELLS + "SELECT i, j, round((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 6) AS v FROM x WINDOW w AS (PARTITION BY j)")(lambda t: matrix.minmax(_cells(t), "j").withColumn("v", r6("v")))
@@ -223,7 +188,7 @@ def _all_cells(t: Tables) -> DataFrame:
     return t.scores.groupBy(F.col("site").alias("i"), F.col("sample").alias("j")).agg(F.avg("value").alias("v"))
 
 
-#: The queries above read 60 sites with samples folded into 20 columns, as their SQL does; these read every site and every sample.
+#: The queries above fold sites and samples; these have a row and a column for each.
 _ALL_CELLS = "x AS (SELECT site AS i, sample AS j, avg(value) AS v FROM scores GROUP BY ALL) "
 query("x01_normalize_rows_whole", _ALL_CELLS + "SELECT i, j, round(v / nullif(sum(v) OVER (PARTITION BY i), 0), 6) AS v FROM x")(lambda t: matrix.normalize_rows(_all_cells(t)).withColumn("v", r6("v")))
 query("x05_bin_matrix_whole", _ALL_CELLS + "SELECT i // 6 AS i, j // 6 AS j, round(avg(v), 6) AS v FROM x GROUP BY 1, 2")(lambda t: matrix.bin_matrix(_all_cells(t), 6, None).withColumn("v", r6("v")))
@@ -306,11 +271,3 @@ query("h25_common_ancestor", _CLOSURE + """, d AS (SELECT child AS a, count(*) A
 FROM c x JOIN c y ON y.child = x.child + 7 AND y.ancestor = x.ancestor LEFT JOIN d ON d.a = x.ancestor) SELECT id1, id2, mrca, depth FROM r WHERE r = 1""")(
     lambda t: summaries.common_ancestor(summaries.ancestors(_edges(t)), t.part.select(F.col("p_partkey").alias("id1"), (F.col("p_partkey") + 7).alias("id2")))
 )
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracles() -> dict[str, str]:
-    return dict(_ORACLES)
