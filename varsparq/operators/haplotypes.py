@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,85 @@ def variant_window(df: DataFrame, context: int) -> DataFrame:
     have = F.substring("seq", at.cast("int"), F.lit(1))
     flag = F.when(at == 0, 2).when(have == F.col("alt"), 1).otherwise(0)
     return df.withColumns({"flag": flag, "window": F.when(at == 0, F.lit("N" * width)).otherwise(around(F.col("alt")))})
+
+
+def stacked(df: DataFrame, haps: str) -> DataFrame:
+    """A row for each haplotype of an array of them: row 2 i and 2 i + 1 of sample i when ploidy is two (H-01)."""
+    rows = df.select("*", F.posexplode(haps).alias("ploid", "hap"))
+    return rows.withColumn("row", F.col("sample") * F.size(haps) + F.col("ploid")).drop(haps)
+
+
+def complexity(cells: DataFrame) -> DataFrame:
+    """1 - mean share of the most frequent base over positions, and mean number of further bases (H-06)."""
+    c = consensus(cells)
+    return c.agg((1 - F.avg("share")).alias("max_af"), F.avg(F.col("n_bases") - 1).alias("mean_var"))
+
+
+def frequency_complexity(variants: DataFrame, keys: list[str], af: str, start: str, end: str) -> DataFrame:
+    """Sum of allele frequencies over the length of a region (H-07)."""
+    return variants.groupBy(*keys).agg((F.sum(af) / (F.max(end) - F.min(start))).alias("complexity"))
+
+
+def haplotype_matrix(calls: DataFrame) -> DataFrame:
+    """hap (the first of equal ones), variant, present: the binary matrix of distinct haplotypes in coordinate form (H-08, H-11).
+
+    calls: haplotype, variant. Haplotypes with equal sets of variants are one.
+    """
+    sets = calls.groupBy("haplotype").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
+    first = sets.groupBy("variants").agg(F.min("haplotype").alias("hap"))
+    return first.select("hap", F.explode("variants").alias("variant")).withColumn("present", F.lit(1))
+
+
+def flat_index(df: DataFrame, region: str, sample: str, ploid: str, samples: int, ploidy: int) -> DataFrame:
+    """Adds the flat index of (region, sample, ploid), and the three read back from it (H-13)."""
+    flat = (F.col(region) * samples + F.col(sample)) * ploidy + F.col(ploid)
+    whole = df.withColumn("flat", flat)
+    back = {"r": F.floor(F.col("flat") / (samples * ploidy)), "s": F.floor(F.col("flat") / ploidy) % samples, "p": F.col("flat") % ploidy}
+    return whole.withColumns(back)
+
+
+def align_tracks(tracks: DataFrame, variant_pos: int, length: int, fill: float) -> DataFrame:
+    """Values of each haplotype on a common grid of ``length`` places around a variant, missing ones filled (H-16).
+
+    tracks: hap, coords (array), values (array). Coordinates below 0 and of 2 ** 31 - 1 and above are padding.
+    """
+    cells = tracks.select("hap", F.explode(F.arrays_zip(F.col("coords").alias("c"), F.col("values").alias("v"))).alias("x")).select("hap", F.col("x.c").alias("c"), F.col("x.v").alias("v"))
+    start = variant_pos - length // 2
+    real = cells.where((F.col("c") >= 0) & (F.col("c") < 2**31 - 1)).groupBy("hap", "c").agg(F.first("v").alias("v"))
+    grid = tracks.select("hap").distinct().select("hap", F.explode(F.sequence(F.lit(start), F.lit(start + length - 1))).alias("c"))
+    return grid.join(real, ["hap", "c"], "left").select("hap", (F.col("c") - start).alias("place"), F.coalesce("v", F.lit(fill)).alias("v"))
+
+
+def splice_sites(genes: DataFrame) -> DataFrame:
+    """Donor and acceptor positions from comma lists of exon starts and ends: inner bounds, mirrored on the - strand (H-18)."""
+    bounds = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: x.try_cast("long")), lambda x: x.isNotNull())
+    starts, ends = bounds("exon_starts"), bounds("exon_ends")
+    after, before = F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))
+    plus = F.col("strand") == "+"
+    kinds = F.array(F.struct(F.lit("p5").alias("kind"), F.when(plus, before).otherwise(after).alias("at")), F.struct(F.lit("p3").alias("kind"), F.when(plus, after).otherwise(before).alias("at")))
+    return genes.select("name", "strand", F.explode(kinds).alias("k")).select("name", "strand", "k.kind", F.explode("k.at").alias("pos"))
+
+
+def padded_genes(genes: DataFrame, padding: int = 10_000) -> DataFrame:
+    """Gene intervals with padding, not below 0 (H-19)."""
+    return genes.withColumns({"start": F.greatest(F.col("start") - padding, F.lit(0)), "end": F.col("end") + padding})
+
+
+def spliced(seq: str, starts: str, sizes: str) -> Column:
+    """The blocks of a sequence joined (H-20)."""
+    parts = F.transform(F.arrays_zip(F.col(starts).alias("a"), F.col(sizes).alias("n")), lambda b: F.substr(F.col(seq), b["a"] + 1, b["n"]))
+    return F.array_join(parts, "")
+
+
+def population_matrix(calls: DataFrame, site: str, population: str, genotype: str) -> DataFrame:
+    """Mean genotype of each site over the samples of each population (H-23)."""
+    return calls.groupBy(population, site).agg(F.avg(genotype).alias("mean_genotype"))
+
+
+def mutated(seq: str, alphabet: str, seed: int, ids: list[str]) -> Column:
+    """A sequence with one base replaced by the next of the alphabet, at a place drawn by a seeded hash of the row's ids (F-15)."""
+    n = F.length(seq)
+    at = F.pmod(F.xxhash64(F.lit(seed), *ids), n).cast("int")
+    table = alphabet[1:] + alphabet[0]
+    base = F.translate(F.substr(F.col(seq), at + 1, F.lit(1)), alphabet, table)
+    return F.when(n > 0, F.concat(F.substr(F.col(seq), F.lit(1), at), base, F.substr(F.col(seq), at + 2, n))).otherwise(F.col(seq))

@@ -47,3 +47,101 @@ def fill_rows(m: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """The full grid, missing cells filled by the mean of their column (X-08). ``columns`` is small by its nature: names of one axis."""
     grid = rows.crossJoin(F.broadcast(columns)).join(m, ["i", "j"], "left")
     return grid.withColumn("v", F.coalesce("v", F.avg("v").over(Window.partitionBy("j"))))
+
+
+def bin_axis(m: DataFrame, axis: str, size: int, how: str = "avg", drop_rest: bool = False) -> DataFrame:
+    """One axis in bins of ``size`` (X-04); with ``drop_rest`` a last bin that isn't full is left out (X-13)."""
+    other = "j" if axis == "i" else "i"
+    at = F.floor(F.col(axis) / size)
+    if drop_rest:
+        n = m.agg(F.max(axis)).first()[0]  # one number
+        m = m.where(at < ((n or 0) + 1) // size)
+    return m.groupBy(at.alias(axis), other).agg(getattr(F, how)("v").alias("v"))
+
+
+def expand(m: DataFrame, factor: int, target: int) -> DataFrame:
+    """Each cell repeated ``factor`` times along both axes, cut at ``target`` (X-06). Cells without a row are 0 by their absence."""
+    steps = F.sequence(F.lit(0), F.lit(factor - 1))
+    wide = m.select((F.col("i") * factor).alias("i"), "j", "v", F.explode(steps).alias("_a")).select((F.col("i") + F.col("_a")).alias("i"), "j", "v")
+    full = wide.select("i", (F.col("j") * factor).alias("j"), "v", F.explode(steps).alias("_b")).select("i", (F.col("j") + F.col("_b")).alias("j"), "v")
+    return full.where((F.col("i") < target) & (F.col("j") < target))
+
+
+def padded(matrices: DataFrame) -> DataFrame:
+    """The common shape of matrices (which, i, j, v), one row for each: smaller ones lack cells, which are missing by their absence (X-02)."""
+    shapes = matrices.groupBy("which").agg((F.max("i") + 1).alias("rows"), (F.max("j") + 1).alias("columns"))
+    top = shapes.agg(F.max("rows").alias("all_rows"), F.max("columns").alias("all_columns")).first()  # two numbers
+    return shapes.withColumns({"pad_rows": F.lit(top.all_rows) - F.col("rows"), "pad_columns": F.lit(top.all_columns) - F.col("columns")})
+
+
+def varied(m: DataFrame) -> DataFrame:
+    """The columns with more than one distinct value (X-12)."""
+    keep = m.groupBy("j").agg(F.count_distinct("v").alias("_n")).where("_n > 1").select("j")
+    return m.join(keep, "j", "left_semi")
+
+
+def without_empty(m: DataFrame, eps: float) -> DataFrame:
+    """log10(v + eps) of the cells of rows and columns that hold any value but 0 (X-15)."""
+    some = F.coalesce(F.max(F.abs("v")), F.lit(0.0)) > 0
+    rows, columns = (m.groupBy(a).agg(some.alias("_some")).where("_some").select(a) for a in ("i", "j"))
+    return m.join(rows, "i", "left_semi").join(columns, "j", "left_semi").select("i", "j", F.when(F.col("v") + eps > 0, F.log10(F.col("v") + eps)).alias("v"))
+
+
+def blend(a: DataFrame, b: DataFrame, steps: int) -> DataFrame:
+    """Frames (1 - t) a + t b for t = 0 .. 1 in ``steps`` steps; a missing cell counts as 0 (X-16)."""
+    both = a.select("i", "j", F.col("v").alias("_a")).join(b.select("i", "j", F.col("v").alias("_b")), ["i", "j"], "full").na.fill(0.0)
+    t = F.col("frame") / steps
+    return both.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(steps)))).select("frame", "i", "j", ((1 - t) * F.col("_a") + t * F.col("_b")).alias("v"))
+
+
+def weighted_max(matrices: DataFrame, count: int) -> DataFrame:
+    """Greatest weighted value of ``count`` matrices (which, i, j, v, weight); a cell missing in any is absent (X-03)."""
+    cells = matrices.groupBy("i", "j").agg(F.count("v").alias("_n"), F.max(F.col("v") * F.col("weight")).alias("v"))
+    return cells.where(F.col("_n") == count).drop("_n")
+
+
+def missing_share(m: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Percentage of cells of a rows x columns grid without a value (X-08)."""
+    return m.agg((100 - F.count("v") * 100.0 / (rows * columns)).alias("percent_missing"))
+
+
+def fill_coordinates(m: DataFrame, length: int) -> DataFrame:
+    """Cells and the whole diagonal of a square of ``length``, values of the added ones null (X-09, J-14)."""
+    line = m.sparkSession.range(length).select(F.col("id").alias("i"), F.col("id").alias("j"))
+    return m.join(line, ["i", "j"], "full").groupBy("i", "j").agg(F.avg("v").alias("v"))
+
+
+def fst(calls: DataFrame, site: str, population: str, genotype: str) -> DataFrame:
+    """Divergence and Fst of each pair of populations from allele frequencies, averaged over sites that both have (M-16)."""
+    f = calls.groupBy(site, population).agg(F.avg(genotype).alias("p"))
+    one, two = (f.select(site, F.col(population).alias(f"pop{k}"), F.col("p").alias(f"p{k}")) for k in (1, 2))
+    both = one.join(two, site).where("pop1 < pop2")
+    p1, p2 = F.col("p1"), F.col("p2")
+    between = p1 * (1 - p2) + p2 * (1 - p1)
+    within = (2 * p1 * (1 - p1) + 2 * p2 * (1 - p2)) / 2
+    g = both.groupBy("pop1", "pop2").agg(F.count("*").alias("n_sites"), F.avg(between).alias("divergence"), F.avg(within).alias("_within"))
+    return g.withColumn("fst", 1 - F.try_divide(F.col("_within"), F.col("divergence"))).drop("_within")
+
+
+def standardised(m: DataFrame) -> DataFrame:
+    """Each column with mean 0 and population deviation 1, constant ones 0 (M-13)."""
+    s = m.groupBy("j").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    return m.join(s, "j").select("i", "j", F.coalesce(F.try_divide(F.col("v") - F.col("_m"), F.col("_s")), F.lit(0.0)).alias("v"))
+
+
+def density_grid(points: DataFrame, x: str, y: str, cells: int, bandwidth: float) -> DataFrame:
+    """Gaussian density of points on a grid of cells x cells over [0, 1], scaled to 0..1 (M-14).
+
+    Points are first counted on a lattice ten times as fine, so a grid cell meets lattice cells within four bandwidths only.
+    """
+    fine = cells * 10
+    at = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0 - 1e-12)) * fine)
+    lattice = points.groupBy(at(x).alias("a"), at(y).alias("b")).agg(F.count("*").alias("n"))
+    reach = 4 * bandwidth
+    place = lambda c: (F.col(c) + 0.5) / fine
+    near = lambda c: F.sequence(F.greatest(F.floor((place(c) - reach) * cells), F.lit(0)), F.least(F.floor((place(c) + reach) * cells), F.lit(cells - 1)))
+    spread = lattice.withColumn("gx", F.explode(near("a"))).withColumn("gy", F.explode(near("b")))
+    d = ((F.col("gx") + 0.5) / cells - place("a")) ** 2 + ((F.col("gy") + 0.5) / cells - place("b")) ** 2
+    grid = spread.groupBy("gx", "gy").agg(F.sum(F.col("n") * F.exp(-d / (2 * bandwidth**2))).alias("_d"))
+    every = Window.partitionBy()  # cells x cells rows at most
+    return grid.select("gx", "gy", F.try_divide(F.col("_d") - F.min("_d").over(every), F.max("_d").over(every) - F.min("_d").over(every)).alias("density"))

@@ -38,12 +38,13 @@ def between_group_variance(scores: DataFrame, site: str, group: str, value: str)
 
 def scale_within(df: DataFrame, keys: list[str], value: str, method: str) -> DataFrame:
     """Adds ``scaled``: minmax, robust (median and quartiles, a zero range counts as 1) or sign (W-03)."""
-    v, w = F.col(value), Window.partitionBy(*keys)
+    v = F.col(value)
     if method == "sign":
         return df.withColumn("scaled", F.signum(v))
     if method == "minmax":
-        low, high = F.min(v).over(w), F.max(v).over(w)
-        return df.withColumn("scaled", F.try_divide(v - low, high - low))
+        ends = df.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))  # partial sums first: a hot key is no group
+        scaled = F.try_divide(v - F.col("_low"), F.col("_high") - F.col("_low"))
+        return df.join(ends, keys).withColumn("scaled", scaled).drop("_low", "_high")
     q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
     spread = F.coalesce(F.nullif(F.col("_q")[2] - F.col("_q")[0], F.lit(0.0)), F.lit(1.0))
     return df.join(q, keys).withColumn("scaled", (v - F.col("_q")[1]) / spread).drop("_q")

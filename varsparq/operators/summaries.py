@@ -171,3 +171,35 @@ def class_sources(frames: dict[str, DataFrame], label: str, columns: list[str],
         part = df.select(F.lower(label).alias("class"), F.lit(name).alias("source"))
         rows = part if rows is None else rows.unionByName(part)
     return rows.where(F.col("class") != dropped).groupBy(F.initcap("class").alias("class")).agg(*(F.count_if(F.col("source") == c).alias(c) for c in columns))
+
+
+def benchmark_rows(scores: DataFrame, sites: DataFrame, site: str, is_reference: str, value: str, label: str, labels: dict[str, int]) -> DataFrame:
+    """site, y, grp, v: mean score of reference and other samples of each labelled site that has both (M-06)."""
+    both = scores.groupBy(site).agg((F.max(is_reference) & ~F.min(is_reference)).alias("_both")).where("_both").select(site)
+    table = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
+    known = sites.select(site, table[F.col(label)].alias("y")).where("y is not null")
+    group = F.when(F.col(is_reference), "REF").otherwise("non-REF").alias("grp")
+    return scores.join(both, site, "left_semi").groupBy(site, group).agg(F.avg(value).alias("v")).join(known, site).select(site, "y", "grp", "v")
+
+
+def distance_to_mean(df: DataFrame, key: str, bin_: str, group: str, vector: str) -> DataFrame:
+    """Mean and deviation, by bin and group, of the cosine distance of vectors to the mean vector of their bin (M-18)."""
+    cells = df.select(key, bin_, group, F.posexplode(vector).alias("_k", "_v"))
+    mean = cells.groupBy(bin_, "_k").agg(F.avg("_v").alias("_m"))
+    sums = cells.join(mean, [bin_, "_k"]).groupBy(key, bin_, group).agg(F.sum(F.col("_v") * F.col("_m")).alias("_vm"), F.sum(F.col("_v") ** 2).alias("_vv"), F.sum(F.col("_m") ** 2).alias("_mm"))
+    d = 1 - F.try_divide(F.col("_vm"), F.sqrt("_vv") * F.sqrt("_mm"))
+    return sums.withColumn("_d", d).groupBy(bin_, group).agg(F.avg("_d").alias("mean"), F.stddev_samp("_d").alias("sd"))
+
+
+def concatenated(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """The values of each key in order, as one array: the parts of a site's track (K-07). A track is one row by its nature."""
+    told = F.array_sort(F.collect_list(F.struct(*order, value)))
+    return df.groupBy(key).agg(F.transform(told, lambda x: x[value]).alias("track"))
+
+
+def range_bins(df: DataFrame, group: str, value: str, bins: int) -> DataFrame:
+    """Counts by group and by ``bins`` equal parts of the range of all values."""
+    low, high = df.agg(F.min(value), F.max(value)).first()  # two numbers
+    width = ((high or 0) - (low or 0)) / bins or 1.0
+    at = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("long")
+    return df.groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"))

@@ -72,8 +72,8 @@ def _(t: Tables) -> DataFrame:
     return relational.filter_sites(indexed, {"sample": [1, 2, 3, 5, 8], "n": 20, "day": "-1[02]-"}).select("row_idx", "region_idx", "sample")
 
 
-query("p11_multi_label", "SELECT p_partkey FROM part WHERE (p_brand IN ('Brand#1', 'Brand#2') OR p_type IN ('SMALL') OR p_size IN (1, 2)) AND p_name IN (SELECT p_name FROM part WHERE p_partkey < 9)")(
-    lambda t: t.part.where(F.col("p_brand").isin("Brand#1", "Brand#2") | F.col("p_type").isin("SMALL") | F.col("p_size").isin(1, 2)).join(t.part.where("p_partkey < 9").select("p_name").distinct(), "p_name", "left_semi").select("p_partkey")
+query("p11_multi_label", "SELECT p_partkey FROM part WHERE (p_brand IN ('Brand#1', 'Brand#2') OR p_type IN ('SMALL') OR p_size IN (1, 2)) AND p_name IN (SELECT p_name FROM part WHERE p_size = 3)")(
+    lambda t: t.part.where(F.col("p_brand").isin("Brand#1", "Brand#2") | F.col("p_type").isin("SMALL") | F.col("p_size").isin(1, 2)).join(t.part.where("p_size = 3").select("p_name").distinct(), "p_name", "left_semi").select("p_partkey")
 )
 query("p12_contains", VCF + "SELECT id, coalesce(contains(lower(CASE WHEN id % 9 > 0 THEN clinsig END), 'small'), false) AS hit FROM vcf")(
     lambda t: records(t).select("id", T.contains_any_case(F.when(F.col("id") % 9 > 0, F.col("clinsig")), "SMALL").alias("hit"))
@@ -119,8 +119,8 @@ query("j01_variant_key_join", _TWO + "SELECT id, alt, gene FROM a JOIN b USING (
 query("j02_merge_report", _TWO + "SELECT chrom, count(*) AS n, count(gene) AS merged, round(count(gene) / count(*), 6) AS rate FROM a LEFT JOIN b USING (chrom, pos, ref, alt) GROUP BY chrom")(
     lambda t: relational.merge_report(_left(t).join(_right(t), ["chrom", "pos", "ref", "alt"], "left"), ["chrom"], "gene").withColumn("rate", r6("rate"))
 )
-query("j04_right_join", "x AS (SELECT n_name AS population, n_regionkey * 10.5 AS lat FROM nation WHERE n_nationkey % 2 = 0) SELECT sample, population, lat FROM x RIGHT JOIN meta USING (population)")(
-    lambda t: t.nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("population"), (F.col("n_regionkey") * 10.5).alias("lat")).join(t.meta, "population", "right").select("sample", "population", "lat")
+query("j04_right_join", "x AS (SELECT n_name AS population, n_regionkey * 10.5 AS lat FROM nation WHERE n_regionkey <> 1) SELECT sample, population, lat FROM x RIGHT JOIN meta USING (population)")(
+    lambda t: t.nation.where("n_regionkey <> 1").select(F.col("n_name").alias("population"), (F.col("n_regionkey") * 10.5).alias("lat")).join(t.meta, "population", "right").select("sample", "population", "lat")
 )
 query("j05_pedigree_join", "SELECT c_custkey, n_name AS population FROM customer JOIN nation ON c_nationkey = n_nationkey")(lambda t: t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("population")))
 query("j08_exon_lookup", """x AS (SELECT p_partkey AS id, p_partkey % 25 AS g, p_size AS s, p_size + 1 AS e FROM part), y AS (SELECT s_nationkey AS g, s_suppkey % 60 AS s, s_suppkey % 60 + 2 AS e, s_suppkey % 7 AS exon FROM supplier),
@@ -139,8 +139,8 @@ SELECT DISTINCT least(one.id, two.id) AS u, greatest(one.id, two.id) AS w, conta
         t.supplier.select(F.col("s_suppkey").alias("contact"), F.col("s_nationkey").cast("long").alias("g"), (F.col("s_suppkey") % 40).alias("a1_start"), (F.col("s_suppkey") % 40 + 5).alias("a1_end"), (F.col("s_suppkey") * 7 % 40).alias("a2_start"), (F.col("s_suppkey") * 7 % 40 + 5).alias("a2_end")), ["g"], 8,
     )
 )
-query("j14_diagonal", "x AS (SELECT p_size AS i, p_partkey % 50 AS j, count(*) AS v FROM part WHERE p_partkey % 3 > 0 GROUP BY ALL), d AS (SELECT range AS i, range AS j FROM range(60)) SELECT i::BIGINT AS i, j::BIGINT AS j, v FROM x FULL JOIN d USING (i, j)")(
-    lambda t: t.part.where("p_partkey % 3 > 0").groupBy(F.col("p_size").cast("long").alias("i"), (F.col("p_partkey") % 50).alias("j")).agg(F.count("*").alias("v")).join(t.spark.range(60).select(F.col("id").alias("i"), F.col("id").alias("j")), ["i", "j"], "full")
+query("j14_diagonal", "x AS (SELECT p_size AS i, p_partkey % 50 AS j, count(*) AS v FROM part WHERE p_size > 10 GROUP BY ALL), d AS (SELECT range AS i, range AS j FROM range(60)) SELECT i::BIGINT AS i, j::BIGINT AS j, v FROM x FULL JOIN d USING (i, j)")(
+    lambda t: t.part.where("p_size > 10").groupBy(F.col("p_size").cast("long").alias("i"), (F.col("p_partkey") % 50).alias("j")).agg(F.count("*").alias("v")).join(t.spark.range(60).select(F.col("id").alias("i"), F.col("id").alias("j")), ["i", "j"], "full")
 )
 query("j16_top_mappings", """x AS (SELECT site, gene, row_number() OVER (PARTITION BY clinsig ORDER BY price DESC, site) AS r, clinsig FROM sites WHERE starts_with(gene, 'Brand#1'))
 SELECT l_orderkey, l_linenumber, p_type AS clinsig, gene FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN (SELECT * FROM x WHERE r <= 2) x ON x.clinsig = p_type""")(
