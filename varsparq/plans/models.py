@@ -22,13 +22,12 @@ def _pairs(t: Tables) -> DataFrame:
     return both.withColumns({"r": F.transform("u", F.exp), "s": F.transform("w", F.exp)})
 
 
-_R, _S, _U, _W = map(F.col, "rsuw")
 query("f17_fold_change", _PAIR + """SELECT a, round(ln(avg(s) + 0.001) - ln(avg(r) + 0.001), 6) AS rnaseq, round(log2((sum(s) + 1) / (sum(r) + 1)), 6) AS atac, round(max(abs(s - r)), 6) AS splice_sites,
 round(avg(abs(s - r)), 6) AS contact_maps, round(max(abs(ln(s + 1) - ln(r + 1))), 6) AS splice_junctions FROM c GROUP BY a""")(
-    lambda t: _pairs(t).select("a", *(r6(M.fold_change(_R, _S, m)).alias(m) for m in ("rnaseq", "atac", "splice_sites", "contact_maps", "splice_junctions")))
+    lambda t: _pairs(t).select("a", *(r6(M.fold_change(F.col("r"), F.col("s"), m)).alias(m) for m in ("rnaseq", "atac", "splice_sites", "contact_maps", "splice_junctions")))
 )
 query("f17_centre_mask", _PAIR + "SELECT a, round(log2((sum(s) + 1) / (sum(r) + 1)), 6) AS f FROM c WHERE k >= n // 2 - 5 AND k < n // 2 + 6 GROUP BY a")(
-    lambda t: _pairs(t).select("a", r6(M.log2_ratio(M._sum(M.around_centre(_R, 11)), M._sum(M.around_centre(_S, 11)), 1.0)).alias("f"))
+    lambda t: _pairs(t).select("a", r6(M.log2_ratio(M._sum(M.around_centre(F.col("r"), 11)), M._sum(M.around_centre(F.col("s"), 11)), 1.0)).alias("f"))
 )
 query("f20_modality_metrics", _PAIR + """, m AS (SELECT a, k % 2 AS modality, ln(avg(s) + 0.001) - ln(avg(r) + 0.001) AS lfc, max(abs(log2((s + 1e-6) / (r + 1e-6)))) AS covr FROM c GROUP BY ALL)
 SELECT a, modality, round(lfc, 6) AS lfc, round(covr, 6) AS covr FROM m""")(lambda t: _modalities(t).select("a", "modality", r6("lfc").alias("lfc"), r6("covr").alias("covr")))
@@ -41,30 +40,30 @@ SELECT a, round(avg(lfc), 6) AS lfc_mean, round(max(lfc), 6) AS lfc_max, round(s
 def _modalities(t: Tables) -> DataFrame:
     """lfc and covr of each pair and modality; even bins play one modality, odd ones another."""
     part = lambda c, k: F.filter(c, lambda _, i: i % 2 == k)
-    told = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("modality"), part(_R, k).alias("r"), part(_S, k).alias("s")) for k in (0, 1))))
+    told = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("modality"), part(F.col("r"), k).alias("r"), part(F.col("s"), k).alias("s")) for k in (0, 1))))
     rows = _pairs(t).select("a", told.alias("m")).select("a", "m.*")
-    return rows.select("a", "modality", M.fold_change(_R, _S, "rnaseq").alias("lfc"), M.covr(_R, _S).alias("covr"))
+    return rows.select("a", "modality", M.fold_change(F.col("r"), F.col("s"), "rnaseq").alias("lfc"), M.covr(F.col("r"), F.col("s")).alias("covr"))
 
 
 query("f22_element_effects", _PAIR + "SELECT a, list(round(s - r, 6) ORDER BY k) AS delta, list(round(log2((s + 1e-6) / (r + 1e-6)), 6) ORDER BY k) AS ratio FROM c GROUP BY a")(
-    lambda t: _pairs(t).select("a", *(F.transform(M.element_effects(_R, _S, how), lambda x: F.round(x, 6)).alias(n) for how, n in (("delta", "delta"), ("log2_ratio", "ratio"))))
+    lambda t: _pairs(t).select("a", *(F.transform(M.element_effects(F.col("r"), F.col("s"), how), lambda x: F.round(x, 6)).alias(n) for how, n in (("delta", "delta"), ("log2_ratio", "ratio"))))
 )
-query("f23_effects_of_rows", _PAIR + "SELECT a, round(avg(abs(log2((s + 1e-6) / (r + 1e-6)))), 6) AS effect FROM c GROUP BY a")(lambda t: _pairs(t).select("a", r6(M._mean(M.element_effects(_R, _S, "log2_ratio", as_abs=True))).alias("effect")))
+query("f23_effects_of_rows", _PAIR + "SELECT a, round(avg(abs(log2((s + 1e-6) / (r + 1e-6)))), 6) AS effect FROM c GROUP BY a")(lambda t: _pairs(t).select("a", r6(M._mean(M.element_effects(F.col("r"), F.col("s"), "log2_ratio", as_abs=True))).alias("effect")))
 _PQ = _PAIR + ", q AS (SELECT a, avg(1 / (1 + exp(-u))) AS p, avg(1 / (1 + exp(-w))) AS q FROM c GROUP BY a) SELECT a, round("
-query("f26_kl_pointwise", _PQ + "q * (ln(q) - p), 6) AS kl FROM q")(lambda t: _pairs(t).select("a", r6(M.kl_pointwise(_U, _W)).alias("kl")))
-query("f27_js_pointwise", _PQ + "((p + q) / 2 * (ln((p + q) / 2) - p) + (p + q) / 2 * (ln((p + q) / 2) - q)) / 2, 6) AS js FROM q")(lambda t: _pairs(t).select("a", r6(M.js_pointwise(_U, _W)).alias("js")))
-query("f28_probability_difference", _PQ + "q - p, 6) AS d FROM q")(lambda t: _pairs(t).select("a", r6(M.probability_difference(_U, _W)).alias("d")))
-query("f30_log_ratio_mean", _PAIR + "SELECT a, round(avg(ln(s / r)), 6) AS v FROM c GROUP BY a")(lambda t: _pairs(t).select("a", r6(M.log_ratio_mean(_R, _S)).alias("v")))
+query("f26_kl_pointwise", _PQ + "q * (ln(q) - p), 6) AS kl FROM q")(lambda t: _pairs(t).select("a", r6(M.kl_pointwise(F.col("u"), F.col("w"))).alias("kl")))
+query("f27_js_pointwise", _PQ + "((p + q) / 2 * (ln((p + q) / 2) - p) + (p + q) / 2 * (ln((p + q) / 2) - q)) / 2, 6) AS js FROM q")(lambda t: _pairs(t).select("a", r6(M.js_pointwise(F.col("u"), F.col("w"))).alias("js")))
+query("f28_probability_difference", _PQ + "q - p, 6) AS d FROM q")(lambda t: _pairs(t).select("a", r6(M.probability_difference(F.col("u"), F.col("w"))).alias("d")))
+query("f30_log_ratio_mean", _PAIR + "SELECT a, round(avg(ln(s / r)), 6) AS v FROM c GROUP BY a")(lambda t: _pairs(t).select("a", r6(M.log_ratio_mean(F.col("r"), F.col("s"))).alias("v")))
 query("f31_score_difference", "SELECT l_orderkey, site, ploid, round(alt - ref, 6) AS d FROM scores")(lambda t: t.scores.select("l_orderkey", "site", "ploid", r6(F.col("alt") - F.col("ref")).alias("d")))
 _ENT = """, v AS (SELECT a, 1 AS scale, k AS k, u AS v FROM c UNION ALL SELECT a, q, k // q, avg(u) FROM c, (SELECT unnest([2, 3]) AS q) WHERE k < n // q * q GROUP BY a, q, k // q),
 p AS (SELECT a, scale, exp(v) / sum(exp(v)) OVER (PARTITION BY a, scale) AS p FROM v), h AS (SELECT a, scale, -sum(p * ln(p + 1e-8)) AS h FROM p GROUP BY ALL)
 """
-query("f33_multiscale_entropy", _PAIR + _ENT + "SELECT a, list(round(h, 6) ORDER BY scale) AS h FROM h GROUP BY a")(lambda t: _pairs(t).select("a", F.transform(M.multiscale_entropy(_U), lambda x: F.round(x, 6)).alias("h")))
+query("f33_multiscale_entropy", _PAIR + _ENT + "SELECT a, list(round(h, 6) ORDER BY scale) AS h FROM h GROUP BY a")(lambda t: _pairs(t).select("a", F.transform(M.multiscale_entropy(F.col("u")), lambda x: F.round(x, 6)).alias("h")))
 query("f34_complexity_index", _PAIR + _ENT + "SELECT a, round(max(h) FILTER (scale = 2) + (max(h) FILTER (scale = 1) + max(h) FILTER (scale = 3)) / 2, 6) AS ci FROM h GROUP BY a")(
-    lambda t: _pairs(t).withColumn("h", M.multiscale_entropy(_U)).select("a", r6(M.complexity_index(F.col("h"))).alias("ci"))
+    lambda t: _pairs(t).withColumn("h", M.multiscale_entropy(F.col("u"))).select("a", r6(M.complexity_index(F.col("h"))).alias("ci"))
 )
-query("f35_mad", _PAIR + ", m AS (SELECT a, median(u) AS m FROM c GROUP BY a) SELECT a, round(median(abs(u - m)), 6) AS mad FROM c JOIN m USING (a) GROUP BY a")(lambda t: _pairs(t).select("a", r6(M.median_absolute_deviation(_U)).alias("mad")))
-query("f36_deviation", _PAIR + "SELECT a, round(stddev_samp(u), 6) AS sd, round(stddev_pop(u), 6) AS sd_pop FROM c GROUP BY a")(lambda t: _pairs(t).select("a", r6(M.deviation(_U)).alias("sd"), r6(M.deviation(_U, False)).alias("sd_pop")))
+query("f35_mad", _PAIR + ", m AS (SELECT a, median(u) AS m FROM c GROUP BY a) SELECT a, round(median(abs(u - m)), 6) AS mad FROM c JOIN m USING (a) GROUP BY a")(lambda t: _pairs(t).select("a", r6(M.median_absolute_deviation(F.col("u"))).alias("mad")))
+query("f36_deviation", _PAIR + "SELECT a, round(stddev_samp(u), 6) AS sd, round(stddev_pop(u), 6) AS sd_pop FROM c GROUP BY a")(lambda t: _pairs(t).select("a", r6(M.deviation(F.col("u"))).alias("sd"), r6(M.deviation(F.col("u"), False)).alias("sd_pop")))
 query("f37_nonzero_mean", "SELECT l_partkey, round(avg(nullif(l_discount, 0)), 6) AS m FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_partkey").agg(r6(M.nonzero_mean(F.col("l_discount"))).alias("m")))
 query("f38_splice_gain_loss", "SELECT l_orderkey, l_linenumber, round((l_discount - l_tax) * (1 - l_linenumber % 2), 6) AS acceptor_gain, round(-(l_discount - l_tax) * (l_linenumber % 2), 6) AS acceptor_loss, round(l_tax - l_discount, 6) AS donor_gain, round(l_discount - l_tax, 6) AS donor_loss FROM lineitem")(
     lambda t: t.lineitem.select("l_orderkey", "l_linenumber", *(r6(c).alias(n) for n, c in M.splice_gain_loss({"acceptor": F.col("l_tax"), "donor": F.col("l_discount")}, {"acceptor": F.col("l_discount"), "donor": F.col("l_tax")}, {"acceptor": F.col("l_linenumber") % 2}).items()))
