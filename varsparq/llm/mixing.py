@@ -4,9 +4,10 @@ A naive Bayes classifier, trained on the labelled table, gives each document pos
 toxic and ordinary. Projected-gradient least squares then fits a nonnegative rate for each document so that the expected
 tokens of each domain, sum of rate * tokens * posterior, match the targets. Documents with equal posteriors keep equal
 rates, so the steps run over one row for each distinct posterior: the product of the numbers of bins at most (400).
-A step takes from a rate the posterior-weighted errors of the domains, each error in proportion to the curvature of its
-domain, and clips at 0; starting rates are 1. The length of a step is the spectral one (of the last change of rates and
-gradients), or a safe one where that would not bring the errors down. Rates are a column of the small table, written once
+A step takes from a rate the posterior-weighted errors of the domains, scaled by the curvature of the rates above 0 (a
+projected gradient step in the metric of the errors), and clips at 0; starting rates are 1. A step after which the errors
+are not smaller is taken back for a shorter one, in the end for a plain gradient step of safe length.
+Rates are a column of the small table, written once
 a step. Where targets are out of reach, the rates are those of least error, and a warning tells what is left.
 
 Defined cases: null and empty texts have no tokens, posteriors by their (empty) features, and a rate like any other;
@@ -121,6 +122,18 @@ def _posterior(domain: str) -> Column:
     return F.col(f"_{domain}") / sum((F.col(f"_{d}") for d in DOMAINS), F.lit(0))
 
 
+def _solve(matrix: list[list[float]], values: list[float]) -> list[float]:
+    """Solution of a small symmetric system, a trace of it added to the diagonal so that there is one."""
+    n, ridge = len(values), 1e-9 * sum(row[i] for i, row in enumerate(matrix)) + 1e-12
+    rows = [[*(x + ridge * (i == k) for k, x in enumerate(row)), values[i]] for i, row in enumerate(matrix)]
+    for i in range(n):
+        for k in range(n):
+            if k != i:
+                part = rows[k][i] / rows[i][i]
+                rows[k] = [x - part * y for x, y in zip(rows[k], rows[i], strict=True)]
+    return [row[-1] / row[i] for i, row in enumerate(rows)]
+
+
 @dataclass
 class Fit:
     """rates: DOMAINS (posteriors) and rate of each group. errors: what is left of each target, in proportion to it."""
@@ -137,7 +150,7 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float
     """
     keys = [f"_{d}" for d in DOMAINS]
     groups = scored.groupBy(*keys).agg(F.coalesce(F.sum("_tokens"), F.lit(0)).cast("double").alias("_mass"))
-    groups = groups.withColumns({"_p": F.struct(*(_posterior(d).alias(d) for d in DOMAINS)), "_moved": F.lit(0.0), "rate": F.lit(1.0)})
+    groups = groups.withColumns({"_p": F.struct(*(_posterior(d).alias(d) for d in DOMAINS)), "rate": F.lit(1.0)})
     held = materialise(groups.coalesce(1), "mix-groups")  # a row for each combination of bins, some 400 at most
     part = {d: F.col(f"_p.{d}") for d in DOMAINS}
     mass = F.col("_mass")
@@ -150,26 +163,30 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float
     total = total_tokens or first[lead] / share[lead]
     target = {d: total * share[d] for d in domains}
     own = {d: max(first[f"{d}-own"], 1e-12) for d in domains}
-    safe = 1 / len(domains)  # the curvature of the scaled problem is at most the number of domains
-    best, old, length, stale = (math.inf, {}, held), None, safe, 0
+    pairs = [(a, b) for a in domains for b in domains]
+    best, part_of_step, plain, stale = (math.inf, {}, held, [], []), 1.0, False, 0
     for step in range(iterations + 1):
-        sums = held.agg(*(F.sum(mass * F.col("rate") * part[d]).alias(d) for d in domains), F.sum(mass * F.col("_moved") * F.col("_moved")).alias("moved")).first()
-        error = {d: sums[d] - target[d] for d in domains}
-        size = sum(error[d] ** 2 / own[d] for d in domains)
-        left = {d: error[d] / target[d] for d in domains}
+        moving = mass * (F.col("rate") > 0).cast("double")
+        sums = held.agg(*(F.sum(mass * F.col("rate") * part[d]) for d in domains), *(F.sum(moving * part[a] * part[b]) for a, b in pairs)).first()
+        n = len(domains)
+        error = [x - target[d] for x, d in zip(sums[:n], domains, strict=True)]
+        size = sum(e**2 / own[d] for e, d in zip(error, domains, strict=True))
         stale = 0 if size < best[0] * (1 - 1e-6) else stale + 1
         if size < best[0]:
-            best = size, left, held
+            curvature = [list(sums[n * (i + 1) : n * (i + 2)]) for i in range(n)]
+            best = size, {d: e / target[d] for d, e in zip(domains, error, strict=True)}, held, error, curvature
+            part_of_step, plain = min(1.0, 2 * part_of_step), False
+        else:  # the step is taken back for a shorter one, in the end for a plain one
+            part_of_step /= 4
+            if part_of_step < 0.05:
+                part_of_step, plain = 1.0, True
+        _, left, held, error, curvature = best
         if all(abs(e) <= tolerance for e in left.values()) or stale > 12 or step == iterations:
             break
-        if old:
-            change = sum((error[d] - old[d]) ** 2 / own[d] for d in domains)
-            length = sums["moved"] / change if change > 0 and stale < 6 else safe
-        old = error
-        gradient = sum((part[d] * (error[d] / own[d]) for d in domains), F.lit(0.0))
-        new = F.greatest(F.lit(0.0), F.col("rate") - length * gradient)
-        held = materialise(held.select(*keys, "_mass", "_p", (new - F.col("rate")).alias("_moved"), new.alias("rate")).coalesce(1), "mix-groups")
-    _, left, held = best
+        direction = [e / own[d] / n for e, d in zip(error, domains, strict=True)] if plain else [x * part_of_step for x in _solve(curvature, error)]
+        gradient = sum((part[d] * x for d, x in zip(domains, direction, strict=True)), F.lit(0.0))
+        new = F.greatest(F.lit(0.0), F.col("rate") - gradient)
+        held = materialise(held.select(*keys, "_mass", "_p", new.alias("rate")).coalesce(1), "mix-groups")
     if any(abs(e) > tolerance for e in left.values()):
         warnings.warn(f"rates miss their targets by these shares after {step} steps: " + ", ".join(f"{d} {e:+.2%}" for d, e in left.items()), stacklevel=2)
     return Fit(held.select(*keys, "rate"), left, step)
