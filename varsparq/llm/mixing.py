@@ -171,7 +171,7 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float
         n = len(domains)
         error = [x - target[d] for x, d in zip(sums[:n], domains, strict=True)]
         size = sum(e**2 / own[d] for e, d in zip(error, domains, strict=True))
-        stale = 0 if size < best[0] * (1 - 1e-6) else stale + 1
+        stale = 0 if size < best[0] * (1 - 1e-3) else stale + 1
         if size < best[0]:
             curvature = [list(sums[n * (i + 1) : n * (i + 2)]) for i in range(n)]
             best = size, {d: e / target[d] for d, e in zip(domains, error, strict=True)}, held, error, curvature
