@@ -264,7 +264,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """The rows of ``docs`` of which one stays for each group, with all columns. Of rows with one doc_id the first by text stays."""
     found = near_duplicates(docs, words, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
     found = materialise(found, "kept")
-    ids = lambda some: found.where(some).select("doc_id")
+    # joined by shuffle at every size, as ids grow with the documents; both joins read one shuffle of them
+    ids = lambda some: found.where(some).select("doc_id").hint("merge")
     single = docs.join(ids("rows = 1"), "doc_id", "left_semi")
     several = docs.join(ids("rows > 1"), "doc_id", "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     order = F.struct(F.col("row.text").isNull(), "row.text", F.xxhash64("row"))
