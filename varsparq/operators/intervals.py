@@ -75,6 +75,16 @@ def liftover(rows: DataFrame, chain: DataFrame, pos: str, name: str, bin_size: i
     return found.select(*rows.columns, F.coalesce(F.col(pos) + F.col("shift"), F.col(pos)).alias(name), F.col("shift").isNotNull().alias("lifted"))
 
 
+def region_counts(points: DataFrame, regions: DataFrame, on: list[str], key: str, bin_size: int) -> DataFrame:
+    """n: points in each region, 0 where there are none (A-32). points: on, pos; regions: key, on, r_start, r_end, half-open.
+
+    Points of one position are counted before they meet regions.
+    """
+    counts = points.groupBy(*on, "pos").agg(F.count("*").alias("_n")).select(*on, F.col("pos").alias("l_start"), (F.col("pos") + 1).alias("l_end"), "_n")
+    found = interval_join(counts, regions, on, bin_size).groupBy(key).agg(F.sum("_n").alias("n"))
+    return regions.select(key).distinct().join(found, key, "left").na.fill(0, ["n"])
+
+
 def splice_regions(exons: DataFrame) -> DataFrame:
     """Eight regions of each exon (chrom, start, end, name, strand), mirrored on the - strand (H-17)."""
     s, e, plus = F.col("start"), F.col("end"), F.col("strand") == "+"

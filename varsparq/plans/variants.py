@@ -130,6 +130,13 @@ h AS (SELECT DISTINCT id, exon FROM x JOIN y ON x.g = y.g AND x.s < y.e AND y.s
         t.supplier.select(F.col("s_nationkey").cast("long").alias("g"), (F.col("s_suppkey") % 60).alias("r_start"), (F.col("s_suppkey") % 60 + 2).alias("r_end"), (F.col("s_suppkey") % 7).alias("exon")), ["g"], "id", ["exon"], 8,
     ).select("id", "exon")
 )
+query("a32_variants_per_region", """x AS (SELECT s_suppkey AS gene, s_suppkey % 7 + 1 AS c, s_suppkey AS s, s_suppkey + 20 AS e FROM supplier)
+SELECT gene, count(l_partkey) AS n FROM x LEFT JOIN lineitem ON l_linenumber = c AND l_partkey >= s AND l_partkey < e GROUP BY gene""")(
+    lambda t: intervals.region_counts(
+        t.lineitem.select(F.col("l_linenumber").cast("long").alias("c"), F.col("l_partkey").alias("pos")),
+        t.supplier.select(F.col("s_suppkey").alias("gene"), (F.col("s_suppkey") % 7 + 1).alias("c"), F.col("s_suppkey").alias("r_start"), (F.col("s_suppkey") + 20).alias("r_end")), ["c"], "gene", 32,
+    )
+)
 query("j10_anchor_pairs", """x AS (SELECT s_suppkey AS contact, s_nationkey AS g, s_suppkey % 40 AS a1, (s_suppkey * 7) % 40 AS a2 FROM supplier),
 v AS (SELECT p_partkey AS id, p_partkey % 25 AS g, p_size AS p FROM part),
 one AS (SELECT id, contact FROM v JOIN x ON v.g = x.g AND p >= a1 AND p < a1 + 5), two AS (SELECT id, contact FROM v JOIN x ON v.g = x.g AND p >= a2 AND p < a2 + 5)
