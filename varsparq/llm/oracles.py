@@ -60,4 +60,49 @@ def _url() -> str:
     return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"
 
 
-ORACLES: dict[str, str] = {"op2_minhash_near_dedup": _NEAR, "op5_url_filter": _url()}
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Rounds unrolled. Squared distances are whole numbers below 2^53, so inner products of doubles are exact."""
+    found = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"cut AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p))",
+        f"firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries})",
+        "books0 AS MATERIALIZED (SELECT p, e, x AS b FROM cut JOIN firsts USING (vec_id))",
+    ]
+    for k in range(rounds + 1):
+        distance = "list_inner_product(x, x) - 2 * list_inner_product(x, b) + list_inner_product(b, b)"
+        found.append(f"best{k} AS MATERIALIZED (SELECT vec_id, p, min(({distance})::BIGINT * {entries} + e) AS best FROM cut JOIN books{k} USING (p) GROUP BY vec_id, p)")
+        if k < rounds:
+            found.append(f"cells{k} AS (SELECT p, best % {entries} AS e, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM cut JOIN best{k} USING (vec_id, p))")
+            found.append(f"means{k} AS (SELECT p, e, i, floor(sum(x) / count(*)) AS m FROM cells{k} GROUP BY p, e, i)")
+            found.append(f"lists{k} AS (SELECT p, e, list(m ORDER BY i) AS b FROM means{k} GROUP BY p, e)")
+            found.append(f"books{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(l.b, o.b) AS b FROM books{k} o LEFT JOIN lists{k} l USING (p, e))")
+    found.append(f"""codes AS (SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM best{rounds} GROUP BY vec_id)""")
+    found.append(f"hashed AS (SELECT sha256(string_agg(array_to_string(list_transform(b, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books{rounds})")
+    return "WITH " + ",\n".join(found) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN codes USING (vec_id), hashed"
+
+
+_DIVERGENCE = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+found AS MATERIALIZED (SELECT d, lang, source, translate(unnest(w), '{_UPPER}', '{_LOWER}') AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM found JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, source, coalesce(n, 0) + 5 * coalesce(v, 0) AS size FROM groups
+  LEFT JOIN (SELECT lang, source, sum(c)::BIGINT AS n FROM counted GROUP BY ALL) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)),
+shares AS MATERIALIZED (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 5)) // size AS p
+  FROM sizes JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)),
+totals AS (SELECT lang, term, sum(c)::BIGINT AS c FROM counted GROUP BY lang, term),
+whole AS (SELECT lang, term, 1 + (1000000000 * (c + 5)) // ((sum(c) OVER l)::BIGINT + 5 * (count(*) OVER l)) AS q FROM totals WINDOW l AS (PARTITION BY lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash_near_dedup": _NEAR, "op5_url_filter": _url(), "op11_vector_codes": _vector_codes(), "op13_source_divergence": _DIVERGENCE}

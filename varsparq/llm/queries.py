@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators: each applies its operator to whole tables."""
+"""The registered queries of the operators: each applies its operator to whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varsparq.llm import ann, maintext, mixing, neardup, packing, quality, secretscan, tokenfiles, toxicity, urlfilter
+from varsparq.llm import ann, divergence, maintext, mixing, neardup, packing, quality, secretscan, tokencounts, tokenfiles, toxicity, urlfilter, vectorcodes
 from varsparq.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "MIX"]
@@ -63,7 +63,33 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_codes(_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), least=30, smooth=5, ranks=50)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_minhash_near_dedup, op3_mixing_rates, op4_best_fit_packing, op5_url_filter, op6_secret_scan, op7_toxicity, op8_nearest_neighbours, op9_token_files, op10_main_text)
+    for f in (
+        op1_quality_rules,
+        op2_minhash_near_dedup,
+        op3_mixing_rates,
+        op4_best_fit_packing,
+        op5_url_filter,
+        op6_secret_scan,
+        op7_toxicity,
+        op8_nearest_neighbours,
+        op9_token_files,
+        op10_main_text,
+        op11_vector_codes,
+        op12_token_counts,
+        op13_source_divergence,
+    )
 }
