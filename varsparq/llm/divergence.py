@@ -3,8 +3,8 @@
 Each task counts the terms of its documents in radix tries over UTF-8 bytes, one for each language, with a counter for each
 source at the leaves and the number of documents that hold the term. A trie that has grown to LEAVES leaves is handed on
 and a new one begun: tries merge, so where one ends doesn't matter. Leaves are dealt by ranges of (language, term); a range
-arrives in the order of a walk through its merged trie, so merging adds up neighbours and holds one leaf. Kept leaves
-travel in blocks of BLOCK, each a stretch of that walk.
+arrives in the order of a walk through its merged trie, so merging adds up neighbours: of a stretch, those in too few
+documents go first. Kept leaves travel in blocks of BLOCK, each a stretch of that walk.
 
 A block gives its share of every pair of sources, and candidates for the terms of each source in the order of the result
 (value falling, then bytes rising), of which a task hands on ``ranks`` for each source. Sources come in tiles of TILE;
@@ -19,18 +19,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varsparq.llm.shared import materialise, text_batches
 
-#: Leaves of a trie that is handed on, of a block, and sources of a tile.
-LEAVES, BLOCK, TILE = 200_000, 1024, 256
+#: Leaves of a trie that is handed on, of a block, sources of a tile, and leaves that are merged at once.
+LEAVES, BLOCK, TILE, ROWS = 200_000, 1024, 256, 50_000
 #: Letters, A-Z lower-cased, and all bytes above ASCII; all else parts terms.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 ONE = 10**9
@@ -48,7 +49,7 @@ class RadixTrie:
         self.root: list = [{}, None]
         self.leaves = 0
 
-    def leaf(self, term: bytes) -> Counter:
+    def leaf(self, term: bytes) -> dict:
         """The counters of a term, which is added if it is new."""
         node, at = self.root, 0
         while at < len(term):
@@ -69,11 +70,11 @@ class RadixTrie:
             node[0][term[at]] = (label[:same], middle)
             node, at = middle, at + same
         if node[1] is None:
-            node[1] = Counter()
+            node[1] = {}
             self.leaves += 1
         return node[1]
 
-    def walk(self) -> Iterator[tuple[bytes, Counter]]:
+    def walk(self) -> Iterator[tuple[bytes, dict]]:
         """Terms and counters in the order of bytes."""
         stack = [(b"", self.root)]
         while stack:
@@ -86,49 +87,67 @@ class RadixTrie:
 
     def merge(self, other: RadixTrie) -> None:
         for term, counters in other.walk():
-            self.leaf(term).update(counters)
+            own = self.leaf(term)
+            for name, n in counters.items():
+                own[name] = own.get(name, 0) + n
 
 
 _LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _LEAF_DDL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 
 
+def _leaf_rows(lang: str, trie: RadixTrie) -> Iterator[pa.RecordBatch]:
+    """The leaves of a trie as rows, in the order of bytes; the counter None is that of documents."""
+    walk, more = trie.walk(), True
+    while more:
+        terms, docs, ends, sources, counts = [], [], [0], [], []
+        for term, counters in islice(walk, 10_000):
+            terms.append(term)
+            docs.append(counters.pop(None))
+            sources.extend(counters)
+            counts.extend(counters.values())
+            ends.append(len(counts))
+        more = bool(terms)
+        if more:
+            ends = pa.array(ends, pa.int32())
+            flat = pa.ListArray.from_arrays(ends, pa.array(sources, pa.string())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64()), *flat], schema=_LEAF)
+
+
 def count_terms(docs: DataFrame) -> DataFrame:
     """Leaves of the tries of all tasks (lang, term, docs, sources, counts), and a row with a null term for the sources of a language."""
     text_batches(docs.sparkSession)
 
-    def leaves(tries: dict[str, RadixTrie], lang: str) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for term, counters in tries.pop(lang).walk():
-            docs = counters.pop(None)
-            rows.append((lang, term, docs, list(counters), list(counters.values())))
-            if len(rows) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LEAF, strict=True)], schema=_LEAF)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LEAF, strict=True)], schema=_LEAF)
-
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, RadixTrie] = {}
+        added: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         seen: dict[str, set[str]] = {}
-        for batch in it:
-            added: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, held = added.setdefault((lang, source), (Counter(), Counter()))
-                found = terms_of(text)
-                words.update(found)
-                held.update(set(found))
+
+        def into_tries() -> Iterator[pa.RecordBatch]:
             for (lang, source), (words, held) in added.items():
-                seen.setdefault(lang, set()).add(source)
                 trie = tries.setdefault(lang, RadixTrie())
                 for term, n in words.items():
                     counters = trie.leaf(term)
-                    counters[source] += n
-                    counters[None] += held[term]
+                    counters[source] = counters.get(source, 0) + n
+                    counters[None] = counters.get(None, 0) + held[term]
                 if trie.leaves >= LEAVES:
-                    yield from leaves(tries, lang)
-        for lang in list(tries):
-            yield from leaves(tries, lang)
+                    yield from _leaf_rows(lang, tries.pop(lang))
+            added.clear()
+
+        for batch in it:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, source) not in added:
+                    seen.setdefault(lang, set()).add(source)
+                    added[lang, source] = Counter(), Counter()
+                words, held = added[lang, source]
+                found = terms_of(text)
+                words.update(found)
+                held.update(set(found))
+            if sum(len(words) for words, _ in added.values()) >= LEAVES:  # counted flat until then
+                yield from into_tries()
+        yield from into_tries()
+        for lang, trie in tries.items():
+            yield from _leaf_rows(lang, trie)
         for lang, sources in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((lang, None, 0, sorted(sources), []), _LEAF, strict=True)], schema=_LEAF)
 
@@ -140,22 +159,44 @@ _BLOCK = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.binary())), ("e
 _BLOCK_DDL = "lang string, terms array<binary>, ends array<int>, sources array<string>, counts array<long>"
 
 
+def _frequent(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows of sorted leaves whose (lang, term) is in at least ``least`` documents; the last term of a stretch waits for the next one."""
+    held: list[pa.RecordBatch] = []
+
+    def kept(table: pa.Table, whole: bool) -> tuple[pa.Table, pa.Table]:
+        lang, term = (table.column(c).combine_chunks() for c in ("lang", "term"))
+        new = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+        firsts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        total = np.add.reduceat(table.column("docs").to_numpy(), firsts)
+        good = np.repeat(total >= least, np.diff(np.append(firsts, table.num_rows)))
+        last = table.num_rows if whole else int(firsts[-1])
+        good[last:] = False
+        return table.filter(pa.array(good)), table.slice(last)
+
+    for batch in it:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ROWS:
+            found, rest = kept(pa.Table.from_batches(held), False)
+            held = rest.combine_chunks().to_batches()
+            yield found
+    if sum(b.num_rows for b in held):
+        yield kept(pa.Table.from_batches(held), True)[0]
+
+
 def merge_tries(leaves: DataFrame, least: int) -> DataFrame:
     """Blocks of merged leaves in at least ``least`` documents: terms, and the counters of term k up to ends[k]."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in it:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for table in _frequent(it, least):
+            yield from zip(*(table.column(c).to_pylist() for c in ("lang", "term", "sources", "counts")), strict=True)
 
     def merged(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, dict[str, int]]]:
         for (lang, term), same in groupby(rows(it), itemgetter(0, 1)):
-            total, docs = Counter(), 0
-            for _, _, d, sources, counts in same:
-                docs += d
+            total: dict[str, int] = {}
+            for _, _, sources, counts in same:
                 for s, n in zip(sources, counts, strict=True):
-                    total[s] += n
-            if docs >= least:
-                yield lang, term, total
+                    total[s] = total.get(s, 0) + n
+            yield lang, term, total
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, own in groupby(merged(it), itemgetter(0)):
