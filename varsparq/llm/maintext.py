@@ -3,8 +3,11 @@
 Paragraphs pass points, for their length and commas, to their ancestors, fewer the farther; a container's points are
 discounted by the share of its text that is links. The best container is kept with all beside it but boilerplate and
 blocks of links, on its own level and on those above it up to the last that holds further paragraphs; an article or main
-element around it is taken whole. Elements that are never content (menus, forms, scripts,
-and those named as such by class, id or role) are dropped beforehand.
+element around it is taken whole. Elements that are never content (menus, forms, scripts) are dropped beforehand. A class,
+id or role that names such a thing drops an element too, unless the element holds so much of the page's text that the name
+must mean something else: nearly all of it where the name says nothing else (comments-list), more than a quarter where it
+does (cookie-recipe). Names that deny (no-sidebar, has-header) don't count, and those of content (post, article) make an
+element stay unless it is an advert or full of links.
 
 Defined cases: a null or empty page has an empty text. Unclosed and stray tags, comments and scripts are read as browsers
 do for the common cases (a paragraph ends where a block begins). A page without paragraphs gives the text of its body.
@@ -35,10 +38,17 @@ NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification "
     "outbrain pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe taboola toolbar widget alert complementary".split()
 )
+#: Words that turn a name into its opposite or say what else is there; words that say only where or how; words of content; words that outweigh those.
+DENIED = frozenset("no non not has have with without free".split())
+PLACES = frozenset("area bar block body bottom box button buttons class col column container content fixed full group holder inner item left link links list main outer panel region right row section site slot text title top unit wide wrap wrapper".split())
+CONTENT = frozenset("article content entry main post story".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising banner consent cookie cookies gdpr newsletter outbrain popup promo promoted promotion sponsor sponsored subscribe taboola".split())
+#: Shares of the page's text up to which a name decides: alone, and with other words beside it; share of links that settles it.
+ALONE, BESIDE, LINKED = 0.9, 0.25, 0.5
 _NAME, _STOP = re.compile(r"/?[a-zA-Z][^\s/>]*"), re.compile(r"[>\"']")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT, _CASE, _COMMENT = re.compile(r"[^a-z0-9]+"), re.compile(r"(?<=[a-z0-9])(?=[A-Z])"), re.compile(r"--!?>")
 #: Elements that a tag closes, and those that keep it from closing what is outside of them.
 _CLOSED = [
     ({"p"}, {"table", "button", "td", "th", "caption"}, CLOSES_P),
@@ -55,23 +65,45 @@ _BY_TAG = {t: [k for k, (_, _, by) in enumerate(_CLOSED) if t in by] for _, _, b
 
 
 class Node:
-    __slots__ = ("children", "commas", "drop", "holds", "links", "open", "parent", "score", "size", "tag")
+    __slots__ = ("children", "commas", "drop", "holds", "links", "named", "open", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []  # children: nodes and texts
         self.drop, self.score, self.size, self.links, self.commas = False, 0.0, 0, 0, 0
+        self.named = 0.0  # share of the page's text up to which its name drops it
         self.holds = tag in ("article", "main")  # itself or below
         self.open = (parent.open if parent is not None else 0) & ~_HIDES.get(tag, 0) | _OPENS.get(tag, 0)  # lines of _CLOSED open in scope
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _named(attributes: str) -> float:
+    """The share of a page's text up to which the names of an element drop it; 0 if they don't."""
+    found, content, alone, advert = False, False, False, False
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w for w in _SPLIT.split(_CASE.sub(" ", name).lower()) if w and not w.isdigit()]
+            if not DENIED.isdisjoint(words):
+                continue
+            content = content or not CONTENT.isdisjoint(words)
+            if not NAMED.isdisjoint(words):
+                found = True
+                alone = alone or all(w in NAMED or w in PLACES for w in words)
+                advert = advert or not ADVERTS.isdisjoint(words)
+    if not found:
+        return 0.0
+    return (BESIDE if advert else 0.0) if content else ALONE if alone else BESIDE
+
+
+def _boilerplate(tag: str, attributes: str) -> tuple[bool, float]:
+    """Whether an element is never content, and the share of text up to which it isn't because of its names."""
+    if tag == "form":
+        return False, ALONE  # some pages are a form as a whole
     if tag in DROPPED:
-        return True
+        return True, 0.0
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, 0.0
     if _HIDDEN.search(attributes):
-        return True
-    return any(w in NAMED for m in _NAMES.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+        return True, 0.0
+    return False, _named(attributes)
 
 
 class _Tags:
@@ -99,8 +131,11 @@ class _Tags:
         page = self.page
         while (start := page.find("<", at)) >= 0:
             if page.startswith("<!--", start):
-                close = page.find("-->", start + 4)
-                return start, "", "", close + 3 if close >= 0 else len(page)
+                for short in (">", "->"):
+                    if page.startswith(short, start + 4):
+                        return start, "", "", start + 4 + len(short)
+                close = _COMMENT.search(page, start + 4)
+                return start, "", "", close.end() if close else len(page)
             if page[start + 1 : start + 2] in ("!", "?"):
                 close = self.find(">", start)
                 if close >= 0:
@@ -141,7 +176,7 @@ def parse(page: str) -> Node:
                 if node.open >> k & 1:
                     node = leave(node, _CLOSED[k][0])
             child = Node(tag, node)
-            child.drop = _boilerplate(tag, attributes)
+            child.drop, child.named = _boilerplate(tag, attributes)
             node.children.append(child)
             if tag in RAW:
                 close = re.compile(f"</{tag}", re.I).search(page, at)
@@ -165,14 +200,29 @@ def _measure(root: Node) -> list[Node]:
         if any(c.holds for c in below):
             node.holds = True
             node.drop = node.drop and node.tag in DROPPED
-        if not node.drop:
-            own, below = [c for c in node.children if isinstance(c, str)], [c for c in below if not c.drop]
-            node.size = sum(len(c.strip()) for c in own) + sum(c.size for c in below)
-            node.commas = sum(c.count(",") for c in own) + sum(c.commas for c in below)
-            node.links = node.size if node.tag == "a" else sum(c.links for c in below)
+        _count(node, below)
+    total = max(root.size, 1)
+    within = {id(root): False}  # in an article or main
+    for node in order[1:]:
+        within[id(node)] = within[id(node.parent)] or node.tag in ("article", "main")
+        if node.named and not node.holds and node.size:
+            outside = root.holds and not within[id(node)]  # there is an article, and this isn't in it
+            linked = node.links >= LINKED * node.size and node.size < ALONE * total
+            node.drop = node.drop or outside or linked or node.size <= node.named * total
+    for node in reversed(order):
+        node.size = node.links = node.commas = 0
+        _count(node, [c for c in node.children if isinstance(c, Node)])
     return order
 
 
+def _count(node: Node, below: list[Node]) -> None:
+    if not node.drop:
+        own, below = [c for c in node.children if isinstance(c, str)], [c for c in below if not c.drop]
+        node.size = sum(len(c.strip()) for c in own) + sum(c.size for c in below)
+        node.commas = sum(c.count(",") for c in own) + sum(c.commas for c in below)
+        node.links = node.size if node.tag == "a" else sum(c.links for c in below)
+
+
 def _text(node: Node) -> str:
     out: list[str] = []
     todo: list[Node | str] = [node]
