@@ -10,6 +10,7 @@ documents of their own. Only documents longer than a sequence are cut. An empty
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -22,8 +23,6 @@ from varsparq.llm.tokens import collector_off, encoder
 
 #: Pieces of a shard, about. A shard ends with one sequence that is not full.
 SHARD = 20_000
-#: Local search looks at so many pieces of emptiest sequences at most.
-TRIES = 4_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFrame:
@@ -69,58 +68,133 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], size: int, tries: int = TRIES) -> list[list[int]]:
-    """Empty bins by moves and exchanges between underfull bins; every step increases the sum of squared fills."""
-    least = -(-int(lengths.sum()) // size)
+class _Groups:
+    """Bins by free room, with bit sets of the lengths of their pieces and of pairs of pieces, made anew for a group that changed."""
+
+    def __init__(self, lengths: list[int], held: list[set[int]], size: int) -> None:
+        self.lengths, self.held = lengths, held
+        self.free = [size - sum(lengths[i] for i in h) for h in held]
+        self.bins: dict[int, set[int]] = {}
+        self.bits = 0  # of rooms that bins have
+        self._sets: dict[int, tuple[int, int]] = {}
+        for k in range(len(held)):
+            self.add(k)
+
+    def add(self, k: int) -> None:
+        f = self.free[k]
+        if f and self.held[k]:
+            self.bins.setdefault(f, set()).add(k)
+            self.bits |= 1 << f
+            self._sets.pop(f, None)
+
+    def remove(self, k: int) -> None:
+        f = self.free[k]
+        if k in self.bins.get(f, ()):
+            self.bins[f].discard(k)
+            self._sets.pop(f, None)
+            if not self.bins[f]:
+                del self.bins[f]
+                self.bits &= ~(1 << f)
+
+    def sets(self, f: int) -> tuple[int, int]:
+        """(lengths of single pieces, sums of two pieces) of bins with room f."""
+        if f not in self._sets:
+            ones = twos = 0
+            for k in self.bins[f]:
+                seen = 0
+                for i in self.held[k]:
+                    twos |= seen << self.lengths[i]
+                    seen |= 1 << self.lengths[i]
+                ones |= seen
+            self._sets[f] = ones, twos
+        return self._sets[f]
+
+    def give(self, i: int, source: int, to: int) -> None:
+        self.held[source].discard(i)
+        self.held[to].add(i)
+        self.free[source] += self.lengths[i]
+        self.free[to] -= self.lengths[i]
+
+
+def _least_from(bits: int, least: int) -> int | None:
+    """The lowest bit set from ``least`` on."""
+    rest = bits >> least
+    return least + (rest & -rest).bit_length() - 1 if rest else None
+
+
+def _step(groups: _Groups, source: int) -> tuple[int, int, list[int]] | None:
+    """(piece of the source, other bin, its pieces in return) of the best step from a bin taken out of the groups, or None if it is stuck.
+
+    Longest pieces first: a move to the fullest bin with room, else the exchange that leaves the source least. The other
+    bin is as full as the source at least, so that squared fill increases.
+    """
+    lengths, most = groups.lengths, groups.free[source]
+    rooms = [f for f in groups.bins if f <= most]
+    seen: set[int] = set()
+    for i in sorted(groups.held[source], key=lambda i: (-lengths[i], i)):
+        n = lengths[i]
+        if n in seen:
+            continue
+        seen.add(n)
+        f = _least_from(groups.bits, n)
+        if f is not None and f <= most:
+            return i, min(groups.bins[f]), []
+        best = (0, 0, 0)  # gain, pieces in return (negative), room (negative)
+        for f in rooms:
+            for count, bits in enumerate(groups.sets(f), 1):
+                back = _least_from(bits, n - f) if f < n else None
+                if back is not None and back < n:
+                    best = max(best, (n - back, -count, -f))
+        gain, count, f = best
+        if gain:
+            for k in sorted(groups.bins[-f]):
+                by = {}
+                for j in sorted(groups.held[k]):
+                    if count == -1 and lengths[j] == n - gain:
+                        return i, k, [j]
+                    if count == -2 and (other := by.get(n - gain - lengths[j])) is not None:
+                        return i, k, [other, j]
+                    by.setdefault(lengths[j], j)
+    return None
+
+
+def local_search(lengths: np.ndarray, bins: list[list[int]], size: int) -> list[list[int]]:
+    """Empty bins by moves and exchanges between underfull bins until none is left that would increase the sum of squared fills.
+
+    Partners are found by length, among all pieces of all bins. The emptiest bins go first; a pass over all ends the search
+    when it makes no step, or when there are as few bins as the lengths allow.
+    """
+    lengths = [int(n) for n in lengths]
+    least = -(-sum(lengths) // size)
     if len(bins) <= least:
         return bins
-    fill = np.array([lengths[b].sum() for b in bins])
     held = [set(b) for b in bins]
-    where = np.empty(len(lengths), np.int64)
-    for k, b in enumerate(bins):
-        where[b] = k
-    stuck: set[int] = set()
-    alive = len(bins)
-    while alive > least and tries > 0:
-        open_ = [k for k in np.flatnonzero((fill > 0) & (fill < size)).tolist() if k not in stuck]
-        if len(open_) < 2:
-            break
-        source = min(open_, key=lambda k: (fill[k], k))
+    groups = _Groups(lengths, held, size)
+    alive, moved = len(bins), True
+    while moved and alive > least:
         moved = False
-        for i in sorted(held[source], key=lambda i: -lengths[i]):
-            tries -= 1
-            n, free = lengths[i], size - fill
-            target = np.where((free >= n) & (fill >= fill[source]) & (fill > 0), free, size + 1)
-            target[source] = size + 1
-            k = int(target.argmin())
-            if target[k] <= size:  # move
-                steps = [(i, k)]
-            else:
-                gain = n - lengths  # one for one: the source gets less than it gives
-                fits = (gain > 0) & (gain <= free[where]) & (where != source) & (fill[where] >= fill[source])
-                j = int(np.where(fits, gain, 0).argmax())
-                best, steps = (int(gain[j]), [(i, int(where[j])), (j, source)]) if fits[j] else (0, [])
-                roomy = sorted((k for k in open_ if k != source and fill[k] >= fill[source] and free[k] > best), key=lambda k: -free[k])[:64]
-                for k in roomy:  # two for one
-                    own = sorted(held[k])
-                    for x, a in enumerate(own):
-                        for b in own[x + 1 :]:
-                            g = int(n - lengths[a] - lengths[b])
-                            if best < g <= free[k]:
-                                best, steps = g, [(i, k), (a, source), (b, source)]
-            for item, to in steps:
-                fill[where[item]] -= lengths[item]
-                held[where[item]].discard(item)
-                where[item] = to
-                held[to].add(item)
-                fill[to] += lengths[item]
-            if steps:
-                moved = True
-                break
-        if not moved:
-            stuck.add(source)
-        elif fill[source] == 0:
-            alive -= 1
+        todo = [(-groups.free[k], k) for k in range(len(held)) if held[k] and groups.free[k]]
+        heapq.heapify(todo)
+        while todo and alive > least:
+            free, source = heapq.heappop(todo)
+            if not held[source] or groups.free[source] != -free:  # it changed since
+                continue
+            groups.remove(source)
+            found = _step(groups, source)
+            if found is None:
+                groups.add(source)
+                continue
+            i, other, back = found
+            groups.remove(other)
+            groups.give(i, source, other)
+            for j in back:
+                groups.give(j, other, source)
+            moved = True
+            for k in (source, other):
+                groups.add(k)
+                if held[k] and groups.free[k]:
+                    heapq.heappush(todo, (-groups.free[k], k))
+            alive -= not held[source]
     return [sorted(h) for h in held if h]
 
 
