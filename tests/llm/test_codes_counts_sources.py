@@ -170,17 +170,20 @@ def test_sources_in_several_tiles(spark, monkeypatch):
     assert got == sources_by_hand(docs, 30, 50)
 
 
-def test_tries_merge_and_walk_in_byte_order():
+def test_tries_are_walked_in_byte_order():
     draw = random.Random(1)
-    terms = [bytes(draw.choices(b"ab\xc3\xa9", k=draw.randint(1, 6))) for _ in range(500)]
-    whole, parts = divergence.RadixTrie(), [divergence.RadixTrie() for _ in range(3)]
-    for k, t in enumerate(terms):
-        for own in (whole.leaf(t), parts[k % 3].leaf(t)):
-            own["s"] = own.get("s", 0) + 1
-    parts[0].merge(parts[1])
-    parts[0].merge(parts[2])
-    assert [t for t, _ in whole.walk()] == sorted(set(terms))
-    assert list(whole.walk()) == list(parts[0].walk()) and whole.leaves == len(set(terms))
+    for size in (0, 1, 5, 500):
+        terms = sorted({bytes(draw.choices(b"ab\xc3\xa9\xff", k=draw.randint(0 if size == 5 else 1, 6))) for _ in range(size)})
+        root = divergence.radix_trie(terms)
+        assert list(divergence.walk(root)) == [(t, k) for k, t in enumerate(terms)]
+        todo, edges = [root], 0
+        while todo:
+            node = todo.pop()
+            assert len(node[0]) != 1 or node[1] is not None or node is root  # no node that could be left out
+            assert all(label[0] == first for first, (label, _) in node[0].items())
+            edges += len(node[0])
+            todo += [below for _, below in node[0].values()]
+        assert edges < 2 * max(len(terms), 1)
 
 
 def test_shares_are_exact_at_any_count():

@@ -1,10 +1,11 @@
 """How far the sources of a language differ in their words: pairs of sources, and the terms that mark a source.
 
-Each task counts the terms of its documents in radix tries over UTF-8 bytes, one for each language, with a counter for each
-source at the leaves and the number of documents that hold the term. A trie that has grown to LEAVES leaves is handed on
-and a new one begun: tries merge, so where one ends doesn't matter. Leaves are dealt by ranges of (language, term); a range
-arrives in the order of a walk through its merged trie, so merging adds up neighbours: of a stretch, those in too few
-documents go first. Kept leaves travel in blocks of BLOCK, each a stretch of that walk.
+Each task counts the terms of its documents by source, in columns of numbers, and sets up a radix trie over UTF-8 bytes for
+each language, whose leaves have a counter for each source and the number of documents that hold the term. When a language
+has LEAVES terms its trie is handed on and a new one begun: tries merge, so where one ends doesn't matter. Leaves are dealt
+by ranges of (language, term); a range arrives in the order of a walk through its merged trie, so merging adds up
+neighbours: of a stretch, those in too few documents go first. Kept leaves travel in blocks of BLOCK, each a stretch of
+that walk.
 
 A block gives its share of every pair of sources, and candidates for the terms of each source in the order of the result
 (value falling, then bytes rising), of which a task hands on ``ranks`` for each source. Sources come in tiles of TILE;
@@ -17,10 +18,8 @@ empty table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby, islice
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varsparq.llm.shared import materialise, text_batches
+from varsparq.llm.tokens import collector_off
 
-#: Leaves of a trie that is handed on, of a block, sources of a tile, and leaves that are merged at once.
-LEAVES, BLOCK, TILE, ROWS = 200_000, 1024, 256, 50_000
+#: Leaves of a trie that is handed on, of a batch of rows, of a block, sources of a tile, and leaves that are merged at once.
+LEAVES, LEAF_ROWS, BLOCK, TILE, ROWS = 300_000, 10_000, 1024, 256, 50_000
 #: Letters, A-Z lower-cased, and all bytes above ASCII; all else parts terms.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 ONE = 10**9
@@ -42,112 +42,130 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_TERMS).split()
 
 
-class RadixTrie:
-    """Byte strings with counters at their leaves. A node is [edges by first byte, counters or None]; an edge is (bytes, node)."""
+def radix_trie(terms: list[bytes]) -> list:
+    """The trie of sorted distinct byte strings: a node is [edges by first byte, place in ``terms`` or None], an edge (bytes, node)."""
+    root: list = [{}, None]
+    path, before = [(0, root)], b""  # nodes from the root to the last leaf, with their depths
+    for k, term in enumerate(terms):
+        same = _common(before, term)
+        while path[-1][0] > same:
+            path.pop()
+        depth, node = path[-1]
+        if depth < same:  # the edge to the last leaf parts here
+            label, below = node[0][before[depth]]
+            middle: list = [{label[same - depth]: (label[same - depth :], below)}, None]
+            node[0][before[depth]] = (label[: same - depth], middle)
+            path.append((same, middle))
+            node = middle
+        leaf: list = [{}, k]
+        if same == len(term):  # only the empty string, at the root
+            node[1] = k
+        else:
+            node[0][term[same]] = (term[same:], leaf)
+            path.append((len(term), leaf))
+        before = term
+    return root
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    for i, (x, y) in enumerate(zip(a, b, strict=False)):
+        if x != y:
+            return i
+    return min(len(a), len(b))
+
+
+def walk(root: list) -> Iterator[tuple[bytes, int]]:
+    """Terms and places of a trie, in the order of bytes: a term before those that it begins, edges as they came, which is sorted."""
+    stack = [(b"", root)]
+    while stack:
+        term, node = stack.pop()
+        if node[1] is not None:
+            yield term, node[1]
+        stack += [(term + label, below) for label, below in reversed(node[0].values())]
+
+
+class Counts:
+    """Occurrences and documents of the terms of one language, by source, as columns of numbers."""
 
     def __init__(self) -> None:
-        self.root: list = [{}, None]
-        self.leaves = 0
-
-    def leaf(self, term: bytes) -> dict:
-        """The counters of a term, which is added if it is new."""
-        node, at = self.root, 0
-        while at < len(term):
-            edge = node[0].get(term[at])
-            if edge is None:
-                new: list = [{}, None]
-                node[0][term[at]] = (term[at:], new)
-                node = new
-                break
-            label, below = edge
-            if term.startswith(label, at):
-                node, at = below, at + len(label)
-                continue
-            same = 1
-            while at + same < len(term) and same < len(label) and term[at + same] == label[same]:
-                same += 1
-            middle: list = [{label[same]: (label[same:], below)}, None]
-            node[0][term[at]] = (label[:same], middle)
-            node, at = middle, at + same
-        if node[1] is None:
-            node[1] = {}
-            self.leaves += 1
-        return node[1]
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms and counters in the order of bytes."""
-        stack = [(b"", self.root)]
-        while stack:
-            term, node = stack.pop()
-            if node[1] is not None:
-                yield term, node[1]
-            for first in sorted(node[0], reverse=True):
-                label, below = node[0][first]
-                stack.append((term + label, below))
-
-    def merge(self, other: RadixTrie) -> None:
-        for term, counters in other.walk():
-            own = self.leaf(term)
-            for name, n in counters.items():
-                own[name] = own.get(name, 0) + n
+        self.terms: dict[bytes, int] = _Numbers()
+        self.sources: dict[str, int] = _Numbers()
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # term << 32 | source, occurrences, documents
+        self.size = self.settled = 0
+
+    def add(self, source: str, found: list[bytes]) -> None:
+        number = self.sources[source]
+        if found:
+            ids, n = np.unique(np.fromiter(map(self.terms.__getitem__, found), np.int64, len(found)), return_counts=True)
+            self.parts.append((ids << 32 | number, n, np.ones(len(ids), np.int64)))
+            self.size += len(ids)
+            if self.size > 2 * self.settled + LEAVES:
+                self.settle()
+
+    def settle(self) -> None:
+        """Add up rows of the same term and source."""
+        if self.parts:
+            key, *values = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            firsts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            self.parts = [(key[firsts], *(np.add.reduceat(v[order], firsts) for v in values))]
+            self.size = self.settled = len(firsts)
+
+    def leaves(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """The leaves of the language's trie as rows, in the order of bytes."""
+        if not self.parts:
+            return
+        self.settle()
+        key, n, docs = self.parts[0]
+        term, source = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        firsts = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        docs = np.add.reduceat(docs, firsts[:-1])
+        with collector_off():
+            ordered = sorted(self.terms)
+            steps = walk(radix_trie(ordered))
+        numbers = np.fromiter(map(self.terms.__getitem__, ordered), np.int64, len(ordered))
+        names = pa.array(list(self.sources), pa.string())
+        while some := list(islice(steps, LEAF_ROWS)):
+            own = numbers[[k for _, k in some]]
+            sizes = firsts[own + 1] - firsts[own]
+            ends = np.concatenate([[0], sizes.cumsum()])
+            at = np.repeat(firsts[own] - ends[:-1], sizes) + np.arange(ends[-1])
+            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in (names.take(pa.array(source[at])), pa.array(n[at])))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([t for t, _ in some], pa.binary()), pa.array(docs[own]), *lists], schema=_LEAF)
+
+
+class _Numbers(dict):
+    """Keys to numbers in the order in which they come."""
+
+    def __missing__(self, key: object) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 _LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _LEAF_DDL = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 
 
-def _leaf_rows(lang: str, trie: RadixTrie) -> Iterator[pa.RecordBatch]:
-    """The leaves of a trie as rows, in the order of bytes; the counter None is that of documents."""
-    walk, more = trie.walk(), True
-    while more:
-        terms, docs, ends, sources, counts = [], [], [0], [], []
-        for term, counters in islice(walk, 10_000):
-            terms.append(term)
-            docs.append(counters.pop(None))
-            sources.extend(counters)
-            counts.extend(counters.values())
-            ends.append(len(counts))
-        more = bool(terms)
-        if more:
-            ends = pa.array(ends, pa.int32())
-            flat = pa.ListArray.from_arrays(ends, pa.array(sources, pa.string())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), pa.array(docs, pa.int64()), *flat], schema=_LEAF)
-
-
 def count_terms(docs: DataFrame) -> DataFrame:
     """Leaves of the tries of all tasks (lang, term, docs, sources, counts), and a row with a null term for the sources of a language."""
     text_batches(docs.sparkSession)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, RadixTrie] = {}
-        added: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        counts: dict[str, Counts] = {}
         seen: dict[str, set[str]] = {}
-
-        def into_tries() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (words, held) in added.items():
-                trie = tries.setdefault(lang, RadixTrie())
-                for term, n in words.items():
-                    counters = trie.leaf(term)
-                    counters[source] = counters.get(source, 0) + n
-                    counters[None] = counters.get(None, 0) + held[term]
-                if trie.leaves >= LEAVES:
-                    yield from _leaf_rows(lang, tries.pop(lang))
-            added.clear()
-
         for batch in it:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, source) not in added:
+            with collector_off():  # there are no cycles to find among so many terms
+                for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if lang not in counts:
+                        counts[lang] = Counts()
+                    counts[lang].add(source, terms_of(text))
                     seen.setdefault(lang, set()).add(source)
-                    added[lang, source] = Counter(), Counter()
-                words, held = added[lang, source]
-                found = terms_of(text)
-                words.update(found)
-                held.update(set(found))
-            if sum(len(words) for words, _ in added.values()) >= LEAVES:  # counted flat until then
-                yield from into_tries()
-        yield from into_tries()
-        for lang, trie in tries.items():
-            yield from _leaf_rows(lang, trie)
+            for lang in [k for k, c in counts.items() if len(c.terms) >= LEAVES]:
+                yield from counts.pop(lang).leaves(lang)
+        for lang, own in counts.items():
+            yield from own.leaves(lang)
         for lang, sources in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((lang, None, 0, sorted(sources), []), _LEAF, strict=True)], schema=_LEAF)
 
@@ -159,14 +177,19 @@ _BLOCK = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.binary())), ("e
 _BLOCK_DDL = "lang string, terms array<binary>, ends array<int>, sources array<string>, counts array<long>"
 
 
+def _starts(table: pa.Table) -> np.ndarray:
+    """The first row of each (lang, term) of sorted leaves."""
+    lang, term = (table.column(c).combine_chunks() for c in ("lang", "term"))
+    new = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
 def _frequent(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
     """Rows of sorted leaves whose (lang, term) is in at least ``least`` documents; the last term of a stretch waits for the next one."""
     held: list[pa.RecordBatch] = []
 
     def kept(table: pa.Table, whole: bool) -> tuple[pa.Table, pa.Table]:
-        lang, term = (table.column(c).combine_chunks() for c in ("lang", "term"))
-        new = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
-        firsts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        firsts = _starts(table)
         total = np.add.reduceat(table.column("docs").to_numpy(), firsts)
         good = np.repeat(total >= least, np.diff(np.append(firsts, table.num_rows)))
         last = table.num_rows if whole else int(firsts[-1])
@@ -186,31 +209,33 @@ def _frequent(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
 def merge_tries(leaves: DataFrame, least: int) -> DataFrame:
     """Blocks of merged leaves in at least ``least`` documents: terms, and the counters of term k up to ends[k]."""
 
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for table in _frequent(it, least):
-            yield from zip(*(table.column(c).to_pylist() for c in ("lang", "term", "sources", "counts")), strict=True)
-
-    def merged(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, dict[str, int]]]:
-        for (lang, term), same in groupby(rows(it), itemgetter(0, 1)):
-            total: dict[str, int] = {}
-            for _, _, sources, counts in same:
-                for s, n in zip(sources, counts, strict=True):
-                    total[s] = total.get(s, 0) + n
-            yield lang, term, total
+    def one(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, own in groupby(merged(it), itemgetter(0)):
-            terms, ends, sources, counts = [], [], [], []
-            for _, term, counters in own:
-                terms.append(term)
-                sources.extend(counters)
-                counts.extend(counters.values())
-                ends.append(len(sources))
-                if len(terms) == BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((lang, terms, ends, sources, counts), _BLOCK, strict=True)], schema=_BLOCK)
-                    terms, ends, sources, counts = [], [], [], []
-            if terms:
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((lang, terms, ends, sources, counts), _BLOCK, strict=True)], schema=_BLOCK)
+        for table in _frequent(it, least):
+            if not table.num_rows:
+                continue
+            firsts = _starts(table)
+            lists, counts = (table.column(c).combine_chunks() for c in ("sources", "counts"))
+            names = lists.flatten().dictionary_encode()
+            leaf = np.repeat(np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, table.num_rows))), pc.list_value_length(lists).to_numpy())
+            key = leaf * len(names.dictionary) + names.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+            total = np.add.reduceat(counts.flatten().to_numpy()[order], at)
+            leaf, source = np.divmod(key[order][at], len(names.dictionary))
+            ends = np.searchsorted(leaf, np.arange(len(firsts)), side="right")
+            sources, terms = names.dictionary.take(pa.array(source)), table.column("term").combine_chunks().take(pa.array(firsts))
+            langs = table.column("lang").combine_chunks().take(pa.array(firsts)).to_pylist()
+            k = 0
+            for lang, own in groupby(langs):
+                last = k + len(list(own))
+                for a in range(k, last, BLOCK):
+                    b, low = min(a + BLOCK, last), int(ends[a - 1]) if a else 0
+                    part = slice(low, int(ends[b - 1]))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), one(terms[a:b]), one(pa.array(ends[a:b] - low, pa.int32())), one(sources[part]), one(pa.array(total[part]))], schema=_BLOCK)
+                k = last
 
     ordered = leaves.where("term is not null").repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
     return ordered.mapInArrow(blocks, _BLOCK_DDL)
