@@ -124,7 +124,7 @@ class Counts:
         docs = np.add.reduceat(docs, firsts[:-1])
         with collector_off():
             ordered = sorted(self.terms)
-            steps = walk(radix_trie(ordered))
+            steps = iter(list(walk(radix_trie(ordered))))
         numbers = np.fromiter(map(self.terms.__getitem__, ordered), np.int64, len(ordered))
         names = pa.array(list(self.sources), pa.string())
         while some := list(islice(steps, LEAF_ROWS)):
