@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varsparq.functions import metrics, text
-from varsparq.operators import attribution, haplotypes, intervals, scoring, summaries
+from varsparq.operators import attribution, haplotypes, intervals, summaries
 from varsparq.sources import variants
 
 
@@ -66,16 +66,6 @@ def test_ridge_is_direct_solution(spark):
     assert np.isclose(got.interaction_coef, coef[1]) and np.isclose(got.beta_int, coef[0] + 0.7 * coef[1])
 
 
-def test_resume_scores_only_what_is_missing(spark, tmp_path):
-    pairs = spark.createDataFrame([("chr1", "s1", "ACGT", "GCGT"), ("chr2", "s2", "AAAA", "AAA")], "chrom string, site string, seq_wt string, seq_mut string")
-    path = str(tmp_path / "scores")
-    scoring.resume(pairs.where("chrom = 'chr1'"), None, "gc_shift", ["chrom", "site"], path)
-    done = spark.createDataFrame(variants.read_scores(spark, path).collect(), variants.read_scores(spark, path).schema)
-    scoring.resume(pairs, done, "gc_shift", ["chrom", "site"], path)
-    got = sorted((r.site, r.slot, r.value) for r in variants.read_scores(spark, path).collect())
-    assert got == [("s1", "GC", 0.25), ("s1", "LEN", 0.0), ("s2", "GC", 0.0), ("s2", "LEN", -1.0)]
-
-
 def test_vcf(spark, tmp_path):
     (tmp_path / "x.vcf").write_text("##x\n#CHROM\tPOS\n1\t100\trs1\tA\tG,T\t.\t.\tMC=SO:1|miss;CLNDISDB=MONDO:1,OMIM:2\n")
     r = variants.read_vcf(spark, str(tmp_path / "x.vcf"), ["MC", "CLNDISDB"]).first()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varsparq.operators.ordering import value_ranks
+
 
 def ridge_epistasis(df: DataFrame, keys: list[str], w: str, y: str, d: Column, alpha: float = 1.0) -> DataFrame:
     """Additive and interaction ridge fits of y on w and on [w, w * d] for each key, with their F statistic (M-01, M-02, M-03).
@@ -34,11 +36,10 @@ def cohens_d(df: DataFrame, keys: list[str], value: str, is_a: Column) -> DataFr
 
 
 def mann_whitney(df: DataFrame, key: str, value: str, is_a: Column) -> DataFrame:
-    """U of group a by average ranks, and Cliff's delta (T-04, T-08)."""
-    w = Window.partitionBy(key)
-    ties = F.count("*").over(Window.partitionBy(key, value))
-    ranked = df.withColumn("_rank", F.rank().over(w.orderBy(value)) + (ties - 1) / 2).withColumn("_a", is_a)
-    g = ranked.groupBy(key).agg(F.count_if("_a").alias("n_a"), F.count_if(~F.col("_a")).alias("n_b"), F.sum(F.when(F.col("_a"), F.col("_rank"))).alias("_s"))
+    """U of group a by average ranks, Cliff's delta, and ties (the sum of t^3 - t over equal values) of each key (T-04, T-08)."""
+    told = value_ranks(df.withColumn("_a", is_a), [key], value, {"_in_a": F.count_if("_a"), "_in_b": F.count_if(~F.col("_a"))})
+    tied = F.col("n").cast("double")
+    g = told.groupBy(key).agg(F.sum("_in_a").alias("n_a"), F.sum("_in_b").alias("n_b"), F.sum(F.col("_in_a") * F.col("rank")).alias("_s"), F.sum(tied * tied * tied - tied).alias("ties"))
     u = F.col("_s") - F.col("n_a") * (F.col("n_a") + 1) / 2
     return g.where("n_a > 0 and n_b > 0").withColumn("u", u).withColumn("cliffs_delta", 2 * u / (F.col("n_a") * F.col("n_b")) - 1).drop("_s")
 

@@ -73,8 +73,9 @@ def haplotype_matrix(calls: DataFrame) -> DataFrame:
 
 
 def flat_index(df: DataFrame, region: str, sample: str, ploid: str, samples: int, ploidy: int) -> DataFrame:
-    """Adds the flat index of (region, sample, ploid), and the three read back from it (H-13)."""
-    flat = (F.col(region) * samples + F.col(sample)) * ploidy + F.col(ploid)
+    """Adds the flat index of (region, sample, ploid), and the three read back from it; an index out of its range is an error (H-13)."""
+    inside = F.col(sample).between(0, samples - 1) & F.col(ploid).between(0, ploidy - 1) & (F.col(region) >= 0)
+    flat = F.when(inside, (F.col(region) * samples + F.col(sample)) * ploidy + F.col(ploid)).otherwise(F.raise_error(F.lit("an index is out of its range")).cast("long"))
     whole = df.withColumn("flat", flat)
     back = {"r": F.floor(F.col("flat") / (samples * ploidy)), "s": F.floor(F.col("flat") / ploidy) % samples, "p": F.col("flat") % ploidy}
     return whole.withColumns(back)

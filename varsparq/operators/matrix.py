@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varsparq.operators.ordering import row_index
+
+#: Names of an axis that a row holds at once.
+BLOCK = 1024
+
 
 def normalize_rows(m: DataFrame) -> DataFrame:
     """Rows scaled to sum 1; rows of sum 0 become null (X-01)."""
@@ -43,10 +48,19 @@ def average(matrices: DataFrame, count: int) -> DataFrame:
     return cells.where(F.col("_n") == count).drop("_n")
 
 
+def dense_grid(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """Every pair of a row and a column name. Names meet rows in blocks of BLOCK, by a join on the block, so no task or row holds all of them."""
+    row, column = rows.columns[0], columns.columns[0]
+    placed = row_index(columns, [column], "_at").groupBy(F.floor(F.col("_at") / BLOCK).alias("_block")).agg(F.collect_list(column).alias("_names"))
+    blocks = -(-columns.count() // BLOCK)  # one number
+    each = F.sequence(F.lit(0).cast("long"), F.lit(max(blocks - 1, 0)).cast("long"))
+    return rows.select(row, F.explode(each).alias("_block")).join(placed, "_block").select(row, F.explode("_names").alias(column))
+
+
 def fill_rows(m: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """The full grid, missing cells filled by the mean of their column (X-08). ``columns`` is small by its nature: names of one axis."""
-    grid = rows.crossJoin(F.broadcast(columns)).join(m, ["i", "j"], "left")
-    return grid.withColumn("v", F.coalesce("v", F.avg("v").over(Window.partitionBy("j"))))
+    """The full grid, missing cells filled by the mean of their column (X-08)."""
+    mean = m.groupBy("j").agg(F.avg("v").alias("_mean"))
+    return dense_grid(rows, columns).join(m, ["i", "j"], "left").join(mean, "j", "left").select("i", "j", F.coalesce("v", "_mean").alias("v"))
 
 
 def bin_axis(m: DataFrame, axis: str, size: int, how: str = "avg", drop_rest: bool = False) -> DataFrame:

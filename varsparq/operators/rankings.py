@@ -68,10 +68,12 @@ def by_priority(df: DataFrame, key: str, value: str, threshold: float, how: str,
 
 
 def first_keys(df: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Rows of the first so many values of each key column (S-06). The lists of keys are as short as their limits."""
-    for key, n in limits.items():
-        df = df.join(F.broadcast(df.select(key).distinct().orderBy(key).limit(n)), key, "left_semi")
-    return df
+    """Rows of the first so many values of each key column, each counted over the whole table (S-06). The lists of keys are as short as their limits."""
+    first = {key: df.select(key).distinct().orderBy(key).limit(n) for key, n in limits.items()}
+    rows = df
+    for key, keys in first.items():
+        rows = rows.join(F.broadcast(keys), key, "left_semi")
+    return rows.select(*df.columns)
 
 
 def centre_crop(values: Column, width: int, resolution: int) -> Column:

@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varsparq.operators.ordering import exact_quantiles, row_index
+
 
 def filter_by(df: DataFrame, filters: dict[str, object], at_least: Iterable[str] = ()) -> DataFrame:
     """A list means: the text contains a match of any; a scalar: equal, or >= for columns in ``at_least``; unknown columns are skipped (P-05)."""
@@ -30,9 +32,13 @@ def missing_cells(expected: DataFrame, results: DataFrame, keys: list[str]) -> D
     return expected.join(results.where("value is not null"), keys, "left_anti")
 
 
-def between_group_variance(scores: DataFrame, site: str, group: str, value: str) -> DataFrame:
-    """Variance of the means of groups, for each site (A-02)."""
-    means = scores.groupBy(site, group).agg(F.avg(value).alias("_mean"))
+def between_group_variance(scores: DataFrame, members: DataFrame, site: str, member: str, group: str, value: str) -> DataFrame:
+    """Variance of the means of groups, for each site (A-02); ``members`` (member, group) says who belongs where.
+
+    Scores are summed by site and member before they meet the members, so a join sees a row for each pair of these.
+    """
+    sums = scores.groupBy(site, member).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    means = sums.join(members.select(member, group), member).groupBy(site, group).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("_mean"))
     return means.groupBy(site).agg(F.var_samp("_mean").alias("between_var"))
 
 
@@ -45,7 +51,7 @@ def scale_within(df: DataFrame, keys: list[str], value: str, method: str) -> Dat
         ends = df.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))  # partial sums first: a hot key is no group
         scaled = F.try_divide(v - F.col("_low"), F.col("_high") - F.col("_low"))
         return df.join(ends, keys).withColumn("scaled", scaled).drop("_low", "_high")
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
     spread = F.coalesce(F.nullif(F.col("_q")[2] - F.col("_q")[0], F.lit(0.0)), F.lit(1.0))
     return df.join(q, keys).withColumn("scaled", (v - F.col("_q")[1]) / spread).drop("_q")
 
@@ -72,19 +78,6 @@ def chromosome_order(chrom: Column) -> list[Column]:
     return [rank, number, bare]
 
 
-def row_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
-    """Adds the place of each row in an order of columns that tells rows apart, from 0, without one task that sees all rows (W-04).
-
-    Rows are range partitioned; a place is the number of rows in partitions before plus the place in the partition.
-    """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
-    placed = parts.withColumn("_k", local).join(F.broadcast(before), "_part")
-    return placed.select(*df.columns, (F.col("_before") + F.col("_k") - 1).alias(name))
-
-
 def filter_sites(rows: DataFrame, filters: dict[str, object]) -> DataFrame:
     """Rows of regions that are their site's own, filtered: a list means one of, a whole number at least, a text a match (P-06)."""
     kept = rows.where("region_idx = site_idx")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varsparq.operators import attribution, summaries
+from varsparq.operators.ordering import running_totals, value_ranks
 
 
 def permuted_wasserstein(df: DataFrame, key: str, value: str, is_a: Column, permutations: int, seed: int) -> DataFrame:
@@ -35,17 +38,37 @@ def normal_tail(z: Column) -> Column:
     x = F.abs(z) / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.3275911 * x)
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.least(poly * F.exp(-x * x), F.lit(1.0))
+    return F.when(z.isNotNull(), F.least(poly * F.exp(-x * x), F.lit(1.0)))
+
+
+def student_tail(t: Column, df: Column) -> Column:
+    """Two-sided tail probability of Student's t with a whole number of degrees of freedom: the finite series, from 400 degrees on a normal value."""
+    x = F.abs(t)
+    c2 = df / (df + x * x)  # the squared cosine of atan(t / sqrt(df))
+    angle, sine = F.atan(x / F.sqrt(df)), F.sqrt(1 - c2)
+    odd = df % 2
+    last = F.floor((df - 1 - odd) / 2)
+    steps = F.when((df >= 2 + odd) & (df < 400), F.sequence(F.lit(1), F.greatest(last, F.lit(1)).cast("int")))
+    first = F.when(odd == 1, F.sqrt(c2)).otherwise(F.lit(1.0))
+
+    def step(a: Column, k: Column) -> Column:  # a term by its ratio to the one before
+        term = a["term"] * c2 * (2 * k - 1 + odd) / (2 * k + odd)
+        return F.struct(term.alias("term"), (a["sum"] + F.when(k <= last, term).otherwise(0.0)).alias("sum"))
+
+    more = F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), step, lambda a: a["sum"])
+    series = F.coalesce(more, F.lit(0.0)) * sine  # one degree has no series
+    inside = F.when(odd == 1, (angle + series) * (2 / math.pi)).otherwise(series)
+    z = x * (1 - 1 / (4 * df)) / F.sqrt(1 + x * x / (2 * df))
+    return F.when(df >= 400, normal_tail(z)).when(t.isNotNull() & df.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))
 
 
 def mann_whitney_p(df: DataFrame, key: str, value: str, is_a: Column) -> DataFrame:
     """U, Cliff's delta and p by the normal approximation with tie and continuity correction (T-08)."""
-    ties = df.groupBy(key, value).agg(F.count("*").alias("_t")).groupBy(key).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_ties"))
-    g = attribution.mann_whitney(df, key, value, is_a).join(ties, key)
+    g = attribution.mann_whitney(df, key, value, is_a)
     n = F.col("n_a") + F.col("n_b")
-    spread = F.sqrt(F.col("n_a") * F.col("n_b") / 12 * (n + 1 - F.col("_ties") / (n * (n - 1))))
+    spread = F.sqrt(F.col("n_a") * F.col("n_b") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = F.greatest(F.abs(F.col("u") - F.col("n_a") * F.col("n_b") / 2) - 0.5, F.lit(0.0)) / spread
-    return g.withColumn("p", normal_tail(z)).drop("_ties")
+    return g.withColumn("p", normal_tail(z)).drop("ties")
 
 
 def adjusted(df: DataFrame, p: str) -> DataFrame:
@@ -60,10 +83,9 @@ def adjusted(df: DataFrame, p: str) -> DataFrame:
 def wilcoxon(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """n, signed-rank statistic (the smaller sum of ranks) and p by the normal approximation; pairs of equal values are left out (T-09)."""
     d = df.select(key, (F.col(a) - F.col(b)).alias("_d")).where("_d is not null and _d <> 0").withColumn("_m", F.abs("_d"))
-    tied = Window.partitionBy(key, "_m")
-    ranked = d.withColumns({"_t": F.count("*").over(tied), "_k": F.rank().over(Window.partitionBy(key).orderBy("_m"))})
-    r = F.col("_k") + (F.col("_t") - 1) / 2
-    g = ranked.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, r).otherwise(0)).alias("_up"), F.sum(F.when(F.col("_d") < 0, r).otherwise(0)).alias("_down"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
+    told = value_ranks(d, [key], "_m", {"_pos": F.count_if(F.col("_d") > 0), "_neg": F.count_if(F.col("_d") < 0)})
+    r, t = F.col("rank"), F.col("n").cast("double")
+    g = told.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.col("_pos") * r).alias("_up"), F.sum(F.col("_neg") * r).alias("_down"), F.sum(t * (t * t - 1)).alias("_ties"))
     n = F.col("n")
     w = F.least("_up", "_down")
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
@@ -79,6 +101,36 @@ def effect_kind(test: Column) -> Column:
     return F.when(cliff, "cliffs_delta").when(t.contains("levene"), "n/a").when(pooled, "cohens_d").when(paired, "cohens_dz").otherwise("n/a")
 
 
+def pairwise_stats(df: DataFrame, group: str, value: str, correction: str = "bonferroni") -> DataFrame:
+    """The report on each pair of classes, by Mann-Whitney and by Welch's test (T-06, T-07).
+
+    test, test_short_name, group1, group2, n1, n2, statistic_name, statistic, pvalue (bonferroni or fdr, over the pairs of a
+    test), effect_size, effect_size_kind, correction_method. Rows meet each pair of their class; classes are a few names.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_c"), F.col(value).cast("double").alias("_v"))
+    names = rows.select("_c").distinct()
+    pairs = names.select(F.col("_c").alias("group1")).join(names.select(F.col("_c").alias("group2")), F.col("group1") < F.col("group2"))
+    sides = pairs.select("group1", "group2", F.explode(F.array("group1", "group2")).alias("_c"))
+    told = rows.join(sides, "_c").withColumn("pair", F.struct("group1", "group2"))
+    is_a = F.col("_c") == F.col("pair.group1")
+    ranks = mann_whitney_p(told, "pair", "_v", is_a).select(
+        F.lit("Mann-Whitney-Wilcoxon test two-sided").alias("test"), F.lit("M.W.W.").alias("test_short_name"), "pair", F.col("n_a").alias("n1"), F.col("n_b").alias("n2"),
+        F.lit("U_stat").alias("statistic_name"), F.col("u").alias("statistic"), "p", F.col("cliffs_delta").alias("cliffs_delta"), F.lit(None).cast("double").alias("cohens_d"),
+    )
+    g = attribution.cohens_d(told, ["pair"], "_v", is_a)
+    va, vb = F.col("v_a") / F.col("n_a"), F.col("v_b") / F.col("n_b")
+    t, df_ = F.try_divide(F.col("m_a") - F.col("m_b"), F.sqrt(va + vb)), F.try_divide((va + vb) ** 2, va**2 / (F.col("n_a") - 1) + vb**2 / (F.col("n_b") - 1))
+    welch = g.select(
+        F.lit("Welch's t-test independent samples").alias("test"), F.lit("t-test_welch").alias("test_short_name"), "pair", F.col("n_a").alias("n1"), F.col("n_b").alias("n2"),
+        F.lit("t").alias("statistic_name"), t.alias("statistic"), student_tail(t, F.round(df_)).alias("p"), F.lit(None).cast("double").alias("cliffs_delta"), "cohens_d",
+    )
+    kind = effect_kind(F.col("test"))
+    size = F.when(kind == "cliffs_delta", F.col("cliffs_delta")).when(kind == "cohens_d", F.col("cohens_d"))
+    out = [adjusted(x, "p").withColumn("pvalue", F.col(correction)) for x in (ranks, welch)]
+    both = out[0].unionByName(out[1])
+    return both.select("test", "test_short_name", "pair.group1", "pair.group2", "n1", "n2", "statistic_name", "statistic", "pvalue", size.alias("effect_size"), kind.alias("effect_size_kind"), F.lit(correction).alias("correction_method"))
+
+
 def pairwise_effects(df: DataFrame, group: str, value: str) -> DataFrame:
     """Sizes, means, deviations and Cohen's d of each pair of classes, from one row for each class (T-07)."""
     g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
@@ -92,11 +144,14 @@ def pairwise_effects(df: DataFrame, group: str, value: str) -> DataFrame:
 def spearman(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Correlation of average ranks of each key; rows with a null are left out (T-10)."""
     rows = df.select(key, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(key).orderBy(c)) + (F.count("*").over(Window.partitionBy(key, c)) - 1) / 2
-
-    return rows.withColumns({"_a": rank(a), "_b": rank(b)}).groupBy(key).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"))
+    pairs = rows.groupBy(key, a, b).agg(F.count("*").alias("_c"))
+    ranked = pairs
+    for c, name in ((a, "_a"), (b, "_b")):
+        ranked = ranked.join(value_ranks(rows, [key], c, {}).select(key, c, F.col("rank").alias(name)), [key, c])
+    c, x, y = F.col("_c"), F.col("_a"), F.col("_b")
+    g = ranked.groupBy(key).agg(F.sum("_c").alias("n"), F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
+    mid = F.col("n") * ((F.col("n") + 1) / 2) ** 2  # the mean rank is (n + 1) / 2
+    return g.select(key, "n", F.try_divide(F.col("xy") - mid, F.sqrt((F.col("xx") - mid) * (F.col("yy") - mid))).alias("rho"))
 
 
 def reference_differences(df: DataFrame, key: str, is_reference: Column, a: str, b: str) -> DataFrame:
@@ -117,19 +172,24 @@ def equal_width_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def precision_recall(scores: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """precision and recall at each distinct score of each key, from the highest (M-08). Equal scores are one row before the window."""
+    """precision and recall at each distinct score of each key, from the highest, and those of the step before (1 and 0 before the first) (M-08).
+
+    Equal scores are one row before they are ordered.
+    """
     steps = scores.groupBy(*keys, score).agg(F.sum(label).alias("_tp"), F.count("*").alias("_n"))
-    up = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    tp = F.sum("_tp").over(up)
-    return steps.select(*keys, score, (tp / F.sum("_n").over(up)).alias("precision"), (tp / F.sum("_tp").over(Window.partitionBy(*keys))).alias("recall"))
+    found = steps.groupBy(*keys).agg(F.sum("_tp").alias("_all"))
+    run = running_totals(steps, keys, [F.desc(score)], {"_tps": "_tp", "_ns": "_n"})
+    run = run.join(found, keys) if keys else run.join(F.broadcast(found))  # one row without keys
+    tp, n, every = F.col("_tps"), F.col("_ns"), F.col("_all")
+    before = F.coalesce(F.try_divide(tp - F.col("_tp"), n - F.col("_n")), F.lit(1.0))
+    return run.select(*keys, score, (tp / n).alias("precision"), F.try_divide(tp, every).alias("recall"), before.alias("precision_before"), F.try_divide(tp - F.col("_tp"), every).alias("recall_before"))
 
 
-def average_precision(curve: DataFrame, keys: list[str], score: str) -> DataFrame:
+def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision (steps) and the area under the curve (trapezoids from recall 0 at precision 1) (M-08)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score))
-    last = curve.withColumns({"_r": F.coalesce(F.lag("recall").over(w), F.lit(0.0)), "_p": F.coalesce(F.lag("precision").over(w), F.lit(1.0))})
-    step = F.col("recall") - F.col("_r")
-    return last.groupBy(*keys).agg(F.sum(step * F.col("precision")).alias("average_precision"), F.sum(step * (F.col("precision") + F.col("_p")) / 2).alias("auprc"))
+    step = F.col("recall") - F.col("recall_before")
+    area = step * (F.col("precision") + F.col("precision_before")) / 2
+    return curve.groupBy(*keys).agg(F.sum(step * F.col("precision")).alias("average_precision"), F.sum(area).alias("auprc"))
 
 
 def logistic_benchmark(df: DataFrame, keys: list[str], features: list[str], label: str, ids: list[str], test_share: float = 0.25, seed: int = 42) -> DataFrame:

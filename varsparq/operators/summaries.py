@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varsparq.operators.matrix import dense_grid
+from varsparq.operators.ordering import running_totals
+
 
 def wasserstein(df: DataFrame, keys: list[str], value: str, is_a: Column) -> DataFrame:
     """First Wasserstein distance of two groups for each key: the area between their distribution functions (T-02, observed part).
 
-    Nulls are left out; keys that lack a group too. Equal values are merged before the window, so a window holds
-    the distinct values of a key.
+    Nulls are left out; keys that lack a group too. Equal values are one row before they are ordered.
     """
     v = F.col(value)
     counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count_if(is_a).alias("_a"), F.count_if(~is_a).alias("_b"))
-    w = Window.partitionBy(*keys)
-    so_far = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    step = F.lead(value).over(w.orderBy(value)) - v
-    gap = F.abs(F.try_divide(F.sum("_a").over(so_far), F.sum("_a").over(w)) - F.try_divide(F.sum("_b").over(so_far), F.sum("_b").over(w)))
-    rows = counts.select(*keys, "_a", "_b", (gap * step).alias("_area"))
-    return rows.groupBy(*keys).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"), F.coalesce(F.sum("_area"), F.lit(0.0)).alias("distance")).where("n_a > 0 and n_b > 0")
+    n = counts.groupBy(*keys).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b")).where("n_a > 0 and n_b > 0")
+    steps = running_totals(counts, keys, [value], {"_sa": "_a", "_sb": "_b"}, {"_next": value}).where("_next is not null").join(n, keys)
+    area = F.abs(F.col("_sa") / F.col("n_a") - F.col("_sb") / F.col("n_b")) * (F.col("_next") - v)
+    return n.join(steps.groupBy(*keys).agg(F.sum(area).alias("_d")), keys, "left").select(*keys, "n_a", "n_b", F.coalesce("_d", F.lit(0.0)).alias("distance"))
 
 
 def paired_effect(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -104,8 +104,7 @@ def filled_matrix(cells: DataFrame, row: str, column: str, how: str) -> DataFram
     else:
         fill = cells.agg((F.avg("v") if how == "mean" else F.median("v")).alias("_fill"))
     value = fill.first()[0]  # one number
-    names = F.broadcast(cells.agg(F.collect_set(column).alias("_all")))  # the columns of the matrix, which its rows hold anyway
-    grid = cells.select(row).distinct().join(names).select(row, F.explode("_all").alias(column))
+    grid = dense_grid(cells.select(row).distinct(), cells.select(column).distinct())
     return grid.join(cells, [row, column], "left").withColumn("v", F.coalesce("v", F.lit(value)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varsparq.functions import metrics as M
 from varsparq.functions import text as T
-from varsparq.operators import attribution, haplotypes, intervals, matrix, relational, summaries
+from varsparq.operators import attribution, haplotypes, intervals, matrix, ordering, relational, summaries
 from varsparq.plans.registry import Tables, oracles, queries, query, r6
 
 __all__ = ["oracles", "queries"]
@@ -25,14 +25,14 @@ b AS (SELECT site, var_samp(m) AS v FROM x GROUP BY site)
 SELECT site, gene, {_CASE} AS class, round(v, 6) AS between_var FROM b JOIN sites USING (site) WHERE v IS NOT NULL ORDER BY round(v, 6) DESC, site LIMIT 20""")
 def population_variance(t: Tables) -> DataFrame:
     """Top 20 sites by variance between populations (J-03, A-02, P-07, W-02)."""
-    v = relational.between_group_variance(t.scores.join(t.meta, "sample"), "site", "population", "value").where("between_var is not null")
+    v = relational.between_group_variance(t.scores, t.meta, "site", "sample", "population", "value").where("between_var is not null")
     out = v.join(t.sites, "site").select("site", "gene", T.recode(F.col("clinsig"), CLASSES).alias("class"), r6("between_var").alias("between_var"))
     return out.orderBy(F.desc("between_var"), "site").limit(20)
 
 
 query("a01_site_variance", "SELECT site, round(var_samp(value), 6) AS v FROM scores GROUP BY site")(lambda t: t.scores.groupBy("site").agg(r6(F.var_samp("value")).alias("v")))
 query("a02_between_variance", "x AS (SELECT site, population, avg(value) AS m FROM scores JOIN meta USING (sample) GROUP BY ALL) SELECT site, round(var_samp(m), 6) AS v FROM x GROUP BY site")(
-    lambda t: relational.between_group_variance(t.scores.join(t.meta, "sample"), "site", "population", "value").select("site", r6("between_var").alias("v"))
+    lambda t: relational.between_group_variance(t.scores, t.meta, "site", "sample", "population", "value").select("site", r6("between_var").alias("v"))
 )
 query("a03_within_variance_merged", "SELECT site, sample, l_orderkey, ploid, round(value, 6) AS value, round(var_samp(value) OVER (PARTITION BY site, population), 6) AS within_var FROM scores JOIN meta USING (sample)")(
     lambda t: t.scores.join(t.meta, "sample").select("site", "sample", "l_orderkey", "ploid", r6("value").alias("value"), r6(F.var_samp("value").over(Window.partitionBy("site", "population"))).alias("within_var"))
@@ -132,7 +132,9 @@ query("w03_minmax", "SELECT site, sample, l_orderkey, ploid, round((value - min(
 query("w03_robust", "x AS (SELECT slot, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM scores GROUP BY slot) SELECT site, sample, l_orderkey, ploid, round((value - b) / coalesce(nullif(c - a, 0), 1), 6) AS scaled FROM scores JOIN x USING (slot)")(
     lambda t: relational.scale_within(t.scores, ["slot"], "value", "robust").select("site", "sample", "l_orderkey", "ploid", r6("scaled").alias("scaled"))
 )
-query("w05_running_offsets", "SELECT gene, site, sum(size) OVER (PARTITION BY gene ORDER BY site)::BIGINT AS at FROM sites")(lambda t: t.sites.select("gene", "site", F.sum("size").over(Window.partitionBy("gene").orderBy("site").rowsBetween(Window.unboundedPreceding, 0)).alias("at")))
+query("w05_running_offsets", "SELECT gene, site, sum(size) OVER (PARTITION BY gene ORDER BY site)::BIGINT AS at FROM sites")(
+    lambda t: ordering.running_totals(t.sites, ["gene"], ["site"], {"at": "size"}).select("gene", "site", "at")
+)
 query("s03_chromosome_order", "SELECT p_partkey AS site, CASE p_partkey % 25 WHEN 22 THEN 1 WHEN 23 THEN 2 WHEN 24 THEN 3 ELSE 0 END AS rank FROM part")(
     lambda t: t.part.withColumn("c", F.concat(F.lit("chr"), F.element_at(F.array(*map(F.lit, [*map(str, range(1, 23)), "X", "Y", "M"])), (F.col("p_partkey") % 25 + 1).cast("int")))).select(F.col("p_partkey").alias("site"), relational.chromosome_order(F.col("c"))[0].alias("rank"))
 )
@@ -144,7 +146,6 @@ query("f10_transcribe", "SELECT n_nationkey, lower(translate(n_name, 'Tt', 'Uu')
 query("f14_reverse_complement", "SELECT doc_id, reverse(translate(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 'ACGT', 'TGCA')) AS rc FROM documents")(
     lambda t: t.documents.select("doc_id", T.reverse_complement(F.regexp_replace(F.upper("text"), "[^ACGT]", "")).alias("rc"))
 )
-query("f13_significance", "SELECT p_partkey AS site, CASE WHEN contains(lower(p_type), 'promo') THEN 'p' ELSE 'o' END AS c FROM part")(lambda t: t.part.select(F.col("p_partkey").alias("site"), F.when(F.lower("p_type").contains("promo"), "p").otherwise("o").alias("c")))
 query("f18_covr", "SELECT site, round(max(abs(log2((alt + 1e-6) / (ref + 1e-6)))), 6) AS covr FROM scores GROUP BY site")(lambda t: t.scores.groupBy("site").agg(r6(F.max(F.abs(M.log2_ratio(F.col("ref"), F.col("alt"))))).alias("covr")))
 query("f24_sigmoid", "SELECT site, round(avg(1 / (1 + exp(-value))), 6) AS p FROM scores GROUP BY site")(lambda t: t.scores.groupBy("site").agg(r6(F.avg(M.sigmoid(F.col("value")))).alias("p")))
 
@@ -216,7 +217,7 @@ query("t08_mann_whitney", "x AS (SELECT gene, size > 25 AS a, rank() OVER (PARTI
 )
 query("t10_correlation", "SELECT gene, round(corr(ln(price), size), 6) AS r FROM sites GROUP BY gene")(lambda t: t.sites.groupBy("gene").agg(r6(F.corr(F.ln("price"), "size")).alias("r")))
 query("t14_percentile_bands", "SELECT slot, round(median(value), 6) AS mid, round(quantile_cont(value, 0.05), 6) AS low, round(quantile_cont(value, 0.95), 6) AS high FROM scores GROUP BY slot")(
-    lambda t: t.scores.groupBy("slot").agg(r6(F.median("value")).alias("mid"), r6(F.percentile("value", 0.05)).alias("low"), r6(F.percentile("value", 0.95)).alias("high"))
+    lambda t: ordering.exact_quantiles(t.scores, ["slot"], "value", [0.05, 0.5, 0.95]).select("slot", *(r6(F.col("q")[i]).alias(n) for i, n in ((1, "mid"), (0, "low"), (2, "high"))))
 )
 query("h08_unique_haplotypes", "x AS (SELECT o_custkey AS h, list_sort(list(DISTINCT l_partkey % 50)) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY h) SELECT md5(array_to_string(v, ',')) AS hash, count(*) AS n_haplotypes, min(h) AS first, min(len(v))::INT AS n_variants FROM x GROUP BY 1")(
     lambda t: haplotypes.unique_haplotypes(t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("haplotype"), (F.col("l_partkey") % 50).alias("variant")))

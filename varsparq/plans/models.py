@@ -45,8 +45,10 @@ def _modalities(t: Tables) -> DataFrame:
     return rows.select("a", "modality", M.fold_change(F.col("r"), F.col("s"), "rnaseq").alias("lfc"), M.covr(F.col("r"), F.col("s")).alias("covr"))
 
 
-query("f22_element_effects", _PAIR + "SELECT a, list(round(s - r, 6) ORDER BY k) AS delta, list(round(log2((s + 1e-6) / (r + 1e-6)), 6) ORDER BY k) AS ratio FROM c GROUP BY a")(
-    lambda t: _pairs(t).select("a", *(F.transform(M.element_effects(F.col("r"), F.col("s"), how), lambda x: F.round(x, 6)).alias(n) for how, n in (("delta", "delta"), ("log2_ratio", "ratio"))))
+query("f22_element_effects", _PAIR + "SELECT a, k::INT AS k, round(s - r, 6) AS delta, round(log2((s + 1e-6) / (r + 1e-6)), 6) AS ratio FROM c")(
+    lambda t: _pairs(t)
+    .select("a", F.posexplode(F.arrays_zip(*(M.element_effects(F.col("r"), F.col("s"), how).alias(n) for how, n in (("delta", "delta"), ("log2_ratio", "ratio"))))).alias("k", "e"))
+    .select("a", "k", r6("e.delta").alias("delta"), r6("e.ratio").alias("ratio"))
 )
 query("f23_effects_of_rows", _PAIR + "SELECT a, round(avg(abs(log2((s + 1e-6) / (r + 1e-6)))), 6) AS effect FROM c GROUP BY a")(lambda t: _pairs(t).select("a", r6(M._mean(M.element_effects(F.col("r"), F.col("s"), "log2_ratio", as_abs=True))).alias("effect")))
 _PQ = _PAIR + ", q AS (SELECT a, avg(1 / (1 + exp(-u))) AS p, avg(1 / (1 + exp(-w))) AS q FROM c GROUP BY a) SELECT a, round("
@@ -73,8 +75,13 @@ query("f15_mutate")(lambda t: t.supplier.select("s_suppkey", F.translate(F.md5("
 
 # Statistical tests
 query("t02_permutations")(lambda t: significance.permuted_wasserstein(t.sites, "gene", "price", F.col("size") > 25, 99, 7))
-query("t06_effect_kind", """SELECT test, kind FROM (VALUES ('Mann-Whitney-Wilcoxon test', 'cliffs_delta'), ('Kruskal-Wallis', 'cliffs_delta'), ('Levene test', 'n/a'), ('Welch''s t-test', 'cohens_d'), ('t-test independent samples', 'cohens_d'), ('t-test (paired)', 'cohens_dz'), ('Wilcoxon test', 'cohens_dz'), ('other', 'n/a')) v(test, kind)""")(
-    lambda t: t.spark.createDataFrame([(x,) for x in ("Mann-Whitney-Wilcoxon test", "Kruskal-Wallis", "Levene test", "Welch's t-test", "t-test independent samples", "t-test (paired)", "Wilcoxon test", "other")], "test string").select("test", significance.effect_kind(F.col("test")).alias("kind"))
+query("t07_pairwise_stats", """p AS (SELECT a.c AS group1, b.c AS group2 FROM (SELECT DISTINCT clinsig AS c FROM sites) a, (SELECT DISTINCT clinsig AS c FROM sites) b WHERE a.c < b.c),
+x AS (SELECT group1, group2, clinsig = group1 AS a, price AS v FROM p JOIN sites ON clinsig IN (group1, group2)),
+r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY group1, group2, v) - 1) / 2 AS r FROM x WINDOW w AS (PARTITION BY group1, group2 ORDER BY v)),
+s AS (SELECT group1, group2, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n2, sum(r) FILTER (a) AS rs, avg(v) FILTER (a) AS m1, avg(v) FILTER (NOT a) AS m2, var_samp(v) FILTER (a) AS v1, var_samp(v) FILTER (NOT a) AS v2 FROM r GROUP BY ALL)
+SELECT 'Mann-Whitney-Wilcoxon test two-sided' AS test, group1, group2, n1, n2, 'U_stat' AS statistic_name, round(rs - n1 * (n1 + 1) / 2, 4) AS statistic, round(2 * (rs - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 6) AS effect_size, 'cliffs_delta' AS effect_size_kind FROM s
+UNION ALL SELECT 'Welch''s t-test independent samples', group1, group2, n1, n2, 't', round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4), round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6), 'cohens_d' FROM s""")(
+    lambda t: significance.pairwise_stats(t.sites, "clinsig", "price").select("test", "group1", "group2", "n1", "n2", "statistic_name", F.round("statistic", 4).alias("statistic"), r6("effect_size").alias("effect_size"), "effect_size_kind")
 )
 query("t07_pairwise_effects", """x AS (SELECT clinsig AS g, count(*) AS n, avg(ln(price)) AS m, var_samp(ln(price)) AS v FROM sites GROUP BY clinsig)
 SELECT a.g AS g_1, b.g AS g_2, a.n AS n_1, b.n AS n_2, round(a.m - b.m, 6) AS mean_diff, round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 6) AS cohens_d FROM x a JOIN x b ON a.g < b.g""")(
@@ -116,7 +123,7 @@ c AS (SELECT g, s, sum(tp) OVER w / sum(n) OVER w AS precision, sum(tp) OVER w /
 """
 query("m08_precision_recall", _CURVE + "SELECT g, s, round(precision, 6) AS precision, round(recall, 6) AS recall FROM c")(lambda t: _curve(t).select("g", "s", r6("precision").alias("precision"), r6("recall").alias("recall")))
 query("m08_average_precision", _CURVE + ", d AS (SELECT *, recall - coalesce(lag(recall) OVER w, 0) AS step, coalesce(lag(precision) OVER w, 1) AS before FROM c WINDOW w AS (PARTITION BY g ORDER BY s DESC)) SELECT g, round(sum(step * precision), 6) AS average_precision, round(sum(step * (precision + before) / 2), 6) AS auprc FROM d GROUP BY g")(
-    lambda t: significance.average_precision(_curve(t), ["g"], "s").select("g", r6("average_precision").alias("average_precision"), r6("auprc").alias("auprc"))
+    lambda t: significance.average_precision(_curve(t), ["g"]).select("g", r6("average_precision").alias("average_precision"), r6("auprc").alias("auprc"))
 )
 
 
@@ -155,15 +162,19 @@ def _m(t: Tables) -> DataFrame:
 
 
 def _several(t: Tables) -> DataFrame:
-    cells = t.lineitem.groupBy(F.col("l_returnflag").alias("which"), (F.col("l_partkey") % 90).alias("i"), (F.col("l_suppkey") % 40).alias("j")).agg(F.avg("l_discount").alias("v"))
+    """Mean discounts in hundredths, down to steps of 2^-20: sums of such values don't depend on their order."""
+    keys = F.col("l_returnflag").alias("which"), (F.col("l_partkey") % 90).alias("i"), (F.col("l_suppkey") % 40).alias("j")
+    cells = t.lineitem.groupBy(*keys).agg((F.floor(F.sum(F.round(F.col("l_discount") * 100).cast("long")) * 2**20 / F.count("*")) / 2**20).alias("v"))
     return cells.withColumn("weight", F.when(F.col("which") == "A", 2.0).otherwise(1.0))
 
 
-_SEV = "x AS (SELECT l_returnflag AS which, l_partkey % 90 AS i, l_suppkey % 40 AS j, avg(l_discount) AS v, CASE WHEN l_returnflag = 'A' THEN 2.0::DOUBLE ELSE 1.0 END AS weight FROM lineitem GROUP BY ALL) "
+_SEV = "x AS (SELECT l_returnflag AS which, l_partkey % 90 AS i, l_suppkey % 40 AS j, floor(sum(round(l_discount * 100)::BIGINT)::BIGINT * 1048576 / count(*)) / 1048576 AS v, CASE WHEN l_returnflag = 'A' THEN 2.0::DOUBLE ELSE 1.0 END AS weight FROM lineitem GROUP BY ALL) "
 query("x02_common_shape", "x AS (SELECT l_returnflag AS which, max(l_partkey) + 1 AS r, max(l_suppkey + l_linenumber) + 1 AS c FROM lineitem GROUP BY 1) SELECT which, r AS rows, c AS columns, max(r) OVER () - r AS pad_rows, max(c) OVER () - c AS pad_columns FROM x")(
     lambda t: matrix.padded(t.lineitem.select(F.col("l_returnflag").alias("which"), F.col("l_partkey").alias("i"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("j")))
 )
-query("x03_weighted_mean", _SEV + "SELECT i, j, round(sum(v * weight) / sum(weight), 6) AS v FROM x GROUP BY ALL HAVING count(v) = 3")(lambda t: matrix.average(_several(t), 3).withColumn("v", r6("v")))
+query("x03_weighted_mean", _SEV + "SELECT i, j, sum(v * weight) / sum(weight) AS v FROM x GROUP BY ALL HAVING count(v) = 3")(
+    lambda t: matrix.average(_several(t), 3)
+)
 query("x03_weighted_max", _SEV + "SELECT i, j, round(max(v * weight), 6) AS v FROM x GROUP BY ALL HAVING count(v) = 3")(lambda t: matrix.weighted_max(_several(t), 3).withColumn("v", r6("v")))
 query("x04_bin_columns", _M + "SELECT i, j // 7 AS j, round(avg(v), 6) AS v FROM x GROUP BY ALL")(lambda t: matrix.bin_axis(_m(t), "j", 7).withColumn("v", r6("v")))
 query("x06_expand", "x AS (SELECT l_partkey % 30 AS i, l_suppkey % 30 AS j, max(l_discount) AS v FROM lineitem GROUP BY ALL) SELECT i * 3 + a AS i, j * 3 + b AS j, v FROM x, (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([0, 1, 2]) AS b) WHERE i * 3 + a < 80 AND j * 3 + b < 80")(
@@ -204,7 +215,10 @@ query("h08_haplotype_matrix", "x AS (SELECT o_custkey AS h, list_sort(list(DISTI
     lambda t: haplotypes.haplotype_matrix(t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("haplotype"), (F.col("l_partkey") % 50).alias("variant")))
 )
 query("h10_haplotype_ids", "SELECT DISTINCT sample || '_' || ploid AS hap_id FROM scores")(lambda t: t.scores.select(F.concat_ws("_", "sample", "ploid").alias("hap_id")).distinct())
-query("h13_flat_index", "SELECT DISTINCT site, sample, ploid, (site * 100 + sample) * 2 + ploid AS flat, site AS r, sample AS s, ploid AS p FROM scores")(lambda t: haplotypes.flat_index(t.scores.select("site", "sample", "ploid").distinct(), "site", "sample", "ploid", 100, 2).withColumn("p", F.col("p").cast("int")))
+query("h13_flat_index", """n AS (SELECT max(sample) + 1 AS n FROM scores)
+SELECT DISTINCT site, sample, ploid, (site * n + sample) * 2 + ploid AS flat, site AS r, sample AS s, ploid AS p FROM scores, n""")(
+    lambda t: haplotypes.flat_index(t.scores.select("site", "sample", "ploid").distinct(), "site", "sample", "ploid", t.scores.agg(F.max("sample") + 1).first()[0], 2).withColumn("p", F.col("p").cast("int"))
+)
 query("h16_align_tracks", """x AS (SELECT vec_id AS hap, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) * 2 + vec_id % 3 AS c FROM embeddings), g AS (SELECT DISTINCT hap, p FROM x, range(41) r(p))
 SELECT g.hap, p::INT AS place, round(coalesce(v, -1), 6) AS v FROM g LEFT JOIN x ON x.hap = g.hap AND c = p + 30 - 20""")(
     lambda t: haplotypes.align_tracks(t.embeddings.select(F.col("vec_id").alias("hap"), F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda k: (k * 2 + F.col("vec_id") % 3).cast("int")).alias("coords"), F.col("embedding").cast("array<double>").alias("values")), 30, 41, -1.0).withColumn("v", r6("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     def keep(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         _QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
-            _ORACLES[name] = "WITH " + sql if sql.startswith("RECURSIVE") else "WITH " + VIEWS + sql.strip() if sql.lstrip().startswith("x AS") else "WITH " + VIEWS.rstrip().rstrip(",") + "\n" + sql.strip()
+            _ORACLES[name] = "WITH " + sql if sql.startswith("RECURSIVE") else "WITH " + VIEWS + sql.strip() if re.match(r"\s*\w+ AS \(", sql) else "WITH " + VIEWS.rstrip().rstrip(",") + "\n" + sql.strip()
         return f
 
     return keep
