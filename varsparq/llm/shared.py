@@ -2,51 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch that carries texts: a batch of very long texts still fits in a Python worker.
-TEXT_BATCH_ROWS = 256
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and all is local (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="varsparq-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+from varsparq.storage import materialise, shared_folder, table_path
 
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_folder(spark)}/varsparq-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
+__all__ = ["map_texts", "materialise", "shared_folder", "table_path", "text_batches"]
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session is gone: whoever owns the folder clears it
-        return
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, and outlives any executor."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch that carries texts: a batch of very long texts still fits in a Python worker.
+TEXT_BATCH_ROWS = 256
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -27,8 +27,6 @@ BITS, PREFIXES = 20, (4, 5, 6)
 #: A voter occurs in so many toxic training rows, in this share of them, and so much more often than in others.
 MOST_VOTERS, LEAST_SEEN, LEAST_SHARE, LEAST_RATIO = 400, 5, 0.03, 12.0
 THRESHOLD = 0.3
-#: Posterior of toxic where only the voter of absence votes.
-HARMLESS = 0.02
 #: The classifier uses features whose rows have so many times the mean posterior, and hold this share of all posterior.
 LIFT, MASS = 4.0, 0.005
 
@@ -75,30 +73,28 @@ def voters(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return good[np.argsort(-seen[1, good], kind="stable")[:MOST_VOTERS]]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of toxic for each row of votes (rows, voters) in {0, 1}, fitted without labels.
+def label_model(votes: np.ndarray, prior: float, rounds: int = 100) -> np.ndarray:
+    """Posterior of toxic for each row of votes (rows, voters) in {0, 1}, fitted without labels but for ``prior``, the share of toxic rows.
 
-    A latent class with conditional rates of voting in either class; voters whose votes agree beyond that (by the residual
-    correlation within the likelier class) share their weight.
+    A latent class with conditional rates of voting in either class, for each voter and for the one that votes where no
+    other does. Voters whose votes agree beyond that (by the residual correlation within the classes, taken anew in each
+    round) share their weight. Rounds end when no posterior moves by 1e-4; it begins at 0.9 for rows with a vote, 0.02 for others.
     """
-    p = np.where(votes.any(1), 0.9, HARMLESS)
+    p = np.where(votes.any(1), 0.9, 0.02)
     votes = np.column_stack([votes, ~votes.any(1)]).astype(float)
-    n, m = votes.shape
-    weight = np.ones(m)
-    for step in range(rounds):
-        prior = np.clip(p.mean(), 1e-3, 0.5)
+    n, prior = len(votes), np.clip(prior, 1e-3, 0.5)
+    for _ in range(rounds):
         rate_1 = (votes.T @ p + 0.5) / (p.sum() + 1)
         rate_0 = (votes.T @ (1 - p) + 0.5) / ((1 - p).sum() + 50)
-        if step == 5:  # correlations given the class
-            left = votes - np.outer(p, rate_1) - np.outer(1 - p, rate_0)
-            spread = np.sqrt((left**2).mean(0)) + 1e-9
-            link = np.abs(left.T @ left / n) / np.outer(spread, spread)
-            weight = 1 / np.maximum(1, (link > 0.5).sum(1))
+        left = votes - np.outer(p, rate_1) - np.outer(1 - p, rate_0)
+        spread = np.sqrt((left**2).mean(0)) + 1e-9
+        link = np.abs(left.T @ left / n) / np.outer(spread, spread)
+        weight = 1 / np.maximum(1, np.clip((link - 0.4) / 0.2, 0, 1).sum(1))  # from no link at 0.4 to a whole one at 0.6
         odds = np.log(prior / (1 - prior)) + votes @ (np.log(rate_1 / rate_0) * weight)  # abstaining says nothing
-        new = np.where(votes[:, -1] > 0, HARMLESS, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
-        if np.abs(new - p).max() < 1e-4 and step > 6:
-            return new
-        p = new
+        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        moved, p = np.abs(new - p).max(), new
+        if moved < 1e-4:
+            break
     return p
 
 
@@ -158,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000) -> Model | N
     for i, v in enumerate(x):
         at = place[v]
         votes[i, at[at >= 0]] = True
-    posterior = label_model(votes, toxic.mean())
+    posterior = label_model(votes, float(toxic.mean()))
     return Model(*train_linear(x, posterior))
 
 
