@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varsparq.operators import components, contacts, linear, scoring, submatrix
+from varsparq.operators import components, contacts, linear, scoring, splicing, submatrix
 from varsparq.plans.registry import Tables, query, r6
 from varsparq.sources import genotypes
 from varsparq.storage import table_path
@@ -195,3 +195,29 @@ def _resumed(t: Tables) -> DataFrame:
 
 query("k01_resumed_scores", _PAIRS + "SELECT site, sample, 'gc_shift' AS model, unnest(['GC', 'LEN']) AS slot, round(unnest([gc, l]), 6) AS value FROM g")(lambda t: _resumed(t).select("site", "sample", "model", "slot", r6("value").alias("value")))
 query("k10_wide_scores", _PAIRS + "SELECT site, sample, round(gc, 6) AS GC, l::DOUBLE AS LEN FROM g")(lambda t: scoring.wide_results(_resumed(t), ["site", "sample"], ["GC", "LEN"]).select("site", "sample", r6("GC").alias("GC"), "LEN"))
+
+
+# Splice scores: sixteen places of a vector play each track
+_TRACKS = ("acceptor_ref", "acceptor_alt", "donor_ref", "donor_alt")
+
+
+def _windows(t: Tables) -> DataFrame:
+    """Windows of 16 positions: tracks from quarters of the vector, those of the other strand from the vector back to front."""
+    e = F.col("embedding").cast("array<double>")
+    tracks = [F.slice(v, 16 * k + 1, 16).alias(f"{s}_{n}") for s, v in (("pos", e), ("neg", F.reverse(e))) for k, n in enumerate(_TRACKS)]
+    sites = [F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k, m=m: ((k + F.col("vec_id")) % m == 0).cast("int")).alias(f"{s}_{n}_sites") for s in splicing.STRANDS for n, m in (("acceptor", 3), ("donor", 4))]
+    told = {"variant_idx": "vec_id", "chromosome": "concat('chr', vec_id % 22 + 1)", "position": "vec_id * 100", "ref_allele": "'A'", "alt_allele": "'G'", "sample_id": "label", "hap_id": "vec_id % 2", "flag": "0"}
+    coord = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.col("vec_id") * 100 + k)
+    return t.embeddings.select(*(F.expr(c).alias(n) for n, c in told.items()), coord.alias("ref_coord"), *tracks, *sites)
+
+
+query("k09_splice_scores", """t AS (SELECT vec_id, s, k, v[k + 1] AS ar, v[k + 17] AS aa, v[k + 33] AS dr, v[k + 49] AS da, ((k + vec_id) % 3 = 0)::INT AS am, ((k + vec_id) % 4 = 0)::INT AS dm
+FROM (SELECT vec_id, 0 AS s, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings UNION ALL SELECT vec_id, 1, list_transform(list_reverse(embedding), lambda x: x::DOUBLE) FROM embeddings), range(16) r(k)),
+g AS (SELECT vec_id, s, k, unnest([0, 1, 2, 3]) AS kind, unnest([(aa - ar) * (1 - am), -(aa - ar) * am, (da - dr) * (1 - dm), -(da - dr) * dm]) AS v FROM t),
+m AS (SELECT vec_id, s, kind, max(v) AS v, arg_max(vec_id * 100 + k, (v, -k)) AS coord FROM g GROUP BY ALL),
+b AS (SELECT vec_id, arg_max(struct_pack(v := v, coord := coord, kind := kind, s := s), (v, -(s * 4 + kind))) AS b FROM m GROUP BY vec_id)
+SELECT vec_id AS variant_idx, round(b.v, 6) AS max_delta_score, b.coord AS max_delta_coord, ['acceptor_gain', 'acceptor_loss', 'donor_gain', 'donor_loss'][b.kind + 1] AS max_delta_score_type, ['pos', 'neg'][b.s + 1] AS max_delta_strand,
+  round(p.v, 6) AS pos_donor_loss_max, p.coord AS pos_donor_loss_max_coord, round(n.v, 6) AS neg_acceptor_gain_max, n.coord AS neg_acceptor_gain_max_coord
+FROM b JOIN m p USING (vec_id) JOIN m n USING (vec_id) WHERE p.s = 0 AND p.kind = 3 AND n.s = 1 AND n.kind = 0""")(
+    lambda t: splicing.score_windows(_windows(t)).select("variant_idx", "max_delta_coord", "max_delta_score_type", "max_delta_strand", "pos_donor_loss_max_coord", "neg_acceptor_gain_max_coord", *(r6(c).alias(c) for c in ("max_delta_score", "pos_donor_loss_max", "neg_acceptor_gain_max")))
+)
