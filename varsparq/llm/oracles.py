@@ -51,12 +51,12 @@ def _url() -> str:
     ]
     for name, a, b, seed in (("t", "src", "dst", "allowed"), ("d", "dst", "src", "blocked")):
         parts.append(f"{name}links AS (SELECT {a} AS src, {b} AS dst, n / sum(n) OVER (PARTITION BY {a}) AS share FROM edges)")
-        parts.append(f"{name}seeds AS (SELECT host, {seed} / n AS seed FROM hosts WHERE {seed} > 0)")
+        parts.append(f"{name}seeds AS MATERIALIZED (SELECT host, {seed} / n AS seed FROM hosts WHERE {seed} > 0)")
         parts.append(f"{name}rank0 AS (SELECT host, seed AS rank FROM {name}seeds)")
         for k in range(1, ROUNDS + 1):
             parts.append(f"{name}got{k} AS (SELECT dst AS host, {DAMPING} * sum(rank * share) AS got FROM {name}rank{k - 1} JOIN {name}links ON host = src GROUP BY dst)")
             parts.append(f"{name}rank{k} AS (SELECT host, sum(rank) AS rank FROM (SELECT host, {1 - DAMPING} * seed AS rank FROM {name}seeds UNION ALL SELECT host, got FROM {name}got{k}) GROUP BY host)")
-    parts.append(f"bad AS (SELECT d.host FROM dgot{ROUNDS} d LEFT JOIN tgot{ROUNDS} t USING (host) WHERE d.got > coalesce(t.got, 0) AND d.got > {LEAST_DISTRUST})")
+    parts.append(f"bad AS (SELECT d.host FROM dgot{ROUNDS} d LEFT JOIN tgot{ROUNDS} t USING (host) WHERE d.got / (SELECT sum(seed) FROM dseeds) > coalesce(t.got / (SELECT sum(seed) FROM tseeds), 0) AND d.got > {LEAST_DISTRUST})")
     return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"
 
 

@@ -2,8 +2,8 @@
 
 Personalised PageRank starts from hosts in proportion to the share of their pages that a rule allows, and follows links;
 distrust starts from hosts with blocked pages and follows links backwards, to those that link to them. A host without a
-rule for a page is blocked when the distrust that reaches it over links is above its trust and above a threshold. Both are
-carried on until they no longer change; the SQL of the query stops after ROUNDS rounds, so it can differ for hosts farther off.
+rule for a page is blocked when the distrust that reaches it over links is above its trust, both with seeds that add up to
+1, and above a threshold of LEAST_DISTRUST of what a host with blocked pages only starts from. Both are carried on until they no longer change; the SQL of the query stops after ROUNDS rounds, so it can differ for hosts farther off.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and is allowed. A null html has no
 links. Repeated rows are judged alike; each counts as a page of its host. An empty table gives an empty result. Links of
@@ -93,10 +93,11 @@ def blocked_hosts(pages: DataFrame, rounds: int = ROUNDS, least: float = LEAST_D
 
     if edges.isEmpty():  # nothing to follow
         return hosts.where("false").select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
-    trust = _ranks(shares("src", "dst"), seeds("allowed"), rounds, CLOSE * least).select("host", F.col("got").alias("trust"))
-    distrust = _ranks(shares("dst", "src"), seeds("blocked"), rounds, CLOSE * least).select("host", F.col("got").alias("distrust"))
-    both = distrust.join(trust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), "distrust")
-    return both.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > least))
+    sums = hosts.where("host <> ''").agg(*(F.sum(F.col(c) / F.col("n")).alias(c) for c in ("allowed", "blocked"))).first()  # two numbers
+    trust = _ranks(shares("src", "dst"), seeds("allowed"), rounds, CLOSE * least).select("host", (F.col("got") / (sums.allowed or 1.0)).alias("trust"))
+    distrust = _ranks(shares("dst", "src"), seeds("blocked"), rounds, CLOSE * least).select("host", F.col("got").alias("_got"), (F.col("got") / (sums.blocked or 1.0)).alias("distrust"))
+    both = distrust.join(trust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), "distrust", "_got")
+    return both.where((F.col("distrust") > F.col("trust")) & (F.col("_got") > least)).drop("_got")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES, rounds: int = ROUNDS) -> DataFrame:
