@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 
 #: Entries of each of the two caches of a Python worker, about 200 bytes each.
-CACHE = 800_000
+CACHE = 350_000
 #: When a cache is full, entries of at most so many characters stay if they are less than half of it: short parts recur most.
 SHORT = 7
 #: Letters and signs behind them, once or on two lines. (Letters are tested again, as \w holds some numbers that are none.)
