@@ -6,11 +6,12 @@ import math
 import random
 from itertools import groupby
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from varsparq.functions import metrics as M
-from varsparq.operators import haplotypes, intervals, matrix, rankings, relational, significance
+from varsparq.operators import benchmark, haplotypes, intervals, matrix, rankings, relational, significance
 
 
 def _distance(a, b):
@@ -51,7 +52,7 @@ def test_logistic_benchmark_learns(spark):
     draw = random.Random(2)
     rows = [("g", k, draw.gauss(y, 0.7), y) for k, y in enumerate([0, 1] * 200)]
     df = spark.createDataFrame(rows, "grp string, id long, x double, y int")
-    got = significance.logistic_benchmark(df, ["grp"], ["x"], "y", ["id"]).collect()
+    got = benchmark.logistic_benchmark(df, ["grp"], ["x"], "y", ["id"]).collect()
     assert 96 <= len(got) <= 104 and abs(sum(r.y for r in got) - len(got) / 2) <= 2
     train = [(x, y) for _, k, x, y in rows if k not in {r.id for r in got}]
     w = b = 0.0
@@ -63,6 +64,39 @@ def test_logistic_benchmark_learns(spark):
     assert all(r.prob == pytest.approx(1 / (1 + math.exp(-(w * at[r.id] + b))), abs=1e-5) for r in got)
 
 
+def test_models_of_many_features_by_key(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 3))
+    grp = np.where(np.arange(600) % 3 == 0, "REF", "non-REF")
+    y = (x @ [2.0, -1.0, 0.0] + 0.5 + r.logistic(size=600) > 0).astype(int)
+    df = spark.createDataFrame([(str(g), k, *map(float, v), int(t)) for k, (g, v, t) in enumerate(zip(grp, x, y, strict=True))] + [("REF", 999, 0.0, None, 1.0, 1)], "grp string, id long, a double, b double, c double, y int")
+    scored = benchmark.logistic_benchmark(df.repartition(3), ["grp"], ["a", "b", "c"], "y", ["id"])
+    rows = scored.collect()
+    report = {v.grp: v for v in benchmark.benchmark_report(scored, ["grp"], "y").collect()}
+    for g in ("REF", "non-REF"):
+        held = [v for v in rows if v.grp == g]
+        out = {v.id for v in held}
+        own = [k for k in range(600) if grp[k] == g and k not in out]
+        assert abs(len(out) - (grp == g).sum() / 4) <= 2
+        z, w = np.column_stack([x, np.ones(600)]), np.zeros(4)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-z[own] @ w))
+            w -= np.linalg.solve(z[own].T @ (z[own] * (p * (1 - p))[:, None]) + np.diag([1, 1, 1, 0]), z[own].T @ (p - y[own]) + w * [1, 1, 1, 0])
+        assert all(v.prob == pytest.approx(1 / (1 + np.exp(-z[v.id] @ w)), abs=1e-8) for v in held)
+        t, q = np.array([v.y for v in held]), np.array([v.predicted for v in held])
+        pr = [(t[q == c] == c).mean() for c in (0, 1)]
+        rc = [(q[t == c] == c).mean() for c in (0, 1)]
+        f1 = [2 * a * b / (a + b) for a, b in zip(pr, rc, strict=True)]
+        v = report[g]
+        assert v.support == len(held) and v.accuracy == pytest.approx((t == q).mean(), abs=1e-6)
+        assert v.macro_f1 == pytest.approx(np.mean(f1), abs=1e-6) and v.weighted_precision == pytest.approx(np.average(pr, weights=[(t == 0).sum(), (t == 1).sum()]), abs=1e-6)
+        order = np.argsort([-v.prob for v in held])
+        hits = t[order].cumsum()
+        assert v.average_precision == pytest.approx((hits / np.arange(1, len(t) + 1))[t[order] == 1].mean(), abs=1e-6)
+    with pytest.raises(ValueError):
+        benchmark.logistic_benchmark(df.where("false"), ["grp"], ["a"], "y", ["id"])
+
+
 def test_density_grid(spark):
     draw = random.Random(3)
     points = [(draw.random(), draw.random()) for _ in range(40)]

@@ -190,29 +190,3 @@ def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
     step = F.col("recall") - F.col("recall_before")
     area = step * (F.col("precision") + F.col("precision_before")) / 2
     return curve.groupBy(*keys).agg(F.sum(step * F.col("precision")).alias("average_precision"), F.sum(area).alias("auprc"))
-
-
-def logistic_benchmark(df: DataFrame, keys: list[str], features: list[str], label: str, ids: list[str], test_share: float = 0.25, seed: int = 42) -> DataFrame:
-    """prob, predicted of held-out rows: a logistic model for each key, fitted by Newton steps on one-pass sums (M-05, M-07).
-
-    The split is stratified by label: rows in the order of seeded hashes. The penalty is that of a unit inverse strength.
-    One feature and an intercept; each step aggregates five sums for each key.
-    """
-    (feature,) = features
-    rows = df.where(F.col(feature).isNotNull() & F.col(label).isNotNull())
-    place = F.percent_rank().over(Window.partitionBy(*keys, label).orderBy(F.xxhash64(F.lit(seed), *ids), *ids))
-    rows = rows.withColumn("_test", place < test_share)
-    train = rows.where("not _test").select(*keys, F.col(feature).cast("double").alias("_x"), F.col(label).cast("double").alias("_y"))
-    train = train.groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_c"))  # equal rows once
-    model = train.select(*keys).distinct().withColumns({"_w": F.lit(0.0), "_b": F.lit(0.0)})
-    for _ in range(6):
-        p = 1 / (1 + F.exp(-(F.col("_w") * F.col("_x") + F.col("_b"))))
-        told = train.join(model, keys).withColumns({"_g": F.col("_c") * (p - F.col("_y")), "_h": F.col("_c") * p * (1 - p)})
-        s = told.groupBy(*keys, "_w", "_b").agg(F.sum("_g").alias("gb"), F.sum(F.col("_g") * F.col("_x")).alias("gw"), F.sum("_h").alias("bb"), F.sum(F.col("_h") * F.col("_x")).alias("wb"), F.sum(F.col("_h") * F.col("_x") * F.col("_x")).alias("ww"))
-        s = s.withColumns({"gw": F.col("gw") + F.col("_w"), "ww": F.col("ww") + 1}).withColumn("_det", F.col("ww") * F.col("bb") - F.col("wb") * F.col("wb") + 1e-12)
-        w = F.col("_w") - (F.col("bb") * F.col("gw") - F.col("wb") * F.col("gb")) / F.col("_det")
-        b = F.col("_b") - (F.col("ww") * F.col("gb") - F.col("wb") * F.col("gw")) / F.col("_det")
-        model = s.select(*keys, w.alias("_w"), b.alias("_b"))
-    scored = rows.where("_test").join(model, keys)
-    prob = 1 / (1 + F.exp(-(F.col("_w") * F.col(feature) + F.col("_b"))))
-    return scored.select(*keys, *ids, label, prob.alias("prob"), (prob >= 0.5).cast("int").alias("predicted"))

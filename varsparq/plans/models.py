@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varsparq.functions import metrics as M
-from varsparq.operators import haplotypes, matrix, relational, significance, summaries
+from varsparq.operators import benchmark, haplotypes, matrix, relational, significance, summaries
 from varsparq.plans.registry import Tables, query, r6
 
 # Effect metrics over pairs of tracks: a vector and the next one, made positive
@@ -106,7 +106,10 @@ SELECT CASE WHEN d = 0 THEN 'bin0' ELSE 'bin' || least(greatest(ceil((d - lo) /
 )
 
 # Models
-query("m05_logistic_benchmark")(lambda t: significance.logistic_benchmark(_labelled(t), ["grp"], ["x"], "y", ["l_orderkey", "l_linenumber", "l_partkey"]).select("grp", "l_orderkey", "l_linenumber", "y", r6("prob").alias("prob"), "predicted"))
+query("m05_logistic_benchmark")(lambda t: benchmark.logistic_benchmark(_labelled(t), ["grp"], ["x"], "y", ["l_orderkey", "l_linenumber", "l_partkey"]).select("grp", "l_orderkey", "l_linenumber", "y", r6("prob").alias("prob"), "predicted"))
+query("m05_benchmark_report")(
+    lambda t: benchmark.benchmark_report(benchmark.logistic_benchmark(_labelled(t).withColumn("x2", F.col("l_partkey") % 97 / 97), ["grp"], ["x", "x2"], "y", ["l_orderkey", "l_linenumber", "l_partkey"]), ["grp"], "y")
+)
 
 
 def _labelled(t: Tables) -> DataFrame:

@@ -205,7 +205,8 @@ def _windows(t: Tables) -> DataFrame:
     """Windows of 16 positions: tracks from quarters of the vector, those of the other strand from the vector back to front."""
     e = F.col("embedding").cast("array<double>")
     tracks = [F.slice(v, 16 * k + 1, 16).alias(f"{s}_{n}") for s, v in (("pos", e), ("neg", F.reverse(e))) for k, n in enumerate(_TRACKS)]
-    sites = [F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k, m=m: ((k + F.col("vec_id")) % m == 0).cast("int")).alias(f"{s}_{n}_sites") for s in splicing.STRANDS for n, m in (("acceptor", 3), ("donor", 4))]
+    every = lambda m: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: ((k + F.col("vec_id")) % m == 0).cast("int"))
+    sites = [every(m).alias(f"{s}_{n}_sites") for s in splicing.STRANDS for n, m in (("acceptor", 3), ("donor", 4))]
     told = {"variant_idx": "vec_id", "chromosome": "concat('chr', vec_id % 22 + 1)", "position": "vec_id * 100", "ref_allele": "'A'", "alt_allele": "'G'", "sample_id": "label", "hap_id": "vec_id % 2", "flag": "0"}
     coord = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.col("vec_id") * 100 + k)
     return t.embeddings.select(*(F.expr(c).alias(n) for n, c in told.items()), coord.alias("ref_coord"), *tracks, *sites)
