@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varsparq.operators import components, contacts, linear, scoring, splicing, submatrix
 from varsparq.plans.registry import Tables, query, r6
-from varsparq.sources import genotypes
+from varsparq.sources import genotypes, variants
 from varsparq.storage import table_path
 
 # Principal components of vectors: a row for each vector, a column for each place
@@ -222,3 +222,48 @@ SELECT vec_id AS variant_idx, round(b.v, 6) AS max_delta_score, b.coord AS max_d
 FROM b JOIN m p USING (vec_id) JOIN m n USING (vec_id) WHERE p.s = 0 AND p.kind = 3 AND n.s = 1 AND n.kind = 0""")(
     lambda t: splicing.score_windows(_windows(t)).select("variant_idx", "max_delta_coord", "max_delta_score_type", "max_delta_strand", "pos_donor_loss_max_coord", "neg_acceptor_gain_max_coord", *(r6(c).alias(c) for c in ("max_delta_score", "pos_donor_loss_max", "neg_acceptor_gain_max")))
 )
+
+
+# Files: tables written in the formats of the sources and read back
+_LINE = "concat_ws('\t', concat('chr', p_partkey % 22 + 1), p_size * 100 + p_partkey, concat('rs', p_partkey), 'A', if(p_partkey % 3 = 0, 'G,T', 'C'), '.', '.', concat('AF=', p_size, ';CLNREVSTAT=', if(p_partkey % 2 = 0, 'practice_guideline', 'unknown'), ';MC=SO:', p_size, '|', lower(substring_index(p_type, ' ', 1))))"
+
+
+def _vcf(t: Tables) -> DataFrame:
+    """A VCF of parts, read by chromosome and predicate into a cache, and from the cache."""
+    path, cache = table_path(t.spark, "vcf"), table_path(t.spark, "vcf-cache")
+    t.part.select(F.expr(_LINE).alias("value")).write.text(path)
+    read = lambda: variants.read_vcf(t.spark, path, ["AF", "MC", "CLNREVSTAT"], contig="7", predicate=F.col("AF").cast("int") > 10, cache=cache)
+    read()
+    return read()
+
+
+query("io01_vcf_records", """x AS (SELECT *, p_size * 100 + p_partkey AS pos FROM part WHERE p_partkey % 22 + 1 = 7 AND p_size > 10)
+SELECT 'chr7' AS chrom, pos, 'rs' || p_partkey AS id, 'A' AS ref, CASE WHEN p_partkey % 3 = 0 THEN 'G|T' ELSE 'C' END AS alt, p_size::VARCHAR AS AF, 'SO:' || p_size AS MC_id, lower(split_part(p_type, ' ', 1)) AS MC_term,
+  CASE WHEN p_partkey % 2 = 0 THEN 4 END::TINYINT AS CLNREVSTAT_score FROM x""")(lambda t: _vcf(t).select("chrom", "pos", "id", "ref", F.array_join("alt", "|").alias("alt"), "AF", "MC_id", "MC_term", "CLNREVSTAT_score"))
+
+
+def _bed(t: Tables) -> DataFrame:
+    path = table_path(t.spark, "bed")
+    alt = F.when(F.col("p_size") > 5, F.substring("p_brand", 1, 1))
+    rows = t.part.select(F.concat(F.lit("chr"), F.col("p_partkey") % 22 + 1).alias("chrom"), F.col("p_size").alias("chromStart"), (F.col("p_size") + 1).alias("chromEnd"), F.concat(F.lit("v"), "p_partkey").alias("name"), "p_retailprice", F.lit("A").alias("REF"), alt.alias("ALT"))
+    variants.write_bed(rows.withColumnRenamed("p_retailprice", "score"), path)
+    return variants.read_bed(t.spark, path)
+
+
+query("io03_bed_rows", "SELECT 'chr' || (p_partkey % 22 + 1) AS chrom, p_size::BIGINT AS chromStart, (p_size + 1)::BIGINT AS chromEnd, 'v' || p_partkey AS site, round(p_retailprice, 4) AS score, left(p_brand, 1) AS ALT FROM part WHERE p_size > 5")(
+    lambda t: _bed(t).select("chrom", "chromStart", "chromEnd", "site", F.round("score", 4).alias("score"), "ALT")
+)
+
+
+def _score_table(t: Tables) -> DataFrame:
+    """Scores by model and chromosome; one chromosome is written anew with other values, then columns are read without nulls."""
+    path = table_path(t.spark, "score-table")
+    rows = t.scores.select(F.lit("m").alias("model"), (F.col("site") % 4).alias("chrom"), "l_orderkey", "site", "sample", F.when(F.col("slot") != "N", F.col("value")).alias("value"))
+    variants.append_scores(rows, path)
+    variants.append_scores(rows.where("chrom = 2").withColumn("value", F.col("value") + 1), path)
+    return variants.read_scores(t.spark, path, ["chrom", "l_orderkey", "site", "sample", "value"])
+
+
+query("io07_score_table", "SELECT (site % 4)::INT AS chrom, l_orderkey, site, sample, round(CASE WHEN site % 4 = 2 THEN value + 1 ELSE value END, 6) AS value FROM scores WHERE slot <> 'N'")(
+    lambda t: _score_table(t).select(F.col("chrom").cast("int").alias("chrom"), "l_orderkey", "site", "sample", r6("value").alias("value"))
+)
