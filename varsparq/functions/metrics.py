@@ -39,6 +39,19 @@ def _scaled(a: Column) -> Column:
     return _let(a, lambda e: _let(_sum(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
+def logits_to_probs(logits: Column, method: str = "sigmoid", reduction: str | Callable[[Column], Column] | None = "mean") -> Column:
+    """An array of logits as probabilities by sigmoid, softmax or log_softmax, reduced by mean, sum, a function of the array, or not at all (F-24)."""
+    ways = {"sigmoid": lambda a: F.transform(a, sigmoid), "softmax": softmax, "log_softmax": lambda a: F.transform(softmax(a), F.ln)}
+    if method not in ways:
+        raise ValueError(f"no such method: {method}")
+    if reduction is not None and not callable(reduction) and reduction not in ("mean", "sum"):
+        raise ValueError(f"no such reduction: {reduction}")
+    probs = ways[method](logits)
+    if reduction is None:
+        return probs
+    return _let(probs, reduction if callable(reduction) else lambda a: _sum(a) / (F.size(a) if reduction == "mean" else F.lit(1)))
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 

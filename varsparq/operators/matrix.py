@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varsparq.operators.ordering import row_index
+from varsparq.operators.ordering import exact_quantiles, row_index
 
 #: Names of an axis that a row holds at once.
 BLOCK = 1024
@@ -23,11 +23,18 @@ def bin_matrix(m: DataFrame, size: int, n: int | None, how: str = "avg") -> Data
     return inside.groupBy(F.floor(F.col("i") / size).alias("i"), F.floor(F.col("j") / size).alias("j")).agg(getattr(F, how)("v").alias("v"))
 
 
-def minmax(m: DataFrame, axis: str) -> DataFrame:
-    """Each row (axis i) or column (axis j) scaled to 0..1; constant ones become null (X-07)."""
+def minmax(m: DataFrame, axis: str, eps: float | None = None) -> DataFrame:
+    """Each row (axis i) or column (axis j) scaled to 0..1; constant ones become null, or 0 with an ``eps`` that is added to the span (X-07)."""
     w = Window.partitionBy(axis)
     low, high = F.min("v").over(w), F.max("v").over(w)
-    return m.withColumn("v", F.try_divide(F.col("v") - low, high - low))
+    return m.withColumn("v", F.try_divide(F.col("v") - low, high - low) if eps is None else (F.col("v") - low) / (high - low + eps))
+
+
+def minmax_in_order(m: DataFrame, axes: list[str]) -> DataFrame:
+    """Scaled to 0..1 along each of ``axes`` in turn: i rows, j columns (X-07)."""
+    for axis in axes:
+        m = minmax(m, axis)
+    return m
 
 
 def distances(m: DataFrame) -> DataFrame:
@@ -57,10 +64,20 @@ def dense_grid(rows: DataFrame, columns: DataFrame) -> DataFrame:
     return rows.select(row, F.explode(each).alias("_block")).join(placed, "_block").select(row, F.explode("_names").alias(column))
 
 
-def fill_rows(m: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """The full grid, missing cells filled by the mean of their column (X-08)."""
-    mean = m.groupBy("j").agg(F.avg("v").alias("_mean"))
-    return dense_grid(rows, columns).join(m, ["i", "j"], "left").join(mean, "j", "left").select("i", "j", F.coalesce("v", "_mean").alias("v"))
+def fill_rows(m: DataFrame, rows: DataFrame, columns: DataFrame, how: str | float = "colmean") -> DataFrame:
+    """The full grid, missing cells filled by colmean, colmedian, rowmean or rowmedian, or by a number (X-08). A line without values stays missing.
+
+    Medians are exact and taken by value ranges, so no task holds a line.
+    """
+    grid = dense_grid(rows, columns).join(m, ["i", "j"], "left")
+    if not isinstance(how, str):
+        return grid.select("i", "j", F.coalesce("v", F.lit(float(how))).alias("v"))
+    ways = {"colmean": ("j", False), "colmedian": ("j", True), "rowmean": ("i", False), "rowmedian": ("i", True)}
+    if how not in ways:
+        raise ValueError(f"no such way to fill: {how}")
+    axis, median = ways[how]
+    fill = exact_quantiles(m, [axis], "v", [0.5]).select(axis, F.col("q")[0].alias("_fill")) if median else m.groupBy(axis).agg(F.avg("v").alias("_fill"))
+    return grid.join(fill, axis, "left").select("i", "j", F.coalesce("v", "_fill").alias("v"))
 
 
 def bin_axis(m: DataFrame, axis: str, size: int, how: str = "avg", drop_rest: bool = False) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varsparq.functions import metrics
+
 
 def ranked(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first n rows in an order, with their place. Spark keeps n rows of each task; the window sees n rows (A-04, S-01 to S-03)."""
@@ -44,6 +47,68 @@ def track_variability(df: DataFrame, track: str, place: str, value: str) -> Data
     return g.withColumn("cv", F.col("sd") / F.col("_m")).groupBy(track).agg(*(F.avg(c).alias(c) for c in ("sd", "cv", "range", "auc")))
 
 
+#: Metrics of most_variable_tracks.
+VARIABILITY = ("std", "mad", "entropy", "differential_entropy", "multiscale_entropy", "cv", "range", "spread", "auc")
+
+
+def track_scores(cells: DataFrame, metric: str, eps: float = 1e-8) -> DataFrame:
+    """track, score: how differently the haplotypes of a track behave, from cells (hap, place, track, v) (W-10).
+
+    Most metrics compare haplotypes at each place and are averaged over places: std, mad, entropies (over haplotypes in
+    their order), cv and range. spread is the share of places whose mean absolute value exceeds a twentieth of the track's
+    greatest, auc the sum of these means. An array holds the haplotypes of a place.
+    """
+    if metric not in VARIABILITY:
+        raise ValueError(f"no such metric: {metric}; there are {', '.join(VARIABILITY)}")
+    v, at = F.col("v").cast("double"), cells.groupBy("track", "place")
+    if metric in ("spread", "auc"):
+        means = at.agg(F.avg(F.abs(v)).alias("_m"))
+        if metric == "auc":
+            return means.groupBy("track").agg(F.sum("_m").alias("score"))
+        tops = means.groupBy("track").agg((0.05 * F.max("_m") + eps).alias("_least"))
+        return means.join(tops, "track").groupBy("track").agg(F.avg((F.col("_m") > F.col("_least")).cast("double")).alias("score"))
+    simple = {"std": F.stddev_samp(v), "cv": F.stddev_samp(v) / (F.abs(F.avg(v)) + eps), "range": F.max(v) - F.min(v)}
+    if metric in simple:
+        return at.agg(simple[metric].alias("_s")).groupBy("track").agg(F.avg("_s").alias("score"))
+    values = F.transform(F.sort_array(F.collect_list(F.struct("hap", v.alias("x")))), lambda s: s["x"])
+    scales = (1, 2, 4, 8)
+    of = {
+        "mad": lambda a: metrics.median_absolute_deviation(a),
+        "entropy": lambda a: metrics.multiscale_entropy(a, (1,), eps)[0],
+        "differential_entropy": lambda a: -F.aggregate(F.transform(a, lambda x: x / (F.aggregate(a, F.lit(0.0), lambda s, y: s + y) + eps)), F.lit(0.0), lambda s, p: s + p * F.ln(p + eps)),
+        "multiscale_entropy": lambda a: metrics.complexity_index(metrics.multiscale_entropy(a, scales, eps), scales),
+    }
+    each = at.agg(values.alias("_a")).select("track", of[metric](F.col("_a")).alias("_s"))
+    return each.groupBy("track").agg(F.avg("_s").alias("score"))
+
+
+def most_variable_tracks(cells: DataFrame, metric: str = "std", n: int = 10) -> DataFrame:
+    """place, track, score of the n tracks of the highest score, ties to the smaller track (W-10)."""
+    return ranked(track_scores(cells, metric), [F.desc_nulls_last("score"), F.col("track")], n)
+
+
+def nearest_path(distances: DataFrame, start: object, schema: str = "path string, step int, k long") -> DataFrame:
+    """path, step, k: a walk through all points of each path that always goes to the nearest one not yet visited (W-12).
+
+    distances: path, i, k, d, both directions; a missing one is never taken while others are left. Each step rests on the
+    one before, so a path is walked in one task, which holds its points and distances. Equal distances go to the smaller point.
+    """
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        near = {i: dict(zip(g.k, g.d, strict=True)) for i, g in part.groupby("i")}
+        left = set(part.i) | set(part.k)
+        out, at = [], start if start in left else min(left)
+        while left:
+            left.discard(at)
+            out.append(at)
+            if left:
+                own = near.get(at, {})
+                at = min(left, key=lambda k: (own.get(k, float("inf")), k))
+        return pd.DataFrame({"path": part.path.iloc[0], "step": range(len(out)), "k": out})
+
+    return distances.groupBy("path").applyInPandas(walk, schema)
+
+
 def downsample(df: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
     """Means of windows of ``width`` rows in order without overlap, a remainder dropped (W-11). A window holds the rows of a key."""
     w = Window.partitionBy(key)

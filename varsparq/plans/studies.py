@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varsparq.operators import components, contacts, linear, scoring, splicing, submatrix
+from varsparq.functions import metrics as M
+from varsparq.operators import components, contacts, linear, matrix, rankings, scoring, splicing, submatrix
 from varsparq.plans.registry import Tables, query, r6
 from varsparq.sources import genotypes, variants
 from varsparq.storage import table_path
@@ -267,3 +268,53 @@ def _score_table(t: Tables) -> DataFrame:
 query("io07_score_table", "SELECT (site % 4)::INT AS chrom, l_orderkey, site, sample, round(CASE WHEN site % 4 = 2 THEN value + 1 ELSE value END, 6) AS value FROM scores WHERE slot <> 'N'")(
     lambda t: _score_table(t).select(F.col("chrom").cast("int").alias("chrom"), "l_orderkey", "site", "sample", r6("value").alias("value"))
 )
+
+
+# Tracks: labels of vectors play tracks, vectors haplotypes, components places; values are made positive
+def _track_cells(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("hap"), F.col("label").alias("track"), F.posexplode(F.transform(F.col("embedding").cast("array<double>"), F.exp)).alias("place", "v"))
+
+
+_TRACK_CELLS = """c AS (SELECT vec_id AS hap, label AS track, unnest(range(len(embedding))) AS place, exp(unnest(embedding)::DOUBLE) AS v FROM embeddings),
+a AS (SELECT *, avg(v) OVER w AS m, stddev_samp(v) OVER w AS sd, max(v) OVER w - min(v) OVER w AS span, median(v) OVER w AS med, exp(v) / sum(exp(v)) OVER w AS p, v / (sum(v) OVER w + 1e-8) AS q FROM c WINDOW w AS (PARTITION BY track, place)),
+g AS (SELECT track, place, avg(abs(v)) AS m, any_value(sd) AS std, median(abs(v - med)) AS mad, -sum(p * ln(p + 1e-8)) AS entropy, -sum(q * ln(q + 1e-8)) AS differential_entropy, any_value(sd / (abs(m) + 1e-8)) AS cv, any_value(span) AS span FROM a GROUP BY ALL),
+t AS (SELECT track, avg(std) AS std, avg(mad) AS mad, avg(entropy) AS entropy, avg(differential_entropy) AS differential_entropy, avg(cv) AS cv, avg(span) AS range, sum(m) AS auc, avg((m > least)::INT) AS spread
+FROM (SELECT *, 0.05 * max(m) OVER (PARTITION BY track) + 1e-8 AS least FROM g) GROUP BY track)
+"""
+
+
+def _all_scores(t: Tables) -> DataFrame:
+    cells, out = _track_cells(t), None
+    for metric in rankings.VARIABILITY:
+        if metric != "multiscale_entropy":
+            own = rankings.track_scores(cells, metric).select("track", r6("score").alias(metric))
+            out = own if out is None else out.join(own, "track")
+    return out
+
+
+query("w10_track_scores", _TRACK_CELLS + "SELECT track, " + ", ".join(f"round({m}, 6) AS {m}" for m in rankings.VARIABILITY if m != "multiscale_entropy") + " FROM t")(_all_scores)
+query("w10_most_variable_tracks", _TRACK_CELLS + "SELECT (row_number() OVER (ORDER BY std DESC, track))::INT AS place, track, round(std, 6) AS score FROM t ORDER BY place LIMIT 3")(
+    lambda t: rankings.most_variable_tracks(_track_cells(t), "std", 3).select("place", "track", r6("score").alias("score"))
+)
+
+# Matrices with gaps: mean discounts of first lines
+_GAPS = "x AS (SELECT l_partkey % 60 AS i, l_suppkey % 50 AS j, avg(l_discount) AS v FROM lineitem WHERE l_linenumber = 7 AND l_quantity < 25 GROUP BY ALL), g AS (SELECT i, j FROM (SELECT DISTINCT i FROM x), (SELECT DISTINCT j FROM x)) "
+
+
+def _gaps(t: Tables) -> DataFrame:
+    own = t.lineitem.where("l_linenumber = 7 and l_quantity < 25")
+    return own.groupBy((F.col("l_partkey") % 60).alias("i"), (F.col("l_suppkey") % 50).alias("j")).agg(F.avg("l_discount").alias("v"))
+
+
+for _how, _fill in (("colmedian", "median(v) OVER (PARTITION BY j)"), ("rowmean", "avg(v) OVER (PARTITION BY i)"), ("rowmedian", "median(v) OVER (PARTITION BY i)"), ("constant", "0.5")):
+    query(f"x08_fill_{_how}", _GAPS + f"SELECT i, j, round(coalesce(v, {_fill}), 6) AS v FROM g LEFT JOIN x USING (i, j)")(
+        lambda t, how=0.5 if _how == "constant" else _how: matrix.fill_rows(m := _gaps(t), m.select("i").distinct(), m.select("j").distinct(), how).select("i", "j", r6("v").alias("v"))
+    )
+query("x07_minmax_both", _GAPS + """, r AS (SELECT i, j, (v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) AS v FROM x WINDOW w AS (PARTITION BY i))
+SELECT i, j, round((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 6) AS v FROM r WINDOW w AS (PARTITION BY j)""")(lambda t: matrix.minmax_in_order(_gaps(t), ["i", "j"]).withColumn("v", r6("v")))
+query("f24_softmax_reductions", """x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), p AS (SELECT vec_id, v, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM x)
+SELECT vec_id, round(sum(ln(p)), 5) AS log_softmax_sum, round(avg(1 / (1 + exp(-v))), 6) AS sigmoid_mean, round(max(p), 6) AS softmax_max FROM p GROUP BY vec_id""")(
+    lambda t: t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).select(
+        "vec_id", F.round(M.logits_to_probs(F.col("e"), "log_softmax", "sum"), 5).alias("log_softmax_sum"), r6(M.logits_to_probs(F.col("e"), "sigmoid", "mean")).alias("sigmoid_mean"), r6(M.logits_to_probs(F.col("e"), "softmax", F.array_max)).alias("softmax_max")
+    )
+)
