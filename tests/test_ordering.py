@@ -101,6 +101,28 @@ def test_student_tail_is_the_integral(spark):
         assert r.p == pytest.approx(tail(r.t, r.df), abs=1e-6 if r.df < 400 else 1e-5)
 
 
+def test_f_tail_is_the_integral(spark):
+    def tail(f, a, b):  # by the share of squared cosines beyond
+        x = b / (b + a * f)
+        at, whole = np.linspace(0, np.arcsin(np.sqrt(x)), 400_001), np.linspace(0, np.pi / 2, 400_001)
+        g = lambda t: np.trapezoid(np.sin(t) ** (b - 1) * np.cos(t) ** (a - 1), t)
+        return g(at) / g(whole)
+
+    cases = [(f, a, b) for f in (0.0, 0.2, 1.0, 3.5, 40.0) for a in (1, 2, 5, 12) for b in (2, 3, 10, 250)]
+    got = spark.createDataFrame([*cases, (None, 1, 2), (1.0, 0, 3)], "f double, a int, b int").select("f", "a", "b", significance.f_tail(F.col("f"), F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        if r.f is None or not r.a:
+            assert r.p is None
+        else:
+            assert r.p == pytest.approx(tail(r.f, r.a, r.b), abs=1e-7)
+    rows = [("k", g, float(v)) for g, vs in {"x": [1, 2, 3], "y": [2, 3, 4], "z": [5, 6, 9], "one": [7]}.items() for v in vs]
+    r = significance.anova_p(spark.createDataFrame(rows, "k string, g string, v double"), "k", "g", "v").first()
+    means, n = [2, 3, 20 / 3], 3
+    grand = sum(means) / 3
+    f = (n * sum((m - grand) ** 2 for m in means) / 2) / ((2 + 2 + sum((v - 20 / 3) ** 2 for v in (5, 6, 9))) / 6)
+    assert r.f == pytest.approx(f) and r.p == pytest.approx(tail(f, 2, 6), abs=1e-6)
+
+
 def test_pairwise_stats_name_their_effects(spark):
     rows = [(c, float(v)) for c, vs in {"a": [1, 2, 3, 4, 5], "b": [4, 5, 6, 7], "c": [1, 9, 2, 8]}.items() for v in vs] + [("a", None)]
     got = significance.pairwise_stats(spark.createDataFrame(rows, "c string, v double"), "c", "v").collect()

@@ -47,6 +47,6 @@ def mann_whitney(df: DataFrame, key: str, value: str, is_a: Column) -> DataFrame
 def anova(df: DataFrame, key: str, group: str, value: str) -> DataFrame:
     """One-way F of groups with more than one value, for each key (T-01)."""
     g = df.groupBy(key, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).where("n > 1")
-    s = g.groupBy(key).agg(F.count("*").alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m") ** 2) - F.sum(F.col("n") * F.col("m")) ** 2 / F.sum("n")).alias("ssb"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
-    f = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k")))
-    return s.where("k > 1 and n > k").withColumn("f", f)
+    s = g.groupBy(key).agg(F.count("*").alias("n_groups"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m") ** 2) - F.sum(F.col("n") * F.col("m")) ** 2 / F.sum("n")).alias("ssb"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
+    f = F.try_divide(F.col("ssb") / (F.col("n_groups") - 1), F.col("ssw") / (F.col("n") - F.col("n_groups")))
+    return s.where("n_groups > 1 and n > n_groups").withColumn("f", f)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,49 @@ def student_tail(t: Column, df: Column) -> Column:
     return F.when(df >= 400, normal_tail(z)).when(t.isNotNull() & df.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))
 
 
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    flip = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 / np.maximum(np.abs(1 - (a + b) * x / (a + 1)), tiny) * np.sign(1 - (a + b) * x / (a + 1))
+    out = d.copy()
+    for m in range(1, 400):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + step / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            out = out * d * c
+        if np.all(np.abs(d * c - 1) < 1e-14):
+            break
+    share = front * out
+    return np.where(flip, 1 - share, share)
+
+
+def f_tail(f: Column, d1: Column, d2: Column) -> Column:
+    """Upper tail probability of F with d1 and d2 degrees of freedom."""
+
+    @F.pandas_udf("double")
+    def tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+        a, b, x = d2.to_numpy(float) / 2, d1.to_numpy(float) / 2, f.to_numpy(float)
+        good = np.isfinite(x) & (a > 0) & (b > 0) & (x >= 0)
+        out = np.full(len(x), np.nan)
+        if good.any():
+            out[good] = beta_share(2 * a[good] / (2 * a[good] + 2 * b[good] * x[good]), a[good], b[good])
+        return pd.Series(out).astype(object).where(good, None)
+
+    return tail(f.cast("double"), d1.cast("double"), d2.cast("double"))
+
+
+def anova_p(df: DataFrame, key: str, group: str, value: str) -> DataFrame:
+    """One-way F of groups with more than one value for each key, and its p (T-01)."""
+    return attribution.anova(df, key, group, value).withColumn("p", f_tail(F.col("f"), F.col("n_groups") - 1, F.col("n") - F.col("n_groups")))
+
+
 def mann_whitney_p(df: DataFrame, key: str, value: str, is_a: Column) -> DataFrame:
     """U, Cliff's delta and p by the normal approximation with tie and continuity correction (T-08)."""
     g = attribution.mann_whitney(df, key, value, is_a)

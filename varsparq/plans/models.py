@@ -75,6 +75,9 @@ query("f15_mutate")(lambda t: t.supplier.select("s_suppkey", F.translate(F.md5("
 
 # Statistical tests
 query("t02_permutations")(lambda t: significance.permuted_wasserstein(t.sites, "gene", "price", F.col("size") > 25, 99, 7))
+query("t01_anova_probabilities")(
+    lambda t: significance.anova_p(t.scores.join(t.meta, "sample").withColumn("kk", F.col("site") % 40), "kk", "superpopulation", "value").select(F.col("kk").alias("k"), F.round("f", 4).alias("f"), r6("p").alias("p"))
+)
 query("t07_pairwise_stats", """p AS (SELECT a.c AS group1, b.c AS group2 FROM (SELECT DISTINCT clinsig AS c FROM sites) a, (SELECT DISTINCT clinsig AS c FROM sites) b WHERE a.c < b.c),
 x AS (SELECT group1, group2, clinsig = group1 AS a, price AS v FROM p JOIN sites ON clinsig IN (group1, group2)),
 r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY group1, group2, v) - 1) / 2 AS r FROM x WINDOW w AS (PARTITION BY group1, group2 ORDER BY v)),
