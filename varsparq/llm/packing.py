@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_texts(docs.select("doc_id", "text"), rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", encodes=True)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from varsparq.llm.tokens import forget
 from varsparq.storage import materialise, shared_folder, table_path
 
 __all__ = ["map_texts", "materialise", "shared_folder", "table_path", "text_batches"]
@@ -22,11 +23,13 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
-def map_texts(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``rows`` to each Arrow batch of ``df`` in the executors."""
+def map_texts(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, encodes: bool = False) -> DataFrame:
+    """Apply ``rows`` to each Arrow batch of ``df`` in the executors. Unless it ``encodes``, encoders of earlier tasks are dropped."""
     text_batches(df.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            forget()
         for batch in it:
             if batch.num_rows:
                 yield rows(batch)

@@ -51,16 +51,20 @@ def tokenizer_digest(vocabulary: str) -> str:
     return hashlib.sha256(f"{library} {version(library)}\n".encode() + Path(vocabulary).read_bytes()).hexdigest()
 
 
-@lru_cache
 def counter(vocabulary: str) -> Callable[[str], int]:
     """Tokens of a whole text by the vocabulary's library, without special tokens added, in this Python process."""
     if library_of(vocabulary) == "tokenizers":
         encode = encoder(vocabulary).encode
         return lambda text: len(encode(text)) // 4
+    model = _pieces(vocabulary)
+    return lambda text: len(model.encode(text))
+
+
+@lru_cache
+def _pieces(vocabulary: str) -> object:
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-    return lambda text: len(model.encode(text))
+    return sentencepiece.SentencePieceProcessor(model_file=vocabulary)
 
 
 def whole_text(text: Column) -> Column:
@@ -90,7 +94,7 @@ def count_missing(texts: DataFrame, missing: DataFrame, vocabulary: str) -> Data
             n = [count(t) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    return map_texts(todo.select("digest", "text"), counts, "digest binary, n_tokens long")
+    return map_texts(todo.select("digest", "text"), counts, "digest binary, n_tokens long", encodes=True)
 
 
 def fill_cache(texts: DataFrame, groups: DataFrame, vocabulary: str, path: str) -> int:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 
 #: Entries of each of the two caches of a Python worker, about 200 bytes each.
-CACHE = 350_000
+CACHE = 650_000
 #: When a cache is full, entries of at most so many characters stay if they are less than half of it: short parts recur most.
 SHORT = 7
 #: Letters and signs behind them, once or on two lines. (Letters are tested again, as \w holds some numbers that are none.)
@@ -147,6 +147,11 @@ def collector_off() -> Iterator[None]:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Drop the encoders of this Python process: other operators run in the same workers and need the memory."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this Python process for a vocabulary file."""
     if path not in _encoders:
