@@ -10,8 +10,8 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 
-#: Entries of each of the two caches of a Python worker, about 200 bytes each.
-CACHE = 650_000
+#: Entries of each of the two caches of a Python worker, about 200 bytes each, unless a caller has less room.
+CACHE = 800_000
 #: When a cache is full, entries of at most so many characters stay if they are less than half of it: short parts recur most.
 SHORT = 7
 #: Letters and signs behind them, once or on two lines. (Letters are tested again, as \w holds some numbers that are none.)
@@ -33,11 +33,11 @@ class _Letters(dict):
         return out
 
 
-def _room(cache: dict[str, bytes]) -> None:
+def _room(cache: dict[str, bytes], entries: int) -> None:
     """Make room in a full cache."""
     short = {k: v for k, v in cache.items() if len(k) <= SHORT}
     cache.clear()
-    if len(short) < CACHE // 2:
+    if len(short) < entries // 2:
         cache.update(short)
 
 
@@ -53,6 +53,7 @@ class Encoder:
     """
 
     path: str
+    entries: int = CACHE
     parts: dict[str, bytes] = field(default_factory=dict)
     pieces: dict[str, bytes] = field(default_factory=dict)
 
@@ -76,8 +77,8 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= CACHE:
-                _room(self.pieces)
+            if len(self.pieces) >= self.entries:
+                _room(self.pieces, self.entries)
             self.pieces[piece] = ids = array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
         return ids
 
@@ -123,8 +124,8 @@ class Encoder:
             if text[-1] == " " or _ODD.search(text):  # so that no such part is ever known
                 return self.whole(text)
             new = set(rest).difference(known)
-            if len(known) + len(new) > CACHE:
-                _room(known)
+            if len(known) + len(new) > self.entries:
+                _room(known, self.entries)
                 new = set(rest).difference(known)
             for x in new:
                 known[x] = self.part(x, True)
@@ -152,8 +153,8 @@ def forget() -> None:
     _encoders.clear()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = CACHE) -> Encoder:
     """The encoder of this Python process for a vocabulary file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, entries)
     return _encoders[path]
