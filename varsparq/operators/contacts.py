@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varsparq.operators.ordering import exact_quantiles
 from varsparq.operators.significance import spearman
+from varsparq.storage import materialise
 
 
 def bin_covariance(effects: DataFrame, positions: int, bins: int) -> DataFrame:
@@ -43,7 +44,8 @@ def contact_correlation(pairs: DataFrame, method: str = "spearman") -> DataFrame
 
 def contact_quantiles(pairs: DataFrame, quantiles: int = 10) -> DataFrame:
     """quantile (from 1), mean_contact, mean_covariance, n by equal parts of contact; parts are open above, the last is closed, empty ones are left out."""
-    edges = exact_quantiles(pairs, [], "contact", [q / quantiles for q in range(quantiles + 1)])
+    pairs = materialise(pairs.select("contact", "covariance"), "pairs")
+    edges = exact_quantiles(pairs, [], "contact", [q / quantiles for q in range(quantiles + 1)], plain=True)
     told = pairs.join(F.broadcast(edges)).select("contact", "covariance", F.explode(F.filter(F.transform("q", lambda x, i: F.struct((i + 1).alias("k"), x.alias("low"))), lambda e: (e["k"] <= quantiles) & (e["low"] <= F.col("contact")))).alias("e"), "q")  # a row of edges
     high = F.element_at("q", F.col("e.k") + 1)
     inside = (F.col("contact") < high) | ((F.col("e.k") == quantiles) & (F.col("contact") <= high))

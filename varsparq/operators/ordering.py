@@ -65,15 +65,18 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, counts: dict[str, Co
     return running_totals(told, keys, [value], {"_upto": "n"}).withColumn("rank", F.col("_upto") - (F.col("n") - 1) / 2).drop("_upto")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float], accuracy: int = 10_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float], accuracy: int = 10_000, plain: bool = False) -> DataFrame:
     """keys and q, the quantiles of each key with linear interpolation; exact, though no task sorts or holds a key's values.
 
     A sketch brackets each quantile between two values of nearby ranks; counts of the rows below and up to them, exact, say
     how many values of the bracket come first. Only rows in a bracket, about 4 of ``accuracy`` for each quantile, are
-    ordered. Where the counts show that a bracket misses its quantile, it is widened to all values of the key.
+    ordered. Where the counts show that a bracket misses its quantile, it is widened to all values of the key. Values are
+    read three times; sums, which can differ in their last digits each time, are written first unless ``df`` is ``plain``:
+    each value follows from a row of a table.
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull()).select(*keys, v.alias("_v"))
+    rows = rows if plain else materialise(rows, "values")
     span = 2 / accuracy
     ends = [x for f in fractions for x in (max(0.0, f - span), min(1.0, f + span))]
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", ends, accuracy).alias("_e"))

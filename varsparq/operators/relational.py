@@ -42,8 +42,8 @@ def between_group_variance(scores: DataFrame, members: DataFrame, site: str, mem
     return means.groupBy(site).agg(F.var_samp("_mean").alias("between_var"))
 
 
-def scale_within(df: DataFrame, keys: list[str], value: str, method: str) -> DataFrame:
-    """Adds ``scaled``: minmax, robust (median and quartiles, a zero range counts as 1) or sign (W-03)."""
+def scale_within(df: DataFrame, keys: list[str], value: str, method: str, plain: bool = False) -> DataFrame:
+    """Adds ``scaled``: minmax, robust (median and quartiles, a zero range counts as 1) or sign (W-03). For ``plain`` see exact_quantiles()."""
     v = F.col(value)
     if method == "sign":
         return df.withColumn("scaled", F.signum(v))
@@ -51,7 +51,7 @@ def scale_within(df: DataFrame, keys: list[str], value: str, method: str) -> Dat
         ends = df.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))  # partial sums first: a hot key is no group
         scaled = F.try_divide(v - F.col("_low"), F.col("_high") - F.col("_low"))
         return df.join(ends, keys).withColumn("scaled", scaled).drop("_low", "_high")
-    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
+    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], plain=plain).withColumnRenamed("q", "_q")
     spread = F.coalesce(F.nullif(F.col("_q")[2] - F.col("_q")[0], F.lit(0.0)), F.lit(1.0))
     return df.join(q, keys).withColumn("scaled", (v - F.col("_q")[1]) / spread).drop("_q")
 

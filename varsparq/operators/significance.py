@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from varsparq.operators import attribution, summaries
 from varsparq.operators.ordering import running_totals, value_ranks
+from varsparq.storage import materialise
 
 
 def permuted_wasserstein(df: DataFrame, key: str, value: str, is_a: Column, permutations: int, seed: int) -> DataFrame:
@@ -188,7 +189,7 @@ def pairwise_effects(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def spearman(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Correlation of average ranks of each key; rows with a null are left out (T-10)."""
-    rows = df.select(key, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    rows = materialise(df.select(key, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()), "ranks")  # values meet their ranks again, so they are computed once
     pairs = rows.groupBy(key, a, b).agg(F.count("*").alias("_c"))
     ranked = pairs
     for c, name in ((a, "_a"), (b, "_b")):

@@ -130,7 +130,7 @@ query("w03_minmax", "SELECT site, sample, l_orderkey, ploid, round((value - min(
     lambda t: relational.scale_within(t.scores, ["slot"], "value", "minmax").select("site", "sample", "l_orderkey", "ploid", r6("scaled").alias("scaled"))
 )
 query("w03_robust", "x AS (SELECT slot, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM scores GROUP BY slot) SELECT site, sample, l_orderkey, ploid, round((value - b) / coalesce(nullif(c - a, 0), 1), 6) AS scaled FROM scores JOIN x USING (slot)")(
-    lambda t: relational.scale_within(t.scores, ["slot"], "value", "robust").select("site", "sample", "l_orderkey", "ploid", r6("scaled").alias("scaled"))
+    lambda t: relational.scale_within(t.scores, ["slot"], "value", "robust", plain=True).select("site", "sample", "l_orderkey", "ploid", r6("scaled").alias("scaled"))
 )
 query("w05_running_offsets", "SELECT gene, site, sum(size) OVER (PARTITION BY gene ORDER BY site)::BIGINT AS at FROM sites")(
     lambda t: ordering.running_totals(t.sites, ["gene"], ["site"], {"at": "size"}).select("gene", "site", "at")
@@ -217,7 +217,7 @@ query("t08_mann_whitney", "x AS (SELECT gene, size > 25 AS a, rank() OVER (PARTI
 )
 query("t10_correlation", "SELECT gene, round(corr(ln(price), size), 6) AS r FROM sites GROUP BY gene")(lambda t: t.sites.groupBy("gene").agg(r6(F.corr(F.ln("price"), "size")).alias("r")))
 query("t14_percentile_bands", "SELECT slot, round(median(value), 6) AS mid, round(quantile_cont(value, 0.05), 6) AS low, round(quantile_cont(value, 0.95), 6) AS high FROM scores GROUP BY slot")(
-    lambda t: ordering.exact_quantiles(t.scores, ["slot"], "value", [0.05, 0.5, 0.95]).select("slot", *(r6(F.col("q")[i]).alias(n) for i, n in ((1, "mid"), (0, "low"), (2, "high"))))
+    lambda t: ordering.exact_quantiles(t.scores, ["slot"], "value", [0.05, 0.5, 0.95], plain=True).select("slot", *(r6(F.col("q")[i]).alias(n) for i, n in ((1, "mid"), (0, "low"), (2, "high"))))
 )
 query("h08_unique_haplotypes", "x AS (SELECT o_custkey AS h, list_sort(list(DISTINCT l_partkey % 50)) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY h) SELECT md5(array_to_string(v, ',')) AS hash, count(*) AS n_haplotypes, min(h) AS first, min(len(v))::INT AS n_variants FROM x GROUP BY 1")(
     lambda t: haplotypes.unique_haplotypes(t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("haplotype"), (F.col("l_partkey") % 50).alias("variant")))
