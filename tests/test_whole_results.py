@@ -7,7 +7,6 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -32,3 +31,18 @@ def _same(spark, name: str) -> None:
 @pytest.mark.parametrize("name", ["a04_variance_ranking"])
 def test_queries_equal_their_sql(spark, name):
     _same(spark, name)
+
+
+def test_a_negative_value_that_rounds_to_zero_keeps_its_sign(spark, tmp_path):
+    values = [0.0] * 22 + [-1e-7, 1e-7, -0.5, -0.0000015, float("nan"), float("-inf")] + [0.25] * 36
+    rows = spark.createDataFrame([(1, values), (2, None)], "vec_id long, embedding array<float>")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("lineitem", "supplier", "nation", "region", "part"):  # views that the SQL names but does not read
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
+    want = dict(con.execute(entry.oracle_sql()["s08_centre_crop"]).fetchall())
+    got = {r.vec_id: r.mid for r in entry.queries()["s08_centre_crop"](spark, str(tmp_path)).collect()}
+    assert got[2] is want[2] is None
+    assert [(str(x), math.copysign(1, x)) for x in got[1] if x == x] == [(str(x), math.copysign(1, x)) for x in want[1] if x == x]
+    assert str(got[1][0]) == "-0.0" and math.isnan(got[1][4])
