@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from varsparq.operators import matrix
 
 SMALL = Path("/root/testdata/sf0.001")
 
@@ -28,7 +29,7 @@ def _same(spark, name: str) -> None:
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables")
-@pytest.mark.parametrize("name", ["a04_variance_ranking"])
+@pytest.mark.parametrize("name", ["a04_variance_ranking", "a13_matrix_fill_mean", "a13_matrix_fill_median", "a13_matrix_fill_mode", "x08_fill_missing_whole"])
 def test_queries_equal_their_sql(spark, name):
     _same(spark, name)
 
@@ -46,3 +47,22 @@ def test_a_negative_value_that_rounds_to_zero_keeps_its_sign(spark, tmp_path):
     assert got[2] is want[2] is None
     assert [(str(x), math.copysign(1, x)) for x in got[1] if x == x] == [(str(x), math.copysign(1, x)) for x in want[1] if x == x]
     assert str(got[1][0]) == "-0.0" and math.isnan(got[1][4])
+
+
+def test_a_grid_is_not_shuffled(spark, monkeypatch):
+    """Tiles of a few names: cells, gaps and fills by row or column as by brute force, and no exchange behind the cells of the grid."""
+    monkeypatch.setattr(matrix, "SIDE", 4)
+    held = {(i, j): float(i * 10 + j) for i in range(11) for j in range(9) if (i * 7 + j * 3) % 4 == 0 and i != 5}
+    m = spark.createDataFrame([(i, j, v) for (i, j), v in held.items()] + [(99, 1, 5.0)], "i long, j long, v double")  # row 99 is no row of the grid
+    rows, columns = spark.range(11).withColumnRenamed("id", "i"), spark.range(9).withColumnRenamed("id", "j")
+    mean = lambda v: sum(v) / len(v) if v else None
+    for how, of in (("rowmean", lambda i, j: mean([v for (a, _), v in held.items() if a == i])), ("colmean", lambda i, j: mean([v for (_, b), v in held.items() if b == j] + [5.0] * (j == 1))), (0.5, lambda i, j: 0.5)):
+        grid = matrix.fill_rows(m, rows, columns, how)
+        got = {(r.i, r.j): r.v for r in grid.collect()}
+        assert len(got) == grid.count() == 99
+        for i in range(11):
+            for j in range(9):
+                assert got[i, j] == pytest.approx(held.get((i, j), of(i, j))), (how, i, j)
+        plan = grid._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("Generate explode")]
+        assert "Repartition" not in above and "Join" not in above.split("Union")[1].split("Relation")[0] and "Aggregate" not in above
