@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from varsparq.operators import matrix
+from varsparq.operators import intervals, matrix
 
 SMALL = Path("/root/testdata/sf0.001")
 
@@ -29,7 +29,7 @@ def _same(spark, name: str) -> None:
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables")
-@pytest.mark.parametrize("name", ["a04_variance_ranking", "a13_matrix_fill_mean", "a13_matrix_fill_median", "a13_matrix_fill_mode", "x08_fill_missing_whole"])
+@pytest.mark.parametrize("name", ["a04_variance_ranking", "a13_matrix_fill_mean", "a13_matrix_fill_median", "a13_matrix_fill_mode", "x08_fill_missing_whole", "j06_interval_join", "j07_interval_semi_join", "j07_interval_semi_join_whole", "j09_distance_join", "j10_anchor_pairs"])
 def test_queries_equal_their_sql(spark, name):
     _same(spark, name)
 
@@ -66,3 +66,32 @@ def test_a_grid_is_not_shuffled(spark, monkeypatch):
         plan = grid._jdf.queryExecution().optimizedPlan().toString()
         above = plan[: plan.index("Generate explode")]
         assert "Repartition" not in above and "Join" not in above.split("Union")[1].split("Relation")[0] and "Aggregate" not in above
+
+
+def test_pairs_of_few_keys_are_dealt_in_blocks(spark, monkeypatch):
+    """Frequent keys, a null key and repeated rows give the pairs of a plain join, spread over many tasks."""
+    left = spark.range(900).selectExpr("if(id % 90 = 0, null, id % 3) as k", "id div 2 as a")
+    right = spark.range(500).selectExpr("if(id % 70 = 0, null, if(id < 400, 0, id % 4)) as k", "id % 300 as b")
+    want = sorted(map(tuple, left.join(right, ["k"]).collect()))
+    monkeypatch.setattr(intervals, "BLOCK", 50)
+    monkeypatch.setattr(intervals, "PAIRS", 1000)
+    got = intervals.spread_join(left, right, ["k"])
+    assert sorted(map(tuple, got.collect())) == want
+    sizes = [n for n in got.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
+    assert len(sizes) > 40 and max(sizes) < len(want) / 8
+
+
+def test_anchor_pairs_without_a_distinct(spark):
+    """Points in both anchors, and one id at two places, give each pair once."""
+    points = [(1, 1, 3), (1, 2, 4), (1, 3, 9), (1, 3, 4), (1, 4, 30), (2, 5, 4)]
+    contacts = [(1, 7, 0, 5, 4, 10), (2, 8, 0, 5, 4, 10), (1, 9, 3, 5, 3, 5)]
+    want = set()
+    for g, c, s1, e1, s2, e2 in contacts:
+        for h, a, p in points:
+            for k, b, q in points:
+                if g == h == k and a != b and s1 <= p < e1 and s2 <= q < e2:
+                    want.add((min(a, b), max(a, b), c))
+    got = intervals.anchor_pairs(spark.createDataFrame(points, "g long, id long, pos int"), spark.createDataFrame(contacts, "g long, contact long, a1_start int, a1_end int, a2_start int, a2_end int"), ["g"], 4)
+    rows = [tuple(r) for r in got.select("u", "w", "contact").collect()]
+    assert sorted(rows) == sorted(want)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()

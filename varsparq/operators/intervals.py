@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varsparq.storage import materialise
+
+#: Rows of a side of a block of pairs, about; pairs of a task, about; tasks, at most.
+BLOCK, PAIRS, TASKS = 4096, 40_000_000, 20_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join by columns whose pairs are many: both sides of a frequent key are cut by hash into parts of BLOCK rows, and parts meet in blocks.
+
+    A task then sees no more than some blocks, however few keys there are. Both sides are read once more for their counts.
+    """
+    sizes = left.groupBy(*on).agg(F.count("*").alias("_a")).join(right.groupBy(*on).agg(F.count("*").alias("_b")), on)
+    pairs = sizes.agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0.0  # one number
+    if pairs <= PAIRS:
+        return left.join(right, on)
+    parts = min(math.ceil(pairs / PAIRS), TASKS)
+    cuts = sizes.select(*on, F.ceil(F.col("_a") / BLOCK).alias("_left"), F.ceil(F.col("_b") / BLOCK).alias("_right")).where("_left > 1 or _right > 1")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        n, m = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        told = side.withColumn("_h", F.xxhash64(*side.columns)).join(F.broadcast(cuts), on, "left")  # a row for each frequent key
+        part = told.withColumns({f"{own}_at": F.pmod("_h", n), f"{other}_at": F.explode(F.sequence(F.lit(0).cast("long"), m - 1))})
+        return part.drop("_h", "_left", "_right").repartition(parts, *on, "_left_at", "_right_at")
+
+    return dealt(left, "_left", "_right").join(dealt(right, "_right", "_left"), [*on, "_left_at", "_right_at"]).drop("_left_at", "_right_at")
+
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: int, closed: bool = False, how: str = "inner") -> DataFrame:
     """Pairs of overlapping intervals (J-06, J-07, J-08). left: on, l_start, l_end; right: on, r_start, r_end.
@@ -14,23 +42,25 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: in
     """
     last = 0 if closed else 1
     bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.floor(F.greatest(F.col(e) - last, F.col(s)) / bin_size)))
+    if how == "left_semi":  # whether a row overlaps any depends on its interval only, and on distinct ones of the other side
+        own = [*on, "l_start", "l_end"]
+        hits = interval_join(left.select(*own).distinct(), right.select(*on, "r_start", "r_end").distinct(), on, bin_size, closed)
+        return left.join(hits.select(*own).distinct(), own, "left_semi").distinct()
     a, b = left.withColumn("_bin", bins("l_start", "l_end")), right.withColumn("_bin", bins("r_start", "r_end"))
-    pairs = a.join(b, [*on, "_bin"])
+    pairs = spread_join(a, b, [*on, "_bin"])
     meet = (F.col("l_start") <= F.col("r_end")) & (F.col("r_start") <= F.col("l_end")) if closed else (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end"))
-    pairs = pairs.where(meet & (F.col("_bin") == F.floor(F.greatest("l_start", "r_start") / bin_size))).drop("_bin")
-    return pairs.select(*left.columns).distinct() if how == "left_semi" else pairs
+    return pairs.where(meet & (F.col("_bin") == F.floor(F.greatest("l_start", "r_start") / bin_size))).drop("_bin")
 
 
 def in_region_sets(left: DataFrame, regions: DataFrame, on: list[str], names: list[str], bin_size: int) -> DataFrame:
     """``left`` with a boolean for each region set: whether the row overlaps any of its regions (J-07). regions: region_set, on, r_start, r_end.
 
-    The overlaps are aggregated by row before they meet ``left``; rows that are equal in all columns get equal flags.
+    Flags follow from the interval of a row, so distinct intervals meet distinct regions, and flags meet the rows.
     """
-    hits = interval_join(left, regions, on, bin_size)
-    mine = [F.col(c).alias(f"_{c}") for c in left.columns]
-    flags = hits.groupBy(*mine).agg(*(F.max(F.col("region_set") == n).alias(n) for n in names))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in left.columns]
-    return left.join(flags, same, "left").select(*left.columns, *(F.coalesce(n, F.lit(False)).alias(n) for n in names))
+    own = [*on, "l_start", "l_end"]
+    hits = interval_join(left.select(*own).distinct(), regions.select("region_set", *on, "r_start", "r_end").distinct(), on, bin_size)
+    flags = hits.groupBy(*own).agg(*(F.max(F.col("region_set") == n).alias(n) for n in names))
+    return left.join(flags, own, "left").select(*left.columns, *(F.coalesce(n, F.lit(False)).alias(n) for n in names))
 
 
 def distance_join(left: DataFrame, right: DataFrame, on: list[str], window: int) -> DataFrame:
@@ -38,7 +68,7 @@ def distance_join(left: DataFrame, right: DataFrame, on: list[str], window: int)
     half = window / 2
     a = left.withColumn("_bin", F.floor(F.col("l_pos") / window))
     b = right.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("r_pos") - half) / window), F.floor((F.col("r_pos") + half) / window))))
-    return a.join(b, [*on, "_bin"]).where(F.abs(F.col("l_pos") - F.col("r_pos")) <= half).drop("_bin")
+    return spread_join(a, b, [*on, "_bin"]).where(F.abs(F.col("l_pos") - F.col("r_pos")) <= half).drop("_bin")
 
 
 def lookup(left: DataFrame, regions: DataFrame, on: list[str], key: str, names: list[str], bin_size: int) -> DataFrame:
@@ -50,16 +80,18 @@ def lookup(left: DataFrame, regions: DataFrame, on: list[str], key: str, names:
 def anchor_pairs(points: DataFrame, contacts: DataFrame, on: list[str], bin_size: int) -> DataFrame:
     """u < w, contact: pairs of points of which one lies in the first and one in the second anchor of a contact (J-10).
 
-    points: on, id, pos. contacts: on, contact, a1_start, a1_end, a2_start, a2_end, half-open.
+    points: on, id, pos. contacts: on, contact, a1_start, a1_end, a2_start, a2_end, half-open. Each point of a contact says in
+    which anchors it lies, so of two points that could be told both ways one way is left out, and pairs need no distinct.
     """
     left = points.withColumns({"l_start": F.col("pos"), "l_end": F.col("pos") + 1}).drop("pos")
-
-    def within(anchor: str, name: str) -> DataFrame:
-        right = contacts.select(*on, "contact", F.col(f"{anchor}_start").alias("r_start"), F.col(f"{anchor}_end").alias("r_end"))
-        return interval_join(left, right, on, bin_size).select(F.col("id").alias(name), "contact")
-
-    both = within("a1", "one").join(within("a2", "two"), "contact").where("one <> two")
-    return both.select(F.least("one", "two").alias("u"), F.greatest("one", "two").alias("w"), "contact").distinct()
+    ends = F.explode(F.array(*(F.struct(F.lit(a == "a1").alias("one"), F.col(f"{a}_start").alias("r_start"), F.col(f"{a}_end").alias("r_end")) for a in ("a1", "a2"))))
+    right = contacts.select(*on, "contact", ends.alias("_e")).select(*on, "contact", "_e.*")
+    found = interval_join(left, right, on, bin_size)
+    near = materialise(found.groupBy("contact", "id").agg(F.max("one").alias("one"), F.max(~F.col("one")).alias("two")), "anchors")
+    side = lambda n: near.where(n).select("contact", F.col("id").alias(f"_{n}"), F.col("one" if n == "two" else "two").alias(f"_{n}_also"))
+    once = (F.col("_one") < F.col("_two")) | ((F.col("_one") > F.col("_two")) & ~(F.col("_one_also") & F.col("_two_also")))
+    both = spread_join(side("one"), side("two"), ["contact"]).where(once)
+    return both.select(F.least("_one", "_two").alias("u"), F.greatest("_one", "_two").alias("w"), "contact")
 
 
 def liftover(rows: DataFrame, chain: DataFrame, pos: str, name: str, bin_size: int) -> DataFrame:
