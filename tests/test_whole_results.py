@@ -9,7 +9,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from varsparq.operators import intervals, matrix
+from pyspark.sql import functions as F
+
+from varsparq.operators import intervals, matrix, relational, significance
 
 SMALL = Path("/root/testdata/sf0.001")
 
@@ -29,7 +31,7 @@ def _same(spark, name: str) -> None:
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables")
-@pytest.mark.parametrize("name", ["a04_variance_ranking", "a13_matrix_fill_mean", "a13_matrix_fill_median", "a13_matrix_fill_mode", "x08_fill_missing_whole", "j06_interval_join", "j07_interval_semi_join", "j07_interval_semi_join_whole", "j09_distance_join", "j10_anchor_pairs"])
+@pytest.mark.parametrize("name", ["a04_variance_ranking", "a13_matrix_fill_mean", "a13_matrix_fill_median", "a13_matrix_fill_mode", "x08_fill_missing_whole", "j06_interval_join", "j07_interval_semi_join", "j07_interval_semi_join_whole", "j09_distance_join", "j10_anchor_pairs", "j21_sequence_pairs", "w03_minmax", "w03_robust", "t14_percentile_bands"])
 def test_queries_equal_their_sql(spark, name):
     _same(spark, name)
 
@@ -95,3 +97,45 @@ def test_anchor_pairs_without_a_distinct(spark):
     rows = [tuple(r) for r in got.select("u", "w", "contact").collect()]
     assert sorted(rows) == sorted(want)
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sequences_are_compared_in_blocks(spark, monkeypatch):
+    """Unequal lengths, letters beyond ASCII and nulls, over several blocks; few rows are shuffled."""
+    monkeypatch.setattr(relational, "SEQUENCES", 3)
+    seqs = ["ACGT", "ACG", "TCGTA", None, "\u00e9\U0001f600GT", "ACGT", "", "\u00e9\U0001f601G"]
+    rows = [(k % 2, k, None if k == 5 else k % 3, s) for k, s in enumerate(seqs + seqs)]
+    got = {(r.i, r.j): (r.same_phase, r.similarity) for r in relational.sequence_pairs(spark.createDataFrame(rows, "g int, id long, phase int, seq string"), ["g"]).collect()}
+    want = {}
+    for g, i, p, s in rows:
+        for h, j, q, t in rows:
+            if g == h and i != j:
+                share = None if s is None or t is None else sum(a == b for a, b in zip(s, t)) / max(len(s), len(t), 1)  # noqa: B905
+                want[i, j] = (None if p is None or q is None else p == q, share)
+    assert got == want
+
+
+def test_rows_of_few_keys_stay_where_they_are(spark):
+    df = spark.range(1000).selectExpr("id % 2 as slot", "cast(id as double) as value", "id")
+    for method in ("minmax", "robust"):
+        plan = relational.scale_within(df, ["slot"], "value", method, plain=True)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+
+
+def test_permutations_are_drawn_where_rows_are_dealt(spark):
+    """Only the rows times sets of permutations are shuffled, and the draw is that of the seeded hashes."""
+    rows = [("x", float(k * 7 % 23), k % 3 == 0) for k in range(40)] + [("y", float(k), k > 4) for k in range(9)] + [("z", 1.0, True)]
+    df = spark.createDataFrame(rows, "k string, v double, a boolean")
+    got = {r.k: (r.observed, r.p) for r in significance.permuted_wasserstein(df, "k", "v", F.col("a"), 30, 5).collect()}
+    assert set(got) == {"x", "y"}
+    for key in got:
+        own = sorted((v, a) for k, v, a in rows if k == key)
+        n = sum(a for _, a in own)
+        hashes = spark.range(1, 31).select(F.col("id").cast("int").alias("_perm"), F.explode(F.sequence(F.lit(1), F.lit(len(own)))).alias("_id")).select("_perm", "_id", F.xxhash64(F.lit(5), "_perm", "_id").alias("h")).collect()
+        distances = []
+        for perm in range(31):
+            order = sorted(range(len(own)), key=lambda k: (not own[k][1], k)) if perm == 0 else [i - 1 for _, i in sorted((r.h, r._id) for r in hashes if r._perm == perm)]
+            a, b = [own[k][0] for k in order[:n]], [own[k][0] for k in order[n:]]
+            points = sorted({v for v, _ in own})
+            distances.append(sum(abs(sum(x <= p for x in a) / len(a) - sum(x <= p for x in b) / len(b)) * (q - p) for p, q in zip(points, points[1:], strict=False)))
+        assert got[key][0] == pytest.approx(distances[0])
+        assert got[key][1] == pytest.approx((sum(d >= distances[0] - 1e-12 for d in distances[1:]) + 1) / 31)

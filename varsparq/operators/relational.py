@@ -6,10 +6,17 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varsparq.operators.ordering import exact_quantiles, row_index
+from varsparq.operators.ordering import exact_quantiles, row_index, with_facts
+from varsparq.storage import materialise
+
+
+#: Sequences of a block that a task compares with those of another.
+SEQUENCES = 1024
 
 
 def filter_by(df: DataFrame, filters: dict[str, object], at_least: Iterable[str] = ()) -> DataFrame:
@@ -48,12 +55,12 @@ def scale_within(df: DataFrame, keys: list[str], value: str, method: str, plain:
     if method == "sign":
         return df.withColumn("scaled", F.signum(v))
     if method == "minmax":
-        ends = df.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))  # partial sums first: a hot key is no group
+        ends = materialise(df.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high")), "ends")  # partial sums first: a hot key is no group
         scaled = F.try_divide(v - F.col("_low"), F.col("_high") - F.col("_low"))
-        return df.join(ends, keys).withColumn("scaled", scaled).drop("_low", "_high")
-    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], plain=plain).withColumnRenamed("q", "_q")
+        return with_facts(df, ends, keys).withColumn("scaled", scaled).drop("_low", "_high")
+    q = materialise(exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], plain=plain).withColumnRenamed("q", "_q"), "quartiles")
     spread = F.coalesce(F.nullif(F.col("_q")[2] - F.col("_q")[0], F.lit(0.0)), F.lit(1.0))
-    return df.join(q, keys).withColumn("scaled", (v - F.col("_q")[1]) / spread).drop("_q")
+    return with_facts(df, q, keys).withColumn("scaled", (v - F.col("_q")[1]) / spread).drop("_q")
 
 
 def crossing(df: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
@@ -140,12 +147,54 @@ def unordered_pairs(df: DataFrame, on: list[str], key: str) -> DataFrame:
 
 
 def sequence_pairs(df: DataFrame, on: list[str]) -> DataFrame:
-    """Ordered pairs i, j of sequences (id, phase, seq) of one group, whether their phase agrees, and the share of equal places (J-21)."""
-    side = lambda n: df.select(*on, *(F.col(c).alias(f"{c}_{n}") for c in ("id", "phase", "seq")))
-    both = side("i").join(side("j"), on).where("id_i <> id_j")
-    same = F.zip_with(F.split("seq_i", ""), F.split("seq_j", ""), lambda a, b: (a == b).cast("int"))
-    share = F.aggregate(same, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))) / F.greatest(F.length("seq_i"), F.length("seq_j"))
-    return both.select(F.col("id_i").alias("i"), F.col("id_j").alias("j"), (F.col("phase_i") == F.col("phase_j")).alias("same_phase"), share.alias("similarity"))
+    """Ordered pairs i, j of sequences (id, phase, seq) of one group, whether their phase agrees, and the share of equal places (J-21).
+
+    Sequences are dealt to blocks by hash; a task compares all pairs of two blocks of a group at once, as matrices of code points.
+    """
+    n = df.groupBy(*on).count().agg(F.max("count")).first()[0] or 0  # one number
+    blocks = max(1, -(-n // SEQUENCES))
+    told = df.select(*on, "id", "phase", "seq").where(reduce(and_, (F.col(c).isNotNull() for c in [*on, "id"])))
+    told = told.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    side = lambda first: told.withColumns({"_first": F.lit(first), "_other": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    dealt = side(True).withColumnsRenamed({"_own": "_a", "_other": "_b"}).unionByName(side(False).withColumnsRenamed({"_own": "_b", "_other": "_a"}))
+    kind = df.schema["id"].dataType.simpleString()
+    parts = max(1, min(blocks * blocks * 8, 4000))
+
+    def compared(part: pd.DataFrame) -> pd.DataFrame:
+        one, two = part[part._first], part[~part._first]
+        found = [part.head(0).assign(i=part.id.head(0), j=part.id.head(0), same_phase=False, similarity=0.0)[["i", "j", "same_phase", "similarity"]]]
+        if not len(one) or not len(two):
+            return found[0]
+        a, b = (_code_points(d.seq) for d in (one, two))
+        wide, step = max(a[0].shape[1], b[0].shape[1]), max(1, 2**18 // len(two))
+        a, b = ((np.pad(c, ((0, 0), (0, wide - c.shape[1])), constant_values=-1), n, null) for c, n, null in (a, b))
+        for k in range(0, len(one), step):
+            codes, lengths, null = (x[k : k + step] for x in a)
+            same = np.zeros((len(codes), len(two)), np.int32)
+            for at in range(wide):
+                same += (codes[:, at, None] == b[0][None, :, at]) & (codes[:, at, None] >= 0)
+            share = same / np.maximum(np.maximum(lengths[:, None], b[1][None, :]), 1)
+            share[null[:, None] | b[2][None, :]] = np.nan
+            i, j = np.repeat(one.id.to_numpy()[k : k + step], len(two)), np.tile(two.id.to_numpy(), len(codes))
+            p, q = np.repeat(one.phase.to_numpy()[k : k + step], len(two)), np.tile(two.phase.to_numpy(), len(codes))
+            alike = pd.Series(p == q).astype(object).mask(pd.isna(p) | pd.isna(q), None) if pd.isna(one.phase).any() or pd.isna(two.phase).any() else p == q
+            apart = i != j
+            found.append(pd.DataFrame({"i": i, "j": j, "same_phase": alike, "similarity": share.ravel()})[apart])
+        return pd.concat(found[1:])
+
+    found = dealt.repartition(parts, *on, "_a", "_b").groupBy(*on, "_a", "_b").applyInPandas(compared, f"i {kind}, j {kind}, same_phase boolean, similarity double")
+    return found.withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double")))
+
+
+def _code_points(seqs: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, -1 behind the end; lengths; whether null) of texts."""
+    null = seqs.isna().to_numpy()
+    texts = np.array(["" if x else s for s, x in zip(seqs, null, strict=True)])
+    lengths = np.array([len(s) for s in texts], np.int64)
+    wide = max(int(lengths.max(initial=0)), 1)
+    codes = texts.astype(f"<U{wide}").view("<i4").reshape(len(texts), wide).copy()
+    codes[np.arange(wide) >= lengths[:, None]] = -1
+    return codes, lengths, null
 
 
 def map_distinct(df: DataFrame, column: str, name: str, value: Column) -> DataFrame:
