@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from varsparq.operators import intervals, matrix, relational, significance
+from varsparq.operators import intervals, matrix, rankings, relational, significance
 
 SMALL = Path("/root/testdata/sf0.001")
 
@@ -31,7 +31,7 @@ def _same(spark, name: str) -> None:
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables")
-@pytest.mark.parametrize("name", ["a04_variance_ranking", "a13_matrix_fill_mean", "a13_matrix_fill_median", "a13_matrix_fill_mode", "x08_fill_missing_whole", "j06_interval_join", "j07_interval_semi_join", "j07_interval_semi_join_whole", "j09_distance_join", "j10_anchor_pairs", "j21_sequence_pairs", "w03_minmax", "w03_robust", "t14_percentile_bands"])
+@pytest.mark.parametrize("name", ["a04_variance_ranking", "a13_matrix_fill_mean", "a13_matrix_fill_median", "a13_matrix_fill_mode", "x08_fill_missing_whole", "j06_interval_join", "j07_interval_semi_join", "j07_interval_semi_join_whole", "j09_distance_join", "j10_anchor_pairs", "j21_sequence_pairs", "w03_minmax", "w03_robust", "t14_percentile_bands", "w10_track_scores"])
 def test_queries_equal_their_sql(spark, name):
     _same(spark, name)
 
@@ -139,3 +139,11 @@ def test_permutations_are_drawn_where_rows_are_dealt(spark):
             distances.append(sum(abs(sum(x <= p for x in a) / len(a) - sum(x <= p for x in b) / len(b)) * (q - p) for p, q in zip(points, points[1:], strict=False)))
         assert got[key][0] == pytest.approx(distances[0])
         assert got[key][1] == pytest.approx((sum(d >= distances[0] - 1e-12 for d in distances[1:]) + 1) / 31)
+
+
+def test_no_array_holds_the_haplotypes_of_a_place(spark):
+    cells = spark.range(200).selectExpr("id as hap", "id % 2 as track", "id % 5 as place", "exp(sin(id)) as v")
+    for metric in ("mad", "entropy", "differential_entropy"):
+        scores = rankings.track_scores(cells, metric)
+        assert scores.count() == 2
+        assert "collect_list" not in scores._jdf.queryExecution().optimizedPlan().toString()
