@@ -31,7 +31,7 @@ def _same(spark, name: str) -> None:
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables")
-@pytest.mark.parametrize("name", ["a04_variance_ranking", "a13_matrix_fill_mean", "a13_matrix_fill_median", "a13_matrix_fill_mode", "x08_fill_missing_whole", "j06_interval_join", "j07_interval_semi_join", "j07_interval_semi_join_whole", "j09_distance_join", "j10_anchor_pairs", "j21_sequence_pairs", "w03_minmax", "w03_robust", "t14_percentile_bands", "w10_track_scores"])
+@pytest.mark.parametrize("name", ["a04_variance_ranking", "a13_matrix_fill_mean", "a13_matrix_fill_median", "a13_matrix_fill_mode", "x08_fill_missing_whole", "j06_interval_join", "j07_interval_semi_join", "j07_interval_semi_join_whole", "j09_distance_join", "j10_anchor_pairs", "j21_sequence_pairs", "w03_minmax", "w03_robust", "t14_percentile_bands", "w10_track_scores", "x10_distances"])
 def test_queries_equal_their_sql(spark, name):
     _same(spark, name)
 
@@ -147,3 +147,22 @@ def test_no_array_holds_the_haplotypes_of_a_place(spark):
         scores = rankings.track_scores(cells, metric)
         assert scores.count() == 2
         assert "collect_list" not in scores._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distances_by_blocks_of_rows(spark, monkeypatch):
+    """Over one block and over several, pairs are those of a plain join; no join or aggregate of pairs is left."""
+    cells = {(i, j): ((i * 31 + j * 17) % 23) / 7 for i in range(40) for j in range(30) if (i * 5 + j * 3) % 4 == 0 or j == i}
+    m = spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()] + [(None, 1, 2.0), (3, None, 2.0), (4, 29, None)], "i long, j long, v double")
+    cells.pop((4, 29), None)
+    want = {}
+    for i in range(40):
+        for k in range(i + 1, 40):
+            shared = [j for j in range(30) if (i, j) in cells and (k, j) in cells]
+            if shared:
+                want[i, k] = math.sqrt(sum((cells[i, j] - cells[k, j]) ** 2 for j in shared))
+    for lines in (2048, 7):
+        monkeypatch.setattr(matrix, "LINES", lines)
+        found = matrix.distances(m)
+        rows = found.collect()
+        assert len(rows) == len(want) and {(r.i, r.k): r.distance for r in rows} == pytest.approx(want)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
