@@ -47,10 +47,13 @@ def _domain(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, "low").when(toxic == 1, "toxic").otherwise("ordinary")
 
 
-def lexicons(sample: DataFrame, size: int) -> dict[str, list[str]]:
-    """For each domain but the ordinary one, at most ``size`` prefixes that are LEAST_RATIO times as frequent there as elsewhere."""
-    total = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    seen = sample.select("domain", F.explode(_prefixes(F.col("text"))).alias("prefix")).where("prefix <> ''")
+def lexicons(labelled: DataFrame, size: int) -> dict[str, list[str]]:
+    """For each domain but the ordinary one, at most ``size`` prefixes that are LEAST_RATIO times as frequent there as elsewhere.
+
+    labelled: domain and _prefixes of documents.
+    """
+    total = {r.domain: r.n for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    seen = labelled.select("domain", F.explode("_prefixes").alias("prefix")).where("prefix <> ''")
     counts = seen.groupBy("prefix").agg(*(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS))
     found = {d: [] for d in DOMAINS if d != "ordinary" and total.get(d)}
     if not found:
@@ -69,35 +72,36 @@ def lexicons(sample: DataFrame, size: int) -> dict[str, list[str]]:
     return found
 
 
-def _features(words: dict[str, list[str]]) -> dict[str, tuple[Column, int]]:
-    """Name -> (bin of the document, number of bins)."""
-    n = F.greatest(F.col("n_tokens"), F.lit(1))
-    symbols = F.regexp_count("_text", F.lit(r"[#*$%&|<>]"))
-    found = {"symbols": (_bin(symbols / n, SYMBOL_ENDS), len(SYMBOL_ENDS) + 1), "distinct": (_bin(F.size(F.array_distinct("_words")) / n, DISTINCT_ENDS), len(DISTINCT_ENDS) + 1)}
-    for domain, lexicon in words.items():
-        hits = F.size(F.array_intersect("_prefixes", F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
-        found[f"hits_{domain}"] = (F.least(hits, F.lit(MOST_HITS)), MOST_HITS + 1)
-    return found
+def _hits(words: dict[str, list[str]]) -> dict[str, Column]:
+    """Name -> how many words of a domain's lexicon a document has, up to MOST_HITS."""
+    met = lambda lexicon: F.size(F.array_intersect("_prefixes", F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
+    return {f"_f_hits_{domain}": F.least(met(lexicon), F.lit(MOST_HITS)) for domain, lexicon in words.items()}
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    """_row, _tokens, bins of symbols and of distinct words, and _prefixes of each row of ``docs``: all that the classifier takes from texts, read once."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_text")).withColumn("_words", F.filter(F.split("_text", _WHITE), lambda w: w != ""))
+    n = F.greatest(F.size("_words"), F.lit(1))
+    symbols = _bin(F.regexp_count("_text", F.lit(r"[#*$%&|<>]")) / n, SYMBOL_ENDS)
+    distinct = _bin(F.size(F.array_distinct("_words")) / n, DISTINCT_ENDS)
+    return rows.select("_row", F.size("_words").cast("long").alias("_tokens"), symbols.alias("_f_symbols"), distinct.alias("_f_distinct"), _prefixes(F.col("_text")).alias("_prefixes"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon: int = 256) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, lexicon: int = 256) -> DataFrame:
     """_row (a row of ``docs``), _tokens (words of its text) and _low, _ordinary, _toxic: posteriors, equal for equal bins of the features.
 
-    Lexicons come from at most ``fit_rows`` labelled documents (of the smallest hashes of ids), the tables of the naive Bayes classifier too.
+    Lexicons and the tables of the naive Bayes classifier come from all labelled documents. Texts never meet labels: features do.
     """
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").alias("_id"), _domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    sample = materialise(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("domain", F.coalesce("text", F.lit("")).alias("text")), "mix-sample")
-    words = lexicons(sample, lexicon)
-    read = {"_text": F.coalesce(F.col("text"), F.lit(""))}
-
-    def with_features(df: DataFrame) -> DataFrame:
-        df = df.withColumns(read).withColumn("_words", F.filter(F.split("_text", _WHITE), lambda w: w != "")).withColumn("_prefixes", _prefixes(F.col("_text")))
-        df = df.withColumn("n_tokens", F.size("_words").cast("long"))
-        return df.select("*", *(c.alias(f"_f_{k}") for k, (c, _) in _features(words).items()))
-
-    names = {f"_f_{k}": bins for k, (_, bins) in _features(words).items()}
-    told = with_features(sample).select("domain", *names)
+    truth = truth.select(F.col("doc_id").alias("_id"), _domain(F.col("quality"), F.col("toxic")).alias("domain"))
+    read = materialise(_read(docs), "mix-features")
+    labelled = read.select(F.col("_row.doc_id").alias("_id"), "_f_symbols", "_f_distinct", "_prefixes").join(truth, "_id").drop("_id")
+    labelled = materialise(labelled, "mix-labelled")
+    words = lexicons(labelled, lexicon)
+    hits = _hits(words)
+    names = {"_f_symbols": len(SYMBOL_ENDS) + 1, "_f_distinct": len(DISTINCT_ENDS) + 1} | dict.fromkeys(hits, MOST_HITS + 1)  # numbers of bins
+    told = labelled.select("domain", "_f_symbols", "_f_distinct", *(c.alias(k) for k, c in hits.items()))
     cells = told.select("domain", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in names))).alias("c"))
     count = {(r.domain, r.f, r.bin): r.n for r in cells.groupBy("domain", "c.f", "c.bin").agg(F.count("*").alias("n")).collect()}
     total = {d: sum(n for (x, f, _), n in count.items() if x == d and f == "_f_symbols") for d in DOMAINS}
@@ -110,8 +114,8 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon
             out = out + F.element_at(F.array(*map(F.lit, table)), F.col(f) + 1)
         return out
 
-    renamed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
-    scored = with_features(renamed).select("_row", F.col("n_tokens").alias("_tokens"), *(log_odds(d).alias(f"_l_{d}") for d in known))
+    with_hits = read.select("_row", "_tokens", "_f_symbols", "_f_distinct", *(c.alias(k) for k, c in hits.items()))
+    scored = with_hits.select("_row", "_tokens", *(log_odds(d).alias(f"_l_{d}") for d in known))
     top = F.greatest(*(F.col(f"_l_{d}") for d in known), *([F.lit(-1e300)] if len(known) == 1 else []))
     weights = {d: F.exp(F.col(f"_l_{d}") - top) for d in known}
     share = sum(weights.values(), F.lit(0.0))
@@ -193,8 +197,8 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float
 
 
 def _rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tokens: float | None, fit: dict) -> DataFrame:
-    """_row, _tokens, DOMAINS, rate and copies of each row of ``docs``: classified once, joined to the small table of rates."""
-    scored = materialise(classify(docs, labels, **fit), "mix-scored")
+    """_row, _tokens, DOMAINS, rate and copies of each row of ``docs``: its posteriors, which follow from written features, joined to the small table of rates."""
+    scored = classify(docs, labels, **fit)
     rates = fit_rates(scored, weights, total_tokens).rates.select(*(F.col(f"_{d}").alias(f"_r_{d}") for d in DOMAINS), F.round("rate", 6).alias("rate"))
     same = [F.col(f"_{d}") == F.col(f"_r_{d}") for d in DOMAINS]
     found = scored.join(F.broadcast(rates), same)  # one row for each combination of bins, 400 at most

@@ -1,9 +1,10 @@
 """Quality rules: rule statistics of each document, and isolation forests over them.
 
-A tree of a forest splits a small sample of documents at random values of random statistics. Documents that few
-splits set apart are anomalous. There is a forest for each statistic and one for all together, each with a threshold
-that comes from rows with a quality label; one forest suffices to reject. (A single joint forest hides rows of junk that
-are alike in one statistic behind clean rows that differ in others.)
+A tree of a forest splits all labelled documents at random values of random statistics. Documents that few splits set
+apart are anomalous. There is a forest for each statistic and one for all together, each with a threshold that comes
+from the same rows; one forest suffices to reject. (A single joint forest hides rows of junk that are alike in one
+statistic behind clean rows that differ in others.) Trees of all forests grow a level at a time: tasks tell how many rows
+reach each node and between which values, and Spark puts these together, so a fit reads every row and none leaves its task.
 
 Defined cases: a null text has no words; an empty text likewise, and both fail the base rules. Repeated rows are
 judged one by one and alike. Rows with a null id are judged; they have no label. An empty table gives an empty result.
@@ -13,6 +14,7 @@ Without labelled rows of both kinds the forest rejects nothing. Other columns ar
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +32,8 @@ MAX_REPEAT_PERCENT = 50
 WHITE = " \t\n\v\f\r"
 #: A forest takes part if it rejects this share of the bad labelled rows beyond what forests before it reject.
 LEAST_GAIN = 0.01
+#: Levels of a tree, at most.
+DEPTH = 8
 #: Steps of a score at which thresholds lie.
 STEPS = 2000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -101,31 +105,85 @@ def _mean_path(n: int) -> float:
     return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def fit_forest(x: np.ndarray, columns: list[int], trees: int = 40, rows: int = 256, seed: int = 7) -> Forest:
-    """Isolation forest over ``columns`` of a bounded sample ``x``; each tree draws ``rows`` of it."""
-    rng = np.random.default_rng(seed)
-    x = x[:, columns]
-    rows = min(rows, len(x))
-    depth = max(1, math.ceil(math.log2(max(rows, 2))))
+def reached(forests: list[Forest], level: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, low, high) of the nodes of a level, tree by tree: how many rows of ``x`` reach each, and between which values of the features."""
+    wide, trees = 2**level, sum(len(f.feature) for f in forests)
+    n = np.zeros(trees * wide, np.int64)
+    low, high = np.full((trees * wide, x.shape[1]), np.inf), np.full((trees * wide, x.shape[1]), -np.inf)
+    first = 0
+    for forest in forests:
+        tree = np.arange(len(forest.feature))[None, :]
+        node = np.zeros((len(x), len(forest.feature)), np.int64)
+        on = np.ones(node.shape, bool)
+        for _ in range(level):
+            f = forest.feature[tree, node]
+            on &= f >= 0
+            column = np.array(forest.columns)[np.maximum(f, 0)]
+            node = np.where(on, 2 * node + 1 + (x[np.arange(len(x))[:, None], column] >= forest.split[tree, node]), node)
+        row, _ = np.nonzero(on)
+        at = ((first + tree) * wide + node - (wide - 1))[on]
+        n += np.bincount(at, minlength=len(n))
+        for c in forest.columns:
+            np.minimum.at(low[:, c], at, x[row, c])
+            np.maximum.at(high[:, c], at, x[row, c])
+        first += len(forest.feature)
+    return n, low, high
+
+
+def grow(groups: list[list[int]], trees: int, rows: int, told: Callable[[list[Forest], int], tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int = 7) -> list[Forest]:
+    """An isolation forest over each group of features of ``rows`` rows; ``told`` gives what reached() does over all of them."""
+    depth = min(DEPTH, max(1, math.ceil(math.log2(max(rows, 2)))))
     nodes = 2 ** (depth + 1) - 1
-    forest = Forest(columns, np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes)), max(_mean_path(rows), 1e-9))
-    for t in range(trees):
-        todo = [(0, 0, x[rng.choice(len(x), rows, replace=False)])]
-        while todo:
-            node, level, part = todo.pop()
-            low, high = part.min(0), part.max(0)
-            varied = np.flatnonzero(high > low)
-            if level == depth or len(part) < 2 or not len(varied):
-                forest.path[t, node] = level + _mean_path(len(part))
+    scale = max(_mean_path(rows), 1e-9)
+    forests = [Forest(columns, np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes)), scale) for columns in groups]
+    rng = np.random.default_rng(seed)
+    for level in range(depth + 1):
+        n, low, high = told(forests, level)
+        draw = rng.random((len(n), 2))
+        for at in np.flatnonzero(n):
+            forest, t, node = forests[at // 2**level // trees], at // 2**level % trees, 2**level - 1 + at % 2**level
+            a, b = low[at, forest.columns], high[at, forest.columns]
+            varied = np.flatnonzero(b > a)
+            if level == depth or not len(varied):
+                forest.path[t, node] = level + _mean_path(int(n[at]))
                 continue
-            f = rng.choice(varied)
-            at = rng.uniform(low[f], high[f])
-            right = part[:, f] >= at
-            if not right.any() or right.all():  # the draw met an end of the range
-                at, right = high[f], part[:, f] >= high[f]
-            forest.feature[t, node], forest.split[t, node] = f, at
-            todo += [(2 * node + 1, level + 1, part[~right]), (2 * node + 2, level + 1, part[right])]
-    return forest
+            f = varied[int(draw[at, 0] * len(varied))]
+            split = a[f] + (b[f] - a[f]) * draw[at, 1]
+            forest.feature[t, node], forest.split[t, node] = f, split if split > a[f] else b[f]
+    return forests
+
+
+def fit_forest(x: np.ndarray, columns: list[int], trees: int = 40, seed: int = 7) -> Forest:
+    """Isolation forest over ``columns`` of an array of features."""
+    return grow([columns], trees, len(x), lambda forests, level: reached(forests, level, x), seed)[0]
+
+
+def fit_forests(known: DataFrame, groups: list[list[int]], trees: int = 40, seed: int = 7) -> list[Forest]:
+    """The same over all rows of ``known``, a table with STATS; the driver sees three numbers a node and feature."""
+    size = 4
+
+    def told(forests: list[Forest], level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in it:
+                if batch.num_rows:
+                    n, low, high = reached(forests, level, features(np.column_stack([batch.column(s).to_numpy() for s in STATS])))
+                    total = (n, low, high) if total is None else (total[0] + n, np.minimum(total[1], low), np.maximum(total[2], high))
+            if total is not None:
+                n, low, high = total
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), *(pa.array(e[at, c]) for e in (low, high) for c in range(size))], [f.split(" ")[0] for f in fields])
+
+        fields = ["at long", "n long", *(f"{e}{c} double" for e in ("low", "high") for c in range(size))]
+        parts = known.select(*STATS).mapInArrow(rows, ", ".join(fields))
+        found = parts.groupBy("at").agg(F.sum("n").alias("n"), *(F.min(f"low{c}").alias(f"low{c}") for c in range(size)), *(F.max(f"high{c}").alias(f"high{c}") for c in range(size))).collect()  # nodes of a level
+        places = len(groups) * trees * 2**level
+        n, low, high = np.zeros(places, np.int64), np.full((places, size), np.inf), np.full((places, size), -np.inf)
+        for r in found:
+            n[r.at], low[r.at], high[r.at] = r.n, r[2 : 2 + size], r[2 + size :]
+        return n, low, high
+
+    return grow(groups, trees, known.count(), told, seed)
 
 
 def best_threshold(counts: list[tuple[int, int, int]], steps: int, max_false_rejects: float) -> float:
@@ -153,19 +211,18 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return map_texts(docs.select(id_col, text_col), rows, f"{id_col} {kind}, " + ", ".join(f"{s} long" for s in STATS))
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", fit_rows: int = 25_600, trees: int = 40, max_false_rejects: float = 0.001) -> list[Forest]:
-    """Fit on at most ``fit_rows`` labelled rows (those of the smallest hashes), calibrate on all labelled rows.
+def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", trees: int = 40, max_false_rejects: float = 0.001) -> list[Forest]:
+    """Fit, calibrate and choose forests on all labelled rows.
 
     ``labels`` has id_col and quality (0 or 1); of several labels of a document the lowest holds.
     """
     truth = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    known = stats.where(F.col("n_words") >= MIN_WORDS).join(truth, id_col)
-    sample = known.orderBy(F.xxhash64(id_col), id_col, *STATS).limit(fit_rows).select(*STATS, "quality").collect()
-    if not sample:
+    known = stats.where(F.col("n_words") >= MIN_WORDS).join(truth, id_col).select(*STATS, (F.col("quality") > 0).cast("int").alias("good"))
+    known = materialise(known, "rule-labelled")  # numbers only
+    if not known.take(1):
         return []
-    x, good = features(np.array(sample, np.int64)[:, :-1]), np.array([r.quality > 0 for r in sample])
-    every = list(range(x.shape[1]))
-    forests = [fit_forest(x, columns, trees) for columns in [*([c] for c in every), every]]
+    every = list(range(4))
+    forests = fit_forests(known, [*([c] for c in every), every], trees)
 
     @F.pandas_udf("array<int>")
     def buckets(*columns):  # noqa: ANN002, ANN202  pandas series
@@ -174,23 +231,23 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", fit_rows: i
         x = features(np.column_stack([c.to_numpy(np.int64) for c in columns]))
         return pd.Series(list(np.column_stack([(f.score(x) * STEPS).astype(np.int32) for f in forests])))
 
-    scored = known.select((F.col("quality") > 0).cast("int").alias("good"), F.posexplode(buckets(*STATS)).alias("forest", "bucket"))
-    counts = scored.groupBy("forest", "bucket", "good").count().collect()  # at most forests x steps x 2 rows
+    scored = materialise(known.select("good", buckets(*STATS).alias("buckets")), "rule-scores")
+    counts = scored.select("good", F.posexplode("buckets").alias("forest", "bucket")).groupBy("forest", "bucket", "good").count().collect()  # at most forests x steps x 2 rows
     for k, forest in enumerate(forests):
         forest.threshold = best_threshold([(r.bucket, r.good, r["count"]) for r in counts if r.forest == k], STEPS, max_false_rejects)
+    against = F.array(*(F.col("buckets")[k] >= f.threshold * STEPS - 1e-6 for k, f in enumerate(forests)))
+    bad = scored.where("good = 0").groupBy(against.alias("by")).count().collect()  # 2 to the number of forests at most
+    caught = lambda k, rows: sum(r["count"] for r in rows if r.by[k])
+    total = sum(r["count"] for r in bad)
     kept: list[Forest] = []
-    left = ~good
-    for forest in sorted((f for f in forests if f.threshold <= 1), key=lambda f: -(rejected(f, x) & ~good).sum()):
-        if (found := rejected(forest, x) & left).sum() >= LEAST_GAIN * (~good).sum():
-            kept.append(forest)
-            left &= ~found
+    left = bad
+    for k in sorted((k for k, f in enumerate(forests) if f.threshold <= 1), key=lambda k: -caught(k, bad)):
+        if caught(k, left) >= LEAST_GAIN * total:
+            kept.append(forests[k])
+            left = [r for r in left if not r.by[k]]
     return kept
 
 
-def rejected(forest: Forest, x: np.ndarray) -> np.ndarray:
-    return (forest.score(x) * STEPS).astype(np.int32) >= forest.threshold * STEPS - 1e-6
-
-
 def anomaly(forests: list[Forest], stats: np.ndarray) -> np.ndarray:
     """The highest score in proportion to its threshold: 1 and above is rejected."""
     x = features(stats)

@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-One model is trained on random strings, the other on ordinary words and identifiers; both on labelled samples: all values
-that the patterns find in labelled documents and seeded random strings against all words of the same documents and
-identifiers joined from them. One word in five, by its hash, is held back with the identifiers joined from such words. A
+One model is trained on random strings, the other on ordinary words and identifiers: all values that the patterns find in
+all documents labelled as good and seeded random strings against all words of the same documents and identifiers joined
+from them. One word in five, by its hash, is held back with the identifiers joined from such words. A
 token is reported when its mean log-likelihood ratio is above a threshold that lets through none of those held back; one
 that a pattern covers in part is reported whole, or else those of its parts outside that are tokens and look random.
 
@@ -125,10 +125,10 @@ def _words(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
     return sorted(set(_WORD.findall(" ".join([*parts, text[at:]]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2_000, strings: int = 6_000, seed: int = 7) -> MarkovPair:
-    """Train on at most ``fit_rows`` labelled documents (of the smallest hashes of ids) of quality 1, and on ``strings`` random strings."""
-    good = labels.where("doc_id is not null and quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = materialise(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(good), "doc_id", "left_semi"), "sample")
+def fit(docs: DataFrame, labels: DataFrame, strings: int = 6_000, seed: int = 7) -> MarkovPair:
+    """Train on all documents with a label of quality 1, and on ``strings`` random strings."""
+    good = labels.where("doc_id is not null and quality = 1").select("doc_id").distinct()
+    texts = materialise(docs.select("doc_id", "text").where("text is not null").join(good, "doc_id", "left_semi"), "labelled")
 
     def identifiers(text: str, words: list[str]) -> list[str]:
         return _identifiers(words, random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) + seed), len(words)) if words else []
