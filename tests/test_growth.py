@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from varsparq.operators import matrix
+from varsparq.sources import genotypes
 
 
 def test_correlations_in_blocks_equal_numpy(spark, monkeypatch):
@@ -23,3 +24,13 @@ def test_correlations_in_blocks_equal_numpy(spark, monkeypatch):
     assert got.keys() == want.keys()
     for key, (n, c) in want.items():
         assert got[key][0] == n and (got[key][1] is None) == (c is None) and (c is None or abs(got[key][1] - c) < 1e-9), key
+
+
+def test_bins_of_a_layout_grow_with_positions(spark, tmp_path):
+    calls = spark.createDataFrame([(f"chr{k % 2 + 1}", k * 3_000_000, k) for k in range(200)], "chrom string, pos long, k int")
+    assert genotypes.fitting_bin(calls.where("k < 3")) == genotypes.BIN
+    size = genotypes.fitting_bin(calls, most=50)
+    genotypes.write_binned(calls, str(tmp_path / "t"), size)
+    assert size % genotypes.BIN == 0 and len(list((tmp_path / "t").glob("chrom=*/pos_bin=*"))) <= 52
+    got = genotypes.read_region(spark, str(tmp_path / "t"), "1", 150_000_000, 170_000_000, size)
+    assert sorted(r.k for r in got.collect()) == [50, 52, 54, 56]

@@ -38,6 +38,13 @@ def read_calls(spark: SparkSession, path: str, ploidy: int = 2) -> DataFrame:
     return each.select("chrom", "pos", "id", "ref", "alt", "c.sample", "ploid", allele(F.substring_index("c.call", ":", 1), F.col("ploid")).alias("allele"))
 
 
+def fitting_bin(places: DataFrame, most: int = 1000, bin_size: int = BIN) -> int:
+    """``bin_size``, or the multiple of it at which rows with chrom and pos fall into about ``most`` bins: folders of a layout don't grow with the table."""
+    n, low, high = places.agg(F.count_distinct("chrom"), F.min("pos"), F.max("pos")).first()
+    bins = n * ((high - low) // bin_size + 1) if n and high is not None else 1
+    return bin_size * max(1, -(-bins // most))
+
+
 def write_binned(calls: DataFrame, path: str, bin_size: int = BIN, mode: str = "error") -> None:
     """Write rows with chrom and pos by chromosome and bin of positions; rows of a bin are in one or a few files, in order."""
     binned = calls.withColumn("pos_bin", F.floor(F.col("pos") / bin_size))
