@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from varsparq.operators import matrix
+from varsparq.operators import components, matrix
 from varsparq.sources import genotypes
 
 
@@ -34,3 +34,13 @@ def test_bins_of_a_layout_grow_with_positions(spark, tmp_path):
     assert size % genotypes.BIN == 0 and len(list((tmp_path / "t").glob("chrom=*/pos_bin=*"))) <= 52
     got = genotypes.read_region(spark, str(tmp_path / "t"), "1", 150_000_000, 170_000_000, size)
     assert sorted(r.k for r in got.collect()) == [50, 52, 54, 56]
+
+
+def test_components_of_narrow_tables_shuffle_no_cells(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(40, 3)) * [5, 2, 1]
+    m = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(40) for j in range(3)], "i long, j int, v double")
+    got = components.principal_components(m, 2, extra=1)
+    assert np.allclose(got.values, np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:2])
+    assert np.allclose(sorted(v.v for v in got.projections.where("component = 0").collect()), sorted((x - x.mean(0)) @ np.array([v.v for v in got.vectors.where("component = 0").orderBy("j").collect()])))
+    assert "Join" not in got.projections._jdf.queryExecution().toString()  # rows are records, vectors go to them
