@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varsparq.llm.shared import materialise
+from varsparq.llm.shared import materialise, of_keys
 
 DOMAINS = ["low", "ordinary", "toxic"]
 #: Upper ends of the bins of symbols a word and of distinct words a word.
@@ -78,32 +78,41 @@ def _hits(words: dict[str, list[str]]) -> dict[str, Column]:
     return {f"_f_hits_{domain}": F.least(met(lexicon), F.lit(MOST_HITS)) for domain, lexicon in words.items()}
 
 
-def _read(docs: DataFrame) -> DataFrame:
-    """_row, _tokens, bins of symbols and of distinct words, and _prefixes of each row of ``docs``: all that the classifier takes from texts, read once."""
+def _read(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """_row (its columns ``kept``), _id, _tokens, bins of symbols and of distinct words, and _prefixes of each row of ``docs``: all that the classifier takes from texts, read once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_text")).withColumn("_words", F.filter(F.split("_text", _WHITE), lambda w: w != ""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col("doc_id").alias("_id"), text.alias("_text")).withColumn("_words", F.filter(F.split("_text", _WHITE), lambda w: w != ""))
     n = F.greatest(F.size("_words"), F.lit(1))
     symbols = _bin(F.regexp_count("_text", F.lit(r"[#*$%&|<>]")) / n, SYMBOL_ENDS)
     distinct = _bin(F.size(F.array_distinct("_words")) / n, DISTINCT_ENDS)
-    return rows.select("_row", F.size("_words").cast("long").alias("_tokens"), symbols.alias("_f_symbols"), distinct.alias("_f_distinct"), _prefixes(F.col("_text")).alias("_prefixes"))
+    return rows.select("_row", "_id", F.size("_words").cast("long").alias("_tokens"), symbols.alias("_f_symbols"), distinct.alias("_f_distinct"), _prefixes(F.col("_text")).alias("_prefixes"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, lexicon: int = 256) -> DataFrame:
-    """_row (a row of ``docs``), _tokens (words of its text) and _low, _ordinary, _toxic: posteriors, equal for equal bins of the features.
+def _classified(docs: DataFrame, labels: DataFrame, lexicon: int = 256, kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """_row, _tokens and _cell (a number for its bins of the features) of each row of ``docs``; _cell, _tokens (of all its rows) and posteriors of each cell, 400 at most.
 
     Lexicons and the tables of the naive Bayes classifier come from all labelled documents. Texts never meet labels: features do.
     """
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     truth = truth.select(F.col("doc_id").alias("_id"), _domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    read = materialise(_read(docs), "mix-features")
-    labelled = read.select(F.col("_row.doc_id").alias("_id"), "_f_symbols", "_f_distinct", "_prefixes").join(truth, "_id").drop("_id")
+    read = materialise(_read(docs, docs.columns if kept is None else kept), "mix-features")
+    labelled = of_keys(read.select("_id", "_f_symbols", "_f_distinct", "_prefixes"), "_id", truth).drop("_id")
     labelled = materialise(labelled, "mix-labelled")
     words = lexicons(labelled, lexicon)
     hits = _hits(words)
     names = {"_f_symbols": len(SYMBOL_ENDS) + 1, "_f_distinct": len(DISTINCT_ENDS) + 1} | dict.fromkeys(hits, MOST_HITS + 1)  # numbers of bins
-    told = labelled.select("domain", "_f_symbols", "_f_distinct", *(c.alias(k) for k, c in hits.items()))
-    cells = told.select("domain", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in names))).alias("c"))
-    count = {(r.domain, r.f, r.bin): r.n for r in cells.groupBy("domain", "c.f", "c.bin").agg(F.count("*").alias("n")).collect()}
+    cell, size = F.lit(0), 1
+    for f, bins in names.items():
+        cell, size = cell + hits.get(f, F.col(f)) * size, size * bins
+    cell = F.coalesce(cell, F.lit(-1)).alias("_cell")  # never null: a filter on nulls would count the hits again
+
+    def bin_of(f: str) -> Column:
+        at = list(names).index(f)
+        return F.floor(F.col("_cell") / math.prod(list(names.values())[:at])).cast("int") % names[f]
+
+    told = labelled.select("domain", cell).groupBy("domain", "_cell").agg(F.count("*").alias("_n"))
+    cells = told.select("domain", "_n", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), bin_of(f).alias("bin")) for f in names))).alias("c"))
+    count = {(r.domain, r.f, r.bin): r.n for r in cells.groupBy("domain", "c.f", "c.bin").agg(F.sum("_n").alias("n")).collect()}
     total = {d: sum(n for (x, f, _), n in count.items() if x == d and f == "_f_symbols") for d in DOMAINS}
     known = [d for d in DOMAINS if total[d]] or ["ordinary"]
 
@@ -111,15 +120,23 @@ def classify(docs: DataFrame, labels: DataFrame, lexicon: int = 256) -> DataFram
         out = F.lit(math.log(max(total[domain], 1)))
         for f, bins in names.items():
             table = [math.log((count.get((domain, f, b), 0) + 0.1) / (total[domain] + 0.1 * bins)) for b in range(bins)]
-            out = out + F.element_at(F.array(*map(F.lit, table)), F.col(f) + 1)
+            out = out + F.element_at(F.array(*map(F.lit, table)), bin_of(f) + 1)
         return out
 
-    with_hits = read.select("_row", "_tokens", "_f_symbols", "_f_distinct", *(c.alias(k) for k, c in hits.items()))
-    scored = with_hits.select("_row", "_tokens", *(log_odds(d).alias(f"_l_{d}") for d in known))
+    with_cells = read.select("_row", "_tokens", cell)
+    masses = materialise(with_cells.groupBy("_cell").agg(F.sum("_tokens").alias("_tokens")).coalesce(1), "mix-cells")
+    scored = masses.select("_cell", "_tokens", *(log_odds(d).alias(f"_l_{d}") for d in known))
     top = F.greatest(*(F.col(f"_l_{d}") for d in known), *([F.lit(-1e300)] if len(known) == 1 else []))
     weights = {d: F.exp(F.col(f"_l_{d}") - top) for d in known}
     share = sum(weights.values(), F.lit(0.0))
-    return scored.select("_row", "_tokens", *((weights[d] / share if d in known else F.lit(0.0)).alias(f"_{d}") for d in DOMAINS))
+    cells = scored.select("_cell", "_tokens", *((weights[d] / share if d in known else F.lit(0.0)).alias(f"_{d}") for d in DOMAINS))
+    return with_cells, materialise(cells, "mix-posteriors")  # written, as a join by posteriors would filter by their whole formulas
+
+
+def classify(docs: DataFrame, labels: DataFrame, lexicon: int = 256) -> DataFrame:
+    """_row (a row of ``docs``), _tokens (words of its text) and _low, _ordinary, _toxic: posteriors, equal for equal bins of the features."""
+    rows, cells = _classified(docs, labels, lexicon)
+    return rows.join(F.broadcast(cells.drop("_tokens")), "_cell").drop("_cell")
 
 
 def _posterior(domain: str) -> Column:
@@ -196,13 +213,13 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], total_tokens: float
     return Fit(held.select(*keys, "rate"), left, step)
 
 
-def _rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tokens: float | None, fit: dict) -> DataFrame:
-    """_row, _tokens, DOMAINS, rate and copies of each row of ``docs``: its posteriors, which follow from written features, joined to the small table of rates."""
-    scored = classify(docs, labels, **fit)
-    rates = fit_rates(scored, weights, total_tokens).rates.select(*(F.col(f"_{d}").alias(f"_r_{d}") for d in DOMAINS), F.round("rate", 6).alias("rate"))
+def _rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tokens: float | None, fit: dict, kept: list[str] | None = None) -> DataFrame:
+    """_row, _tokens, DOMAINS, rate and copies of each row of ``docs``: those of its cell, a row of a small table."""
+    rows, cells = _classified(docs, labels, kept=kept, **fit)
+    rates = fit_rates(cells, weights, total_tokens).rates.select(*(F.col(f"_{d}").alias(f"_r_{d}") for d in DOMAINS), F.round("rate", 6).alias("rate"))
     same = [F.col(f"_{d}") == F.col(f"_r_{d}") for d in DOMAINS]
-    found = scored.join(F.broadcast(rates), same)  # one row for each combination of bins, 400 at most
-    return found.withColumn("copies", _copies(F.col("rate"), F.col("_row.doc_id")))
+    rated = materialise(cells.drop("_tokens").join(F.broadcast(rates), same).select("_cell", *(f"_{d}" for d in DOMAINS), "rate").coalesce(1), "mix-rates")  # 400 rows at most
+    return rows.join(F.broadcast(rated), "_cell").withColumn("copies", _copies(F.col("rate"), F.col("_row.doc_id")))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total_tokens: float | None = None, **fit: int) -> DataFrame:
@@ -210,8 +227,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
 
     copies: the rate rounded down or up by the hash of the id, so that its expectation is the rate.
     """
-    read = docs.select("doc_id", "text")
-    found = _rated(read, labels, weights, total_tokens, fit)
+    found = _rated(docs.select("doc_id", "text"), labels, weights, total_tokens, fit, ["doc_id"])
     return found.select("_row.doc_id", F.col("_tokens").alias("n_tokens"), *(F.round(_posterior(d), 6).alias(f"p_{d}") for d in DOMAINS), "rate", "copies")
 
 
