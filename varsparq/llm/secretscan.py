@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varsparq.llm.shared import map_texts, materialise, text_batches
+from varsparq.llm.shared import map_texts, materialise, of_keys, text_batches
 
 #: The patterns of the base and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -128,7 +128,7 @@ def _words(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, strings: int = 6_000, seed: int = 7) -> MarkovPair:
     """Train on all documents with a label of quality 1, and on ``strings`` random strings."""
     good = labels.where("doc_id is not null and quality = 1").select("doc_id").distinct()
-    texts = materialise(docs.select("doc_id", "text").where("text is not null").join(good, "doc_id", "left_semi"), "labelled")
+    texts = materialise(of_keys(docs.select("doc_id", "text").where("text is not null"), "doc_id", good), "labelled")
 
     def identifiers(text: str, words: list[str]) -> list[str]:
         return _identifiers(words, random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) + seed), len(words)) if words else []
