@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varsparq.operators.ordering import exact_quantiles, row_index, with_facts
+from varsparq.operators.ordering import dealt, exact_quantiles, row_index, with_facts
 from varsparq.storage import materialise
 
 
@@ -44,11 +44,21 @@ def between_group_variance(scores: DataFrame, members: DataFrame, site: str, mem
 
     Scores are summed by site and member before they meet the members, so a join sees a row for each pair of these.
     """
-    sums = scores.groupBy(site, member).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    sums = dealt(scores.select(site, member, value), [site, member]).groupBy(site, member).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     means = sums.join(members.select(member, group), member).groupBy(site, group).agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("_mean"))
     return means.groupBy(site).agg(F.var_samp("_mean").alias("between_var"))
 
 
+def pair_counts(rows: DataFrame, members: DataFrame, site: str, member: str, group: str) -> DataFrame:
+    """site, member, group, n: rows of each (J-03), a left join to ``members`` (member, group).
+
+    Rows are counted by site and member before they meet the members; a repeated row of these counts as often as it is there.
+    """
+    pairs = dealt(rows.select(site, member), [site, member]).groupBy(site, member).agg(F.count("*").alias("_n"))
+    known = members.groupBy(member, group).agg(F.count("*").alias("_m"))
+    return pairs.join(known, member, "left").select(site, member, group, (F.col("_n") * F.coalesce("_m", F.lit(1))).alias("n"))
+
+
 def scale_within(df: DataFrame, keys: list[str], value: str, method: str, plain: bool = False) -> DataFrame:
     """Adds ``scaled``: minmax, robust (median and quartiles, a zero range counts as 1) or sign (W-03). For ``plain`` see exact_quantiles()."""
     v = F.col(value)
