@@ -6,7 +6,7 @@ supplier, nation and region sample metadata, part site annotation, orders and cu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varsparq.functions import metrics as M
@@ -95,8 +95,14 @@ query("p10_work_list", "x AS (SELECT p_partkey AS site, slot FROM part, (SELECT
     )
 )
 query("p15_json_filter", "SELECT event_id, user_id FROM events WHERE (props->>'$.k')::INT IN (1, 2, 3)")(lambda t: t.events.where(F.get_json_object("props", "$.k").try_cast("int").isin(1, 2, 3)).select("event_id", "user_id"))
+
+
+def _population() -> Column:
+    return F.when(F.col("sample") % 10 == 0, "REF").otherwise(F.col("population"))
+
+
 query("j03_metadata_left_join", "SELECT site, sample, CASE WHEN sample % 10 = 0 THEN 'REF' ELSE population END AS population, count(*) AS n FROM scores LEFT JOIN meta USING (sample) GROUP BY ALL")(
-    lambda t: t.scores.join(t.meta, "sample", "left").groupBy("site", "sample", F.when(F.col("sample") % 10 == 0, "REF").otherwise(F.col("population")).alias("population")).agg(F.count("*").alias("n"))
+    lambda t: relational.pair_counts(t.scores, t.meta.withColumn("population", _population()), "site", "sample", "population").withColumn("population", _population())
 )
 query("j06_interval_join", "x AS (SELECT p_partkey AS a, p_size AS s, p_size + 3 AS e, p_brand AS g FROM part), y AS (SELECT s_suppkey AS b, (s_suppkey % 60)::INT AS s2, (s_suppkey % 60 + 2)::INT AS e2 FROM supplier) SELECT a, b FROM x JOIN y ON s <= e2 AND s2 <= e")(
     lambda t: intervals.interval_join(t.part.select(F.col("p_partkey").alias("a"), F.col("p_size").alias("l_start"), (F.col("p_size") + 3).alias("l_end")), t.supplier.select(F.col("s_suppkey").alias("b"), (F.col("s_suppkey") % 60).alias("r_start"), (F.col("s_suppkey") % 60 + 2).alias("r_end")), [], 8, closed=True).select("a", "b")
