@@ -192,7 +192,7 @@ query("x11_correlations", _CELLS + "SELECT p.j, q.j AS k, count(*) AS n, round(c
 
 
 def _all_cells(t: Tables) -> DataFrame:
-    return t.scores.groupBy(F.col("site").alias("i"), F.col("sample").alias("j")).agg(F.avg("value").alias("v"))
+    return ordering.dealt(t.scores.select(F.col("site").alias("i"), F.col("sample").alias("j"), "value"), ["i", "j"]).groupBy("i", "j").agg(F.avg("value").alias("v"))
 
 
 #: The queries above fold sites and samples; these have a row and a column for each.
