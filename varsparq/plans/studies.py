@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varsparq.functions import metrics as M
-from varsparq.operators import components, contacts, linear, matrix, rankings, scoring, splicing, submatrix
+from varsparq.operators import components, contacts, linear, matrix, ordering, rankings, scoring, splicing, submatrix
 from varsparq.plans.registry import Tables, query, r6
 from varsparq.sources import genotypes, variants
 from varsparq.storage import table_path
@@ -109,7 +109,8 @@ SELECT chrom, count(*) AS stretches, sum((n - k) * depth)::BIGINT AS bases, max(
 
 def _spans(t: Tables) -> DataFrame:
     start = F.col("l_partkey") * 7
-    return t.lineitem.select(F.col("l_returnflag").alias("chrom"), F.lit(1).alias("whole"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end")).distinct()
+    spans = t.lineitem.select(F.col("l_returnflag").alias("chrom"), F.lit(1).alias("whole"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
+    return ordering.dealt(spans, ["chrom", "start", "end"]).distinct()
 
 
 query("h14_annotation_tracks", """b AS (SELECT DISTINCT l_returnflag AS chrom, CASE WHEN l_linestatus = 'O' THEN 'exons_pos' ELSE 'exons_neg' END AS track, l_partkey * 40 AS s, l_partkey * 40 + l_quantity::BIGINT AS e FROM lineitem),
