@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varsparq.operators.intervals import interval_join
-from varsparq.operators.ordering import running_totals
+from varsparq.operators.ordering import dealt, running_totals
 
 
 def summed_area(ones: DataFrame, rows: int, columns: int) -> DataFrame:
@@ -66,7 +66,8 @@ def annotation_tracks(regions: DataFrame, beds: DataFrame, bin_size: int = 10_00
     stretches of different depth are one stretch.
     """
     track = F.concat("name", F.when(F.col("strand") == "+", "_pos").otherwise("_neg"))
-    own = beds.where(F.col("strand").isin("+", "-")).select("chrom", track.alias("track"), "start", "end").dropDuplicates(["chrom", "start", "end", "track"])
+    own = beds.where(F.col("strand").isin("+", "-")).select("chrom", track.alias("track"), "start", "end")
+    own = dealt(own, own.columns).distinct()
     covered = merged(coverage(own, ["chrom", "track"]), ["chrom", "track"])
     left = regions.select("chrom", "region", F.col("start").alias("l_start"), F.col("end").alias("l_end"))
     right = covered.select("chrom", "track", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
