@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from varsparq.llm.tokens import forget
 from varsparq.storage import materialise, shared_folder, table_path
 
-__all__ = ["map_texts", "materialise", "of_keys", "shared_folder", "table_path", "text_batches"]
+__all__ = ["gathered", "map_texts", "materialise", "of_keys", "shared_folder", "table_path", "text_batches"]
 
 #: Rows of an Arrow batch that carries texts: a batch of very long texts still fits in a Python worker.
 TEXT_BATCH_ROWS = 256
+#: Bytes of Arrow batches that are encoded at once, about.
+ENCODED_BYTES = 4 << 20
 #: Bits that of_keys broadcasts (4 MB), however many keys there are.
 KEY_BITS = 1 << 25
 
@@ -26,14 +28,28 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
+def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ENCODED_BYTES with the rows of ``it`` in their order, none of them empty; a larger batch stays alone."""
+    held, size = [], 0
+    for batch in it:
+        if held and size + batch.nbytes > ENCODED_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def map_texts(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, encodes: bool = False) -> DataFrame:
-    """Apply ``rows`` to each Arrow batch of ``df`` in the executors. Unless it ``encodes``, encoders of earlier tasks are dropped."""
+    """Apply ``rows`` to each Arrow batch of ``df`` in the executors, gathered where it ``encodes``; else encoders of earlier tasks are dropped."""
     text_batches(df.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not encodes:
             forget()
-        for batch in it:
+        for batch in gathered(it) if encodes else it:
             if batch.num_rows:
                 yield rows(batch)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varsparq.llm.shared import materialise, table_path, text_batches
+from varsparq.llm.shared import gathered, materialise, table_path, text_batches
 from varsparq.llm.tokens import collector_off, encoder
 
 #: Fixed values of the format: (ids of a word, bits of an id) by selector.
@@ -133,7 +133,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(vocabulary).encode_all, np.array([end_id], "<u4").tobytes()
         chunk, held, doc_ids, number, total = [], 0, [], 0, 0
 
         def out() -> pa.RecordBatch:
@@ -142,11 +142,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["part", "chunk", "start", "doc_ids", "data"])
 
         part, kind = 0, pa.int64()
-        for batch in it:
+        for batch in gathered(it):
             kind = batch.schema.field(0).type
-            for doc, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with collector_off():
-                    ids = encode(text) + end
+            with collector_off():
+                encoded = encode(batch.column("text"))
+            for doc, ids, part in zip(batch.column("doc_id").to_pylist(), encoded, batch.column("part").to_pylist(), strict=True):
+                ids += end
                 if chunk and (len(chunk) >= CHUNK_DOCS or held + len(ids) // 4 > CHUNK_IDS):
                     yield out()
                     number, total, chunk, held, doc_ids = number + 1, total + held, [], 0, []
