@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from varsparq.llm import shared, tokens
+from varsparq.llm import packing, shared, tokens
 from varsparq.llm.tokens import Encoder
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -41,3 +42,19 @@ def test_batches_are_gathered(monkeypatch):
     assert [t for b in got for t in b.column(0).to_pylist()] == [t for b in batches for t in b.column(0).to_pylist()]
     assert [b.num_rows for b in got] == [5, 1, 5]
     assert list(shared.gathered(iter(batches[1:2]))) == []
+
+
+def test_packing_encodes_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "map_texts", lambda df, rows, schema, encodes: rows)
+    monkeypatch.setattr(tokens, "_encoders", {})
+    made, plain = [], Encoder.part
+    monkeypatch.setattr(Encoder, "part", lambda self, text, blank: made.append((text, blank)) or plain(self, text, blank))
+    texts, path = [None, *("word. word, word! " * n + "word" for n in range(60))], str(public_tokenizers.path(NAMES[1]))
+    rows = packing.pieces(spark.createDataFrame([], "doc_id long, text string"), path, 50, 0)
+    got = rows(pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})).to_pylist()
+    want, whole = [], Encoder(path).whole
+    for k, t in enumerate(texts):
+        ids = whole(t or "") + b"\0" * 4
+        want += [(k, at // 200, at // 4, len(ids[at : at + 200]) // 4, zlib.crc32(ids[at : at + 200])) for at in range(0, len(ids), 200)]
+    assert [tuple(r.values()) for r in got] == want
+    assert len(made) == len(set(made)) <= 5  # before, once or more for each text

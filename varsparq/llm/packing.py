@@ -31,10 +31,11 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFram
     """doc_id, piece, start, length, ids_crc32 of each piece of each row of ``docs`` (doc_id, text)."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode, end, out = encoder(vocabulary, ENTRIES).encode, np.array([end_id], "<u4").tobytes(), []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            with collector_off():
-                ids = encode(text) + end
+        end, out = np.array([end_id], "<u4").tobytes(), []
+        with collector_off():
+            encoded = encoder(vocabulary, ENTRIES).encode_all(batch.column(1))
+        for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+            ids += end
             for k, at in enumerate(range(0, len(ids), 4 * size)):
                 part = ids[at : at + 4 * size]
                 out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
