@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from varsparq.llm.components import components
 from varsparq.llm.shared import map_texts, materialise, text_batches
 from varsparq.llm.texts import mix, shingle_set
+from varsparq.storage import settled
 
 BANDS, ROWS = 48, 6
 #: Bits of a sketch (the lowest of as many coordinates) and how many may differ between candidates: 25.6 are expected at 0.8.
@@ -262,8 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which one stays for each group, with all columns. Of rows with one doc_id the first by text stays."""
-    found = near_duplicates(docs, words, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    found = materialise(found, "kept")
+    found = settled(lambda: near_duplicates(docs, words, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
     # joined by shuffle at every size, as ids grow with the documents; both joins read one shuffle of them
     ids = lambda some: found.where(some).select("doc_id").hint("merge")
     single = docs.join(ids("rows = 1"), "doc_id", "left_semi")

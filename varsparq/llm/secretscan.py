@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varsparq.llm.shared import map_texts, materialise, of_keys, text_batches
+from varsparq.storage import discard
 
 #: The patterns of the base and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -165,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, strings: int = 6_000, seed: int = 7)
         return pa.RecordBatch.from_arrays([pa.array(top, pa.float64())], ["top"])
 
     top = map_texts(texts, highest, "top double").agg(F.max("top")).first()[0]
+    discard(texts)
     if top is None:
         top = max(model.score(x) for x in _identifiers(spare, draw, strings) if len(x) >= 16)
     model.threshold = max(0.0, top)
