@@ -6,18 +6,21 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from varsparq.storage import materialise
 
 #: Rows of a side of a block of pairs, about; pairs of a task, about; tasks, at most.
-BLOCK, PAIRS, TASKS = 4096, 40_000_000, 20_000
+BLOCK, PAIRS, TASKS = 16_384, 40_000_000, 20_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """An inner join by columns whose pairs are many: both sides of a frequent key are cut by hash into parts of BLOCK rows, and parts meet in blocks.
+    """An inner join by columns whose pairs are many: both sides of a frequent key are cut by hash into blocks of BLOCK rows, and blocks meet.
 
-    A task then sees no more than some blocks, however few keys there are. Both sides are read once more for their counts.
+    A task then sees no more than some blocks, however few keys there are. What is sent once for each block of the other side
+    are blocks, a sorted array for each column, which take a fraction of their rows' room. Both sides are read once more for their counts.
     """
+    left, right = (d.dropna(subset=on) for d in (left, right))
     sizes = left.groupBy(*on).agg(F.count("*").alias("_a")).join(right.groupBy(*on).agg(F.count("*").alias("_b")), on)
     pairs = sizes.agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0.0  # one number
     if pairs <= PAIRS:
@@ -28,10 +31,15 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
         n, m = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
         told = side.withColumn("_h", F.xxhash64(*side.columns)).join(F.broadcast(cuts), on, "left")  # a row for each frequent key
-        part = told.withColumns({f"{own}_at": F.pmod("_h", n), f"{other}_at": F.explode(F.sequence(F.lit(0).cast("long"), m - 1))})
-        return part.drop("_h", "_left", "_right").repartition(parts, *on, "_left_at", "_right_at")
-
-    return dealt(left, "_left", "_right").join(dealt(right, "_right", "_left"), [*on, "_left_at", "_right_at"]).drop("_left_at", "_right_at")
+        rest = [c for c in side.columns if c not in on][::-1] or ["_h"]  # what comes last differs least: positions before names
+        block = F.collect_list(F.struct(*rest))
+        ordered = F.sort_array(block) if all(isinstance(told.schema[c].dataType, AtomicType) for c in rest) else block
+        blocks = told.groupBy(*on, F.pmod("_h", n).alias(f"{own}_at"), m.alias("_met")).agg(ordered.alias("_rows")).select(*on, f"{own}_at", "_met", *(F.col("_rows")[c].alias(c) for c in rest))
+        sent = blocks.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_met") - 1))).drop("_met").repartition(parts, *on, "_left_at", "_right_at")
+        at = sent.select(*sent.columns, F.explode(F.sequence(F.lit(0), F.size(rest[0]) - 1)).alias("_k"))
+        return at.select(*on, "_left_at", "_right_at", *(F.get(c, "_k").alias(c) for c in side.columns if c not in on))
+
+    return dealt(left, "_left", "_right").join(dealt(right, "_right", "_left").hint("merge"), [*on, "_left_at", "_right_at"]).drop("_left_at", "_right_at")
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: int, closed: bool = False, how: str = "inner") -> DataFrame:
