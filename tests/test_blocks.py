@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from varsparq.operators import intervals
+import numpy as np
+import pytest
+
+from varsparq.operators import intervals, matrix
 
 
 def test_blocks_are_sent_as_arrays(spark, monkeypatch):
@@ -24,3 +27,46 @@ def test_keys_alone_meet_as_often_as_rows_do(spark, monkeypatch):
     monkeypatch.setattr(intervals, "PAIRS", 10)
     left, right = spark.range(30).selectExpr("if(id = 3, null, id % 2) as k"), spark.range(20).selectExpr("id % 2 as k", "id as b")
     assert intervals.spread_join(left, right, ["k"]).count() == left.join(right, ["k"]).count() == 290
+
+
+def _cells(spark, seed: int):
+    r = np.random.default_rng(seed)
+    v = {(f"r{i}", j): float(r.normal(5, 1)) for i in range(40) for j in range(25) if r.random() < 0.3} | {("alone", 99): 1.0}
+    return v, spark.createDataFrame([(i, j, x) for (i, j), x in v.items()] + [(None, 3, 1.0), ("r1", None, 2.0)], "i string, j int, v double")
+
+
+@pytest.mark.parametrize(("cells", "lines"), [(30, 2048), (60, 3), (10**6, 5), (2, 2)])
+def test_blocks_of_cells_meet_without_copies(spark, monkeypatch, cells, lines):
+    """Distances of named rows and correlations of columns, in many blocks and tiles, equal brute force; cells are not sent once for each block."""
+    monkeypatch.setattr(matrix, "CELLS", cells)
+    monkeypatch.setattr(matrix, "FEW_CELLS", cells)
+    monkeypatch.setattr(matrix, "BLOCKS", 12)
+    monkeypatch.setattr(matrix, "LINES", lines)
+    v, m = _cells(spark, 4)
+    near = matrix.distances(m)
+    got = {(x.i, x.k): x.distance for x in near.collect()}
+    rows, columns = (sorted({key[at] for key in v}) for at in (0, 1))
+    want = {}
+    for a, i in enumerate(rows):
+        for k in rows[a + 1 :]:
+            if shared := [j for j in columns if (i, j) in v and (k, j) in v]:
+                want[i, k] = sum((v[i, j] - v[k, j]) ** 2 for j in shared) ** 0.5
+    assert len(got) == near.count() and got == pytest.approx(want)
+    found = matrix.correlations(m)
+    got = {(x.j, x.k): (x.n, x.r) for x in found.collect()}
+    want = {}
+    for a, j in enumerate(columns):
+        for k in columns[a + 1 :]:
+            if shared := [i for i in rows if (i, j) in v and (i, k) in v]:
+                x, y = (np.array([v[i, c] for i in shared]) for c in (j, k))
+                want[j, k] = len(shared), float(np.corrcoef(x, y)[0, 1]) if len(shared) > 1 else None
+    assert got.keys() == want.keys() and len(got) == found.count()
+    assert all(got[p][0] == n and (got[p][1] is None if r is None else got[p][1] == pytest.approx(r)) for p, (n, r) in want.items())
+    for frame in (near, found):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
+
+
+def test_no_cells_have_no_pairs(spark):
+    m = spark.createDataFrame([], "i long, j long, v double")
+    assert matrix.distances(m).count() == matrix.correlations(m).count() == 0
