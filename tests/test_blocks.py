@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from varsparq.operators import intervals, matrix
+from varsparq.storage import materialise
 
 
 def test_blocks_are_sent_as_arrays(spark, monkeypatch):
@@ -70,3 +71,24 @@ def test_blocks_of_cells_meet_without_copies(spark, monkeypatch, cells, lines):
 def test_no_cells_have_no_pairs(spark):
     m = spark.createDataFrame([], "i long, j long, v double")
     assert matrix.distances(m).count() == matrix.correlations(m).count() == 0
+
+
+def _anchor_pairs(points, contacts) -> list[tuple]:
+    ends = {(c, n): [] for _, c, *_ in contacts for n in (0, 1)}
+    for g, c, s1, e1, s2, e2 in contacts:
+        for n, (s, e) in enumerate(((s1, e1), (s2, e2))):
+            ends[c, n] += [i for h, i, p in points if h == g and s <= p < e]
+    return sorted({(min(a, b), max(a, b), c) for _, c, *_ in contacts for a in ends[c, 0] for b in ends[c, 1] if a != b})
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_contacts_of_the_same_anchors_share_their_points(spark, monkeypatch, repeated):
+    """What is written are points of distinct anchors; a contact of several rows pairs points of all of them."""
+    points = [(k % 2, k, k * 7 % 30) for k in range(60)]
+    contacts = [(k % 2, k, 3 * (k % 2), 9, 12, 17 + k % 2) for k in range(20)] + [(0, 5, 20, 25, 1, 2)] * repeated
+    written = []
+    monkeypatch.setattr(intervals, "materialise", lambda df, name: written.append(materialise(df, name)) or written[-1])
+    got = intervals.anchor_pairs(spark.createDataFrame(points, "g long, id long, pos int"), spark.createDataFrame(contacts, "g long, contact long, a1_start int, a1_end int, a2_start int, a2_end int"), ["g"], 8)
+    assert sorted(map(tuple, got.collect())) == _anchor_pairs(points, contacts)
+    if not repeated:
+        assert written[0].count() <= 2 * len(points)  # before: once for each contact

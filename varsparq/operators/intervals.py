@@ -12,6 +12,8 @@ from varsparq.storage import materialise
 
 #: Rows of a side of a block of pairs, about; pairs of a task, about; tasks, at most.
 BLOCK, PAIRS, TASKS = 16_384, 40_000_000, 20_000
+#: Contacts that are sent to all tasks, at most.
+CONTACTS = 1_000_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -90,15 +92,24 @@ def anchor_pairs(points: DataFrame, contacts: DataFrame, on: list[str], bin_size
 
     points: on, id, pos. contacts: on, contact, a1_start, a1_end, a2_start, a2_end, half-open. Each point of a contact says in
     which anchors it lies, so of two points that could be told both ways one way is left out, and pairs need no distinct.
+    Contacts of one row with the same anchors have the same pairs: points meet distinct anchors, and contacts meet their pairs.
     """
+    anchors = [*on, "a1_start", "a1_end", "a2_start", "a2_end"]
+    rows, names = contacts.agg(F.count("contact"), F.count_distinct("contact")).first()
+    alike = rows == names and rows <= CONTACTS  # points of several rows of a contact may meet
+    key = anchors if alike else ["contact"]
+    own = contacts.select(*anchors).distinct() if alike else contacts
     left = points.withColumns({"l_start": F.col("pos"), "l_end": F.col("pos") + 1}).drop("pos")
     ends = F.explode(F.array(*(F.struct(F.lit(a == "a1").alias("one"), F.col(f"{a}_start").alias("r_start"), F.col(f"{a}_end").alias("r_end")) for a in ("a1", "a2"))))
-    right = contacts.select(*on, "contact", ends.alias("_e")).select(*on, "contact", "_e.*")
+    told = list(dict.fromkeys([*on, *key]))
+    right = own.select(*told, ends.alias("_e")).select(*told, "_e.*")
     found = interval_join(left, right, on, bin_size)
-    near = materialise(found.groupBy("contact", "id").agg(F.max("one").alias("one"), F.max(~F.col("one")).alias("two")), "anchors")
-    side = lambda n: near.where(n).select("contact", F.col("id").alias(f"_{n}"), F.col("one" if n == "two" else "two").alias(f"_{n}_also"))
+    near = materialise(found.groupBy(*key, "id").agg(F.max("one").alias("one"), F.max(~F.col("one")).alias("two")), "anchors")
+    side = lambda n: near.where(n).select(*key, F.col("id").alias(f"_{n}"), F.col("one" if n == "two" else "two").alias(f"_{n}_also"))
     once = (F.col("_one") < F.col("_two")) | ((F.col("_one") > F.col("_two")) & ~(F.col("_one_also") & F.col("_two_also")))
-    both = spread_join(side("one"), side("two"), ["contact"]).where(once)
+    both = spread_join(side("one"), side("two"), key).where(once)
+    if alike:
+        both = both.join(F.broadcast(contacts.select(*key, "contact")), key)
     return both.select(F.least("_one", "_two").alias("u"), F.greatest("_one", "_two").alias("w"), "contact")
 
 
